@@ -34,7 +34,7 @@ def window_drawdown(f: Frame, x: str, n: int) -> Column:
 def asset_stats(df: DataFrame, f: Frame, windows: Sequence[int] = (30, 60, 90, 252), tf_days: float = 1.0, rf: float = 0.0, x: str = "ret_arith", drawdown: bool = True) -> DataFrame:
     """Rolling mean, deviation, Sharpe, skewness, kurtosis and drawdown; expanding drawdown from the high."""
     ann = math.sqrt(365.0 / tf_days)
-    df = df.withColumn("_eq", F.exp(F.sum(F.log1p(F.when(F.col(x) > -1, F.coalesce(x, F.lit(0.0))))).over(f.cum)))
+    df = df.withColumn("_eq", F.exp(F.sum(F.log1p(F.when(F.coalesce(x, F.lit(0.0)) > -1, F.coalesce(x, F.lit(0.0))))).over(f.cum)))
     df = df.withColumn("max_dd_from_ath", div("_eq", F.max("_eq").over(f.cum)) - 1).drop("_eq")
     cols: dict[str, Column] = {}
     for n in windows:
@@ -265,11 +265,15 @@ def top_k(df: DataFrame, by: Sequence[str], score: str, k: int, tie: str = "id")
 def topk_dropout(scores: DataFrame, portfolio: Sequence[str], ts: str, k: int, n_drop: int) -> DataFrame:
     """Holdings over rebalance dates: at most ``n_drop`` replacements, worst first, best replacements.
 
-    Only the k + (held) candidates matter on a date: the scan receives the ranks of a date as one
-    bounded list (top ``2k`` plus a score lookup of held ids), never the full cross-section.
+    A held id was once in the top k, so only ids that reach the top k on some date can matter; the list
+    of a date holds those (at most k x dates), not the cross-section.
     """
     keys = list(portfolio)
-    per_day = scores.groupBy(*keys, ts).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("id").alias("id")))).alias("ranked"))
+    ever = top_k(scores, [*keys, ts], "score", k).select(*keys, "id").distinct()
+    candidates = scores.join(ever, [*keys, "id"], "left_semi").filter(F.col("score").isNotNull())
+    per_day = candidates.groupBy(*keys, ts).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("id").alias("id")))).alias("ranked")
+    )
     fields = [per_day.schema[c] for c in (*keys, ts)] + [T.StructField("id", T.LongType()), T.StructField("action", T.StringType())]
     schema = T.StructType(fields)
 
@@ -281,7 +285,7 @@ def topk_dropout(scores: DataFrame, portfolio: Sequence[str], ts: str, k: int, n
             place = {a: i for i, a in enumerate(ranked)}
             top = ranked[:k]
             if held:
-                below = sorted((a for a in held if a not in set(top)), key=lambda a: -place.get(a, len(ranked)))
+                below = sorted((a for a in held if a not in set(top)), key=lambda a: (a not in place, -place.get(a, 0)))
                 sell = below[:n_drop]
                 buy = [a for a in top if a not in held][: len(sell)]
             else:

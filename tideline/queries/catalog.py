@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tideline.queries import bars, features  # noqa: F401
+from tideline.queries import bars, features, joins  # noqa: F401
 from tideline.queries.base import REGISTRY  # noqa: F401
