@@ -49,7 +49,7 @@ def derived(df: DataFrame, f: Frame) -> DataFrame:
 def fed_regime(df: DataFrame, f: Frame, upper: str = "target_upper", lower: str = "target_lower", rate: str = "us_rate") -> DataFrame:
     mid, spread = (F.col(upper) + F.col(lower)) / 2.0, F.col(upper) - F.col(lower)
     df = df.withColumns({"target_mid": mid, "target_spread": spread})
-    df = df.withColumns({"_c": f.diff("target_mid", 90), "rate_90d_change": f.diff(rate, 90)})
+    df = df.withColumn("rate_90d_change", f.diff(rate, 90)).withColumn("_c", F.col("rate_90d_change"))
     structure = F.when(F.col("target_mid") <= 0.25, "zero-bound").when(F.col("target_spread") == 0, "single-target").when(F.col("target_mid").isNotNull(), "target-range")
     path = F.when(F.col("_c") > T["hiking"], "hiking").when(F.col("_c") < T["cutting"], "cutting").when(F.col("_c").isNotNull(), "holding")
     return df.withColumns({"fed_structure": structure, "fed_trajectory": path}).drop("_c")
@@ -84,13 +84,16 @@ def stress_features(df: DataFrame, f: Frame) -> DataFrame:
 
 
 def index_features(long: DataFrame, f: Frame, x: str = "value") -> DataFrame:
-    """Per equity index: 1/5/20-day returns, 60-day z of the level, drawdown from the running high."""
-    return long.withColumns(
-        {
-            "ret_1d": f.pct(x), "ret_5d": f.pct(x, 5), "ret_20d": f.pct(x, 20), "z_60d": z_fill(f, x, 60),
-            "drawdown": div(x, F.max(x).over(f.cum)) - 1,
-        }
-    )
+    """Per equity index: % returns, 21-day volatility, drawdown from the 252-day high, MA ratio, z252."""
+    df = long.withColumn("_r", f.pct(x) * 100.0)
+    cols = {f"ret_{n}d": f.pct(x, n) * 100.0 for n in (1, 5, 21, 63)}
+    cols |= {
+        "vol_21d": f.std("_r", 21, 17),
+        "drawdown_pct": (div(x, f.max(x, 252, 1)) - 1) * 100.0,
+        "ma_ratio_50_200d": div(f.mean(x, 50, 40), f.mean(x, 200, 160)),
+        "zscore_252d": z_fill(f, x, 252),
+    }
+    return df.withColumns(cols).drop("_r")
 
 
 def labels(df: DataFrame) -> DataFrame:
@@ -177,7 +180,7 @@ def freshness_gate(long: DataFrame, as_of: Column, warn: int = 3, disable: int =
 def stress_score(vix: Col, hy_z: Col, carry_z: Col, nfci: Col, weights: Mapping[str, float] | None = None) -> Column:
     """0..100 weighted score over the inputs that are present."""
     w = weights or {"vix": 0.4, "hy": 0.25, "carry": 0.2, "nfci": 0.15}
-    unit = lambda x, lo, hi: F.least(F.greatest((col(x) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
+    unit = lambda x, lo, hi: F.when(col(x).isNotNull(), F.least(F.greatest((col(x) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0)))
     parts = {"vix": unit(vix, 12.0, 45.0), "hy": unit(hy_z, -1.0, 3.0), "carry": unit(F.abs(col(carry_z)), 0.0, 3.0), "nfci": unit(nfci, -0.5, 1.0)}
     num = sum((F.coalesce(v * w[k], F.lit(0.0)) for k, v in parts.items()), F.lit(0.0))
     den = sum((F.when(v.isNotNull(), w[k]).otherwise(0.0) for k, v in parts.items()), F.lit(0.0))

@@ -36,16 +36,14 @@ def with_vol_bucket(df: DataFrame, f: Frame, atr: str | None = None, price: str
         df = df.withColumn("_a", div(atr, price))
     else:
         df = df.withColumn("_m", F.abs(f.pct(price))).withColumn("_a", f.mean("_m", 14)).drop("_m")
-    if mode == "full":
-        need = max(20, n // 3)
-        # pandas ranks the values of the (possibly shorter) window and divides by the window length
-        rows = F.least(f.rn(), F.lit(n))
-        pct = 100.0 * f.window_rank("_a", n, need) / rows
-        df = df.withColumn("_p", pct)
-        label = F.when(F.col("_p") < 33, "Low").when(F.col("_p") < 67, "Normal").when(F.col("_p").isNotNull(), "High")
-        return df.withColumn(out, label).drop("_a", "_p")
-    label = F.when(F.col("_a") < low, "Low").when(F.col("_a") > high, "High").when(F.col("_a").isNotNull(), "Normal")
-    return df.withColumn(out, label).drop("_a")
+    lite = F.when(F.col("_a") < low, "Low").when(F.col("_a") > high, "High").when(F.col("_a").isNotNull(), "Normal")
+    if mode != "full":
+        return df.withColumn(out, lite).drop("_a")
+    # the rank is divided by the window length, which is shorter at the start of a key
+    df = df.withColumn("_p", 100.0 * f.window_rank("_a", n, max(20, n // 3)) / F.least(f.rn(), F.lit(n)))
+    full = F.when(F.col("_p") < 33, "Low").when(F.col("_p") < 67, "Normal").when(F.col("_p").isNotNull(), "High")
+    enough = F.count(F.lit(1)).over(f.whole) >= n
+    return df.withColumn(out, F.when(enough, full).otherwise(lite)).drop("_a", "_p")
 
 
 def with_liquidity_bucket(df: DataFrame, f: Frame, spread: str, slip: str, n: int = 60, out: str = "liq") -> DataFrame:

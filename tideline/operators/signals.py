@@ -285,10 +285,10 @@ def blend_positions(tables: Sequence[tuple[DataFrame, float]], keys: Sequence[st
 def oi_features(df: DataFrame, f: Frame, n: int = 20, mom: int = 5) -> DataFrame:
     """Open-interest momentum, price divergence, funding z and its momentum, volume-OI regime."""
     df = df.withColumns({"oi_mom": f.pct("oi", mom), "px_mom": f.pct("close", mom), "funding_z": f.zscore("funding", n), "_do": f.diff("oi"), "_dv": f.diff("volume"), "_dp": f.diff("close")})
-    up, dn = F.col("_do") > 0, F.col("_do") < 0
+    up, dn = F.col("_do") > 0, F.col("_do") <= 0
     vol, price = F.col("_dv") > 0, F.col("_dp") > 0
     regime = (F.when(up & vol & price, 1).when(up & vol & ~price, 2).when(dn & vol & price, 3).when(dn & vol & ~price, 4).when(up & ~vol, 5)
-              .when(F.col("_do").isNotNull() & F.col("_dv").isNotNull() & F.col("_dp").isNotNull(), 6))
+              .when(dn & ~vol, 6))
     df = df.withColumns({"_gap": F.col("oi_mom") - F.col("px_mom"), "funding_mom": f.diff("funding_z", mom), "vol_oi_regime": regime})
     df = df.withColumn("oi_price_div", f.zscore("_gap", n))
     df = df.withColumn("liquidation_pressure", 0.4 * F.abs("funding_z") + 0.3 * F.abs("oi_mom") + 0.3 * F.abs("oi_price_div"))
