@@ -73,7 +73,7 @@ def evaluate(expression: str, df: DataFrame, frame: Frame, out: str = "factor")
     text = re.sub(r"\$([A-Za-z_]\w*)", r"\1", expression)
     df = df.withColumn("_rn", frame.rn())
     temps = ["_rn"]
-    plain = re.compile(r"\(([^()]*)\)")
+    plain = re.compile(r"(?<!\w)\(([^()]*)\)")
     while True:
         hit = _CALL.search(text)
         if hit is None:

@@ -15,6 +15,7 @@ from tideline.functions.frames import Col, Frame, col, div
 from tideline.functions.numeric import norm_ppf, norm_sf2
 from tideline.operators.asof import safe_corr
 from tideline.plans.segments import group_rank
+from tideline.session import checkpoint_dir
 
 
 def average_rank(x: Col, by: Sequence[str]) -> Column:
@@ -295,16 +296,19 @@ def connected_features(pairs: DataFrame, names: DataFrame, limit: float, rounds:
     """Clusters of features linked by |corr| >= limit: label propagation with pointer jumping.
 
     Each round takes the smallest label of the neighbours and then the label of that label, so
-    ``rounds`` doublings cover paths of 2**rounds links; nodes are features, not data rows.
+    ``rounds`` doublings cover paths of 2**rounds links; nodes are features, not data rows. The labels
+    are checkpointed every round, because each round reads them three times.
     """
+    checkpoint_dir(pairs.sparkSession)
     e = pairs.filter(F.abs("corr") >= limit).select("a", "b")
-    edges = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     lab = names.select(F.col("feature"), F.col("feature").alias("cluster"))
     for _ in range(rounds):
         near = edges.join(lab.withColumnRenamed("feature", "b"), "b").groupBy(F.col("a").alias("feature")).agg(F.min("cluster").alias("_m"))
         step = lab.join(near, "feature", "left").select("feature", F.least("cluster", F.coalesce("_m", "cluster")).alias("cluster"))
+        step = step.checkpoint()
         jump = step.select(F.col("feature").alias("cluster"), F.col("cluster").alias("_j"))
-        lab = step.join(jump, "cluster").select("feature", F.col("_j").alias("cluster"))
+        lab = step.join(jump, "cluster").select("feature", F.col("_j").alias("cluster")).checkpoint()
     return lab
 
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tideline.queries import bars, features, joins, rules  # noqa: F401
+from tideline.queries import bars, features, joins, rules, scoring  # noqa: F401
 from tideline.queries.base import REGISTRY  # noqa: F401
