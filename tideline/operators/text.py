@@ -38,24 +38,23 @@ def normalized(text: Col) -> Column:
 
 def shingles(text: Col, k: int = 3) -> Column:
     """Distinct word k-grams of the whole text (the text itself when it has fewer words)."""
-    words = F.split(col(text), " ")
-    n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.array_distinct(grams)
 
+    def grams(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (j - 1)) for j in range(k)]))
 
-def _mix(h: Column, i: int) -> Column:
-    return F.xxhash64(h, F.lit(i))
+    # the split is bound once as a lambda variable; inside the inner lambda it would run per word
+    return F.array_distinct(F.element_at(F.transform(F.array(F.split(col(text), " ")), grams), 1))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.70, min_chars: int = 20, bands: int = 32, rows: int = 4, k: int = 3) -> DataFrame:
-    """Pairs of texts with Jaccard similarity of word shingles at or above the threshold, with a tier.
+    """Near-duplicate links with similarity and tier.
 
-    Identical normalised texts are first reduced to one representative, so a large group of copies makes
-    no pairs (it is reported by ``duplicate_groups``). Representatives meet through banded MinHash
-    signatures; inside a band bucket each text is linked only to the bucket's smallest id (a star, not
-    all pairs). Link components are then verified pairwise by exact similarity through their shared
-    representatives: ``similar_within`` extends the stars to all pairs where a full pair list is wanted.
+    Identical normalised texts are first reduced to one representative, so a group of copies makes no
+    pairs (``duplicate_groups`` reports it). Representatives meet through banded MinHash; inside a bucket
+    each text links to one leader of the bucket (a star: links grow with the texts, not their square),
+    over many independent bands. A link is kept if the exact Jaccard similarity of the word shingles of
+    the whole texts and the length ratio pass.
     """
     rep = representatives(df, text, id_col, min_chars, k)
     links = star_links(rep, bands, rows)
@@ -74,13 +73,40 @@ def representatives(df: DataFrame, text: str, id_col: str, min_chars: int, k: in
     return g.select("rep_id", "copies", F.length("_t").alias("chars"), F.transform(shingles("_t", k), lambda s: F.xxhash64(s)).alias("sh"))
 
 
+def band_buckets(sh: Col, bands: int, rows: int, seed: int = 17) -> Column:
+    """Bucket of each band: ``rows`` minima of seeded multiply-shift hashes of the shingle hashes, mixed."""
+    rng = np.random.default_rng(seed)
+    mult = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
+    add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+    mixer = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def buckets(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            h = np.asarray(v, dtype=np.int64).view(np.uint64)
+            low = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+            for i in range(0, len(h), 4096):
+                x = h[i : i + 4096, None] * mult + add
+                x ^= x >> np.uint64(31)
+                low = np.minimum(low, (x * mult).min(axis=0))
+            out.append((low.reshape(bands, rows) * mixer).sum(axis=1, dtype=np.uint64).view(np.int64))
+        return pd.Series(out)
+
+    return buckets(col(sh))
+
+
 def star_links(rep: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Distinct candidate links (smaller id first): within a band bucket every text links to its minimum."""
-    sig = rep.select("rep_id", *[F.array_min(F.transform("sh", lambda h, i=i: _mix(h, i))).alias(f"m{i}") for i in range(bands * rows)])
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"m{b * rows + r}") for r in range(rows)]).alias("bucket")) for b in range(bands)])
-    flat = sig.select("rep_id", F.explode(keys).alias("_k")).select("rep_id", "_k.*")
-    low = flat.groupBy("band", "bucket").agg(F.min("rep_id").alias("id_a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return flat.join(low, ["band", "bucket"]).filter(F.col("rep_id") > F.col("id_a")).select("id_a", F.col("rep_id").alias("id_b")).distinct()
+    """Distinct candidate links (smaller id first): within a band bucket every text links to one leader.
+
+    The leader is the smallest seeded hash of the band, so it differs from band to band and the pairs of
+    a small bucket are all met over the bands, while a huge bucket still makes one link per text.
+    """
+    flat = rep.select("rep_id", F.posexplode(band_buckets("sh", bands, rows)).alias("band", "bucket"))
+    lead = F.min_by("rep_id", F.struct(F.xxhash64("rep_id", "band"), F.col("rep_id")))
+    low = flat.groupBy("band", "bucket").agg(lead.alias("_l"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    j = flat.join(low, ["band", "bucket"]).filter(F.col("rep_id") != F.col("_l"))
+    return j.select(F.least("rep_id", "_l").alias("id_a"), F.greatest("rep_id", "_l").alias("id_b")).distinct()
 
 
 def similarity_tier(s: Col) -> Column:
@@ -153,7 +179,7 @@ def sign_buckets(df: DataFrame, vec: str, vid: str, dims: int, bits: int, tables
     return df.select(vid, vec, F.posexplode(bucket(vec)).alias("table_no", "bucket"))
 
 
-def conflicts(df: DataFrame, threshold: float = 0.85, vec: str = "embedding", vid: str = "vec_id", dims: int = 64, bits: int = 8, tables: int = 12, block: int = 512) -> DataFrame:
+def conflicts(df: DataFrame, threshold: float = 0.85, vec: str = "embedding", vid: str = "vec_id", dims: int = 64, bits: int = 6, tables: int = 32, block: int = 512) -> DataFrame:
     """Vector pairs at or above the threshold among those that share a hyperplane bucket.
 
     A bucket is cut into blocks of about ``block`` vectors by an id hash; block pairs (i <= j) are the

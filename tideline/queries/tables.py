@@ -62,10 +62,10 @@ def _csv_round_trip(s, p):
 
 query("source_csv_round_trip", "id ts open:2 close:2 volume:1 bad_time", "SELECT id, ts, open, close, NULL::DOUBLE AS volume, true AS bad_time FROM bars", NB)(_csv_round_trip)
 query("source_rows_after_watermark", "id n#", "SELECT id, count(*) AS n FROM ticks WHERE ts > TIMESTAMP '1998-01-01' OR id >= 20 GROUP BY id", TICKS)(
-    lambda s, p: V.rows_after_watermark(M.order_ticks(s, p), M.order_ticks(s, p).select(F.explode(F.sequence(F.lit(0), F.lit(19))).cast("bigint").alias("id")).distinct().withColumn("ts", F.lit("1998-01-01").cast("timestamp_ntz")), ["id"], "ts").groupBy("id").agg(F.count("*").alias("n")))
+    lambda s, p: V.rows_after_watermark(M.order_ticks(s, p), M.order_ticks(s, p).select("id").distinct().filter("id < 20").withColumn("ts", F.lit("1998-01-01").cast("timestamp_ntz")), ["id"], "ts").groupBy("id").agg(F.count("*").alias("n")))
 query("source_unified_history", "source id n#", "SELECT 'a' AS source, id, count(*) AS n FROM bars GROUP BY id UNION ALL SELECT 'b', id, count(*) FROM vbars GROUP BY id", NB + ", " + VB[len(TICKS) + 2:])(
     lambda s, p: V.unified_history({"a": _nb(s, p), "b": M.nation_venue_bars(s, p)}).groupBy("source", "id").agg(F.count("*").alias("n")))
-query("source_perp_frame", "id day! close:2 funding:4 oi:2 mark:2",
+query("source_perp_frame", "id day! close:2 funding:6 oi:2 mark:2",
       "SELECT b.id, CAST(b.ts AS DATE) AS day, b.close, f.f AS funding, f.o AS oi, f.m AS mark FROM bars b LEFT JOIN (SELECT id, ts, sum(price / 1e6) AS f, arg_max(price, ord) AS o, arg_max(price / 2, ord) AS m FROM ticks GROUP BY id, ts) f USING (id, ts)", NB)(
     lambda s, p: (lambda t: V.perp_frame(t.withColumn("rate", F.col("price") / 1e6), t.withColumns({"oi": F.col("price"), "ts": F.col("ord")}), t.withColumns({"mark": F.col("price") / 2, "ts": F.col("ord")}), _nb(s, p).select("id", F.col("ts").cast("date").alias("day"), "close")))(
         M.order_ticks(s, p).withColumn("day", F.col("ts").cast("date"))))
@@ -103,7 +103,7 @@ query("refresh_incremental_equals_full", "id ts close:2 sma:3", f"SELECT id, ts,
 query("sync_variants", "alignment_source id n#", "SELECT 'a' AS alignment_source, id, count(*) AS n FROM bars WHERE ts > TIMESTAMP '1998-01-01' GROUP BY id UNION ALL SELECT 'b', id, count(*) FROM bars WHERE rn % 7 = 0 GROUP BY id", NB)(
     lambda s, p: P.sync_variants({"a": _nb(s, p), "b": _nb(s, p).withColumn("rn", FR.rn()).filter("rn % 7 = 0")}, _nb(s, p).filter("ts <= timestamp_ntz'1998-01-01'").withColumns({"alignment_source": F.lit("a"), "ts": F.least("ts", F.lit("1998-01-01").cast("timestamp_ntz"))}).unionByName(
         _nb(s, p).limit(1).withColumns({"alignment_source": F.lit("a"), "ts": F.lit("1998-01-01").cast("timestamp_ntz")}))).groupBy("alignment_source", "id").agg(F.count("*").alias("n")))
-query("ema_continued_from_state", "id ts ema:5", "SELECT e.id, e.ts, v AS ema FROM e JOIN bars USING (id, ts) WHERE rn > 200", NB + ", " + ema_cte("e", "bars", "close", {"v": span(15)}))(
+query("ema_continued_from_state", "id ts ema:3", "SELECT e.id, e.ts, v AS ema FROM e JOIN bars USING (id, ts) WHERE rn > 200", NB + ", " + ema_cte("e", "bars", "close", {"v": span(15)}))(
     lambda s, p: (lambda full: P.continue_ema(full.filter("rn > 200").select("id", "ts", "close"), full.filter("rn = 200").select("id", F.col("ts").alias("last_ts"), F.col("e").alias("last_value")), FR, "close", span(15)))(
         ewm_span(_nb(s, p).withColumn("rn", FR.rn()), FR, "close", {"e": 15})))
 
