@@ -86,6 +86,18 @@ def span(n: float) -> float:
     return 2.0 / (n + 1.0)
 
 
+def ewm_columns(
+    df: DataFrame, frame: Frame, observed: Col, outs: Mapping[str, tuple[Col, float]]
+) -> DataFrame:
+    """Recursive means of several inputs that are non-null on the same rows (``observed``): one pass."""
+    df = df.withColumns({"_ob": col(observed), "_nx": F.count(col(observed)).over(frame.cum)})
+    specs = {
+        out: (F.when(F.col("_nx") == 1, col(x).cast("double")).otherwise(col(x).cast("double") * a), 1.0 - a)
+        for out, (x, a) in outs.items()
+    }
+    return decayed_sums(df, frame, "_ob", specs, position="_nx").drop("_ob", "_nx")
+
+
 def ewm_span(df: DataFrame, frame: Frame, x: Col, spans: Mapping[str, int]) -> DataFrame:
     return ewm_mean(df, frame, x, {out: span(n) for out, n in spans.items()})
 

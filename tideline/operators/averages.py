@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.frames import Col, Frame, col, div
-from tideline.functions.smoothing import ema_seeded, ewm_mean, ewm_span, span
+from tideline.functions.smoothing import ema_seeded, ewm_columns, ewm_mean, ewm_span, span
 from tideline.plans.scan import scan
 
 EMA_PERIODS = (9, 10, 21, 50, 100, 200)
@@ -201,35 +201,37 @@ def kama(df: DataFrame, frame: Frame, x: str = "close", sets: Sequence[tuple[int
     return add_adaptive(df, frame, x, alphas).drop("_step", *alphas.values())
 
 
-def dema_tema(df: DataFrame, frame: Frame, x: str, period: int, kinds: Sequence[str] = ("dema", "tema")) -> DataFrame:
-    """Double / triple EMA with their warm-up rows masked."""
-    df = ewm_span(df, frame, x, {"_e1": period})
-    df = ewm_span(df, frame, "_e1", {"_e2": period})
-    df = df.withColumn("_rn", frame.rn())
-    drop = ["_e1", "_e2", "_rn"]
-    if "dema" in kinds:
-        df = df.withColumn(f"dema_{period}", F.when(F.col("_rn") > 2 * period - 1, 2 * F.col("_e1") - F.col("_e2")))
+def dema_tema(df: DataFrame, frame: Frame, x: str, period: int | Sequence[int], kinds: Sequence[str] = ("dema", "tema")) -> DataFrame:
+    """Double / triple EMAs of one or more periods with their warm-up rows masked, three passes in all."""
+    periods = [period] if isinstance(period, int) else list(period)
+    df = ewm_span(df, frame, x, {f"_e1_{p}": p for p in periods})
+    df = ewm_columns(df, frame, x, {f"_e2_{p}": (f"_e1_{p}", span(p)) for p in periods})
     if "tema" in kinds:
-        df = ewm_span(df, frame, "_e2", {"_e3": period})
-        value = 3 * F.col("_e1") - 3 * F.col("_e2") + F.col("_e3")
-        df = df.withColumn(f"tema_{period}", F.when(F.col("_rn") > 3 * period - 1, value))
-        drop.append("_e3")
-    return df.drop(*drop)
+        df = ewm_columns(df, frame, x, {f"_e3_{p}": (f"_e2_{p}", span(p)) for p in periods})
+    df = df.withColumn("_rn", frame.rn())
+    out: dict[str, Column] = {}
+    for p in periods:
+        e1, e2, e3 = (F.col(f"_e{i}_{p}") for i in (1, 2, 3))
+        if "dema" in kinds:
+            out[f"dema_{p}"] = F.when(F.col("_rn") > 2 * p - 1, 2 * e1 - e2)
+        if "tema" in kinds:
+            out[f"tema_{p}"] = F.when(F.col("_rn") > 3 * p - 1, 3 * e1 - 3 * e2 + e3)
+    return df.withColumns(out).drop("_rn", *[f"_e{i}_{p}" for i in (1, 2, 3) for p in periods])
 
 
-def hma(df: DataFrame, frame: Frame, x: str, period: int) -> DataFrame:
-    """Hull average: WMA of (2 WMA(p/2) - WMA(p)) over sqrt(p) rows."""
-    half, root = max(1, int(period / 2)), max(2, int(period**0.5))
+def hma(df: DataFrame, frame: Frame, x: str, period: int | Sequence[int]) -> DataFrame:
+    """Hull average: WMA of (2 WMA(p/2) - WMA(p)) over sqrt(p) rows; all periods in two window stages."""
+    periods = [period] if isinstance(period, int) else list(period)
     df = df.withColumn("_rn", frame.rn())
-    df = df.withColumn("_h", 2 * frame.wma(x, half, "_rn") - frame.wma(x, period, "_rn"))
-    return df.withColumn(f"hma_{period}", frame.wma("_h", root, "_rn")).drop("_rn", "_h")
+    df = df.withColumns({f"_h{p}": 2 * frame.wma(x, max(1, int(p / 2)), "_rn") - frame.wma(x, p, "_rn") for p in periods})
+    df = df.withColumns({f"hma_{p}": frame.wma(f"_h{p}", max(2, int(p**0.5)), "_rn") for p in periods})
+    return df.drop("_rn", *[f"_h{p}" for p in periods])
 
 
 def adaptive_long(df: DataFrame, frame: Frame, x: str = "close", linear: Sequence[int] = LINEAR_PERIODS) -> DataFrame:
     """Every parameter set in long form: (key, ts, indicator, params_hash, value, d1, d2)."""
     df = kama(df, frame, x)
-    for p in linear:
-        df = hma(dema_tema(df, frame, x, p), frame, x, p)
+    df = hma(dema_tema(df, frame, x, linear), frame, x, linear)
     labels = []
     for kind, params in param_sets():
         if kind != "KAMA" and params["period"] not in linear:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.frames import Frame, col, div, sign
-from tideline.functions.smoothing import ewm_mean, ewm_span
+from tideline.functions.smoothing import ewm_columns, ewm_mean, ewm_span
 from tideline.plans.scan import scan
 
 
@@ -25,23 +25,30 @@ def true_range(f: Frame) -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
 
 
-def rsi(df: DataFrame, f: Frame, n: int = 14, x: str = "close", out: str | None = None) -> DataFrame:
-    step = f.diff(x)
-    df = df.withColumns({"_g": F.greatest(step, F.lit(0.0)), "_l": F.greatest(-step, F.lit(0.0)), "_s": step})
-    df = df.withColumns({"_g": F.when(F.col("_s").isNotNull(), F.col("_g")), "_l": F.when(F.col("_s").isNotNull(), F.col("_l"))})
-    df = ewm_mean(ewm_mean(df, f, "_g", {"_ag": 1.0 / n}), f, "_l", {"_al": 1.0 / n})
-    rs = div("_ag", "_al")
-    return df.withColumn(out or f"rsi_{n}", 100.0 - 100.0 / (1.0 + rs)).drop("_g", "_l", "_s", "_ag", "_al")
+def rsi(df: DataFrame, f: Frame, n: int | Sequence[int] = 14, x: str = "close", out: str | None = None) -> DataFrame:
+    """Wilder strength index of one or more lengths: all gains and losses are smoothed in one pass."""
+    lengths = [n] if isinstance(n, int) else list(n)
+    df = df.withColumn("_s", f.diff(x).cast("double"))
+    gain, loss = F.greatest(F.col("_s"), F.lit(0.0)), F.greatest(-F.col("_s"), F.lit(0.0))
+    specs = {f"_g{k}": (gain, 1.0 / k) for k in lengths} | {f"_l{k}": (loss, 1.0 / k) for k in lengths}
+    df = ewm_columns(df, f, "_s", specs)
+    cols = {(out or f"rsi_{k}"): 100.0 - 100.0 / (1.0 + div(f"_g{k}", f"_l{k}")) for k in lengths}
+    return df.withColumns(cols).drop("_s", *specs)
 
 
 def macd(df: DataFrame, f: Frame, fast: int = 12, slow: int = 26, signal: int = 9, x: str = "close") -> DataFrame:
-    tag = f"{fast}_{slow}"
-    df = ewm_span(df, f, x, {"_f": fast, "_s": slow})
-    df = df.withColumn(f"macd_{tag}", F.col("_f") - F.col("_s"))
-    df = ewm_span(df, f, f"macd_{tag}", {f"macd_signal_{tag}_{signal}": signal})
-    return df.withColumn(
-        f"macd_hist_{tag}_{signal}", F.col(f"macd_{tag}") - F.col(f"macd_signal_{tag}_{signal}")
-    ).drop("_f", "_s")
+    return macd_many(df, f, [(fast, slow, signal)], x)
+
+
+def macd_many(df: DataFrame, f: Frame, sets: Sequence[tuple[int, int, int]], x: str = "close") -> DataFrame:
+    """MACD lines of several (fast, slow, signal) sets in two smoothing passes."""
+    spans = {f"_m{k}": k for s in sets for k in s[:2]}
+    df = ewm_span(df, f, x, spans)
+    df = df.withColumns({f"macd_{a}_{b}": F.col(f"_m{a}") - F.col(f"_m{b}") for a, b, _ in sets})
+    df = ewm_columns(df, f, x, {f"macd_signal_{a}_{b}_{c}": (f"macd_{a}_{b}", 2.0 / (c + 1)) for a, b, c in sets})
+    return df.withColumns(
+        {f"macd_hist_{a}_{b}_{c}": F.col(f"macd_{a}_{b}") - F.col(f"macd_signal_{a}_{b}_{c}") for a, b, c in sets}
+    ).drop(*spans)
 
 
 def stochastic(df: DataFrame, f: Frame, k: int = 14, d: int = 3) -> DataFrame:
@@ -282,8 +289,8 @@ def coppock(df: DataFrame, f: Frame, long: int = 14, short: int = 11, n: int = 1
 
 # --- packs -----------------------------------------------------------------------------------------
 PACK: tuple[Callable[[DataFrame, Frame], DataFrame], ...] = (
-    lambda d, f: rsi(d, f, 7), lambda d, f: rsi(d, f, 14), lambda d, f: rsi(d, f, 21),
-    lambda d, f: macd(d, f, 12, 26, 9), lambda d, f: macd(d, f, 8, 17, 9),
+    lambda d, f: rsi(d, f, (7, 14, 21)),
+    lambda d, f: macd_many(d, f, [(12, 26, 9), (8, 17, 9)]),
     stochastic, bollinger, atr, adx,
 )
 

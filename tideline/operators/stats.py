@@ -64,7 +64,7 @@ def paired(df: DataFrame, x: str, by: str = "ts", key: str = "id") -> DataFrame:
 def rolling_pair_corr(pairs: DataFrame, n: int, ts: str = "ts", spearman: bool = True) -> DataFrame:
     """Rolling Pearson and Spearman correlation of each pair over full windows, with a t-based p-value."""
     f = Frame(("id_a", "id_b"), (ts,))
-    df = pairs.withColumn("pearson", f.corr("a", "b", n))
+    df = running_corr(pairs, f, "a", "b", n, "pearson")
     if spearman:
 
         @F.pandas_udf(T.DoubleType())
@@ -88,6 +88,26 @@ def rolling_pair_corr(pairs: DataFrame, n: int, ts: str = "ts", spearman: bool =
     return df.withColumn("n_obs", F.when(F.col("pearson").isNotNull(), F.lit(n)))
 
 
+def running_corr(df: DataFrame, f: Frame, a: str, b: str, n: int, out: str) -> DataFrame:
+    """Rolling correlation of complete pairs from running sums: constant work per row for any n.
+
+    Inputs are centred per key first, so differences of the running sums keep their digits; a window in
+    which one side never changes is NULL, found by the length of the current run of equal values.
+    """
+    df = df.withColumns({"_a": F.col(a) - F.avg(a).over(f.whole), "_b": F.col(b) - F.avg(b).over(f.whole), "_rn": f.rn()})
+    terms = {"a": F.col("_a"), "b": F.col("_b"), "aa": F.col("_a") * F.col("_a"), "bb": F.col("_b") * F.col("_b"), "ab": F.col("_a") * F.col("_b")}
+    changed = lambda c: F.when(f.lag(c).isNull() | (f.lag(c) != F.col(c)), F.col("_rn"))
+    df = df.withColumns({f"_c_{k}": F.sum(v).over(f.cum) for k, v in terms.items()} | {"_ra": changed(a), "_rb": changed(b)})
+    moved = {f"_w_{k}": F.col(f"_c_{k}") - F.coalesce(f.lag(f"_c_{k}", n), F.lit(0.0)) for k in terms}
+    df = df.withColumns(moved | {"_ra": F.last("_ra", ignorenulls=True).over(f.cum), "_rb": F.last("_rb", ignorenulls=True).over(f.cum)})
+    w = {k: F.col(f"_w_{k}") for k in terms}
+    cov = w["ab"] - w["a"] * w["b"] / n
+    va, vb = w["aa"] - w["a"] * w["a"] / n, w["bb"] - w["b"] * w["b"] / n
+    varies = (F.col("_rn") - F.col("_ra") + 1 < n) & (F.col("_rn") - F.col("_rb") + 1 < n) & (va > 0) & (vb > 0)
+    value = F.when((F.col("_rn") >= n) & varies, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
+    return df.withColumn(out, value).drop("_a", "_b", "_rn", "_ra", "_rb", *moved, *[f"_c_{k}" for k in terms])
+
+
 def market_corr(df: DataFrame, x: str, n: int = 30, high: float = 0.7, ts: str = "ts") -> DataFrame:
     """Average rolling pairwise correlation per date and whether it is high."""
     c = rolling_pair_corr(paired(df, x, ts), n, ts, spearman=False)
