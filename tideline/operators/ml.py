@@ -16,6 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.frames import Frame, div
+from tideline.session import checkpoint_dir
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint the feature rows once: the fits and scores below read them many times."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -87,6 +94,7 @@ def importance(df: DataFrame, features: Sequence[str], groups: Sequence[Sequence
     group, all scores of a fold in one union.
     """
     out: DataFrame | None = None
+    df = settled(df)
     for k in range(folds):
         part = df.filter(F.col("test_fold") == k)
         model = fit_meta(part.filter(F.col(role) == "train"), features, label, trees=10, depth=3, seed=seed)
@@ -104,6 +112,7 @@ def importance(df: DataFrame, features: Sequence[str], groups: Sequence[Sequence
 def single_feature(df: DataFrame, features: Sequence[str], label: str = "label", role: str = "role", folds: int = 3, seed: int = 5) -> DataFrame:
     """Test loss of one-feature models per purged fold."""
     out: DataFrame | None = None
+    df = settled(df)
     for f in features:
         for k in range(folds):
             part = df.filter(F.col("test_fold") == k)
@@ -116,6 +125,7 @@ def single_feature(df: DataFrame, features: Sequence[str], label: str = "label",
 
 def by_regime_models(train: DataFrame, test: DataFrame, features: Sequence[str], regime: str, regimes: Sequence[str], label: str = "label", min_rows: int = 100) -> DataFrame:
     """One model per regime with enough rows, the global one for the rest."""
+    train, test = settled(train), settled(test)
     counts = {r[regime]: r["n"] for r in train.filter(F.col(regime).isin(list(regimes))).groupBy(regime).agg(F.count(F.lit(1)).alias("n")).collect()}
     fallback = fit_meta(train, features, label)
     used = [r for r in regimes if counts.get(r, 0) >= min_rows]
@@ -131,6 +141,7 @@ def rank_cross_validate(df: DataFrame, features: Sequence[str], target: str, fol
     from tideline.operators.research import ndcg, spearman_windows
 
     out: DataFrame | None = None
+    df = settled(df)
     for k in range(folds):
         part = df.filter(F.col("test_fold") == k)
         m = GBTRegressor(labelCol=target, featuresCol="features", maxIter=5, maxDepth=3, seed=1).fit(assemble(part.filter(F.col(role) == "train"), features))
@@ -147,7 +158,7 @@ def double_ensemble(df: DataFrame, features: Sequence[str], target: str, f: Fram
     from tideline.operators.evaluate import with_folds
 
     d = with_folds(df.dropna(subset=[*features, target]), f, windows + 1)
-    base = assemble(d, features)
+    base = settled(assemble(d, features))
     preds: list[str] = []
     for w in range(windows):
         train = base.filter(F.col("fold").isin(w, w + 1)).withColumn("weight", F.lit(1.0))
