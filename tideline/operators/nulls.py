@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.frames import Col, Frame, col, div, run_ids
+from tideline.plans.segments import percentiles
 
 
 def fill_nulls(df: DataFrame, f: Frame, x: str, strategy: str = "skip", limit: int | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def flag_outliers(df: DataFrame, keys: Sequence[str], x: str, n_sigma: float = 4
         stats = df.groupBy(*keys).agg(F.avg(x).alias("_a"), F.stddev_samp(x).alias("_b"))
         flag = F.abs(div(F.col(x) - F.col("_a"), "_b")) > n_sigma
     else:
-        stats = df.groupBy(*keys).agg(F.percentile(x, 0.25).alias("_a"), F.percentile(x, 0.75).alias("_b"))
+        stats = percentiles(df, keys, x, {"_a": 0.25, "_b": 0.75})
         iqr = F.col("_b") - F.col("_a")
         flag = (iqr > 0) & ((F.col(x) < F.col("_a") - 1.5 * iqr) | (F.col(x) > F.col("_b") + 1.5 * iqr))
     return df.join(stats, keys).withColumn(f"{x}_is_outlier", F.coalesce(flag, F.lit(False))).drop("_a", "_b")

@@ -117,6 +117,7 @@ def order_deltas(current: DataFrame, target: DataFrame, keys: Sequence[str]) ->
 
 
 def recent_rows(df: DataFrame, by: Sequence[str], order: Column, n: int) -> DataFrame:
+    """First n rows per group; the filter on row_number becomes a per-task group limit before the shuffle."""
     w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tideline.functions.frames import Col, Frame, col, div
 from tideline.functions.numeric import norm_cdf
 from tideline.operators.asof import best_lag, lagged_corr, safe_corr
+from tideline.plans.segments import percentiles
 
 
 
@@ -243,13 +244,16 @@ def free_aggregate(df: DataFrame, select: str, group_by: str = "", where: str =
 
 
 def percentile_recent(df: DataFrame, by: Sequence[str], x: str, p: float, ts: str, as_of: Column, hours: int) -> DataFrame:
-    recent = df.filter(F.col(ts) >= as_of - F.make_dt_interval(hours=F.lit(hours)))
-    return recent.groupBy(*by).agg(F.percentile(x, p).alias("value"), F.count(x).alias("n"))
+    recent = df.filter((F.col(ts) >= as_of - F.make_dt_interval(hours=F.lit(hours))) & F.col(x).isNotNull())
+    n = recent.groupBy(*by).agg(F.count(x).alias("n"))
+    return percentiles(recent, by, x, {"value": p}).join(n, list(by))
 
 
 def degraded(df: DataFrame, by: Sequence[str], x: str, ts: str, split: Column, factor: float = 2.0) -> DataFrame:
     """Mean after ``split`` against the median before it."""
-    g = df.groupBy(*by).agg(F.percentile(F.when(F.col(ts) < split, F.col(x)), 0.5).alias("baseline"), F.avg(F.when(F.col(ts) >= split, F.col(x))).alias("current"))
+    base = percentiles(df.filter(F.col(ts) < split), by, x, {"baseline": 0.5})
+    now = df.filter(F.col(ts) >= split).groupBy(*by).agg(F.avg(x).alias("current"))
+    g = base.join(now, list(by), "full")
     return g.withColumn("degraded", F.coalesce(F.col("current") > F.col("baseline") * factor, F.lit(False)))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.frames import Col, col, div
+from tideline.functions.frames import Col, Frame, col, div
+from tideline.plans.segments import number_rows
 
 
 # --- duplicates ------------------------------------------------------------------------------------
@@ -231,29 +232,39 @@ def turn_hash(role: Col, text: Col) -> Column:
     return F.sha2(F.concat_ws("\x1f", col(role), col(text)), 256)
 
 
-def conversation_hash(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Hash of the ordered turn hashes, number of turns (a conversation is a bounded list of hashes)."""
-    h = turns.select(conv, turn, turn_hash("role", "text").alias("h"))
-    g = h.groupBy(conv).agg(F.transform(F.array_sort(F.collect_list(F.struct(turn, "h"))), lambda s: s["h"]).alias("hashes"))
-    return g.select(conv, "hashes", F.size("hashes").alias("n_turns"), F.sha2(F.array_join("hashes", "|"), 256).alias("content_hash"))
+def numbered_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Position of each turn in its conversation; a conversation of any length is numbered in blocks."""
+    return number_rows(turns, Frame((conv,), (turn,)), F.floor(F.col(turn) / 4096), "position")
+
+
+def conversation_hash(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", block: int = 1024) -> DataFrame:
+    """Number of turns and content hash: turn hashes are folded per block, then block hashes per conversation."""
+    h = numbered_turns(turns, conv, turn).select(conv, "position", turn_hash("role", "text").alias("h"))
+    fold = lambda k, v: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, v))), lambda s: s[v]), "|"), 256)
+    b = h.groupBy(conv, F.floor((F.col("position") - 1) / block).alias("_b")).agg(fold("position", "h").alias("_h"), F.count(F.lit(1)).alias("_n"))
+    return b.groupBy(conv).agg(F.sum("_n").alias("n_turns"), fold("_b", "_h").alias("content_hash"))
 
 
 def conversation_diff(old: DataFrame, new: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """added / removed / same / appended (old is a prefix) / truncated / edited, with the turn counts."""
-    a = conversation_hash(old).select(conv, F.col("hashes").alias("ha"), F.col("content_hash").alias("ca"))
-    b = conversation_hash(new).select(conv, F.col("hashes").alias("hb"), F.col("content_hash").alias("cb"))
-    j = a.join(b, conv, "full")
-    prefix = lambda x, y: F.slice(y, 1, F.size(x)) == x
-    status = (F.when(F.col("ha").isNull(), "added").when(F.col("hb").isNull(), "removed").when(F.col("ca") == F.col("cb"), "same")
-              .when((F.size("ha") < F.size("hb")) & prefix(F.col("ha"), F.col("hb")), "appended")
-              .when((F.size("hb") < F.size("ha")) & prefix(F.col("hb"), F.col("ha")), "truncated").otherwise("edited"))
-    return j.select(conv, status.alias("status"), F.coalesce(F.size("ha"), F.lit(0)).alias("old_turns"), F.coalesce(F.size("hb"), F.lit(0)).alias("new_turns"))
+    """added / removed / same / appended (old is a prefix) / truncated / edited, with the turn counts.
+
+    Turns meet on (conversation, position); the first differing position per conversation decides, so no
+    list of turns is ever built.
+    """
+    side = lambda d, n: numbered_turns(d, conv).select(conv, "position", turn_hash("role", "text").alias(n))
+    j = side(old, "ha").join(side(new, "hb"), [conv, "position"], "full")
+    g = j.groupBy(conv).agg(
+        F.count("ha").alias("old_turns"), F.count("hb").alias("new_turns"),
+        F.count_if(F.col("ha").isNotNull() & F.col("hb").isNotNull() & (F.col("ha") != F.col("hb"))).alias("_changed"))
+    a, b = F.col("old_turns"), F.col("new_turns")
+    status = (F.when(a == 0, "added").when(b == 0, "removed").when(F.col("_changed") > 0, "edited")
+              .when(a == b, "same").when(a < b, "appended").otherwise("truncated"))
+    return g.select(conv, status.alias("status"), "old_turns", "new_turns")
 
 
 def flat_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", noise: str = r"^\s*$|^\W+$", min_chars: int = 3) -> DataFrame:
     """Turns numbered in order with a noise flag."""
-    w = Window.partitionBy(conv).orderBy(turn)
-    return turns.withColumns({"position": F.row_number().over(w), "n_chars": F.length("text"), "is_noise": F.col("text").rlike(noise) | (F.length("text") < min_chars)})
+    return numbered_turns(turns, conv, turn).withColumns({"n_chars": F.length("text"), "is_noise": F.col("text").rlike(noise) | (F.length("text") < min_chars)})
 
 
 def conversation_summary(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -288,8 +299,9 @@ def category_digest(df: DataFrame, by: Sequence[str], id_col: str, n: int = 3, s
 
 def prompt_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", min_chars: int = 20, train_share: float = 0.9) -> DataFrame:
     """(prompt, answer) of consecutive user / assistant turns, with a split by conversation hash."""
-    w = Window.partitionBy(conv).orderBy(turn)
-    d = turns.withColumns({"answer": F.lead("text").over(w), "_nr": F.lead("role").over(w)})
-    d = d.filter((F.col("role") == "user") & (F.col("_nr") == "assistant") & (F.length("text") >= min_chars) & (F.length("answer") >= min_chars))
+    n = numbered_turns(turns, conv, turn)
+    ask = n.filter((F.col("role") == "user") & (F.length("text") >= min_chars))
+    reply = n.filter((F.col("role") == "assistant") & (F.length("text") >= min_chars)).select(conv, (F.col("position") - 1).alias("position"), F.col("text").alias("answer"))
+    d = ask.join(reply, [conv, "position"])
     u = F.conv(F.substring(F.md5(F.col(conv).cast("string")), 1, 6), 16, 10).cast("bigint") % 100
     return d.select(conv, turn, F.col("text").alias("prompt"), "answer", F.when(u < int(train_share * 100), "train").otherwise("valid").alias("split"))

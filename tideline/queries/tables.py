@@ -221,7 +221,7 @@ query("graph_orphans", "id", "SELECT c_custkey AS id FROM customer WHERE c_custk
 query("graph_dangling_targets", "source target", "SELECT source, target FROM ed WHERE target NOT IN (SELECT s_suppkey FROM supplier)", _ED)(lambda s, p: X.dangling(M.table(s, p, "supplier").select(F.col("s_suppkey").alias("id")), _edges(s, p)))
 _conv = lambda s, p: M.table(s, p, "conversations")
 _newer = lambda s, p: _conv(s, p).filter("NOT (conv_id % 5 = 0 AND turn >= 2) AND conv_id % 11 <> 3").withColumn("text", F.when((F.col("conv_id") % 7 == 1) & (F.col("turn") == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("conv_id", F.when(F.col("conv_id") % 13 == 4, F.col("conv_id") + 1000000).otherwise(F.col("conv_id")))
-query("conversation_hashes", "conv_id n_turns# content_hash", "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(sha256(role || chr(31) || text), '|' ORDER BY turn)) AS content_hash FROM conversations GROUP BY conv_id")(lambda s, p: X.conversation_hash(_conv(s, p)))
+query("conversation_hashes", "conv_id n_turns# content_hash", "SELECT conv_id, count(*) AS n_turns, sha256(sha256(string_agg(sha256(role || chr(31) || text), '|' ORDER BY turn))) AS content_hash FROM conversations GROUP BY conv_id")(lambda s, p: X.conversation_hash(_conv(s, p)))
 query("conversation_diff", "conv_id status old_turns# new_turns#",
       """WITH nw AS (SELECT CASE WHEN conv_id % 13 = 4 THEN conv_id + 1000000 ELSE conv_id END AS conv_id, turn, role, CASE WHEN conv_id % 7 = 1 AND turn = 0 THEN text || '!' ELSE text END AS text FROM conversations WHERE NOT (conv_id % 5 = 0 AND turn >= 2) AND conv_id % 11 <> 3),
        a AS (SELECT conv_id, list(role || text ORDER BY turn) AS h FROM conversations GROUP BY 1), b AS (SELECT conv_id, list(role || text ORDER BY turn) AS h FROM nw GROUP BY 1)
