@@ -560,3 +560,20 @@ def carry_forward(prior: DataFrame, today: DataFrame, keys: Sequence[str] = ("id
         pos.alias("count_days"),
         (pos < F.col("p_tf_days")).alias("is_partial_end"),
     )
+
+
+def synthetic_closes(daily: DataFrame, tf_days: int, keys: Sequence[str] = ("id",), ts: str = "ts") -> DataFrame:
+    """Closes of full N-row bars built from daily rows when a timeframe has no stored bars."""
+    df = daily.withColumn("_row", Frame(keys, (ts,)).rn())
+    full = df.filter(F.col("_row") % tf_days == 0)
+    return full.select(*keys, F.lit(f"{tf_days}D").alias("tf"), ts, "close", (F.col("_row") / tf_days).cast("int").alias("bar_seq"))
+
+
+def resample_file(spark, source: str, target: str, freq: str, **kw) -> None:
+    """Parquet in, resampled Parquet out."""
+    resample(spark.read.parquet(source), freq, **kw).write.mode("overwrite").parquet(target)
+
+
+def conform(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Add missing columns with their defaults and fill NULLs of the present ones."""
+    return df.withColumns({c: F.coalesce(F.col(c), v) if c in df.columns else v for c, v in defaults.items()})

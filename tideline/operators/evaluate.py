@@ -48,6 +48,11 @@ def annual_return(ret: Col, periods: float = 252.0) -> Column:
     return F.pow(growth(ret), periods / F.nullif(F.count(col(ret)), F.lit(0))) - 1
 
 
+def cagr(equity_first: Col, equity_last: Col, rows: Col, periods: float = 252.0) -> Column:
+    """Compound annual growth between two equity values ``rows`` bars apart."""
+    return F.pow(div(equity_last, equity_first), F.lit(periods) / F.nullif(col(rows), F.lit(0))) - 1
+
+
 def sharpe(ret: Col, periods: float = 252.0, rf: float = 0.0) -> Column:
     return (F.avg(col(ret)) - rf) * math.sqrt(periods) / (F.stddev_samp(col(ret)) + EPS)
 

@@ -206,6 +206,12 @@ def regimes_for_assets(daily: DataFrame, weekly: DataFrame, monthly: DataFrame,
     return resolve_policy(d, ("L2_held", "L1", "L0"))
 
 
+def emas_wide(long: DataFrame, keys: Sequence[str], periods: Sequence[int], price: str = "close", ts: str = "ts") -> DataFrame:
+    """(key, ts, period, ema) rows to one row per key and time with ``{price}_ema_{period}`` columns."""
+    p = long.groupBy(*keys, ts).pivot("period", list(periods)).agg(F.first("ema"))
+    return p.select(*keys, ts, *[F.col(str(n)).alias(f"{price}_ema_{n}") for n in periods])
+
+
 # --- flips -----------------------------------------------------------------------------------------
 def sign_flips(df: DataFrame, f: Frame, sign_col: str, min_separation: int = 1) -> DataFrame:
     """Rows where the sign changes, at least ``min_separation`` rows after the last kept one."""

@@ -275,6 +275,11 @@ def turnover_cost(old: DataFrame, new: DataFrame, by: Sequence[str], fee_bps: fl
         F.count_if(d != 0).alias("n_trades")).withColumn("cost", F.col("turnover") * fee_bps / 1e4)
 
 
+def cumulative_cost(costs: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Running cost over rebalance dates (one row per date and portfolio)."""
+    return costs.withColumn("cum_cost", F.sum("cost").over(Frame(keys, (ts,)).cum))
+
+
 def top_k(df: DataFrame, by: Sequence[str], score: str, k: int, tie: str = "id") -> DataFrame:
     """Top-k rows per group, selected in two steps so that no task ranks a whole group.
 

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tideline.functions.expressions import evaluate
 from tideline.functions.frames import Frame
 from tideline.functions.smoothing import ewm_span
 from tideline.operators import bars as B
@@ -15,6 +16,10 @@ from tideline.operators import evaluate as E
 from tideline.operators import labels as L
 from tideline.operators import ml as ML
 from tideline.operators import quality as Q
+from tideline.operators import regimes as Z
+from tideline.operators import research as RS
+from tideline.operators import signals as SG
+from tideline.operators import stats as S
 from tideline.operators import risk as K
 from tideline.operators import text as X
 from tideline.plans import incremental as P
@@ -191,6 +196,29 @@ query("report_symbol_join", "name n_bars# last_ts", "SELECT n_name AS name, coun
 query("report_table_freshness", "table_name n# newest", "SELECT 'orders' AS table_name, count(*) AS n, max(o_orderdate) AS newest FROM orders UNION ALL SELECT 'lineitem', count(*), max(l_shipdate) FROM lineitem UNION ALL SELECT 'events', count(*), max(ts) FROM events")(
     lambda s, p: M.table(s, p, "orders").agg(F.lit("orders").alias("table_name"), F.count("*").alias("n"), F.max("o_orderdate").alias("newest")).unionByName(M.table(s, p, "lineitem").agg(F.lit("lineitem").alias("table_name"), F.count("*").alias("n"), F.max("l_shipdate").alias("newest"))).unionByName(M.table(s, p, "events").agg(F.lit("events").alias("table_name"), F.count("*").alias("n"), F.max("ts").alias("newest"))))
 
+query("bars_synthetic_closes", "id tf ts bar_seq# close:2", "SELECT id, '6D' AS tf, ts, rn // 6 AS bar_seq, close FROM bars WHERE rn % 6 = 0", NB)(lambda s, p: B.synthetic_closes(_nb(s, p), 6))
+query("regime_emas_wide", "id ts close_ema_5:3 close_ema_20:3", "SELECT id, ts, a AS close_ema_5, b AS close_ema_20 FROM e", NB + ", " + ema_cte("e", "bars", "close", {"a": span(5), "b": span(20)}))(
+    lambda s, p: Z.emas_wide(ewm_span(_nb(s, p), FR, "close", {"a": 5, "b": 20}).select("id", "ts", F.explode(F.array(F.struct(F.lit(5).alias("period"), F.col("a").alias("ema")), F.struct(F.lit(20).alias("period"), F.col("b").alias("ema")))).alias("_i")).select("id", "ts", "_i.*"), ["id"], [5, 20]))
+query("portfolio_cumulative_cost", "pf# ts cost:6 cum_cost:6", "SELECT 1 AS pf, ts, c AS cost, sum(c) OVER (ORDER BY ts) AS cum_cost FROM (SELECT ts, sum(volume) * 10 / 1e4 AS c FROM bars GROUP BY ts)", NB)(
+    lambda s, p: S.cumulative_cost(S.turnover_cost(_nb(s, p).select(F.lit(1).alias("pf"), "ts", "id", F.lit(0.0).alias("weight")), _nb(s, p).select(F.lit(1).alias("pf"), "ts", "id", F.col("volume").alias("weight")), ["pf", "ts"]), ["pf"]))
+
+
+def _strategies(s, p):
+    """Three registered strategies over the same bars: needed columns, signals, positions, metrics."""
+    out = None
+    for name, kw in (("rsi_mean_revert", {"lower": 45, "upper": 55}), ("breakout_atr", {"n": 10}), ("macd_crossover", {})):
+        d = SG.ensure_columns(name, _nb(s, p), FR) if name != "macd_crossover" else _nb(s, p)
+        d = SG.STRATEGIES[name](d, FR, **kw)
+        d = d.withColumn("position", SG.position_from(FR, "entry", "exit")).select("id", "ts", "close", "position", F.lit(name).alias("strategy"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+query("strategy_sweep", "strategy cost_bps:1 n# mean_sharpe:5", None)(
+    lambda s, p: E.sweep(_strategies(s, p), ["strategy", "id"], E.cost_scenarios(s, [0.0, 10.0], [0.0, 5.0])).groupBy("strategy", "cost_bps").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe")))
+query("experiment_expression_ic", "id ic:6 n_obs#", None)(
+    lambda s, p: RS.spearman_windows(evaluate("Mean($close, 5) / Mean($close, 20) - 1", _fx(s, p), FR), ["id"], "factor", "y1"))
+
 # --- text ------------------------------------------------------------------------------------------
 query("text_duplicate_groups", "content_hash size# copies# first_id# wasted#", "SELECT sha256(text) AS content_hash, length(text) AS size, count(*) AS copies, min(doc_id) AS first_id, length(text) * (count(*) - 1) AS wasted FROM documents WHERE length(text) >= 10 GROUP BY 1, 2 HAVING count(*) > 1")(
     lambda s, p: X.duplicate_groups(M.table(s, p, "documents"), min_size=10))
