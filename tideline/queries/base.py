@@ -132,3 +132,12 @@ def ema_cte(name: str, src: str, x: str, outs: dict[str, float], part: str = "id
 
 def span(n: float) -> float:
     return 2.0 / (n + 1.0)
+
+
+def phi(x: str) -> str:
+    """Normal CDF in SQL by its power series (fine for |x| < 8 at six places)."""
+    series = (
+        f"list_sum(list_transform(range(0, 140), lambda k: exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) "
+        f"- lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    )
+    return f"CASE WHEN {x} > 8 THEN 1.0 WHEN {x} < -8 THEN 0.0 ELSE 0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {series} END"

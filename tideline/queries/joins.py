@@ -11,7 +11,7 @@ from tideline.operators import averages as A
 from tideline.operators import bars as B
 from tideline.operators import nulls as N
 from tideline.operators import stats as S
-from tideline.queries.base import NB, TICKS, VB, W, ema_cte, lag, query, ro, span
+from tideline.queries.base import NB, TICKS, VB, W, ema_cte, lag, phi, query, ro, span
 from tideline.queries.features import _nb
 from tideline.sources import market as M
 
@@ -252,7 +252,9 @@ _pw = "(PARTITION BY id_a, id_b ORDER BY ts ROWS 59 PRECEDING)"
 _PC = f"CASE WHEN count(*) OVER {_pw} = 60 THEN covar_samp(a, b) OVER {_pw} / nullif(stddev_samp(a) OVER {_pw} * stddev_samp(b) OVER {_pw}, 0) END"
 query("pairwise_rolling_corr", "id_a id_b ts pearson:5 n_obs#", f"SELECT id_a, id_b, ts, {_PC} AS pearson, CASE WHEN count(*) OVER {_pw} = 60 THEN 60 END AS n_obs FROM pr", NB + ", " + _PR)(
     lambda s, p: S.rolling_pair_corr(S.paired(_ret(s, p), "ret_arith"), 60, spearman=False))
-query("pairwise_rolling_spearman", "id_a id_b ts spearman:5", None)(
+_PSP = """pn AS (SELECT *, row_number() OVER (PARTITION BY id_a, id_b ORDER BY ts) AS n FROM pr), pw AS (SELECT t.id_a, t.id_b, t.ts, s.a, s.b FROM pn t JOIN pn s ON s.id_a = t.id_a AND s.id_b = t.id_b AND s.n BETWEEN t.n - 59 AND t.n WHERE t.n >= 60),
+ ps AS (SELECT id_a, id_b, ts, corr(ra, rb) AS c FROM (SELECT id_a, id_b, ts, rank() OVER (PARTITION BY id_a, id_b, ts ORDER BY a) AS ra, rank() OVER (PARTITION BY id_a, id_b, ts ORDER BY b) AS rb FROM pw) GROUP BY ALL)"""
+query("pairwise_rolling_spearman", "id_a id_b ts spearman:5", "SELECT pr.id_a, pr.id_b, pr.ts, c AS spearman FROM pr LEFT JOIN ps USING (id_a, id_b, ts)", NB + ", " + _PR + ", " + _PSP)(
     lambda s, p: S.rolling_pair_corr(S.paired(_ret(s, p), "ret_arith"), 60))
 query("market_correlation", "ts avg_corr:5 n_pairs# is_high_corr", f"SELECT ts, avg(c) AS avg_corr, count(c) AS n_pairs, coalesce(avg(c) > 0.05, false) AS is_high_corr FROM (SELECT ts, {_PC} AS c FROM pr) GROUP BY ts", NB + ", " + _PR)(
     lambda s, p: S.market_corr(_ret(s, p), "ret_arith", 60, 0.05))
@@ -300,8 +302,8 @@ query("column_profile", "column_name n_rows# n_null# n_distinct# min_value max_v
     lambda s, p: S.column_profile(M.table(s, p, "events"), ["event_id", "user_id", "event_type", "value", "props"]))
 query("time_profile", "bucket n# is_missing",
       "SELECT CAST(g AS TIMESTAMP) AS bucket, coalesce(n, 0) AS n, n IS NULL AS is_missing FROM (SELECT unnest(generate_series((SELECT min(date_trunc('hour', ts)) FROM e), (SELECT max(date_trunc('hour', ts)) FROM e), INTERVAL 1 HOUR)) AS g) LEFT JOIN (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM e GROUP BY 1) ON h = g",
-      "e AS (SELECT * FROM events WHERE user_id % 7 = 0)")(
-    lambda s, p: S.time_profile(M.table(s, p, "events").filter("user_id % 7 = 0"), "ts", "hour").withColumn("bucket", F.col("bucket").cast("timestamp_ntz")))
+      "e AS (SELECT * FROM events)")(
+    lambda s, p: S.time_profile(M.table(s, p, "events"), "ts", "hour").withColumn("bucket", F.col("bucket").cast("timestamp_ntz")))
 query("duplicate_keys", "l_orderkey l_linenumber n#", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")(lambda s, p: S.duplicate_keys(M.table(s, p, "lineitem"), ["l_orderkey", "l_linenumber"]))
 query("free_aggregate", "l_returnflag n# rev:2", "SELECT l_returnflag, count(*) AS n, sum(l_extendedprice) AS rev FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag HAVING count(*) > 10")(
     lambda s, p: S.free_aggregate(M.table(s, p, "lineitem"), "l_returnflag, count(*) AS n, sum(l_extendedprice) AS rev", "l_returnflag", "l_quantity > 10", "count(*) > 10", "l_returnflag"))
@@ -323,8 +325,11 @@ query("turnover_cost", "ts turnover:4 buys:4 sells:4 n_trades# cost:6",
 query("top_k_per_date", "ts id close rank#", "SELECT ts, id, close, rank FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY close DESC, id) AS rank FROM bars) WHERE rank <= 3", NB)(lambda s, p: S.top_k(_nb(s, p), ["ts"], "close", 3))
 query("topk_dropout_holdings", "portfolio# ts id action", None)(
     lambda s, p: S.topk_dropout(_nb(s, p).select(F.lit(1).alias("portfolio"), "ts", "id", F.col("close").alias("score")), ["portfolio"], "ts", 5, 2))
-query("bet_sizing_weights", "ts id scaled:6 final_weight:6", None)(
-    lambda s, p: S.scale_weights(_weights(s, p, 9).withColumns({"prob": F.pmod(F.xxhash64("id", "ts"), F.lit(1000)) / 1000.0, "side": F.when(F.col("id") % 2 == 0, 1).otherwise(-1)}), ["ts"], 2.0, 0.2))
+_BS = f"""bs AS (SELECT ts, id, rn % 5 / 10.0 AS w, ({phi('z')}) AS ph, sd FROM (SELECT *, ((rn * 37 + id) % 97 / 97.0 - 0.5) * 2 AS z, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS sd FROM bars)),
+ bz AS (SELECT *, CASE WHEN abs(sd * (2 * ph - 1)) >= 0.2 THEN w * sd * (2 * ph - 1) ELSE 0 END AS scaled FROM bs)"""
+query("bet_sizing_weights", "ts id scaled:6 final_weight:6",
+      "SELECT ts, id, scaled, coalesce(scaled * sum(abs(w)) OVER (PARTITION BY ts) / nullif(sum(abs(scaled)) OVER (PARTITION BY ts), 0), 0) AS final_weight FROM bz", NB + ", " + _BS)(
+    lambda s, p: S.scale_weights(_nb(s, p).withColumn("rn", Frame().rn()).select("ts", "id", (F.col("rn") % 5 / 10.0).alias("weight"), ((F.col("rn") * 37 + F.col("id")) % 97 / 97.0).alias("prob"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("side")), ["ts"], 2.0, 0.2))
 _SG = f"sg AS (SELECT id, ts, 'mom' AS signal, close / {lag('close', 5)} - 1 AS score, 0.6 AS w FROM bars UNION ALL SELECT id, ts, 'vol', volume / 10, -0.4 FROM bars)"
 
 

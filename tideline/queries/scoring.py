@@ -11,7 +11,7 @@ from tideline.operators import labels as L
 from tideline.operators import micro as K
 from tideline.operators import research as Q
 from tideline.operators import stats as S
-from tideline.queries.base import NB, W, ema_cte, lag, lead, query, ro, span
+from tideline.queries.base import NB, W, ema_cte, lag, lead, phi, query, ro, span
 from tideline.queries.features import _nb
 from tideline.queries.joins import TRADES, _trades
 from tideline.sources import market as M
@@ -49,7 +49,8 @@ query("eval_funding_adjusted_equity", "id ts cum_funding:6 adj_equity:5", f"SELE
     lambda s, p: E.funding_adjusted_equity(E.with_equity(_strat(s, p), FR, "strat_ret").withColumn("payment", -F.coalesce(FR.lag("position"), F.lit(0)) * 0.001), FR))
 query("eval_psr", "id n# sr:6 skew:5 kurt:5", "SELECT id, count(*) AS n, avg(strat_ret) / stddev_samp(strat_ret) AS sr, (sum(pow(strat_ret - m, 3)) / count(*)) / pow(var_pop(strat_ret), 1.5) AS skew, (sum(pow(strat_ret - m, 4)) / count(*)) / pow(var_pop(strat_ret), 2) AS kurt FROM (SELECT *, avg(strat_ret) OVER (PARTITION BY id) AS m FROM st) GROUP BY id", NB + ", " + _SR)(
     lambda s, p: E.psr(_strat(s, p), ["id"], "strat_ret"))
-query("eval_psr_probability", "id psr:6", None)(lambda s, p: E.psr(_strat(s, p), ["id"], "strat_ret"))
+_MOM = "mo AS (SELECT id, count(*) AS n, avg(strat_ret) AS m0, stddev_samp(strat_ret) AS sd, avg(strat_ret) / stddev_samp(strat_ret) AS sr, (sum(pow(strat_ret - m, 3)) / count(*)) / pow(var_pop(strat_ret), 1.5) AS sk, (sum(pow(strat_ret - m, 4)) / count(*)) / pow(var_pop(strat_ret), 2) AS ku FROM (SELECT *, avg(strat_ret) OVER (PARTITION BY id) AS m FROM st) GROUP BY id)"
+query("eval_psr_probability", "id psr:6", f"SELECT id, {phi('z')} AS psr FROM (SELECT id, sr / sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1)) AS z FROM mo)", NB + ", " + _SR + ", " + _MOM)(lambda s, p: E.psr(_strat(s, p), ["id"], "strat_ret"))
 query("eval_deflated_sharpe", "id sr:6 sr_max:6 n_trials# dsr:6", None)(lambda s, p: E.deflated(_strat(s, p), [], "id", "strat_ret"))
 query("eval_min_track_record", "id sr:6 min_obs:3 min_days#",
       """SELECT id, sr, CASE WHEN sr > -0.05 THEN pow(1.6448536269514722 * sqrt(CASE WHEN v > 0 THEN v ELSE 1 + sr * sr / 2 END) / (sr + 0.05), 2) + 1 END AS min_obs, CASE WHEN sr > -0.05 THEN round(ceil(pow(1.6448536269514722 * sqrt(CASE WHEN v > 0 THEN v ELSE 1 + sr * sr / 2 END) / (sr + 0.05), 2) + 1) / 365 * 365) END AS min_days FROM (
@@ -58,7 +59,9 @@ query("eval_min_track_record", "id sr:6 min_obs:3 min_days#",
 query("eval_var_suite", "id var_hist:6 var_normal:6 cvar_hist:6 n#",
       "SELECT x.id, v AS var_hist, m - 1.6448536269514729 * sd AS var_normal, avg(strat_ret) AS cvar_hist, max(n) AS n FROM st x JOIN (SELECT id, quantile_cont(strat_ret, 0.05) AS v, avg(strat_ret) AS m, stddev_samp(strat_ret) AS sd, count(*) AS n FROM st GROUP BY id) q ON q.id = x.id AND x.strat_ret <= q.v GROUP BY x.id, v, m, sd", NB + ", " + _SR)(
     lambda s, p: E.var_suite(_strat(s, p), ["id"], "strat_ret"))
-query("eval_var_cornish_fisher", "id var_cf:6", None)(lambda s, p: E.var_suite(_strat(s, p), ["id"], "strat_ret"))
+_Z5 = -1.6448536269514729
+query("eval_var_cornish_fisher", "id var_cf:6",
+      f"SELECT id, CASE WHEN abs(ku - 3) > 8 THEN v ELSE m0 + sd * ({_Z5} + ({_Z5**2 - 1}) * sk / 6 + ({_Z5**3 - 3 * _Z5}) * (ku - 3) / 24 - ({2 * _Z5**3 - 5 * _Z5}) * sk * sk / 36) END AS var_cf FROM mo JOIN (SELECT id, quantile_cont(strat_ret, 0.05) AS v FROM st GROUP BY id) USING (id)", NB + ", " + _SR + ", " + _MOM)(lambda s, p: E.var_suite(_strat(s, p), ["id"], "strat_ret"))
 query("eval_daily_cap", "g# daily_cap:6", "SELECT 1 AS g, least(median(abs(v)), 0.15) AS daily_cap FROM (SELECT id, quantile_cont(strat_ret, 0.05) AS v FROM st GROUP BY id)", NB + ", " + _SR)(
     lambda s, p: E.daily_cap(E.var_suite(_strat(s, p), ["id"], "strat_ret").withColumn("g", F.lit(1)), ["g"]))
 query("eval_worst_days", "id worst_1:6 worst_3:6 worst_10:6", "SELECT id, avg(strat_ret) FILTER (k <= 1) AS worst_1, avg(strat_ret) FILTER (k <= 3) AS worst_3, avg(strat_ret) FILTER (k <= 10) AS worst_10 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY strat_ret) AS k FROM st) GROUP BY id", NB + ", " + _SR)(
@@ -182,7 +185,8 @@ def _ic_sql(src, by, x, y, need=20):
 query("research_ic", "id ic:6 n_obs# t_stat:5", _ic_sql("fx", "id", "mom", "y1"), NB + ", " + _F)(lambda s, p: Q.spearman(_fx(s, p), ["id"], "mom", "y1"))
 _ICT = " UNION ALL ".join(_ic_sql(f"(SELECT *, '{c}' AS feature, {h} AS horizon FROM fx WHERE ts BETWEEN '1995-06-01' AND '2000-12-31' AND ts + INTERVAL {h} DAY <= '2000-12-31')", "id, feature, horizon", c, f"y{h}") for c in ("mom", "vol") for h in (1, 5))
 query("research_ic_table", "id feature horizon# ic:6 n_obs# t_stat:5", _ICT, NB + ", " + _F)(lambda s, p: Q.ic_table(_fx(s, p), FR, ["mom", "vol"], [1, 5], ("1995-06-01", "2000-12-31")))
-query("research_ic_p_values", "id feature p_value:6", None)(lambda s, p: Q.ic_table(_fx(s, p), FR, ["mom", "vol"], [1], ("1995-06-01", "2000-12-31")))
+query("research_ic_p_values", "id feature horizon# p_value:6", f"SELECT id, feature, horizon, 2 * ({phi('-abs(t_stat)')}) AS p_value FROM ({_ICT})", NB + ", " + _F)(
+    lambda s, p: Q.ic_table(_fx(s, p), FR, ["mom", "vol"], [1, 5], ("1995-06-01", "2000-12-31")))
 query("research_ic_by_regime", "id busy ic:6 n_obs#", _ic_sql("(SELECT *, volume > 1 AS busy FROM fx)", "id, busy", "mom", "y5"), NB + ", " + _F)(lambda s, p: Q.spearman_windows(_fx(s, p).withColumn("busy", F.col("volume") > 1), ["id", "busy"], "mom", "y5"))
 _WR = lambda x: f"CASE WHEN count(s.{x}) = 30 AND t.{x} IS NOT NULL THEN count(CASE WHEN s.{x} < t.{x} THEN 1 END) + (count(CASE WHEN s.{x} = t.{x} THEN 1 END) + 1) / 2.0 END"
 _RI = f"""wr AS (SELECT t.id, t.ts, {_WR('mom')} AS a, {_WR('y1')} AS b FROM fx t JOIN fx s ON s.id = t.id AND s.rn BETWEEN t.rn - 29 AND t.rn GROUP BY t.id, t.ts, t.mom, t.y1),
@@ -190,7 +194,9 @@ _RI = f"""wr AS (SELECT t.id, t.ts, {_WR('mom')} AS a, {_WR('y1')} AS b FROM fx
 query("research_rolling_ic", "id ts rolling_ic:5", "SELECT * FROM ri", NB + ", " + _F + ", " + _RI)(lambda s, p: Q.rolling_ic(_fx(s, p), FR, "mom", "y1", 30))
 query("research_ic_ir", "id ic_mean:6 ic_ir:5 ic_ir_t:4 n_ic#", "SELECT id, avg(rolling_ic) AS ic_mean, avg(rolling_ic) / stddev_samp(rolling_ic) AS ic_ir, avg(rolling_ic) * sqrt(count(*)) / stddev_samp(rolling_ic) AS ic_ir_t, count(*) AS n_ic FROM ri WHERE rolling_ic IS NOT NULL GROUP BY id", NB + ", " + _F + ", " + _RI)(
     lambda s, p: Q.ic_ir(Q.rolling_ic(_fx(s, p), FR, "mom", "y1", 30), ["id"]))
-query("research_rolling_spearman", "id ts rolling_spearman:6", None)(lambda s, p: Q.rolling_spearman(_fx(s, p), FR, "mom", "y1", 30))
+_RSP = """rw AS (SELECT t.id, t.ts, s.mom AS a, s.y1 AS b FROM fx t JOIN fx s ON s.id = t.id AND s.rn BETWEEN t.rn - 29 AND t.rn WHERE s.mom IS NOT NULL AND s.y1 IS NOT NULL),
+ rr AS (SELECT id, ts, count(*) AS n, covar_samp(ra, rb) / nullif(stddev_samp(ra) * stddev_samp(rb), 0) AS c FROM (SELECT id, ts, rank() OVER (PARTITION BY id, ts ORDER BY a) + (count(*) OVER (PARTITION BY id, ts, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY id, ts ORDER BY b) + (count(*) OVER (PARTITION BY id, ts, b) - 1) / 2.0 AS rb FROM rw) GROUP BY id, ts)"""
+query("research_rolling_spearman", "id ts rolling_spearman:6", "SELECT fx.id, fx.ts, CASE WHEN n = 30 THEN c END AS rolling_spearman FROM fx LEFT JOIN rr USING (id, ts)", NB + ", " + _F + ", " + _RSP)(lambda s, p: Q.rolling_spearman(_fx(s, p), FR, "mom", "y1", 30))
 query("research_feature_turnover", "id turnover:6", f"SELECT id, 1 - ic AS turnover FROM ({_ic_sql(f'(SELECT *, {lag(chr(109) + chr(111) + chr(109))} AS pm FROM fx WHERE mom IS NOT NULL)', 'id', 'pm', 'mom', 2)})", NB + ", " + _F)(lambda s, p: Q.feature_turnover(_fx(s, p), FR, "mom"))
 _QT = """qt AS (SELECT ts, avg(y1) FILTER (q = 1) AS q1, avg(y1) FILTER (q = 2) AS q2, avg(y1) FILTER (q = 3) AS q3, avg(y1) FILTER (q = 4) AS q4, avg(y1) FILTER (q = 5) AS q5 FROM (SELECT *, greatest(ceil(5.0 * (k - 1) / (n - 1)), 1) AS q FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY mom, id) AS k, count(*) OVER (PARTITION BY ts) AS n FROM fx WHERE mom IS NOT NULL)) WHERE n >= 6 AND y1 IS NOT NULL GROUP BY ts HAVING count(DISTINCT q) = 5)"""
 query("research_quintiles", "ts q1:6 q3:6 q5:6", "SELECT * FROM qt", NB + ", " + _F + ", " + _QT)(lambda s, p: Q.quintile_returns(_fx(s, p), FR, "mom", 1, 6))

@@ -25,7 +25,7 @@ from tideline.operators import text as X
 from tideline.plans import incremental as P
 from tideline.queries.base import NB, TICKS, VB, W, ema_cte, lag, query, ro, span
 from tideline.queries.features import _nb
-from tideline.queries.scoring import _fx
+from tideline.queries.scoring import _F, _fx, _ic_sql
 from tideline.session import checkpoint_dir
 from tideline.sources import market as M
 from tideline.sources import vendor as V
@@ -216,7 +216,7 @@ def _strategies(s, p):
 
 query("strategy_sweep", "strategy cost_bps:1 n# mean_sharpe:5", None)(
     lambda s, p: E.sweep(_strategies(s, p), ["strategy", "id"], E.cost_scenarios(s, [0.0, 10.0], [0.0, 5.0])).groupBy("strategy", "cost_bps").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe")))
-query("experiment_expression_ic", "id ic:6 n_obs#", None)(
+query("experiment_expression_ic", "id ic:6 n_obs#", _ic_sql(f"(SELECT *, {ro('avg', 'close', 5, 1)} / {ro('avg', 'close', 20, 1)} - 1 AS fc FROM fx)", "id", "fc", "y1"), NB + ", " + _F)(
     lambda s, p: RS.spearman_windows(evaluate("Mean($close, 5) / Mean($close, 20) - 1", _fx(s, p), FR), ["id"], "factor", "y1"))
 
 # --- text ------------------------------------------------------------------------------------------
@@ -239,7 +239,9 @@ def _centroids(s, p):
 query("vector_top_matches", "query_id vec_id similarity:6 rank#",
       "SELECT query_id, vec_id, sim AS similarity, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS k FROM (SELECT query_id, vec_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS sim FROM cen CROSS JOIN embeddings WHERE list_cosine_similarity(q, embedding::DOUBLE[]) >= 0.1)) WHERE k <= 5", _CENT)(
     lambda s, p: X.top_matches(_centroids(s, p), M.table(s, p, "embeddings"), 5, 0.1))
-query("vector_conflicts", "id_a id_b similarity:5", None)(lambda s, p: X.conflicts(M.table(s, p, "embeddings"), 0.6))
+query("vector_conflicts", "id_a id_b similarity:5",
+      "SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45")(
+    lambda s, p: X.conflicts(M.table(s, p, "embeddings"), 0.45, bits=4, tables=64))
 query("text_age_buckets", "kind bucket n# n_stale# share:6", "SELECT *, n / sum(n) OVER (PARTITION BY kind) AS share FROM (SELECT event_type AS kind, CASE WHEN a < 30 THEN '0-30' WHEN a < 60 THEN '30-60' WHEN a < 90 THEN '60-90' ELSE '90+' END AS bucket, count(*) AS n, count(*) FILTER (a >= 45) AS n_stale FROM (SELECT event_type, date_diff('day', ts, TIMESTAMP '2024-03-05') AS a FROM events) GROUP BY 1, 2)")(
     lambda s, p: X.age_buckets(M.event_ticks(s, p), "ts", F.lit("2024-03-05").cast("date"), 45, ["kind"]))
 _edges = lambda s, p: M.table(s, p, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 120 + 10).alias("target")).distinct()
