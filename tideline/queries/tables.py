@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -57,7 +57,7 @@ query("source_keep_lowest_rank", "id venue_id price:2", "SELECT id, venue_id, ar
 
 def _csv_round_trip(s, p):
     """Write daily bars as semicolon text and read them back typed."""
-    folder = tempfile.mkdtemp(prefix="tideline-csv-", dir=checkpoint_dir(s).replace("file:", "") if checkpoint_dir(s).startswith(("/", "file:/")) else None)
+    folder = f"{checkpoint_dir(s).rstrip('/')}/tideline-csv-{uuid.uuid4().hex}"
     d = _nb(s, p).select(F.col("ts").cast("string").alias("timeOpen"), F.col("ts").cast("string").alias("timeClose"), F.lit("bad").alias("timeHigh"), F.lit("").alias("timeLow"), F.col("id").cast("string").alias("name"),
                          *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close")], F.lit("n/a").alias("volume"), F.lit(None).cast("string").alias("marketCap"), F.col("ts").cast("string").alias("timestamp"))
     d.write.mode("overwrite").option("sep", ";").option("header", True).csv(folder + "/x")
