@@ -29,7 +29,7 @@ query("regime_trend", "id ts trend",
 _VB = f"""va AS (SELECT *, {ro('avg', 'mv', 14)} AS a FROM (SELECT *, abs(close / {lag('close')} - 1) AS mv FROM bars)),
  vr AS (SELECT t.id, t.ts, t.rn, t.a, count(CASE WHEN s.a < t.a THEN 1 END) + (count(CASE WHEN s.a = t.a THEN 1 END) + 1) / 2.0 AS r, count(s.a) AS c FROM va t JOIN va s ON s.id = t.id AND s.rn BETWEEN t.rn - 99 AND t.rn GROUP BY ALL)"""
 query("regime_vol_bucket", "id ts vol vol_lite",
-      """SELECT id, ts, CASE WHEN a IS NULL OR c < 33 THEN NULL WHEN 100 * r / least(rn, 100) < 33 THEN 'Low' WHEN 100 * r / least(rn, 100) < 67 THEN 'Normal' ELSE 'High' END AS vol,
+      """SELECT id, ts, CASE WHEN a IS NULL THEN NULL WHEN max(rn) OVER (PARTITION BY id) < 100 THEN CASE WHEN a < 0.015 THEN 'Low' WHEN a > 0.04 THEN 'High' ELSE 'Normal' END WHEN c < 33 THEN NULL WHEN 100 * r / least(rn, 100) < 33 THEN 'Low' WHEN 100 * r / least(rn, 100) < 67 THEN 'Normal' ELSE 'High' END AS vol,
        CASE WHEN a < 1.0 THEN 'Low' WHEN a > 2.0 THEN 'High' WHEN a IS NOT NULL THEN 'Normal' END AS vol_lite FROM vr""", NB + ", " + _VB,
       )(lambda s, p: Z.with_vol_bucket(Z.with_vol_bucket(_nb(s, p), FR), FR, mode="lite", low=1.0, high=2.0, out="vol_lite"))
 query("regime_liquidity_bucket", "id ts liq",
