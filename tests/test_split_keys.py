@@ -63,3 +63,40 @@ def test_asof_matches_pandas(spark, hot):
     want = pd.merge_asof(left.sort_values("sec"), right.sort_values("sec"), on="sec", by="id").sort_values("tie").v.to_numpy()
     got = J.asof_join(df.filter("tie % 3 = 0").select("id", "ts", "tie"), df.filter("tie % 5 = 1").groupBy("id", "ts").agg(F.max("x").alias("v")), ["id"], "ts", ["v"]).toPandas().sort_values("tie").v.to_numpy()
     np.testing.assert_allclose(got.astype(float), want)
+
+
+def test_split_percentiles_equal_numpy(spark, hot):
+    pdf, df = hot
+    got = {r.id: r for r in S.percentiles(df, ["id"], "x", {"lo": 0.05, "mid": 0.5, "hi": 0.97}, splits=8).collect()}
+    for i, g in pdf.groupby("id"):
+        np.testing.assert_allclose([got[i].lo, got[i].mid, got[i].hi], np.percentile(g.x, [5, 50, 97]), rtol=1e-12)
+
+
+def test_fdr_equals_step_up_loop(spark):
+    from tideline.operators.research import fdr
+
+    rng = np.random.default_rng(9)
+    p = np.round(np.concatenate([rng.random(300), rng.random(60) * 0.01]), 3)
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(p)), "p_value": p}))
+    got = fdr(df, alpha=0.05, block=32).toPandas().sort_values("k").p_adj.to_numpy()
+    order = np.argsort(p, kind="stable")
+    q = p[order] * len(p) / np.arange(1, len(p) + 1)
+    q = np.minimum(np.minimum.accumulate(q[::-1])[::-1], 1.0)
+    want = np.empty(len(p))
+    want[order] = q
+    np.testing.assert_allclose(got, want, rtol=1e-12)
+
+
+def test_long_conversation_diff(spark):
+    from tideline.operators.text import conversation_diff
+
+    n = 9000
+    old = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "concat('t', id) AS text")
+    more = spark.range(n + 5).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "concat('t', id) AS text")
+    edit = old.withColumn("text", F.when(F.col("turn") == 8000, "x").otherwise(F.col("text")))
+    status = lambda a, b: conversation_diff(a, b).first().status
+    assert status(old, old) == "same"
+    assert status(old, more) == "appended"
+    assert status(more, old) == "truncated"
+    assert status(old, edit) == "edited"
+    assert status(old, old.filter("turn < 0")) == "removed"

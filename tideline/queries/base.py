@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.session import prepare
+
 Program = Callable[[SparkSession, str], DataFrame]
 
 
@@ -70,7 +72,12 @@ def query(name: str, spec: str, sql: str | None = None, ctes: str = "") -> Calla
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
         text = None if sql is None else project_sql(sql, spec, ctes)
-        REGISTRY[name] = Query(lambda spark, sf: project(fn(spark, sf), spec), text)
+
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            prepare(spark)
+            return project(fn(spark, sf), spec)
+
+        REGISTRY[name] = Query(run, text)
         return fn
 
     return add

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -41,3 +43,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tideline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def prepare(spark: SparkSession) -> None:
+    """Pin UTC and ship the package to the Python workers, once per context.
+
+    The archive is written on the driver and served to the executors by Spark.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    sc = spark.sparkContext
+    if getattr(sc, "_tideline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    fd, archive = tempfile.mkstemp(prefix="tideline-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._tideline_shipped = True
