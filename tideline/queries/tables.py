@@ -83,7 +83,7 @@ query("state_table", "id min_ts max_ts last_canonical_ts n_rows# last_close:2",
     lambda s, p: P.state_from(_nb(s, p).withColumn("rn", FR.rn()), ["id"], canonical=F.col("rn") % 7 == 0, values=["close"]))
 query("state_dirty_starts", "id dirty_from", "SELECT id, CASE WHEN id % 4 = 0 THEN TIMESTAMP '1990-01-01' ELSE max(ts) FILTER (rn <= 300 - id) END AS dirty_from FROM bars GROUP BY id", NB)(
     lambda s, p: P.dirty_starts(P.state_from(_cut(s, p).filter("id % 4 <> 0"), ["id"]), _nb(s, p), "id", F.lit("1990-01-01").cast("timestamp_ntz")))
-query("state_changed_keys", "id source_ts state_ts", "SELECT id, max(ts) AS source_ts, max(ts) FILTER (id % 2 = 0 OR rn <= 100) AS state_ts FROM bars GROUP BY id HAVING id % 2 = 1", NB)(
+query("state_changed_keys", "id source_ts state_ts", "SELECT id, max(ts) AS source_ts, max(ts) FILTER (id % 2 = 0 OR rn <= 100) AS state_ts FROM bars GROUP BY id HAVING id % 2 = 1 AND count(*) > 100", NB)(
     lambda s, p: P.changed_keys(_nb(s, p), P.state_from(_nb(s, p).withColumn("rn", FR.rn()).filter("id % 2 = 0 OR rn <= 100"), ["id"]), ["id"]))
 query("state_up_to_date", "id is_current n_scopes#", "SELECT id, bool_and(id % 3 <> 0 OR venue_id <> 2) AS is_current, count(*) AS n_scopes FROM (SELECT DISTINCT id, venue_id FROM vbars) GROUP BY id", VB)(
     lambda s, p: (lambda v: P.up_to_date(v, P.state_from(v.filter("id % 3 <> 0 OR venue_id <> 2"), ["id", "venue_id"]), ["id"], ["venue_id"]))(M.nation_venue_bars(s, p)))
