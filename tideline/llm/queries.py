@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, token_counts
+from tideline.llm import chat, decontaminate, simhash, token_counts
 from tideline.llm.common import prepare, table
 
 Program = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@register
+def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_components(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @register
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
