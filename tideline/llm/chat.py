@@ -92,11 +92,11 @@ def ranked_leaves(nodes: DataFrame, branches: int = 1) -> tuple[DataFrame, DataF
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(conv, rank, node, depth) of every message on the best root-to-leaf paths, root at depth 1."""
     best, state, jumps = ranked_leaves(nodes, branches)
-    on = best
+    on = scratch(best)
     for jump in reversed(jumps):  # halves first: after the step of size 1 every ancestor is in
         j = jump.select(F.col("conv").alias("c"), F.col("node").alias("n"), "up")
         higher = on.join(j, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select("conv", F.col("up").alias("node"), "rank")
-        on = on.union(higher)
+        on = scratch(on.union(higher))
     on = on.distinct()
     s = state.select(F.col("conv").alias("c"), F.col("node").alias("n"), "depth")
     return on.join(s, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select("conv", "rank", "node", "depth")
@@ -108,6 +108,7 @@ def format_turns(turns: DataFrame, *, branches: int = 1, assistant: str = "assis
     Character positions loss_from..loss_to of ``part`` are under the loss mask (an assistant's text; else both null).
     """
     score = F.col("score") if "score" in turns.columns else F.lit(0.0)
+    turns = scratch(turns)
     nodes = turns.select(F.col("conv_id").alias("conv"), "node", "parent", score.alias("score"))
     path = chosen_paths(nodes, branches)
     t = turns.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), escape_role(F.col("role")).alias("r"), escape_text(F.col("text")).alias("x"), F.coalesce(F.col("role") == assistant, F.lit(False)).alias("own"))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, simhash, token_counts
-from tideline.llm.common import prepare, table
+from tideline.llm import chat, decontaminate, langid, simhash, token_counts, toxicity
+from tideline.llm.common import id_remainder, prepare, table
 
 Program = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Program] = {}
@@ -50,6 +50,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)"""
 
 
+@register
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_remainder(F.col("doc_id"), 5) == 0)
+    profiles = langid.learn(docs.where("not held_out"), F.col("text"), F.col("lang"))
+    found = docs.select("doc_id", "held_out", langid.predict(docs, F.col("text"), profiles).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
 @register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -61,6 +69,14 @@ def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, where=id_remainder(F.col("doc_id"), 5) != 0)
+    scored = docs.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(docs, F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @register
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
