@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features: words, their first STEM bytes, pairs of neighbours, and pairs with one word between, hashed to 2^20 coordinates;
+Features: words, their beginnings of STEMS bytes, pairs of neighbours, and pairs with one word between, hashed to 2^20 coordinates;
 each counts once a text. Training is one task's online pass over at most ``sample`` labelled texts (those with the smallest
 id hash; ``epochs`` passes), with a learning rate for each coordinate and L1 sparsity; the few weights that are not zero are
 broadcast (at most 2^20 floats). Scoring covers every row.
@@ -25,7 +25,7 @@ from tideline.llm.common import word_bytes
 
 BITS = 20
 SAMPLE = 20_000
-STEM = 4
+STEMS = (4, 7)
 
 
 def spread(h: np.ndarray, kind: int) -> np.ndarray:
@@ -36,9 +36,9 @@ def features(text: str | None) -> np.ndarray:
     """Different coordinates of a text, sorted."""
     words = word_bytes(text)
     h = np.fromiter(map(crc32, words), np.uint32, len(words))
-    stem = np.fromiter((crc32(w[:STEM]) for w in words), np.uint32, len(words))
+    stems = [spread(np.fromiter((crc32(w[:n]) for w in words if len(w) > n), np.uint32), 4 + k) for k, n in enumerate(STEMS)]
     pair, skip = h[:-1] * np.uint32(31) + h[1:], h[:-2] * np.uint32(37) + h[2:]
-    return np.unique(np.concatenate((spread(h, 1), spread(stem, 2), spread(pair, 3), spread(skip, 4)))).astype(np.int32)
+    return np.unique(np.concatenate((spread(h, 1), spread(pair, 2), spread(skip, 3), *stems))).astype(np.int32)
 
 
 class Ftrl:
@@ -63,7 +63,7 @@ class Ftrl:
         return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, sample: int = SAMPLE, epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, sample: int = SAMPLE, epochs: int = 5, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights (coordinate 2^20: intercept). ``where``: which label rows may teach."""
     known = labels.where(where) if where is not None else labels
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
