@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, langid, simhash, token_counts, toxicity
+from tideline.llm import chat, decontaminate, langid, licenses, simhash, token_counts, toxicity
 from tideline.llm.common import id_remainder, prepare, table
 
 Program = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,19 @@ def register(fn: Program) -> Program:
     return run
 
 
+@register
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", licenses.scan_licenses(docs, F.col("text")).alias("s")).select("doc_id", "s.*")
+    names = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(c)))
+    base, spans = F.col("base.label"), F.col("spans.label")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.first").alias("first_word"), F.array_max("base.first").alias("last_word"),
+        names(base).alias("base_labels"), names(F.concat(base, spans)).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.share"), F.lit(0.0))).alias("score"),
+    )
+
+
 @register
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
