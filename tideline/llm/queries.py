@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, decontaminate, langid, licenses, simhash, token_counts, toxicity
+from tideline.llm import ann, chat, decontaminate, langid, licenses, simhash, token_counts, toxicity
 from tideline.llm.common import id_remainder, prepare, table
 
 Program = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def register(fn: Program) -> Program:
     return run
 
 
+@register
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @register
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
