@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import ann, chat, decontaminate, langid, licenses, pieces, simhash, token_counts, toxicity
+from tideline.llm import ann, chat, decontaminate, langid, licenses, lm, pieces, simhash, token_counts, toxicity
 from tideline.llm.common import id_remainder, prepare, table
 
 Program = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), held_out=id_remainder(F.col("doc_id"), 7) == 2)
+
+
 @register
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
