@@ -6,8 +6,8 @@ id hash; ``epochs`` passes), with a learning rate for each coordinate and L1 spa
 broadcast (at most 2^20 floats). Scoring covers every row.
 
 Null text counts as empty; its score is the intercept's. Null labels teach nothing, a text with several labels is
-toxic if one says so. Without labels every score is 0.5 and nothing is predicted toxic (``fit`` then returns a negative
-intercept just below it).
+toxic if one says so. Unless texts of both labels are found nothing is learned: every score is then just below 0.5, and
+nothing is predicted toxic.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for _ in range(epochs - 1 if seen else 0):
             for i, y in seen:
                 model.learn(i, y)
-        if seen:
+        if len({y for _, y in seen}) == 2:
             w = model.weights(np.arange((1 << BITS) + 1))
             i = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(w[i])], schema=schema)
