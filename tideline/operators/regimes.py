@@ -96,59 +96,82 @@ def proxy_caps(df: DataFrame, market: DataFrame, ts: str = "ts") -> DataFrame:
     return out.withColumns({"gross_cap_proxy": cap, "size_mult_proxy": size}).drop("_mk")
 
 
-# Policy per regime pattern, in match order (pattern, size multiple, stop multiple, gross cap).
-POLICIES: tuple[tuple[str, float, float, float], ...] = (
-    ("Up-Low-", 1.0, 1.25, 1.0),
-    ("Up-Normal-", 1.0, 1.5, 1.0),
-    ("Up-High-", 0.75, 1.75, 1.0),
-    ("Sideways-Low-", 0.70, 1.25, 1.0),
-    ("Sideways-High-", 0.40, 2.00, 1.0),
-    ("Down-", 0.60, 1.60, 1.0),
-    ("-Stressed", 0.60, 1.25, 1.0),
-)
-MACRO_POLICIES: tuple[tuple[str, float, float, float], ...] = (
-    ("*-Strongly_Contracting-RiskOff-*", 0.30, 2.00, 0.40),
-    ("*-Contracting-RiskOff-*", 0.50, 1.80, 0.50),
-    ("Hiking-*-RiskOff-*", 0.55, 1.75, 0.55),
-    ("*-RiskOff-*", 0.60, 1.70, 0.60),
-    ("*-Unwind", 0.65, 1.65, 0.65),
-    ("*-Strongly_Contracting-*", 0.65, 1.60, 0.65),
-    ("*-Contracting-*", 0.80, 1.50, 0.80),
+# Pattern -> size multiple, stop multiple, gross cap, order style, setups, pyramids (None: not stated).
+# The first entry that matches counts. A pattern with * is a glob; any other matches a key that holds all its tokens.
+Policy = tuple[str, float, float, float | None, str | None, tuple[str, ...] | None, bool | None]
+POLICIES: tuple[Policy, ...] = (
+    ("Up-Normal-Normal", 1.00, 1.50, None, "mixed", ("breakout", "pullback"), None),
+    ("Up-Low-", 1.10, 1.25, None, "mixed", ("breakout", "pullback"), None),
+    ("Up-High-", 0.75, 1.75, None, "conservative", ("pullback",), None),
+    ("Sideways-Low-", 0.70, 1.25, None, "passive", ("mean_revert",), None),
+    ("Sideways-High-", 0.40, 2.00, None, "passive", ("stand_down", "mean_revert"), None),
+    ("Down-", 0.60, 1.60, None, "mixed", ("short_rallies", "hedge"), None),
+    ("-Stressed", 0.60, 1.25, None, "passive", None, None),
+    ("*-Strongly_Contracting-RiskOff-*", 0.30, 2.00, 0.40, "passive", ("stand_down", "hedge"), False),
+    ("*-Contracting-RiskOff-*", 0.50, 1.80, 0.50, "conservative", ("hedge",), False),
+    ("Hiking-*-RiskOff-*", 0.55, 1.75, 0.55, "conservative", ("hedge",), False),
+    ("*-RiskOff-*", 0.60, 1.70, 0.60, "conservative", ("pullback", "hedge"), None),
+    ("*-Unwind", 0.65, 1.65, 0.65, "conservative", None, None),
+    ("*-Strongly_Contracting-*", 0.65, 1.60, 0.65, None, None, None),
+    ("*-Contracting-*", 0.80, 1.50, 0.80, None, None, None),
+    ("Unknown*", 1.0, 1.5, 1.0, None, None, None),
 )
+UNMATCHED: Policy = ("", 0.8, 1.5, None, "mixed", ("pullback",), None)
+NEUTRAL_SIZE, NEUTRAL_STOP, NEUTRAL_CAP, NEUTRAL_ORDERS = 1.0, 1.5, 1.0, "mixed"
 
 
-def policy(key: Col, table: Sequence[tuple[str, float, float, float]] = POLICIES) -> Column:
-    """struct(size_mult, stop_mult, gross_cap) of the first matching pattern; neutral when none does."""
+def policy(key: Col, table: Sequence[Policy] = POLICIES, unmatched: Policy = UNMATCHED) -> Column:
+    """struct(size_mult, stop_mult, gross_cap, orders, setups, pyramids) of the first matching pattern."""
     k = F.coalesce(col(key), F.lit(""))
+
+    def entry(p: Policy) -> Column:
+        setups = F.lit(None).cast("array<string>") if p[5] is None else F.array(*[F.lit(x) for x in p[5]])
+        return F.struct(
+            F.lit(p[1]).alias("size_mult"), F.lit(p[2]).alias("stop_mult"), F.lit(p[3]).cast("double").alias("gross_cap"),
+            F.lit(p[4]).cast("string").alias("orders"), setups.alias("setups"), F.lit(p[6]).cast("boolean").alias("pyramids"))
+
     chain: Column | None = None
-    for pattern, size, stop, cap in table:
-        if "*" in pattern:
-            hit = k.like(pattern.replace("_", "\\_").replace("*", "%"))
-        elif pattern.startswith("-"):
-            hit = k.endswith(pattern)
+    for p in table:
+        if "*" in p[0]:
+            hit = k.like(p[0].replace("_", "\\_").replace("*", "%"))
         else:
-            hit = k.startswith(pattern)
-        value = F.struct(F.lit(size).alias("size_mult"), F.lit(stop).alias("stop_mult"), F.lit(cap).alias("gross_cap"))
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    assert chain is not None
-    neutral = F.struct(F.lit(1.0).alias("size_mult"), F.lit(1.5).alias("stop_mult"), F.lit(1.0).alias("gross_cap"))
-    return chain.otherwise(neutral)
-
-
-def resolve_policy(df: DataFrame, layers: Sequence[str] = ("L2", "L1", "L0"), macro: str | None = None) -> DataFrame:
-    """Tighten-only merge over layers: smallest size and cap, largest stop."""
-    df = df.withColumns({f"_p{i}": policy(c) for i, c in enumerate(layers)})
-    parts = [f"_p{i}" for i in range(len(layers))]
-    if macro is not None:
-        df = df.withColumn("_pm", policy(macro, MACRO_POLICIES))
-        parts.append("_pm")
-    pick = lambda fn, field: fn(*[F.col(f"{p}.{field}") for p in parts]) if len(parts) > 1 else F.col(f"{parts[0]}.{field}")
-    return df.withColumns({"size_mult": pick(F.least, "size_mult"), "stop_mult": pick(F.greatest, "stop_mult"), "gross_cap": pick(F.least, "gross_cap")}).drop(*parts)
-
-
-def is_tightening(old: Col, new: Col, table: Sequence[tuple[str, float, float, float]] = POLICIES) -> Column:
-    o, n = policy(old, table), policy(new, table)
-    tighter = (n["size_mult"] < o["size_mult"]) | (n["stop_mult"] > o["stop_mult"])
+            hit = F.lit(True)
+            for token in filter(None, p[0].split("-")):
+                hit = hit & k.contains(token)
+        chain = F.when(hit, entry(p)) if chain is None else chain.when(hit, entry(p))
+    return entry(unmatched) if chain is None else chain.otherwise(entry(unmatched))
+
+
+def resolve_policy(df: DataFrame, layers: Sequence[str] = ("L2", "L1", "L0", "L3", "L4"), table: Sequence[Policy] = POLICIES) -> DataFrame:
+    """Tighten-only merge of the layers' policies, in order, from a neutral start.
+
+    Smallest size and cap, largest stop, pyramids only if no layer forbids them; the last stated order style unless
+    passive was met; all stated setups, sorted. A layer without a key (null or empty) changes nothing; a stressed one makes
+    orders passive. Adds size_mult, stop_mult, gross_cap, orders, setups, pyramids.
+    """
+    size, stop, cap = F.lit(NEUTRAL_SIZE), F.lit(NEUTRAL_STOP), F.lit(NEUTRAL_CAP)
+    orders, setups, pyramids = F.lit(NEUTRAL_ORDERS), F.array().cast("array<string>"), F.lit(True)
+    for i, c in enumerate(layers):
+        df = df.withColumn(f"_p{i}", F.when(F.coalesce(F.col(c), F.lit("")) != "", policy(c, table)))
+        p = F.col(f"_p{i}")
+        size, stop, cap = F.least(size, p["size_mult"]), F.greatest(stop, p["stop_mult"]), F.least(cap, p["gross_cap"])  # nulls are passed over
+        stated = F.when(orders == "passive", orders).otherwise(F.coalesce(p["orders"], orders))
+        orders = F.when(bool0(F.col(c).contains("Stressed")), F.lit("passive")).otherwise(stated)
+        setups = F.coalesce(F.array_sort(F.array_union(setups, p["setups"])), setups)
+        pyramids = pyramids & F.coalesce(p["pyramids"], F.lit(True))
+    out = {"size_mult": size, "stop_mult": stop, "gross_cap": cap, "orders": orders, "setups": setups, "pyramids": pyramids}
+    return df.withColumns(out).drop(*[f"_p{i}" for i in range(len(layers))])
+
+
+def resolved_sizes(key: Col, table: Sequence[Policy] = POLICIES) -> tuple[Column, Column]:
+    """Size and stop multiple that a key alone resolves to."""
+    p = policy(key, table)
+    return F.least(F.lit(NEUTRAL_SIZE), p["size_mult"]), F.greatest(F.lit(NEUTRAL_STOP), p["stop_mult"])
+
+
+def is_tightening(old: Col, new: Col, table: Sequence[Policy] = POLICIES) -> Column:
+    (size_old, stop_old), (size_new, stop_new) = resolved_sizes(old, table), resolved_sizes(new, table)
+    tighter = (size_new < size_old) | (stop_new > stop_old)
     return F.when(col(old).isNull(), F.lit(True)).when(col(old) == col(new), F.lit(False)).otherwise(tighter)
 
 
@@ -182,7 +205,8 @@ def hold_path(keys: Sequence[object], hold: int, sizes: Mapping[object, tuple[fl
 def hysteresis(df: DataFrame, f: Frame, key: str, hold: int = 3, tighten: bool = True, out: str = "accepted") -> DataFrame:
     """Regime key with the hold rule applied, one scan per key over bar rows."""
     if tighten:
-        df = df.withColumn("_pol", policy(key)).withColumns({"_sz": F.col("_pol.size_mult"), "_st": F.col("_pol.stop_mult")}).drop("_pol")
+        size, stop = resolved_sizes(key)
+        df = df.withColumns({"_sz": size, "_st": stop})
 
     def kernel(pdf: pd.DataFrame) -> dict[str, object]:
         sizes = None

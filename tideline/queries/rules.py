@@ -55,14 +55,37 @@ query("regime_proxy_caps", "id ts gross_cap_proxy:2 size_mult_proxy:2",
     lambda s, p: Z.proxy_caps(_nb(s, p).withColumns({"L0_on": F.col("id") % 2 != 0, "L1_on": F.col("id") % 3 != 0}), _nb(s, p).groupBy("ts").agg(F.when(F.avg("close") > 190000, "Up-Low-").otherwise("Down-Low-").alias("L2"))))
 _KEYS = "kk AS (SELECT *, CASE WHEN close > open * 1.2 THEN 'Up' WHEN close < open * 0.8 THEN 'Down' ELSE 'Sideways' END || '-' || CASE WHEN volume >= 3 THEN 'High' ELSE 'Low' END || '-Normal' AS k FROM bars)"
 _keyed = lambda s, p: _nb(s, p).withColumn("k", F.concat_ws("-", F.when(F.col("close") > F.col("open") * 1.2, "Up").when(F.col("close") < F.col("open") * 0.8, "Down").otherwise("Sideways"), F.when(F.col("volume") >= 3, "High").otherwise("Low"), F.lit("Normal")))
-_POL = lambda c, v: f"CASE WHEN {c} LIKE 'Up-Low-%' THEN {v[0]} WHEN {c} LIKE 'Up-High-%' THEN {v[1]} WHEN {c} LIKE 'Sideways-Low-%' THEN {v[2]} WHEN {c} LIKE 'Sideways-High-%' THEN {v[3]} WHEN {c} LIKE 'Down-%' THEN {v[4]} ELSE {v[5]} END"
-_SZ, _ST = ("1.0", "0.75", "0.7", "0.4", "0.6", "1.0"), ("1.25", "1.75", "1.25", "2.0", "1.6", "1.5")
-query("regime_policy_resolve", "id ts size_mult:3 stop_mult:3 tight",
-      f"SELECT id, ts, least({_POL('k', _SZ)}, {_POL('pk', _SZ)}) AS size_mult, greatest({_POL('k', _ST)}, {_POL('pk', _ST)}) AS stop_mult, CASE WHEN pk IS NULL THEN true WHEN pk = k THEN false ELSE {_POL('k', _SZ)} < {_POL('pk', _SZ)} OR {_POL('k', _ST)} > {_POL('pk', _ST)} END AS tight FROM (SELECT *, {lag('k')} AS pk FROM kk)",
-      NB + ", " + _KEYS)(lambda s, p: Z.resolve_policy(_keyed(s, p).withColumn("pk", FR.lag("k")), ("k", "pk")).withColumn("tight", Z.is_tightening("pk", "k")))
+# One layer of the policy table in SQL: the first entry whose tokens the key holds, else the fallback.
+_POL = lambda c, v: "CASE " + " ".join(f"WHEN {' AND '.join(f'contains({c}, $${t}$$)' for t in ts)} THEN {x}" for ts, x in zip((("Up", "Normal"), ("Up", "Low"), ("Up", "High"), ("Sideways", "Low"), ("Sideways", "High"), ("Down",), ("Stressed",)), v)) + f" ELSE {v[7]} END"
+_SZ, _ST = ("1.0", "1.1", "0.75", "0.7", "0.4", "0.6", "0.6", "0.8"), ("1.5", "1.25", "1.75", "1.25", "2.0", "1.6", "1.25", "1.5")
+_OR = ("'mixed'", "'mixed'", "'conservative'", "'passive'", "'passive'", "'mixed'", "'passive'", "'mixed'")
+_SU = ("['breakout', 'pullback']", "['breakout', 'pullback']", "['pullback']", "['mean_revert']", "['stand_down', 'mean_revert']", "['short_rallies', 'hedge']", "[]", "['pullback']")
+_size = lambda c: f"least(1.0, coalesce({_POL(c, _SZ)}, 1.0))"
+_stop = lambda c: f"greatest(1.5, {_POL(c, _ST)})"
+query("regime_policy_resolve", "id ts size_mult:3 stop_mult:3 gross_cap:3 orders setups pyramids tight",
+      f"""SELECT id, ts, CASE WHEN pk IS NULL THEN {_size('k')} ELSE least({_size('k')}, {_size('pk')}) END AS size_mult,
+       CASE WHEN pk IS NULL THEN {_stop('k')} ELSE greatest({_stop('k')}, {_stop('pk')}) END AS stop_mult, 1.0 AS gross_cap,
+       CASE WHEN contains(coalesce(pk, ''), 'Stressed') OR contains(k, 'Stressed') OR {_POL('k', _OR)} = 'passive' THEN 'passive' WHEN pk IS NULL THEN {_POL('k', _OR)} ELSE {_POL('pk', _OR)} END AS orders,
+       array_to_string(list_sort(list_distinct(list_concat({_POL('k', _SU)}, CASE WHEN pk IS NULL THEN [] ELSE {_POL('pk', _SU)} END))), ',') AS setups, true AS pyramids,
+       CASE WHEN pk IS NULL THEN true WHEN pk = k THEN false ELSE {_size('k')} < {_size('pk')} OR {_stop('k')} > {_stop('pk')} END AS tight FROM (SELECT *, {lag('k')} AS pk FROM kk)""",
+      NB + ", " + _KEYS)(lambda s, p: Z.resolve_policy(_keyed(s, p).withColumn("pk", FR.lag("k")), ("k", "pk")).withColumn("tight", Z.is_tightening("pk", "k")).withColumn("setups", F.array_join("setups", ",")))
+_MACRO = "mk AS (SELECT *, CASE id % 3 WHEN 0 THEN 'Hiking' WHEN 1 THEN 'Holding' ELSE 'Unknown' END || '-' || CASE WHEN volume >= 3 THEN 'Strongly_Contracting' WHEN volume >= 2 THEN 'Contracting' ELSE 'Expanding' END || '-' || CASE WHEN close > open THEN 'RiskOff' ELSE 'RiskOn' END || '-' || CASE WHEN close > 200000 THEN 'Unwind' ELSE 'Stable' END AS m FROM bars)"
+_macro = lambda s, p: _nb(s, p).withColumn("m", F.concat_ws("-", F.when(F.col("id") % 3 == 0, "Hiking").when(F.col("id") % 3 == 1, "Holding").otherwise("Unknown"), F.when(F.col("volume") >= 3, "Strongly_Contracting").when(F.col("volume") >= 2, "Contracting").otherwise("Expanding"), F.when(F.col("close") > F.col("open"), "RiskOff").otherwise("RiskOn"), F.when(F.col("close") > 200000, "Unwind").otherwise("Stable")))
+query("regime_macro_policy", "id ts m size_mult:3 stop_mult:3 gross_cap:3 orders setups pyramids",
+      """SELECT id, ts, m, least(1.0, sz) AS size_mult, greatest(1.5, st) AS stop_mult, coalesce(cap, 1.0) AS gross_cap, coalesce(od, 'mixed') AS orders, array_to_string(list_sort(su), ',') AS setups, coalesce(py, true) AS pyramids FROM (
+       SELECT mk.*, unnest(CASE WHEN m GLOB '*-Strongly_Contracting-RiskOff-*' THEN {'sz': 0.30, 'st': 2.0, 'cap': 0.40, 'od': 'passive', 'su': ['stand_down', 'hedge'], 'py': false}
+        WHEN m GLOB '*-Contracting-RiskOff-*' THEN {'sz': 0.5, 'st': 1.8, 'cap': 0.5, 'od': 'conservative', 'su': ['hedge'], 'py': false}
+        WHEN m GLOB 'Hiking-*-RiskOff-*' THEN {'sz': 0.55, 'st': 1.75, 'cap': 0.55, 'od': 'conservative', 'su': ['hedge'], 'py': false}
+        WHEN m GLOB '*-RiskOff-*' THEN {'sz': 0.6, 'st': 1.7, 'cap': 0.6, 'od': 'conservative', 'su': ['pullback', 'hedge'], 'py': NULL}
+        WHEN m GLOB '*-Unwind' THEN {'sz': 0.65, 'st': 1.65, 'cap': 0.65, 'od': 'conservative', 'su': [], 'py': NULL}
+        WHEN m GLOB '*-Strongly_Contracting-*' THEN {'sz': 0.65, 'st': 1.6, 'cap': 0.65, 'od': NULL, 'su': [], 'py': NULL}
+        WHEN m GLOB '*-Contracting-*' THEN {'sz': 0.8, 'st': 1.5, 'cap': 0.8, 'od': NULL, 'su': [], 'py': NULL}
+        WHEN m GLOB 'Unknown*' THEN {'sz': 1.0, 'st': 1.5, 'cap': 1.0, 'od': NULL, 'su': [], 'py': NULL}
+        ELSE {'sz': 0.8, 'st': 1.5, 'cap': NULL, 'od': 'mixed', 'su': ['pullback'], 'py': NULL} END) FROM mk)""", NB + ", " + _MACRO)(
+    lambda s, p: Z.resolve_policy(_macro(s, p), ("m",)).withColumn("setups", F.array_join("setups", ",")))
 query("regime_hysteresis", "id ts k accepted",
       """SELECT kk.id, kk.ts, kk.k, r.cur AS accepted FROM kk JOIN r USING (id, rn)""",
-      NB + ", " + _KEYS + f""", ks AS (SELECT *, {_POL('k', _SZ)} AS sz, {_POL('k', _ST)} AS st FROM kk),
+      NB + ", " + _KEYS + f""", ks AS (SELECT *, {_size('k')} AS sz, {_stop('k')} AS st FROM kk),
       r AS (WITH RECURSIVE w AS (SELECT id, rn, k AS cur, sz AS csz, st AS cst, CAST(NULL AS VARCHAR) AS pend, 0 AS seen FROM ks WHERE rn = 1 UNION ALL
        SELECT id, rn, CASE WHEN acc THEN k ELSE cur END, CASE WHEN acc THEN sz ELSE csz END, CASE WHEN acc THEN st ELSE cst END, CASE WHEN acc OR same THEN NULL ELSE k END, CASE WHEN acc OR same THEN 0 ELSE s2 END FROM (
         SELECT *, NOT same AND (tight OR s2 >= 3) AS acc FROM (SELECT ks.id, ks.rn, ks.k, ks.sz, ks.st, w.cur, w.csz, w.cst, ks.k = w.cur AS same, ks.sz < w.csz OR ks.st > w.cst AS tight, CASE WHEN w.pend = ks.k THEN w.seen + 1 ELSE 1 END AS s2
