@@ -268,11 +268,16 @@ def relative_value(long: DataFrame, x: str, by: Sequence[str] = ("ts",), min_ass
         "relative_value", F.when(F.col("n_assets") >= min_assets, div(F.col(x) - F.col("_m"), "_s"))).drop("_m", "_s")
 
 
-def sentiment_pca(long: DataFrame, x: str, assets: Sequence[int], by: str = "ts") -> DataFrame:
+def sentiment_pca(long: DataFrame, x: str, assets: Sequence[int] | None = None, by: str = "ts", widest: int = 2000) -> DataFrame:
     """First principal component over assets of the standardised panel (Spark ML on the ts x asset pivot).
 
-    The asset list bounds the pivot width; a missing value counts as the asset's mean (0 after scaling).
+    The assets are those of the data (or the given ones); more than ``widest`` raise an error, as the panel's width is the
+    model's. A missing value counts as the asset's mean (0 after scaling). A fit: runs Spark jobs while it is called.
     """
+    if assets is None:
+        assets = sorted(r[0] for r in long.select("id").where("id IS NOT NULL").distinct().limit(widest + 1).collect())
+        if len(assets) > widest:
+            raise ValueError(f"more than {widest} assets: reduce them to groups first")
     from pyspark.ml.feature import PCA, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 

@@ -293,16 +293,14 @@ SCORE_WEIGHTS = {"sharpe": 0.35, "max_drawdown": 0.25, "psr": 0.25, "turnover":
 
 def composite_score(df: DataFrame, weights: Mapping[str, float] = SCORE_WEIGHTS, lower_better: Sequence[str] = ("turnover",), by: Sequence[str] = ()) -> DataFrame:
     """Min-max normalise each metric (a less negative drawdown scores higher) and weight them."""
-    keys = list(by) or ["_all"]
-    d = df if by else df.withColumn("_all", F.lit(1))
-    ends = d.groupBy(*keys).agg(*[F.min(m).alias(f"_lo_{m}") for m in weights], *[F.max(m).alias(f"_hi_{m}") for m in weights])
-    d = d.join(ends, keys)
+    ends = df.groupBy(*by).agg(*[F.min(m).alias(f"_lo_{m}") for m in weights], *[F.max(m).alias(f"_hi_{m}") for m in weights])
+    d = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # one row of extremes
     parts = {}
     for m in weights:
         unit = F.coalesce(div(F.col(m) - F.col(f"_lo_{m}"), F.col(f"_hi_{m}") - F.col(f"_lo_{m}")), F.when(F.col(m).isNotNull(), 1.0).otherwise(0.0))
         parts[m] = 1 - unit if m in lower_better else unit
     d = d.withColumn("composite_score", sum((parts[m] * v for m, v in weights.items()), F.lit(0.0)))
-    return d.drop("_all", *[f"_lo_{m}" for m in weights], *[f"_hi_{m}" for m in weights])
+    return d.drop(*[f"_lo_{m}" for m in weights], *[f"_hi_{m}" for m in weights])
 
 
 def rank_strategies(df: DataFrame, score: str = "composite_score", by: Sequence[str] = ()) -> DataFrame:

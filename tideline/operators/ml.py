@@ -87,7 +87,7 @@ def permuted(df: DataFrame, cols: Sequence[str], seed: int) -> DataFrame:
     return j.withColumns({c: F.col(f"_p_{c}") for c in cols}).select(*df.columns)
 
 
-def importance(df: DataFrame, features: Sequence[str], groups: Sequence[Sequence[str]], label: str = "label", fold: str = "fold", role: str = "role", folds: int = 3, seed: int = 5) -> DataFrame:
+def importance(df: DataFrame, features: Sequence[str], groups: Sequence[Sequence[str]], label: str = "label", fold: str = "fold", role: str = "role", folds: int = 3, seed: int = 5, trees: int = 20, depth: int = 3) -> DataFrame:
     """Loss of shuffling each feature group over purged folds (single features = MDA, clusters = clustered MDA).
 
     ``df`` holds one row per (row, test fold) with its role; a fold is fitted once and scored once per
@@ -97,7 +97,7 @@ def importance(df: DataFrame, features: Sequence[str], groups: Sequence[Sequence
     df = settled(df)
     for k in range(folds):
         part = df.filter(F.col("test_fold") == k)
-        model = fit_meta(part.filter(F.col(role) == "train"), features, label, trees=10, depth=3, seed=seed)
+        model = fit_meta(part.filter(F.col(role) == "train"), features, label, trees=trees, depth=depth, seed=seed)
         test = part.filter(F.col(role) == "test").select(label, *features)
         variants = [("base", test)] + [("+".join(g), permuted(test, g, seed + 7 * i)) for i, g in enumerate(groups)]
         for name, v in variants:
@@ -109,26 +109,30 @@ def importance(df: DataFrame, features: Sequence[str], groups: Sequence[Sequence
     return g.groupBy("feature").agg(F.avg("_d").alias("importance"), F.stddev_samp("_d").alias("spread"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def single_feature(df: DataFrame, features: Sequence[str], label: str = "label", role: str = "role", folds: int = 3, seed: int = 5) -> DataFrame:
+def single_feature(df: DataFrame, features: Sequence[str], label: str = "label", role: str = "role", folds: int = 3, seed: int = 5, trees: int = 20, depth: int = 3) -> DataFrame:
     """Test loss of one-feature models per purged fold."""
     out: DataFrame | None = None
     df = settled(df)
     for f in features:
         for k in range(folds):
             part = df.filter(F.col("test_fold") == k)
-            m = fit_meta(part.filter(F.col(role) == "train"), [f], label, trees=5, depth=2, seed=seed)
+            m = fit_meta(part.filter(F.col(role) == "train"), [f], label, trees=trees, depth=depth, seed=seed)
             s = with_probability(m, part.filter(F.col(role) == "test").select(label, f), [f]).agg(log_loss(label).alias("loss")).withColumn("feature", F.lit(f))
             out = s if out is None else out.unionByName(s)
     assert out is not None
     return out.groupBy("feature").agg(F.avg("loss").alias("mean_loss"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def by_regime_models(train: DataFrame, test: DataFrame, features: Sequence[str], regime: str, regimes: Sequence[str], label: str = "label", min_rows: int = 100) -> DataFrame:
-    """One model per regime with enough rows, the global one for the rest."""
+def by_regime_models(train: DataFrame, test: DataFrame, features: Sequence[str], regime: str, label: str = "label", min_rows: int = 100, most: int = 200) -> DataFrame:
+    """One model for each regime of the training data, the global one for rows of a regime with fewer than ``min_rows``
+    training rows or of none; column ``model`` says which served a row. More than ``most`` regimes raise an error. A fit:
+    runs Spark jobs while it is called."""
     train, test = settled(train), settled(test)
-    counts = {r[regime]: r["n"] for r in train.filter(F.col(regime).isin(list(regimes))).groupBy(regime).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r[regime]: r["n"] for r in train.filter(F.col(regime).isNotNull()).groupBy(regime).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} regimes")
     fallback = fit_meta(train, features, label)
-    used = [r for r in regimes if counts.get(r, 0) >= min_rows]
+    used = sorted((r for r, n in counts.items() if n >= min_rows), key=str)
     out = with_probability(fallback, test.filter(~F.col(regime).isin(used) | F.col(regime).isNull()), features).withColumn("model", F.lit("global"))
     for r in used:
         m = fit_meta(train.filter(F.col(regime) == r), features, label)
@@ -136,7 +140,7 @@ def by_regime_models(train: DataFrame, test: DataFrame, features: Sequence[str],
     return out
 
 
-def rank_cross_validate(df: DataFrame, features: Sequence[str], target: str, folds: int = 3, ts: str = "ts", role: str = "role") -> DataFrame:
+def rank_cross_validate(df: DataFrame, features: Sequence[str], target: str, folds: int = 3, ts: str = "ts", role: str = "role", iterations: int = 20, depth: int = 3) -> DataFrame:
     """Gradient-boosted ranker over purged folds: per-date IC and NDCG, then IC-IR per fold."""
     from tideline.operators.research import ndcg, spearman_windows
 
@@ -144,7 +148,7 @@ def rank_cross_validate(df: DataFrame, features: Sequence[str], target: str, fol
     df = settled(df)
     for k in range(folds):
         part = df.filter(F.col("test_fold") == k)
-        m = GBTRegressor(labelCol=target, featuresCol="features", maxIter=5, maxDepth=3, seed=1).fit(assemble(part.filter(F.col(role) == "train"), features))
+        m = GBTRegressor(labelCol=target, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=1).fit(assemble(part.filter(F.col(role) == "train"), features))
         s = m.transform(assemble(part.filter(F.col(role) == "test"), features)).select("id", ts, target, F.col("prediction").alias("score"))
         ic = spearman_windows(s, [ts], "score", target, 5).select(ts, "ic")
         g = ic.join(ndcg(s, [ts], "score", target), ts).agg(F.avg("ic").alias("ic_mean"), div(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"), F.avg("ndcg").alias("ndcg")).withColumn("fold", F.lit(k))

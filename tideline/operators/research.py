@@ -304,24 +304,25 @@ def target_ranking(df: DataFrame, features: Sequence[str], y: str, by: Sequence[
     return t.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.abs("corr")), "feature")))
 
 
-def connected_features(pairs: DataFrame, names: DataFrame, limit: float, rounds: int = 8) -> DataFrame:
-    """Clusters of features linked by |corr| >= limit: label propagation with pointer jumping.
+def connected_features(pairs: DataFrame, names: DataFrame, limit: float) -> DataFrame:
+    """Clusters of features linked by |corr| >= limit: the smallest label reachable.
 
-    Each round takes the smallest label of the neighbours and then the label of that label, so
-    ``rounds`` doublings cover paths of 2**rounds links; nodes are features, not data rows. The labels
-    are checkpointed every round, because each round reads them three times.
+    Rounds take the smallest label of the neighbours and then the label of that label, until no label changes; paths
+    shrink by half each round. Nodes are features, not data rows. Each round is checkpointed once (it is read three
+    times). Runs Spark jobs while it is called.
     """
     checkpoint_dir(pairs.sparkSession)
     e = pairs.filter(F.abs("corr") >= limit).select("a", "b")
     edges = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    lab = names.select(F.col("feature"), F.col("feature").alias("cluster"))
-    for _ in range(rounds):
+    lab = names.select(F.col("feature"), F.col("feature").alias("cluster")).checkpoint()
+    while True:
         near = edges.join(lab.withColumnRenamed("feature", "b"), "b").groupBy(F.col("a").alias("feature")).agg(F.min("cluster").alias("_m"))
-        step = lab.join(near, "feature", "left").select("feature", F.least("cluster", F.coalesce("_m", "cluster")).alias("cluster"))
-        step = step.checkpoint()
+        step = lab.withColumnRenamed("cluster", "_old").join(near, "feature", "left").select("feature", "_old", F.least("_old", F.coalesce("_m", "_old")).alias("cluster"))
         jump = step.select(F.col("feature").alias("cluster"), F.col("cluster").alias("_j"))
-        lab = step.join(jump, "cluster").select("feature", F.col("_j").alias("cluster")).checkpoint()
-    return lab
+        moved = step.join(jump, "cluster").select("feature", "_old", F.col("_j").alias("cluster")).checkpoint()
+        lab = moved.select("feature", "cluster")
+        if not moved.filter("cluster <> _old").limit(1).count():
+            return lab
 
 
 # --- decay and drift -------------------------------------------------------------------------------

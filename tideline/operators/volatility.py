@@ -186,16 +186,21 @@ def garch_loglik(r2: np.ndarray, omega: float, alpha: np.ndarray, beta: np.ndarr
 
 
 def fit_garch(df: DataFrame, f: Frame, x: str, min_obs: int = 126) -> DataFrame:
-    """GARCH(1,1) per key: grid over (alpha, beta), refined twice around the best point."""
+    """GARCH(1,1) per key: grid over (alpha, beta), refined twice around the best point.
+
+    A key with fewer than ``min_obs`` returns or without variance gives a row too: converged false, a message, no values.
+    """
     fields = [df.schema[k] for k in f.keys] + [
         T.StructField(n, T.DoubleType()) for n in ("omega", "alpha", "beta", "loglik", "forecast")
-    ] + [T.StructField("n", T.LongType())]
+    ] + [T.StructField("n", T.LongType()), T.StructField("converged", T.BooleanType()), T.StructField("message", T.StringType())]
     schema = T.StructType(fields)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.sort_values(list(f.order))[x].dropna().to_numpy(dtype=float)
+        keys = {k: [pdf[k].iloc[0]] for k in f.keys}
         if len(r) < min_obs or r.std() == 0:
-            return pd.DataFrame({s.name: [] for s in fields})
+            why = f"{len(r)} of {min_obs} observations" if len(r) < min_obs else "no variance"
+            return pd.DataFrame(keys | {n: [None] for n in ("omega", "alpha", "beta", "loglik", "forecast")} | {"n": [len(r)], "converged": [False], "message": [why]})
         r2 = (r - r.mean()) ** 2
         a, b, step = 0.1, 0.8, 0.1
         for _ in range(3):
@@ -209,8 +214,7 @@ def fit_garch(df: DataFrame, f: Frame, x: str, min_obs: int = 126) -> DataFrame:
         h = r2.mean()
         for v in r2:
             h = om + a * v + b * h
-        out = {k: [pdf[k].iloc[0]] for k in f.keys}
-        out |= {"omega": [om], "alpha": [a], "beta": [b], "loglik": [float(ll[i])], "forecast": [float(np.sqrt(h))], "n": [len(r)]}
+        out = keys | {"omega": [om], "alpha": [a], "beta": [b], "loglik": [float(ll[i])], "forecast": [float(np.sqrt(h))], "n": [len(r)], "converged": [True], "message": [""]}
         return pd.DataFrame(out)
 
     return df.groupBy(*f.keys).applyInPandas(run, schema)

@@ -308,7 +308,7 @@ query("ljung_box", "id q_4:4 p_4:6 p_10:6 p_min:6 n#",
         SELECT id, lag, max(n) AS n, sum(d * dl) / max(t) AS a FROM (""" + " UNION ALL ".join(f"SELECT id, {k} AS lag, d, lag(d, {k}) OVER {W} AS dl, t, n FROM dd" for k in range(1, 11)) + ") GROUP BY id, lag) GROUP BY id, n))",
       NB + ", " + _LR + ", dd AS (SELECT *, sum(d * d) OVER (PARTITION BY id) AS t, count(*) OVER (PARTITION BY id) AS n FROM (SELECT id, ts, r - avg(r) OVER (PARTITION BY id) AS d FROM lr WHERE r IS NOT NULL))",
 )(lambda s, p: V.ljung_box(_nb(s, p).withColumn("r", Frame().log_return("close")), Frame(), "r", (4, 10)))
-query("garch_fit", "id omega:5 alpha:4 beta:4 loglik:3 forecast:5 n#", None)(
+query("garch_fit", "id omega:5 alpha:4 beta:4 loglik:3 forecast:5 n# converged message", None)(
     lambda s, p: V.fit_garch(_nb(s, p).withColumn("r", Frame().log_return("close")), Frame(), "r"))
 query("garch_out_of_sample", "id split_end# forecast:5 realized:5", None)(
     lambda s, p: V.garch_out_of_sample(_nb(s, p).withColumn("r", Frame().log_return("close")), Frame(), "r"))

@@ -189,17 +189,19 @@ query("sentiment_mean", "ts sentiment:6 n_assets#", f"SELECT ts, CASE WHEN count
 query("relative_value", "id ts relative_value:5 n_assets#",
       f"SELECT id, ts, CASE WHEN n >= 3 THEN (r - m) / nullif(sd, 0) END AS relative_value, n AS n_assets FROM (SELECT id, ts, r, count(r) OVER t AS n, avg(r) OVER t AS m, stddev_pop(r) OVER t AS sd FROM (SELECT id, ts, close / {lag('close')} - 1 AS r FROM bars) WINDOW t AS (PARTITION BY ts))", NB)(
     lambda s, p: J.relative_value(_nb(s, p).withColumn("r", Frame().pct("close")), "r"))
-query("sentiment_pca", "ts pc1:5", None)(lambda s, p: J.sentiment_pca(_nb(s, p).withColumn("r", Frame().log_return("close")), "r", list(range(25))))
+query("sentiment_pca", "ts pc1:5", None)(lambda s, p: J.sentiment_pca(_nb(s, p).withColumn("r", Frame().log_return("close")), "r"))
 query("leader_scores", "leader leader_score:6 n_followers#",
       f"""SELECT leader, avg(b) AS leader_score, count(*) AS n_followers FROM (SELECT leader, follower, greatest(coalesce(abs(CASE WHEN count(l1) >= 30 THEN corr(l1, r) END), 0), coalesce(abs(CASE WHEN count(l2) >= 30 THEN corr(l2, r) END), 0)) AS b FROM (
        SELECT a.id AS leader, b.id AS follower, a.l1, a.l2, b.r FROM x a JOIN x b ON a.ts = b.ts AND a.id <> b.id) GROUP BY ALL) GROUP BY leader""",
       NB + f", rr AS (SELECT id, ts, close / {lag('close')} - 1 AS r FROM bars), x AS (SELECT *, lag(r) OVER {W} AS l1, lag(r, 2) OVER {W} AS l2 FROM rr)")(
     lambda s, p: J.leader_scores(_nb(s, p).withColumn("r", Frame().pct("close")), "r", (1, 2)))
 query("promote_features_by_ic", "id ts close:2 volume:1",
-      "SELECT id, ts, close, NULL::DOUBLE AS volume FROM bars", NB)(
+      f"""SELECT id, ts, CASE WHEN (SELECT median(abs(corr)) FROM pi WHERE f = 'close') >= 0.02 THEN close END AS close, CASE WHEN (SELECT median(abs(corr)) FROM pi WHERE f = 'volume') >= 0.02 THEN volume END AS volume FROM bars""",
+      NB + f", pr AS (SELECT id, close, volume, lead(close) OVER {W} / close - 1 AS y FROM bars), pi AS (SELECT id, 'close' AS f, corr(close, y) AS corr FROM pr GROUP BY id UNION ALL SELECT id, 'volume', corr(volume, y) FROM pr GROUP BY id)")(
     lambda s, p: J.promote_features(
         _nb(s, p).select("id", "ts", F.explode(F.array(F.struct(F.lit("close").alias("feature"), F.col("close").alias("value")), F.struct(F.lit("volume").alias("feature"), F.col("volume").alias("value")))).alias("_i")).select("id", "ts", "_i.*"),
-        _nb(s, p).groupBy("id").agg(F.count("*").alias("c")).select(F.explode(F.array(F.struct(F.lit("close").alias("feature"), F.lit(-0.05).alias("ic")), F.struct(F.lit("volume").alias("feature"), F.lit(0.001).alias("ic")))).alias("_i")).select("_i.*"),
+        _nb(s, p).withColumn("y", Frame().forward_return("close")).groupBy("id").agg(*[J.safe_corr(c, "y").alias(c) for c in ("close", "volume")]).select(
+            F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("ic")) for c in ("close", "volume")])).alias("_i")).select("_i.*"),
         0.02, ["id"], ["close", "volume"]))
 query("update_columns", "id ts close:2 flag#", "SELECT id, ts, CASE WHEN rn % 10 = 0 THEN close + 1 ELSE close END AS close, CASE WHEN rn % 10 = 0 THEN 1 END AS flag FROM bars", NB)(
     lambda s, p: J.update_columns(_nb(s, p), _nb(s, p).withColumn("rn", Frame().rn()).filter("rn % 10 = 0").select("id", "ts", (F.col("close") + 1).alias("close"), F.lit(1).alias("flag")), ["id", "ts"], ["close", "flag"]))

@@ -289,8 +289,8 @@ query("composite_oi_divergence", "id ts oi_div_agreement:4", f"SELECT id, ts, ({
     lambda s, p: X.oi_divergence_agreement(_oi(s, p).withColumn("rn", FR.rn()).withColumn("ag", F.when(F.col("rn") % 4 > 0, 0.5)), FR, "ag"))
 query("composite_funding_momentum", "id ts funding_adj_mom:4", f"SELECT id, ts, {_zz('m')} - {_zz('fs')} AS funding_adj_mom FROM (SELECT *, close / {lag('close', 20)} - 1 AS m, {ro('sum', 'funding', 20)} AS fs FROM oi)", NB + ", " + _OI)(lambda s, p: X.funding_adjusted_momentum(_oi(s, p), FR))
 query("composite_lead_lag", "id ts lead_lag_composite:5",
-      f"SELECT f AS id, ts, sum(ic * v) / sum(abs(ic)) AS lead_lag_composite FROM (SELECT id, ts, {lag('r', 2)} AS v FROM (SELECT id, ts, close / {lag('close')} - 1 AS r FROM bars)) l JOIN (SELECT a.id AS l, b.id AS f, (a.id + 1) / 100.0 * CASE WHEN (a.id + b.id) % 2 = 0 THEN 1 ELSE -1 END AS ic FROM (SELECT DISTINCT id FROM bars) a JOIN (SELECT DISTINCT id FROM bars) b ON b.id IN ((a.id + 1) % 25, (a.id + 2) % 25)) p ON p.l = l.id WHERE v IS NOT NULL GROUP BY f, ts", NB)(
-    lambda s, p: (lambda d: X.leader_composite(d, d.select(F.col("id").alias("leader")).distinct().select("leader", F.explode(F.array((F.col("leader") + 1) % 25, (F.col("leader") + 2) % 25)).alias("follower")).withColumn(
+      f"SELECT f AS id, ts, sum(ic * v) / sum(abs(ic)) AS lead_lag_composite FROM (SELECT id, ts, {lag('r', 2)} AS v FROM (SELECT id, ts, close / {lag('close')} - 1 AS r FROM bars)) l JOIN (SELECT a.id AS l, b.id AS f, (a.id + 1) / 100.0 * CASE WHEN (a.id + b.id) % 2 = 0 THEN 1 ELSE -1 END AS ic FROM (SELECT max(id) + 1 AS n FROM bars) u CROSS JOIN (SELECT DISTINCT id FROM bars) a JOIN (SELECT DISTINCT id FROM bars) b ON b.id IN ((a.id + 1) % u.n, (a.id + 2) % u.n)) p ON p.l = l.id WHERE v IS NOT NULL GROUP BY f, ts", NB)(
+    lambda s, p: (lambda d: X.leader_composite(d, d.select(F.col("id").alias("leader")).distinct().crossJoin(F.broadcast(d.agg((F.max("id") + 1).alias("n")))).select("leader", F.explode(F.array((F.col("leader") + 1) % F.col("n"), (F.col("leader") + 2) % F.col("n"))).alias("follower")).withColumn(
         "ic", (F.col("leader") + 1) / 100.0 * F.when((F.col("leader") + F.col("follower")) % 2 == 0, 1).otherwise(-1)), FR, "r", 2))(_nb(s, p).withColumn("r", FR.pct("close"))))
 query("composite_gated_trend", "id ts gated_trend:5", f"SELECT t.id, t.ts, (t.close - k.v) / a * (0.5 + 0.5 * tanh(t.volume / mv - 1)) AS gated_trend FROM (SELECT *, {ro('avg', 'tr', 14)} AS a, {ro('avg', 'volume', 20)} AS mv FROM tr) t LEFT JOIN k ON k.id = t.id AND k.rn = t.rn", NB + ", " + _TR + ", " + _ER)(
     lambda s, p: X.gated_trend(I.atr(A.kama(_nb(s, p), FR, sets=((10, 2, 30),)), FR, 14), FR, "kama_10_2_30", "atr_14"))

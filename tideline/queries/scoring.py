@@ -209,8 +209,8 @@ query("research_fdr", "id feature horizon# p_adj:6 significant", "SELECT *, p_ad
 query("research_bh_gate", "feature pass_rate:6 n_tests# promoted", "SELECT feature, avg(CAST(pa <= 0.2 AS DOUBLE)) AS pass_rate, count(*) AS n_tests, avg(CAST(pa <= 0.2 AS DOUBLE)) >= 0.05 AS promoted FROM (SELECT *, min(p_value * m / k) OVER (PARTITION BY feature ORDER BY p_value DESC) AS pa FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY p_value) AS k, count(*) OVER (PARTITION BY feature) AS m FROM pv WHERE p_value IS NOT NULL)) GROUP BY feature", NB + ", " + _F + ", " + _PV)(
     lambda s, p: Q.bh_gate(_pv(s, p), ["feature"], 0.2, 0.05))
 query("research_haircut_sharpe", "id haircut:6", None)(lambda s, p: _mt(s, p).withColumn("haircut", Q.haircut_sharpe("sharpe", F.lit(25), "n_trades")))
-query("research_permutation_ic", "id ic:6 n_obs# n_perms# perm_p:6", None)(lambda s, p: Q.permutation_ic(_fx(s, p), ["id"], "mom", "y1", perms=20))
-query("research_block_bootstrap_ic", "id ic_lo:6 ic_hi:6 n_boot#", None)(lambda s, p: Q.block_bootstrap_ic(_fx(s, p), ["id"], "mom", "y1", boots=20))
+query("research_permutation_ic", "id ic:6 n_obs# n_perms# perm_p:6", None)(lambda s, p: Q.permutation_ic(_fx(s, p), ["id"], "mom", "y1"))
+query("research_block_bootstrap_ic", "id ic_lo:6 ic_hi:6 n_boot#", None)(lambda s, p: Q.block_bootstrap_ic(_fx(s, p), ["id"], "mom", "y1"))
 query("research_stability", "id sign_flips# ic_mean:6 ic_cv:5 n_windows# stable", None)(lambda s, p: Q.stability(_fx(s, p), FR, "mom", "y1"))
 _SWI = " UNION ALL ".join(_ic_sql(f"(SELECT *, {n} AS length, close / {ro('avg', 'close', n)} AS x FROM fx)", "id, length", "x", "y1") for n in (5, 10, 20))
 _swi = lambda s, p: Q.window_sweep(_fx(s, p), FR, "close", "y1", (5, 10, 20), lambda f, x, n: F.col(x) / f.mean(x, n))
@@ -226,8 +226,12 @@ _CM = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_samp(CASE WHEN {
 query("research_corr_matrix", "a b corr:6", _CM, NB + ", " + _F)(lambda s, p: Q.corr_matrix(_fx(s, p), ["mom", "vol", "close"]))
 query("research_redundant", "a b corr:6", f"SELECT * FROM ({_CM}) WHERE a < b AND abs(corr) >= 0.002", NB + ", " + _F)(lambda s, p: Q.redundant(Q.corr_matrix(_fx(s, p), ["mom", "vol", "close"]), 0.002))
 query("research_target_ranking", "id feature corr:6 place#", "SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(corr) DESC, feature) AS place FROM (SELECT id, 'mom' AS feature, corr(mom, y1) AS corr FROM fx GROUP BY id UNION ALL SELECT id, 'vol', corr(vol, y1) FROM fx GROUP BY id)", NB + ", " + _F)(lambda s, p: Q.target_ranking(_fx(s, p), ["mom", "vol"], "y1", ["id"]))
-query("research_feature_clusters", "feature cluster", "SELECT unnest(['close', 'high', 'low', 'mom', 'open', 'vol']) AS feature, unnest(['close', 'close', 'close', 'mom', 'close', 'vol']) AS cluster", NB)(
-    lambda s, p: Q.connected_features(Q.corr_matrix(_fx(s, p), ["close", "high", "low", "mom", "open", "vol"]), Q.corr_matrix(_fx(s, p), ["close", "high", "low", "mom", "open", "vol"]).select(F.col("a").alias("feature")).distinct(), 0.3, 4))
+_SIX = ("close", "high", "low", "mom", "open", "vol")
+_CM6 = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM fx" for a in _SIX for b in _SIX if a != b)
+query("research_feature_clusters", "feature cluster",
+      f"""WITH RECURSIVE ed AS MATERIALIZED (SELECT a, b FROM ({_CM6}) WHERE abs(corr) >= 0.3), reach AS (SELECT unnest({list(_SIX)}) AS f, unnest({list(_SIX)}) AS g UNION SELECT reach.f, ed.b FROM reach JOIN ed ON ed.a = reach.g)
+       SELECT f AS feature, min(g) AS cluster FROM reach GROUP BY f""", NB + ", " + _F)(
+    lambda s, p: (lambda m: Q.connected_features(m, m.select(F.col("a").alias("feature")).distinct(), 0.3))(Q.corr_matrix(_fx(s, p), list(_SIX))))
 _IS = _ic_sql("(SELECT *, 'mom' AS feature FROM fx)", "id, feature", "mom", "y1")
 query("research_ic_staleness", "id feature ic_long:6 ic_recent:6 weight_factor:2",
       f"SELECT a.id, a.feature, a.ic AS ic_long, b.ic AS ic_recent, CASE WHEN sign(b.ic) <> sign(a.ic) OR abs(b.ic) < 0.5 * abs(a.ic) THEN 0.5 ELSE 1.0 END AS weight_factor FROM ({_IS}) a LEFT JOIN ({_IS.replace('FROM fx)', 'FROM (SELECT * FROM (SELECT *, max(rn) OVER (PARTITION BY id) - rn AS back FROM fx) WHERE back < 100))')}) b USING (id, feature)", NB + ", " + _F)(
@@ -256,7 +260,7 @@ query("micro_impact_slopes", "id ts kyle:2 hasbrouck:4", f"SELECT id, ts, {_IMP.
 query("micro_rolling_adf", "id ts rolling_adf:5", None)(lambda s, p: K.rolling_adf(_nb(s, p), FR))
 query("micro_rolling_entropy", "id ts entropy:6 complexity:6", None)(lambda s, p: K.rolling_entropy(_nb(s, p).withColumn("r", FR.log_return("close")), FR, "r"))
 query("micro_stationarity", "id adf_t:5 kpss:5 n# verdict", None)(lambda s, p: K.stationarity(_nb(s, p).withColumn("lc", F.log("close")), ["id"], "lc"))
-query("micro_minimal_order", "id min_d:4", None)(lambda s, p: K.minimal_order(_nb(s, p), ["id"], "close", steps=5))
+query("micro_minimal_order", "id min_d:4", None)(lambda s, p: K.minimal_order(_nb(s, p), ["id"], "close"))
 _QB = lambda c: f"(SELECT id, ts, least(len(list_filter(ed[2:], lambda e: e < {c})), len(ed) - 2) AS {c}_bin FROM bars JOIN (SELECT id, list_sort(list_distinct(quantile_cont({c}, [" + ", ".join(str(i / 5) for i in range(6)) + "]))) AS ed FROM bars GROUP BY id) USING (id))"
 _MI = f"jc AS (SELECT id, close_bin AS a, volume_bin AS b, count(*) AS n FROM {_QB('close')} JOIN {_QB('volume')} USING (id, ts) GROUP BY ALL), mi AS (SELECT id, sum(n) AS t, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hab FROM jc GROUP BY id), ha AS (SELECT id, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT id, a, sum(n) AS n FROM jc GROUP BY ALL) GROUP BY id), hb AS (SELECT id, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT id, b, sum(n) AS n FROM jc GROUP BY ALL) GROUP BY id)"
 query("micro_mutual_information", "id mi:6 vi:6 h_a:6 h_b:6 n#", "SELECT id, ha.h + hb.h - hab AS mi, 2 * hab - ha.h - hb.h AS vi, ha.h AS h_a, hb.h AS h_b, t AS n FROM mi JOIN ha USING (id) JOIN hb USING (id)", NB + ", " + _MI)(

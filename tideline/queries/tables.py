@@ -279,10 +279,10 @@ _folded = lambda s, p: E.purged_kfold(_labelled(s, p), FR, 3, 0.01)  # noqa: E73
 query("ml_meta_label_report", "tp# fp# fn# n# base_rate:6 precision:4 recall:4 f1:4", None)(
     lambda s, p: ML.classifier_report(ML.with_probability(ML.fit_meta(_labelled(s, p), _FEATS), _labelled(s, p), _FEATS)))
 query("ml_logit_weights", "feature weight:4 place#", None)(lambda s, p: ML.logit_weights(_labelled(s, p), _FEATS))
-query("ml_importance", "feature importance:5 spread:5 n_folds#", None)(lambda s, p: ML.importance(_folded(s, p), _FEATS, [["mom"], ["vol"], ["rng", "vol"]], folds=2))
-query("ml_single_feature", "feature mean_loss:5 n_folds#", None)(lambda s, p: ML.single_feature(_folded(s, p), ["mom", "vol"], folds=2))
+query("ml_importance", "feature importance:5 spread:5 n_folds#", None)(lambda s, p: ML.importance(_folded(s, p), _FEATS, [["mom"], ["vol"], ["rng"], ["rng", "vol"]]))
+query("ml_single_feature", "feature mean_loss:5 n_folds#", None)(lambda s, p: ML.single_feature(_folded(s, p), _FEATS))
 query("ml_regime_router", "model n# mean_prob:4", None)(lambda s, p: ML.by_regime_models(
-    _labelled(s, p).withColumn("regime", F.when(F.col("vol") > 1, "busy").otherwise("calm")), _labelled(s, p).withColumn("regime", F.when(F.col("vol") > 1, "busy").otherwise("calm")), _FEATS, "regime", ["busy"]).groupBy("model").agg(F.count("*").alias("n"), F.avg("prob").alias("mean_prob")))
-query("ml_rank_cross_validate", "fold# ic_mean:5 ic_ir:5 ndcg:5", None)(lambda s, p: ML.rank_cross_validate(_folded(s, p).filter("y1 IS NOT NULL"), _FEATS, "y1", folds=2))
+    _labelled(s, p).withColumn("regime", F.when(F.col("vol") > 1, "busy").otherwise("calm")), _labelled(s, p).withColumn("regime", F.when(F.col("vol") > 1, "busy").otherwise("calm")), _FEATS, "regime").groupBy("model").agg(F.count("*").alias("n"), F.avg("prob").alias("mean_prob")))
+query("ml_rank_cross_validate", "fold# ic_mean:5 ic_ir:5 ndcg:5", None)(lambda s, p: ML.rank_cross_validate(_folded(s, p).filter("y1 IS NOT NULL"), _FEATS, "y1"))
 query("ml_double_ensemble", "id n# score:5", None)(lambda s, p: ML.double_ensemble(_labelled(s, p).filter("y1 IS NOT NULL"), _FEATS, "y1", FR).groupBy("id").agg(F.count("*").alias("n"), F.avg("score").alias("score")))
 
