@@ -147,37 +147,88 @@ def ama_regime(df: DataFrame, f: Frame, ama: str, adx: str, floor: float = 20.0,
 
 
 # --- registry --------------------------------------------------------------------------------------
-def ensure_columns(name: str, df: DataFrame, f: Frame) -> DataFrame:
-    """Add what a named strategy needs and does not find."""
+def _spans(params: Mapping[str, object], *names: str) -> dict[str, int]:
+    """Columns ``ema_n`` named by parameters."""
+    cols = [str(params[n]) for n in names if params.get(n)]
+    return {c: int(c.rsplit("_", 1)[1]) for c in cols if c.startswith("ema_")}
+
+
+def ensure_columns(name: str, df: DataFrame, f: Frame, params: Mapping[str, object] | None = None) -> DataFrame:
+    """Add what a named strategy needs with these parameters and does not find.
+
+    All missing EMA spans come in one pass. Unknown names, and strategies whose inputs are loaded features (AMA columns but
+    for KAMA, cross-timeframe features), change nothing.
+    """
     from tideline.operators import averages as A
     from tideline.operators import indicators as I
 
-    need: dict[str, list[tuple[str, Callable[[DataFrame], DataFrame]]]] = {
-        "ema_trend": [("ema_21", lambda d: ewm_span(d, f, "close", {"ema_21": 21})), ("ema_50", lambda d: ewm_span(d, f, "close", {"ema_50": 50}))],
-        "rsi_mean_revert": [("rsi_14", lambda d: I.rsi(d, f)), ("atr_14", lambda d: I.atr(d, f))],
-        "breakout_atr": [("atr_14", lambda d: I.atr(d, f))],
-        "ama_mean_reversion": [("kama_10_2_30", lambda d: A.kama(d, f, sets=((10, 2, 30),)))],
-    }
-    for c, build in need[name]:
-        if c not in df.columns:
-            df = build(df)
+    params = params or {}
+    missing = lambda c: c not in df.columns
+    if name == "ema_trend":
+        spans = {c: n for c, n in ({"ema_21": 21, "ema_50": 50} | _spans(params, "fast", "slow")).items() if missing(c)}
+        return ewm_span(df, f, "close", spans) if spans else df
+    if name == "rsi_mean_revert":
+        rsi, atr = str(params.get("rsi", "rsi_14")), str(params.get("atr", "atr_14"))
+        spans = {c: n for c, n in _spans(params, "trend_fast", "trend_slow").items() if missing(c)}
+        df = ewm_span(df, f, "close", spans) if spans else df
+        df = I.rsi(df, f, n=int(rsi.rsplit("_", 1)[1])) if missing(rsi) else df
+        return I.atr(df, f, n=int(atr.rsplit("_", 1)[1])) if missing(atr) else df
+    if name in ("breakout_atr", "ama_regime_conditional"):
+        atr = str(params.get("atr", "atr_14"))
+        return I.atr(df, f, n=int(atr.rsplit("_", 1)[1])) if missing(atr) else df
+    if name == "ama_mean_reversion":
+        return A.kama(df, f, sets=((10, 2, 30),)) if missing(str(params.get("ama", "kama_10_2_30"))) else df
     return df
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
     "ema_trend": lambda df, f, fast="ema_21", slow="ema_50", **k: crossover_signals(df, f, fast, slow, **k),
+    "rsi_mean_revert": lambda df, f, **k: rsi_reversion(df, f, **k),
     "macd_crossover": macd_signals,
-    "rsi_mean_revert": rsi_reversion,
     "breakout_atr": breakout,
+    "ama_momentum": ama_momentum,
+    "ama_mean_reversion": ama_reversion,
+    "ama_regime_conditional": ama_regime,
     "ctf_threshold": threshold_signals,
 }
-# Default parameter values per strategy.
-GRIDS: dict[str, dict[str, tuple[float, ...]]] = {
-    "ema_trend": {"fast": (9, 21), "slow": (50, 100)},
-    "rsi_mean_revert": {"lower": (20, 25, 30), "upper": (60, 65, 70)},
-    "breakout_atr": {"n": (20, 40), "trail_mult": (2.0, 3.0)},
-    "macd_crossover": {"fast": (8, 12), "slow": (21, 26), "signal": (5, 9)},
-}
+
+
+def default_grid(name: str) -> list[dict[str, object]]:
+    """Default parameter sets of a strategy for a coarse scan (fixed values, by rule)."""
+    if name == "ema_trend":
+        return [{"fast": f"ema_{f}", "slow": f"ema_{s}"} for f in range(5, 61, 5) for s in (80, 100, 120, 150, 200) if s >= f + 5]
+    if name == "rsi_mean_revert":
+        sized = {"atr": "atr_14", "risk_pct": 0.5, "atr_mult_stop": 1.5, "max_leverage": 1.0}
+        trend = lambda on: {"trend_fast": "ema_17" if on else None, "trend_slow": "ema_77" if on else None, "use_trend": on}
+        return [{"rsi": f"rsi_{n}", "lower": lo, "upper": hi} | trend(on) | sized for n in (7, 14, 21) for lo, hi in ((25, 55), (30, 60), (35, 65)) for on in (True, False)]
+    if name == "macd_crossover":
+        return [{"fast": f, "slow": s, "signal": g} for f, s, g in ((8, 17, 9), (12, 26, 9), (19, 39, 9))]
+    if name == "breakout_atr":
+        return []
+    if name == "ama_momentum":
+        return [{"holding": h, "threshold": t} for h in (5, 7, 10) for t in (0.0, 0.5)]
+    if name == "ama_mean_reversion":
+        return [{"ama": c, "enter": z} for c in ("KAMA_de1106d5_ama", "KAMA_987fc105_ama") for z in (-1.0, -1.5, -2.0)]
+    if name == "ama_regime_conditional":
+        return [{"floor": a, "holding": h} for a in (15.0, 20.0, 25.0) for h in (5, 7, 10)]
+    if name == "ctf_threshold":
+        return [{"feature": c, "enter": t, "leave": -t, "direction": d, "holding": 7}
+                for c in ("ret_arith_365d_divergence", "vol_ratio_30d", "ema_cross_score") for t in (-0.5, 0.0, 0.5) for d in ("long", "short")]
+    raise KeyError(f"no default grid for {name!r}")
+
+
+def ema_grid_positions(df: DataFrame, f: Frame, grid: Sequence[Mapping[str, object]]) -> DataFrame:
+    """Positions of every (fast, slow) set of a grid: all spans in one pass, the sets as rows, one window for all crossings.
+
+    Rows: keys, order, close, fast, slow, position (1 from a cross above until a cross below).
+    """
+    spans = {k: v for p in grid for k, v in _spans(p, "fast", "slow").items()}
+    df = ewm_span(df, f, "close", spans)
+    sets = F.array(*[F.struct(F.lit(p["fast"]).alias("fast"), F.lit(p["slow"]).alias("slow"), F.col(str(p["fast"])).alias("_f"), F.col(str(p["slow"])).alias("_s")) for p in grid])
+    long = df.select(*f.keys, *f.order, "close", F.explode(sets).alias("_i")).select(*f.keys, *f.order, "close", "_i.*")
+    g = Frame((*f.keys, "fast", "slow"), f.order)
+    long = long.withColumns({"_up": cross_up(g, "_f", "_s"), "_dn": cross_down(g, "_f", "_s")})
+    return long.withColumn("position", position_from(g, "_up", "_dn")).drop("_f", "_s", "_up", "_dn")
 
 
 def param_grid(spark: SparkSession, grid: Mapping[str, Sequence[float]]) -> DataFrame:

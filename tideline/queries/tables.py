@@ -207,7 +207,7 @@ def _strategies(s, p):
     """Three registered strategies over the same bars: needed columns, signals, positions, metrics."""
     out = None
     for name, kw in (("rsi_mean_revert", {"lower": 45, "upper": 55}), ("breakout_atr", {"n": 10}), ("macd_crossover", {})):
-        d = SG.ensure_columns(name, _nb(s, p), FR) if name != "macd_crossover" else _nb(s, p)
+        d = SG.ensure_columns(name, _nb(s, p), FR)
         d = SG.STRATEGIES[name](d, FR, **kw)
         d = d.withColumn("position", SG.position_from(FR, "entry", "exit")).select("id", "ts", "close", "position", F.lit(name).alias("strategy"))
         out = d if out is None else out.unionByName(d)
@@ -216,6 +216,18 @@ def _strategies(s, p):
 
 query("strategy_sweep", "strategy cost_bps:1 n# mean_sharpe:5", None)(
     lambda s, p: E.sweep(_strategies(s, p), ["strategy", "id"], E.cost_scenarios(s, [0.0, 10.0], [0.0, 5.0])).groupBy("strategy", "cost_bps").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe")))
+_GRID = [(int(g["fast"][4:]), int(g["slow"][4:])) for g in SG.default_grid("ema_trend")]
+_SPANS = sorted({x for g in _GRID for x in g})
+query("strategy_ema_grid", "id fast slow n# n_long# switches# total_return:4",
+      f"""SELECT id, 'ema_' || f AS fast, 'ema_' || s AS slow, count(*) AS n, sum(pos) AS n_long, sum(CASE WHEN pos <> coalesce(pp, 0) THEN 1 ELSE 0 END) AS switches, sum(coalesce(pp, 0) * coalesce(r, 0)) AS total_return FROM (
+       SELECT *, lag(pos) OVER (PARTITION BY id, f, s ORDER BY ts) AS pp, close / lag(close) OVER (PARTITION BY id, f, s ORDER BY ts) - 1 AS r FROM (
+       SELECT id, ts, close, f, s, coalesce(last_value(CASE WHEN vf < vs AND pf >= ps THEN 0 WHEN vf > vs AND pf <= ps THEN 1 END IGNORE NULLS) OVER (PARTITION BY id, f, s ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS pos FROM (
+       SELECT *, lag(vf) OVER (PARTITION BY id, f, s ORDER BY ts) AS pf, lag(vs) OVER (PARTITION BY id, f, s ORDER BY ts) AS ps FROM (
+       SELECT a.id, a.ts, b.close, a.n AS f, c.n AS s, a.v AS vf, c.v AS vs FROM el a JOIN el c ON a.id = c.id AND a.ts = c.ts AND a.n <= 60 AND c.n >= 80 AND c.n >= a.n + 5 JOIN bars b ON b.id = a.id AND b.ts = a.ts)))) GROUP BY ALL""",
+      NB + ", " + ema_cte("ge", "bars", "close", {f"e{n}": span(n) for n in _SPANS}) + ", el AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT id, ts, {n} AS n, e{n} AS v FROM ge" for n in _SPANS) + ")")(
+    lambda s, p: (lambda g, d: d.withColumns({"_pp": F.coalesce(g.lag("position"), F.lit(0)), "_r": F.coalesce(g.pct("close"), F.lit(0.0))}).groupBy("id", "fast", "slow").agg(
+        F.count("*").alias("n"), F.sum("position").alias("n_long"), F.sum((F.col("position") != F.col("_pp")).cast("int")).alias("switches"), F.sum(F.col("_pp") * F.col("_r")).alias("total_return")))(
+        Frame(("id", "fast", "slow"), ("ts",)), SG.ema_grid_positions(_nb(s, p), FR, SG.default_grid("ema_trend"))))
 query("experiment_expression_ic", "id ic:6 n_obs#", _ic_sql(f"(SELECT *, {ro('avg', 'close', 5, 1)} / {ro('avg', 'close', 20, 1)} - 1 AS fc FROM fx)", "id", "fc", "y1"), NB + ", " + _F)(
     lambda s, p: RS.spearman_windows(evaluate("Mean($close, 5) / Mean($close, 20) - 1", _fx(s, p), FR), ["id"], "factor", "y1"))
 
