@@ -182,7 +182,8 @@ def grouped_names(df: DataFrame, by: Sequence[str], name: str, sep: str = ", ")
 def edge_sample(df: DataFrame, keys: Sequence[str], begin_days: int, end_days: int, pct: float, seed: int = 1, ts: str = "ts") -> DataFrame:
     """Rows near both ends of each key plus a seeded share of the middle, tagged by stratum."""
     g = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    u = F.pmod(F.xxhash64(*keys, F.col(ts), F.lit(seed)), F.lit(10_000)) / 10_000.0
+    text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.date_format(ts, "yyyy-MM-dd"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("bigint") % 10_000 / 10_000.0
     s = F.when(F.datediff(ts, "_a") < begin_days, "beginning").when(F.datediff("_b", ts) < end_days, "end").when(u < pct / 100.0, "random")
     return df.join(g, list(keys)).withColumn("stratum", s).filter("stratum IS NOT NULL").drop("_a", "_b")
 

@@ -289,11 +289,11 @@ def text_registry(df: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
 
 def category_digest(df: DataFrame, by: Sequence[str], id_col: str, n: int = 3, seed: int = 1) -> DataFrame:
-    """Counts and n seeded sample ids per category (bounded ranking in two steps)."""
+    """Counts and n sample ids per category, largest seeded md5 of the id first (bounded ranking in two steps)."""
     from tideline.operators.stats import top_k
 
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    s = top_k(df.select(*by, id_col, F.xxhash64(F.col(id_col), F.lit(seed)).alias("_u")), by, "_u", n, id_col)
+    s = top_k(df.select(*by, id_col, F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"/{seed}")).cast("binary")).alias("_u")), by, "_u", n, id_col)
     return counts.join(s.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(F.col(id_col).cast("string"))), ",").alias("samples")), list(by), "left")
 
 

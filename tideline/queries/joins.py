@@ -82,7 +82,11 @@ query("nulls_feature_issues", "id issue feature n#",
        UNION ALL SELECT id, 'outlier', 'r', count(*) FROM kept JOIN st USING (id) WHERE abs(r - m) > 4 * sd GROUP BY id UNION ALL SELECT id, 'outlier', 'thin', count(*) FROM kept JOIN st USING (id) WHERE abs(thin - mt) > 4 * st GROUP BY id""", NB,
       )(lambda s, p: (lambda d: N.feature_issues(d.filter("rn % 50 <> 0"), Frame(), ["r", "thin"], d, sigma=4.0))(
           _nb(s, p).withColumn("rn", Frame().rn()).withColumns({"r": F.when(F.col("rn") % 5 != 0, Frame().pct("close")), "thin": F.when(F.col("rn") % 3 == 0, F.col("volume"))})))
-query("feature_template", "id ts x:2 sma:3 sma_zscore:4 sma_is_outlier", None)(lambda s, p: N.feature_template(
+query("feature_template", "id ts x:2 sma:3 sma_zscore:4 sma_is_outlier",
+      f"""WITH h AS (SELECT id, ts, coalesce(last_value(x IGNORE NULLS) OVER {W}, first_value(x IGNORE NULLS) OVER (PARTITION BY id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM g),
+       m AS (SELECT *, {ro('avg', 'x', 5, 1)} AS sma FROM h)
+       SELECT id, ts, x, sma, (sma - {ro('avg', 'sma', 30)}) / nullif({ro('stddev_samp', 'sma', 30)}, 0) AS sma_zscore,
+        coalesce(abs((sma - avg(sma) OVER (PARTITION BY id)) / nullif(stddev_samp(sma) OVER (PARTITION BY id), 0)) > 4, false) AS sma_is_outlier FROM m""", GAP)(lambda s, p: N.feature_template(
     _gappy(s, p), Frame(), lambda d, f: d.withColumn("sma", f.mean("x", 5, 1)), ["x"], "forward_fill", ["sma"], 30, ["sma"]))
 
 # --- as-of and interval joins ----------------------------------------------------------------------

@@ -36,7 +36,14 @@ query("regime_liquidity_bucket", "id ts liq",
       f"""SELECT id, ts, CASE WHEN coalesce(sp < 0.8 * ms AND volume < 0.8 * mv, false) THEN 'Easy' WHEN coalesce(sp > 2 * ms, false) OR coalesce(volume > 2 * mv, false) THEN 'Stressed' ELSE 'Normal' END AS liq FROM (
        SELECT *, {ro('median', 'sp', 60, 20)} AS ms, {ro('median', 'volume', 60, 20)} AS mv FROM (SELECT *, high - low AS sp FROM bars))""", NB,
       )(lambda s, p: Z.with_liquidity_bucket(_nb(s, p).withColumn("sp", F.col("high") - F.col("low")), FR, "sp", "volume"))
-query("regime_layer_daily", "id ts L2", None)(lambda s, p: Z.layer_labels(_nb(s, p), FR, "L2"))
+_LAYER = lambda name, spans, n: (  # noqa: E731  SQL of one percentile layer over bars: trend held two rows, volatility rank in n rows
+    ema_cte("le", "bars", "close", dict(zip("fms", map(span, spans))))
+    + f""", lt AS (SELECT id, ts, rn, CASE WHEN coalesce({ro('min', 'u', 2)} = 1, false) THEN 'Up' WHEN coalesce({ro('min', 'd', 2)} = 1, false) THEN 'Down' ELSE 'Sideways' END AS trend FROM (
+       SELECT bars.*, CAST(close > s AND f > m AS INTEGER) AS u, CAST(close < s AND f < m AS INTEGER) AS d FROM bars JOIN le USING (id, ts))),
+      lv AS (SELECT t.id, t.ts, t.rn, t.a, count(CASE WHEN s.a < t.a THEN 1 END) + (count(CASE WHEN s.a = t.a THEN 1 END) + 1) / 2.0 AS r, count(s.a) AS c FROM va t JOIN va s ON s.id = t.id AND s.rn BETWEEN t.rn - {n - 1} AND t.rn GROUP BY ALL),
+      {name} AS (SELECT id, ts, trend || '-' || coalesce(CASE WHEN a IS NULL THEN NULL WHEN max(rn) OVER (PARTITION BY id) < {n} THEN CASE WHEN a < 0.015 THEN 'Low' WHEN a > 0.04 THEN 'High' ELSE 'Normal' END
+        WHEN c < {max(20, n // 3)} THEN NULL WHEN 100 * r / least(rn, {n}) < 33 THEN 'Low' WHEN 100 * r / least(rn, {n}) < 67 THEN 'Normal' ELSE 'High' END, '') || '-Normal' AS k FROM lt JOIN lv USING (id, ts, rn))""")
+query("regime_layer_daily", "id ts L2", "SELECT id, ts, k AS L2 FROM l2", NB + ", " + _VB.split(",\n vr AS")[0] + ", " + _LAYER("l2", (20, 50, 100), 250))(lambda s, p: Z.layer_labels(_nb(s, p), FR, "L2"))
 query("regime_layer_intraday", "id ts L3",
       f"""SELECT id, ts, concat_ws('-', CASE WHEN close > s AND f > m THEN 'Up' WHEN close < s AND f < m THEN 'Down' ELSE 'Sideways' END, coalesce(CASE WHEN a < 0.015 THEN 'Low' WHEN a > 0.04 THEN 'High' WHEN a IS NOT NULL THEN 'Normal' END, ''), 'Normal') AS L3 FROM va JOIN e USING (id, ts)""",
       NB + ", " + _VB.split(",\n vr AS")[0] + ", " + ema_cte("e", "bars", "close", {"f": span(34), "m": span(55), "s": span(89)}))(lambda s, p: Z.layer_labels(_nb(s, p), FR, "L3"))
@@ -102,7 +109,11 @@ query("regimes_for_assets", "id ts L2 L1 L0 L2_held size_mult:3 stop_mult:3 gros
 query("regime_sign_flips", "id ts idx# from_sign:0 to_sign:0 direction",
       f"SELECT id, ts, rn AS idx, ps AS from_sign, sg AS to_sign, CASE WHEN sg > ps THEN 'up' ELSE 'down' END AS direction FROM (SELECT *, {lag('sg')} AS ps FROM (SELECT *, sign(close - open) AS sg FROM bars)) WHERE sg <> ps", NB)(
     lambda s, p: Z.sign_flips(_nb(s, p).withColumn("sg", F.signum(F.col("close") - F.col("open"))), FR, "sg"))
-query("regime_sign_flips_separated", "id ts idx# direction", None)(lambda s, p: Z.sign_flips(_nb(s, p).withColumn("sg", F.signum(F.col("close") - F.col("open"))), FR, "sg", 5))
+query("regime_sign_flips_separated", "id ts idx# direction",
+      f"""WITH RECURSIVE fl AS MATERIALIZED (SELECT id, ts, rn, CASE WHEN sg > ps THEN 'up' ELSE 'down' END AS direction FROM (SELECT *, {lag('sg')} AS ps FROM (SELECT *, sign(close - open) AS sg FROM bars)) WHERE sg <> ps),
+       nx AS MATERIALIZED (SELECT a.id, a.rn, min(b.rn) AS nrn FROM fl a JOIN fl b ON b.id = a.id AND b.rn >= a.rn + 5 GROUP BY a.id, a.rn),
+       w AS (SELECT id, min(rn) AS rn FROM fl GROUP BY id UNION ALL SELECT nx.id, nx.nrn FROM w JOIN nx ON nx.id = w.id AND nx.rn = w.rn)
+       SELECT fl.id, fl.ts, fl.rn AS idx, direction FROM fl JOIN w USING (id, rn)""", NB)(lambda s, p: Z.sign_flips(_nb(s, p).withColumn("sg", F.signum(F.col("close") - F.col("open"))), FR, "sg", 5))
 query("regime_summary", "id regime_id# n_bars# start end avg_return:5 cum_return:2 duration_days#",
       f"""SELECT id, rg AS regime_id, count(r) AS n_bars, min(ts) AS start, max(ts) AS "end", avg(r) AS avg_return, CASE WHEN count(r) > 0 THEN product(1 + r) - 1 END AS cum_return, date_diff('day', min(ts), max(ts)) + 1 AS duration_days FROM (
        SELECT *, sum(CASE WHEN abs(r) > 8 THEN 1 ELSE 0 END) OVER {W} AS rg FROM (SELECT *, close / {lag('close')} - 1 AS r FROM bars)) GROUP BY id, rg""", NB)(

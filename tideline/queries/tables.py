@@ -180,7 +180,9 @@ query("quality_first_last", "id first_same last_same", "SELECT id, id % 4 <> 0 A
     lambda s, p: (lambda d: Q.first_last_changes(d, d.filter("NOT (id % 4 = 0 AND rn = 1)").withColumn("volume", F.when((F.col("id") % 3 != 0) | (F.col("back") > 1), F.col("volume"))), ["id"], ["close", "volume"]))(_nb(s, p).withColumns({"rn": FR.rn(), "back": F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ts")))})))
 query("quality_missing_days", "id missing_day!", "SELECT id, CAST(d AS DATE) AS missing_day FROM (SELECT id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS d FROM bars GROUP BY id) g WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.id = g.id AND b.ts = g.d)", NB)(lambda s, p: Q.missing_days(_nb(s, p), ["id"]))
 query("quality_grouped_names", "n_regionkey names n#", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 1")(lambda s, p: Q.grouped_names(M.table(s, p, "nation"), ["n_regionkey"], "n_name"))
-query("quality_edge_sample", "id stratum n#", None)(lambda s, p: Q.edge_sample(_nb(s, p), ["id"], 30, 30, 5.0).groupBy("id", "stratum").agg(F.count("*").alias("n")))
+query("quality_edge_sample", "id stratum n#",
+      """SELECT id, stratum, count(*) AS n FROM (SELECT id, CASE WHEN date_diff('day', a, ts) < 30 THEN 'beginning' WHEN date_diff('day', ts, b) < 30 THEN 'end'
+       WHEN ('0x' || substr(md5(concat_ws('/', id, strftime(ts, '%Y-%m-%d'), 1)), 1, 6))::BIGINT % 10000 < 500 THEN 'random' END AS stratum FROM (SELECT *, min(ts) OVER (PARTITION BY id) AS a, max(ts) OVER (PARTITION BY id) AS b FROM bars)) WHERE stratum IS NOT NULL GROUP BY id, stratum""", NB)(lambda s, p: Q.edge_sample(_nb(s, p), ["id"], 30, 30, 5.0).groupBy("id", "stratum").agg(F.count("*").alias("n")))
 query("quality_log_gap_audit", "check_name n_missing# status", "SELECT 'bars_have_ticks' AS check_name, 0 AS n_missing, 'PASS' AS status FROM (SELECT count(*) FROM bars) UNION ALL SELECT 'ticks_in_log', count(*), 'FAIL' FROM bars WHERE rn % 60 = 0", NB)(
     lambda s, p: Q.log_gap_audit({"bars_have_ticks": (_nb(s, p), M.order_ticks(s, p), ["id", "ts"]), "ticks_in_log": (_nb(s, p), _nb(s, p).withColumn("rn", FR.rn()).filter("rn % 60 <> 0"), ["id", "ts"])}))
 
@@ -238,7 +240,9 @@ query("text_keep_one", "doc_id lang source n_chars", "SELECT doc_id, lang, sourc
 query("text_near_duplicates", "id_a id_b similarity:6 tier", None)(lambda s, p: X.near_duplicates(M.table(s, p, "documents")))
 query("text_registry", "id content_hash n_chars# n_lines# first_line has_header", r"SELECT doc_id AS id, sha256(text) AS content_hash, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines, string_split(text, chr(10))[1] AS first_line, starts_with(text, '---' || chr(10)) AS has_header FROM documents")(
     lambda s, p: X.text_registry(M.table(s, p, "documents")))
-query("text_category_digest", "lang source n# samples", None)(lambda s, p: X.category_digest(M.table(s, p, "documents"), ["lang", "source"], "doc_id"))
+query("text_category_digest", "lang source n# samples",
+      """SELECT lang, source, max(n) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS samples FROM (SELECT *, count(*) OVER (PARTITION BY lang, source) AS n,
+       row_number() OVER (PARTITION BY lang, source ORDER BY md5(doc_id || '/1') DESC, doc_id) AS k FROM documents) WHERE k <= 3 GROUP BY lang, source""")(lambda s, p: X.category_digest(M.table(s, p, "documents"), ["lang", "source"], "doc_id"))
 _CENT = "cen AS (SELECT label AS query_id, list_transform(range(1, 65), lambda i: list_avg(list_transform(es, lambda e: e[i]::DOUBLE))) AS q FROM (SELECT label, list(embedding) AS es FROM embeddings GROUP BY label))"
 
 
