@@ -63,18 +63,18 @@ def to_root(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     step = nodes.join(known, F.col("conv").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("up")), "left").select(
         "conv", "node", "up", F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")
     )
-    step, jumps = scratch(step), []
+    step, jumps, done = scratch(step), [], None
     most = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     while True:
-        live = step.where("up is not null")
-        if not live.limit(1).count():
-            return step, jumps
-        if 1 << len(jumps) > most:  # longer than any conversation: only cycles are left
-            return step.where("up is null"), jumps
+        ended, live = step.where("up is null"), step.where("up is not null")
+        done = ended if done is None else done.union(ended)
+        # nodes that have reached their root take no part in later rounds; on a cycle none ever does
+        if 1 << len(jumps) > most or not live.limit(1).count():
+            return done, jumps
         jumps.append(live.select("conv", "node", "up"))
-        above = step.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("depth").alias("d"), F.col("total").alias("t"))
+        above = done.union(live).select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("depth").alias("d"), F.col("total").alias("t"))
         step = scratch(
-            step.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
+            live.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
             .select("conv", "node", F.col("u").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"))
         )
 
