@@ -98,15 +98,16 @@ def _venue_ticks(s, p, v=None):
     return b if v is None else b.filter(F.col("venue_id") == v).drop("venue_id")
 
 
-_V1 = VB + ", l AS (SELECT id, ts, close AS price FROM vbars WHERE venue_id = 1), r AS (SELECT id, ts, close AS ref FROM vbars WHERE venue_id = 2)"
-_asof_args = lambda s, p: (_venue_ticks(s, p, 1), _venue_ticks(s, p, 2).withColumnRenamed("price", "ref"), ["id"], "ts", ["ref"])
-query("asof_backward", "id ts price:2 matched_ts ref:2", "SELECT l.id, l.ts, l.price, r.ts AS matched_ts, r.ref FROM l ASOF LEFT JOIN r ON l.id = r.id AND l.ts >= r.ts", _V1)(
+# every venue against the next one
+_V1 = VB + ", l AS (SELECT id, venue_id, ts, close AS price FROM vbars), r AS (SELECT id, venue_id % 5 + 1 AS venue_id, ts, close AS ref FROM vbars)"
+_asof_args = lambda s, p: (_venue_ticks(s, p), _venue_ticks(s, p).withColumn("venue_id", F.col("venue_id") % 5 + 1).withColumnRenamed("price", "ref"), ["id", "venue_id"], "ts", ["ref"])
+query("asof_backward", "id venue_id# ts price:2 matched_ts ref:2", "SELECT l.id, l.venue_id, l.ts, l.price, r.ts AS matched_ts, r.ref FROM l ASOF LEFT JOIN r ON l.id = r.id AND l.venue_id = r.venue_id AND l.ts >= r.ts", _V1)(
     lambda s, p: J.asof_join(*_asof_args(s, p)))
-query("asof_forward", "id ts price:2 matched_ts ref:2", "SELECT l.id, l.ts, l.price, r.ts AS matched_ts, r.ref FROM l ASOF LEFT JOIN r ON l.id = r.id AND l.ts <= r.ts", _V1)(
+query("asof_forward", "id venue_id# ts price:2 matched_ts ref:2", "SELECT l.id, l.venue_id, l.ts, l.price, r.ts AS matched_ts, r.ref FROM l ASOF LEFT JOIN r ON l.id = r.id AND l.venue_id = r.venue_id AND l.ts <= r.ts", _V1)(
     lambda s, p: J.asof_join(*_asof_args(s, p), direction="forward"))
-query("asof_nearest", "id ts price:2 matched_ts ref:2",
-      """SELECT b.id, b.ts, b.price, CASE WHEN f.t IS NULL OR b.ts - b.t <= f.t - b.ts THEN b.t ELSE f.t END AS matched_ts, CASE WHEN f.t IS NULL OR b.ts - b.t <= f.t - b.ts THEN b.ref ELSE f.ref END AS ref FROM
-       (SELECT l.*, r.ts AS t, r.ref FROM l ASOF LEFT JOIN r ON l.id = r.id AND l.ts >= r.ts) b JOIN (SELECT l.*, r.ts AS t, r.ref FROM l ASOF LEFT JOIN r ON l.id = r.id AND l.ts <= r.ts) f USING (id, ts)""", _V1,
+query("asof_nearest", "id venue_id# ts price:2 matched_ts ref:2",
+      """SELECT b.id, b.venue_id, b.ts, b.price, CASE WHEN f.t IS NULL OR b.ts - b.t <= f.t - b.ts THEN b.t ELSE f.t END AS matched_ts, CASE WHEN f.t IS NULL OR b.ts - b.t <= f.t - b.ts THEN b.ref ELSE f.ref END AS ref FROM
+       (SELECT l.*, r.ts AS t, r.ref FROM l ASOF LEFT JOIN r ON l.id = r.id AND l.venue_id = r.venue_id AND l.ts >= r.ts) b JOIN (SELECT l.*, r.ts AS t, r.ref FROM l ASOF LEFT JOIN r ON l.id = r.id AND l.venue_id = r.venue_id AND l.ts <= r.ts) f USING (id, venue_id, ts)""", _V1,
       )(lambda s, p: J.asof_join(*_asof_args(s, p), direction="nearest"))
 _EV = "el AS (SELECT * FROM events WHERE event_type = 'click'), er AS (SELECT event_type, ts, value AS ref FROM events WHERE event_type = 'purchase')"
 query("asof_split_hot_key", "event_id ts matched_ts ref:3", "SELECT el.event_id, el.ts, er.ts AS matched_ts, er.ref FROM el ASOF LEFT JOIN er ON el.ts >= er.ts", _EV)(
