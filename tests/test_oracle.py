@@ -1,7 +1,8 @@
-"""Registered queries against their SQL on DuckDB. TIDELINE_ALL=1 runs every query."""
+"""Registered queries against their SQL on DuckDB. All of them run, several at a time; TIDELINE_SHARE=n takes every n-th."""
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ from tideline.queries.catalog import REGISTRY
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 WITH_SQL = [n for n, q in REGISTRY.items() if q.sql is not None]
-CHOSEN = WITH_SQL if os.environ.get("TIDELINE_ALL") else WITH_SQL[::9]
+CHOSEN = WITH_SQL[:: int(os.environ.get("TIDELINE_SHARE", "1"))]
 
 
 def norm(v):
@@ -33,17 +34,29 @@ def con(sf):
     return c
 
 
+@pytest.fixture(scope="module")
+def results(spark, sf, con, request):
+    """Both sides of every chosen query, computed ahead by a few threads."""
+
+    def both(name):
+        df = REGISTRY[name].run(spark, sf)
+        cols = sorted(df.columns)
+        got = [tuple(map(norm, r)) for r in df.select(*cols).collect()]
+        cur = con.cursor().execute(REGISTRY[name].sql)
+        names = [d[0] for d in cur.description]
+        idx = [names.index(c) for c in cols if c in names]
+        return cols, got, sorted(names), [tuple(norm(r[i]) for i in idx) for r in cur.fetchall()]
+
+    wanted = {i.callspec.params["name"] for i in request.session.items if hasattr(i, "callspec") and i.originalname == "test_query_matches_sql"}
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(both, name) for name in CHOSEN if name in wanted}
+        pool.shutdown(cancel_futures=True)
+
+
 @pytest.mark.parametrize("name", CHOSEN)
-def test_query_matches_sql(spark, sf, con, name):
-    q = REGISTRY[name]
-    df = q.run(spark, sf)
-    cols = sorted(df.columns)
-    got = [tuple(map(norm, r)) for r in df.select(*cols).collect()]
-    cur = con.execute(q.sql)
-    names = [d[0] for d in cur.description]
-    assert sorted(names) == cols
-    idx = [names.index(c) for c in cols]
-    want = [tuple(norm(r[i]) for i in idx) for r in cur.fetchall()]
+def test_query_matches_sql(results, name):
+    cols, got, names, want = results[name].result()
+    assert names == cols
     assert len(got) == len(want)
     key = lambda r: tuple((v is None, "" if v is None else (f"{v:.3f}" if isinstance(v, float) else str(v))) for v in r)
     exact = [i for i, c in enumerate(cols) if got and not any(isinstance(r[i], float) for r in got)]

@@ -70,6 +70,24 @@ def decayed_sums(
     return df.drop("_blk", "_k", *local, *([] if position else ["_n"]))
 
 
+def decayed_by_key(df: DataFrame, frame: Frame, position: str, value: Col, decay: Col, out: str, fastest: float) -> DataFrame:
+    """``decayed_sums`` with a decay that is a column, the same on all rows of a key (many rates in one pass).
+
+    ``position`` counts the observed rows from 1 (0 before the first); ``value`` is non-null on them only. ``fastest`` is the
+    smallest decay that occurs; it sets the block length, and earlier blocks (a few for each key) are folded in order.
+    """
+    rows = block_rows([fastest])
+    d = col(decay)
+    df = df.withColumns({"_blk": F.floor((F.col(position) - 1) / F.lit(rows)).cast("bigint"), "_k": F.pmod(F.col(position) - 1, F.lit(rows)).cast("double")})
+    block = Window.partitionBy(*frame.keys, "_blk").orderBy(*frame.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_loc", F.sum(col(value).cast("double") * F.pow(d, -F.col("_k"))).over(block) * F.pow(d, F.col("_k")))
+    closing = F.when((F.col("_k") == rows - 1) & col(value).isNotNull(), F.col("_loc"))
+    before = F.collect_list(closing).over(Window.partitionBy(*frame.keys).orderBy("_blk").rangeBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_old", before)
+    carry = F.aggregate("_old", F.lit(0.0), lambda acc, x: acc * F.pow(d, F.lit(float(rows))) + x)
+    return df.withColumn(out, F.when(F.col(position) > 0, F.col("_loc") + F.pow(d, F.col("_k") + 1) * carry)).drop("_blk", "_k", "_loc", "_old")
+
+
 def ewm_mean(
     df: DataFrame, frame: Frame, x: Col, alphas: Mapping[str, float]
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.frames import Col, Frame, col, div
-from tideline.functions.smoothing import ema_seeded, ewm_columns, ewm_mean, ewm_span, span
+from tideline.functions.smoothing import decayed_by_key, ema_seeded, ewm_columns, ewm_mean, ewm_span, span
 from tideline.plans.scan import scan
 
 EMA_PERIODS = (9, 10, 21, 50, 100, 200)
@@ -90,36 +90,34 @@ def timeframe_emas(
     ts: str = "ts",
     roll: str = "is_partial_end",
 ) -> DataFrame:
-    """Two EMAs per (timeframe, period) on the daily grid, in long form.
+    """Two EMAs for each (timeframe, period) on the daily grid, with their differences, in long form and one pass.
 
-    ``ema_bar``: recursion over bar closes; an intra-bar row previews it as a*close + (1-a)*last close
-    value. ``ema``: the equivalent daily-rate recursion over every row, seeded at the first canonical
-    ``ema_bar``. Both come from window sums on the key partitioning.
+    ``ema_bar``: recursion over canonical closes, seeded with the mean of the first ``period`` of them; an intra-bar row
+    previews it as a * close + (1 - a) * last canonical value. ``ema``: the equivalent daily-rate recursion over every row from the
+    first canonical ``ema_bar`` on. Periods are rows and rates are columns, so any number of timeframes and periods is one set
+    of windows over one partitioning. ``*_d1``, ``*_d2`` step from canonical to canonical row, ``*_roll`` from row to row.
     """
-    out: DataFrame | None = None
-    base = snapshots.select(*keys, ts, "close", roll)
-    canon = base.withColumn("_cc", F.when(~F.col(roll), F.col("close")))
-    f = Frame(keys, (ts,))
-    for p in periods:
-        a = span(p)
-        df = ema_seeded(canon, f, "_cc", "_canon_ema", a, p)
-        prior = F.when(F.col(roll), F.col("_canon_ema"))
-        df = df.withColumn("ema_bar", F.when(~F.col(roll), F.col("_canon_ema")).otherwise(a * F.col("close") + (1 - a) * prior))
-        df = df.withColumn("_started", F.col("_canon_ema").isNotNull())
-        df = df.withColumn("_first", F.col("_started") & (F.sum(F.col("_started").cast("int")).over(f.cum) == 1))
-        x = F.when(F.col("_first"), F.col("_canon_ema")).when(F.col("_started"), F.col("close"))
-        df = df.withColumn("_ex", x)
-        parts = []
-        for tf, days in tf_days.items():
-            part = df.filter(F.col("tf") == tf)
-            parts.append(ewm_mean(part, f, "_ex", {"ema": daily_alpha(p, days)}))
-        merged = parts[0]
-        for q in parts[1:]:
-            merged = merged.unionByName(q)
-        merged = merged.select(*keys, ts, F.lit(p).alias("period"), "close", F.col(roll).alias("roll"), "ema", "ema_bar")
-        out = merged if out is None else out.unionByName(merged)
-    assert out is not None
-    return out
+    days = F.create_map(*[F.lit(x) for tf, n in tf_days.items() for x in (tf, float(n))])
+    d = snapshots.filter(F.col("tf").isin(list(tf_days))).select(*keys, ts, "close", F.col(roll).alias("roll"), days[F.col("tf")].alias("_days"))
+    d = d.withColumn("period", F.explode(F.array(*[F.lit(int(p)) for p in periods])))
+    rate = F.lit(2.0) / (F.col("period") + 1.0)
+    d = d.withColumns({"_bar": F.lit(1.0) - rate, "_day": F.pow(F.lit(1.0) - rate, F.lit(1.0) / F.col("_days"))})
+    f = Frame((*keys, "period"), (ts,))
+    closed = ~F.col("roll") & F.col("close").isNotNull()
+    d = d.withColumns({"_nc": F.count_if(closed).over(f.cum), "_sc": F.sum(F.when(closed, F.col("close"))).over(f.cum)})
+    d = d.withColumn("_pos", F.greatest(F.col("_nc") - F.col("period") + 1, F.lit(0)))
+    value = F.when(F.col("_pos") == 1, F.col("_sc") / F.col("_nc")).when(F.col("_pos") > 1, F.col("close") * (1.0 - F.col("_bar")))
+    d = d.withColumn("_x", F.when(closed, value))
+    d = decayed_by_key(d, f, "_pos", "_x", "_bar", "_canon", 1.0 - span(min(periods)))
+    preview = F.when(closed, F.col("_canon")).otherwise((1.0 - F.col("_bar")) * F.col("close") + F.col("_bar") * F.col("_canon"))
+    d = d.withColumns({"ema_bar": preview, "_pos": F.count("_canon").over(f.cum)})
+    d = d.withColumn("_x", F.when(F.col("_pos") == 1, F.col("_canon")).when(F.col("_pos") > 1, F.col("close") * (1.0 - F.col("_day"))))
+    fastest = min((1.0 - span(min(periods))) ** (1.0 / n) for n in tf_days.values())
+    d = decayed_by_key(d, f, "_pos", "_x", "_day", "ema", fastest)
+    for v in ("ema", "ema_bar"):
+        d = canonical_differences(d, (*keys, "period"), v, "roll", ts)
+    out = [f"{v}{s}" for v in ("ema", "ema_bar") for s in ("", "_d1", "_d2", "_d1_roll", "_d2_roll")]
+    return d.select(*keys, ts, "period", "close", "roll", *out)
 
 
 # --- adaptive averages -----------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from tideline.operators import indicators as I
 from tideline.operators import volatility as V
 from tideline.operators import returns as R
 from tideline.plans import segments as S
+from tideline.queries import bars as _bar_queries
 from tideline.queries.base import NB, W, ema_cte, lag, query, ro, span
 from tideline.sources import market as M
 
@@ -72,19 +73,58 @@ query("ema_timeframe_bar_space", "id tf ts period# roll ema_bar:4",
       """SELECT id, tf, ts, 3 AS period, roll, CASE WHEN NOT roll THEN v ELSE 0.5 * close + 0.5 * last_value(v IGNORE NULLS) OVER (PARTITION BY id, tf ORDER BY ts) END AS ema_bar
        FROM snap LEFT JOIN cema USING (id, tf, ts)""",
       NB + ", snap AS (SELECT b.*, n || 'D' AS tf, n AS tf_days, rn % n <> 0 AS roll FROM bars b CROSS JOIN (SELECT unnest([2, 5]) AS n)), " + _CANON,
-      )(lambda s, p: _seed_on_canonical(B.count_snapshots(_nb(s, p), [2, 5])))
-
-
-def _seed_on_canonical(snaps):
-    """Bar-space EMA where the seed window counts canonical closes."""
-    canon = B.canonical(snaps).select("id", "tf", "ts", "close")
-    e = ema_seeded(canon, Frame(("id", "tf")), "close", "v", 0.5, 3).select("id", "tf", "ts", "v")
-    f = Frame(("id", "tf"))
-    j = snaps.join(e, ["id", "tf", "ts"], "left")
-    bar = F.when(~F.col("is_partial_end"), F.col("v")).otherwise(0.5 * F.col("close") + 0.5 * f.ffill("v"))
-    return j.select("id", "tf", "ts", F.lit(3).alias("period"), F.col("is_partial_end").alias("roll"), bar.alias("ema_bar"))
-
-
+      )(lambda s, p: A.timeframe_emas(B.count_snapshots(_nb(s, p), [2, 5]), {"2D": 2.0, "5D": 5.0}, (3,)))
+
+
+def _tf_ema_sql(snap, days, periods=(3, 9), daily=True):
+    """CTEs of both recursions as closed sums: canonical closes from a mean seed, then every row at the daily rate."""
+    cases = " ".join(f"WHEN '{tf}' THEN {n!r}" for tf, n in days.items())
+    head = f"""snap AS ({snap}), ps AS (SELECT unnest({list(periods)}) AS p), canon AS (SELECT *, row_number() OVER (PARTITION BY id, tf ORDER BY ts) AS k FROM snap WHERE NOT roll),
+ sd AS (SELECT id, tf, p, avg(close) AS m FROM canon, ps WHERE k <= p GROUP BY ALL HAVING count(*) = p),
+ ce AS (SELECT t.id, t.tf, t.ts, sd.p, sum(CASE WHEN s.k = sd.p THEN sd.m WHEN s.k > sd.p THEN 2.0 / (sd.p + 1) * s.close ELSE 0 END * pow(1 - 2.0 / (sd.p + 1), t.k - s.k)) AS v
+  FROM sd JOIN canon t ON t.id = sd.id AND t.tf = sd.tf AND t.k >= sd.p JOIN canon s ON s.id = t.id AND s.tf = t.tf AND s.k <= t.k GROUP BY ALL),
+ eb AS (SELECT snap.id, snap.tf, snap.ts, p, close, roll, v, CASE WHEN NOT roll THEN v ELSE 2.0 / (p + 1) * close + (1 - 2.0 / (p + 1)) * last_value(v IGNORE NULLS) OVER (PARTITION BY snap.id, snap.tf, p ORDER BY snap.ts) END AS ema_bar,
+  count(v) OVER (PARTITION BY snap.id, snap.tf, p ORDER BY snap.ts) > 0 AS on FROM snap CROSS JOIN ps LEFT JOIN ce USING (id, tf, ts, p))"""
+    if not daily:
+        return head + ", bo AS (SELECT id, tf, ts, p AS period, roll, ema_bar FROM eb)"
+    return head + f""",
+ dq AS (SELECT *, row_number() OVER (PARTITION BY id, tf, p ORDER BY ts) AS q, pow(1 - 2.0 / (p + 1), 1 / CASE tf {cases} END) AS d FROM eb WHERE "on"),
+ de AS (SELECT t.id, t.tf, t.ts, t.p, sum(CASE WHEN s.q = 1 THEN s.v ELSE (1 - s.d) * s.close END * pow(t.d, t.q - s.q)) AS ema FROM dq t JOIN dq s ON s.id = t.id AND s.tf = t.tf AND s.p = t.p AND s.q <= t.q GROUP BY ALL),
+ bo AS (SELECT eb.id, eb.tf, eb.ts, eb.p AS period, roll, ema, ema_bar FROM eb LEFT JOIN de USING (id, tf, ts, p))"""
+
+
+_TF_OUT = "id tf ts period# roll ema:2 ema_bar:2 ema_d1:2 ema_d2_roll:2 ema_bar_d1:2 ema_bar_d1_roll:2"
+_TF_BODY = """SELECT *, ema_d1_roll - lag(ema_d1_roll) OVER u AS ema_d2_roll FROM (SELECT *, ema - lag(ema) OVER u AS ema_d1_roll, ema_bar - lag(ema_bar) OVER u AS ema_bar_d1_roll, CASE WHEN NOT roll THEN ema - lag(ema) OVER c END AS ema_d1,
+ CASE WHEN NOT roll THEN ema_bar - lag(ema_bar) OVER c END AS ema_bar_d1 FROM bo WINDOW u AS (PARTITION BY id, tf, period ORDER BY ts), c AS (PARTITION BY id, tf, period, roll ORDER BY ts)) WINDOW u AS (PARTITION BY id, tf, period ORDER BY ts)"""
+_TF_COUNT = {f"{n}D": float(n) for n in (2, 5, 7)}
+_TF_CAL = {"1W": 7.0, "1M": 30.4375}
+query("ema_timeframes_count", _TF_OUT, _TF_BODY, NB + ", " + _tf_ema_sql("SELECT b.id, n || 'D' AS tf, b.ts, b.close, b.rn % n <> 0 AS roll FROM bars b CROSS JOIN (SELECT unnest([2, 5, 7]) AS n)", _TF_COUNT))(
+    lambda s, p: A.timeframe_emas(B.count_snapshots(_nb(s, p), [2, 5, 7]), _TF_COUNT, (3, 9)))
+
+
+def _carried(s, p):
+    """Nation bars on every day of their history, closes carried over days without a trade: complete calendar periods."""
+    d = _nb(s, p).select("id", "ts", "close", "volume")
+    days = d.groupBy("id").agg(F.explode(F.sequence(F.min("ts"), F.max("ts"), F.expr("INTERVAL 1 DAY"))).alias("ts"))
+    d = days.join(d, ["id", "ts"], "left").withColumns({"close": Frame().ffill("close"), "volume": F.coalesce("volume", F.lit(0.0))})
+    return d.withColumns({c: F.col("close") for c in ("open", "high", "low")})
+
+
+_CARRIED = """, bars_t AS (SELECT id, ts, close, volume FROM bars), dense AS (SELECT *, close AS open, close AS high, close AS low FROM (SELECT id, ts, last_value(close IGNORE NULLS) OVER (PARTITION BY id ORDER BY ts) AS close, coalesce(volume, 0) AS volume
+ FROM (SELECT id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM bars GROUP BY id) LEFT JOIN bars_t USING (id, ts))), dd AS (SELECT *, CAST(ts AS DATE) AS d, CAST(min(ts) OVER (PARTITION BY id) AS DATE) AS f FROM dense), """
+for _kind, _build, _scheme, _src in (
+    ("calendar", B.calendar_snapshots, "iso", _bar_queries._cal_sql), ("calendar", B.calendar_snapshots, "us", _bar_queries._cal_sql),
+    ("anchored", B.anchored_snapshots, "iso", _bar_queries._anchor_sql), ("anchored", B.anchored_snapshots, "us", _bar_queries._anchor_sql),
+):
+    _tfs = ", ".join(repr(t) for t in _TF_CAL)
+    _rows = f"SELECT *, pe - ps + 1 AS tf_days, count(*) OVER (PARTITION BY id, tf, ps ORDER BY ts) AS c, count(*) OVER (PARTITION BY id, tf, ps) AS n, CAST(max(ts) OVER (PARTITION BY id, tf) AS DATE) > pe AS ended FROM ({_src(_scheme)}) WHERE tf IN ({_tfs})"
+    _open = "c < tf_days" if _kind == "calendar" else "c < CASE WHEN ended THEN n ELSE tf_days END"
+    _ctes, _bar_ctes = (NB + _CARRIED + _tf_ema_sql(f"SELECT id, tf, ts, close, {_open} AS roll FROM ({_rows})", _TF_CAL, (5,), daily) for daily in (True, False))
+    query(f"ema_timeframes_{_kind}_{_scheme}", _TF_OUT, _TF_BODY, _ctes)(
+        lambda s, p, _b=_build, _c=_scheme: A.timeframe_emas(_b(_carried(s, p), [(1, "W"), (1, "M")], _c), _TF_CAL, (5,)))
+    query(f"returns_ema_timeframes_{_kind}_{_scheme}", "id tf ts period# ema_bar_ret_arith:6 ema_bar_ret_arith_roll:6", """SELECT id, tf, ts, period, CASE WHEN NOT roll THEN ema_bar / lag(ema_bar) OVER c - 1 END AS ema_bar_ret_arith, ema_bar / lag(ema_bar) OVER u - 1 AS ema_bar_ret_arith_roll FROM bo
+       WINDOW u AS (PARTITION BY id, tf, period ORDER BY ts), c AS (PARTITION BY id, tf, period, roll ORDER BY ts)""", _bar_ctes)(
+        lambda s, p, _b=_build, _c=_scheme: R.value_returns(A.timeframe_emas(_b(_carried(s, p), [(1, "W"), (1, "M")], _c), _TF_CAL, (5,)), "ema_bar", ["id", "tf", "period"], roll="roll"))
 query("ema_canonical_differences", "id ts roll close_d1:2 close_d1_roll:2 close_d2:2 close_d2_roll:2",
       f"""SELECT *, d1r - lag(d1r) OVER u AS close_d2_roll, CASE WHEN NOT roll THEN close_d1 - lag(close_d1) OVER c END AS close_d2, d1r AS close_d1_roll FROM (
        SELECT *, close - lag(close) OVER u AS d1r, CASE WHEN NOT roll THEN close - lag(close) OVER c END AS close_d1 FROM (SELECT *, rn % 3 <> 0 AS roll FROM bars)
