@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.frames import Frame
+from tideline.session import checkpoint_dir
 
 SEGMENT_ROWS = 65_536
 
@@ -166,22 +167,19 @@ def ema(
     return joined.withColumns(final).drop("_blk", "_k", *sums, *[f"_c_{o}" for o in alphas])
 
 
-def group_rank(df: DataFrame, group: Sequence[str], value: str, splits: int = 64) -> DataFrame:
-    """Average-tie rank and count of ``value`` within a group of any size.
+def value_ranks(df: DataFrame, group: Sequence[str], value: str, splits: int = 64) -> DataFrame:
+    """One row for each distinct non-null value of a group of any size: copies, rank_min, rank_avg, group_n.
 
-    Ranks are counted on distinct values (map-side combined), cut at approximate quantiles of the
-    group so that no task orders a whole group; the cut points only place values, counts stay exact.
-    Adds ``rank_avg``, ``rank_min`` and ``group_n`` (non-null values).
+    The histogram of distinct values (map-side combined) is checkpointed, so the input is read once; cuts, totals and ranks come
+    from it. It is cut at approximate quantiles of the group so that no task orders a whole group; the cut points only place
+    values, counts stay exact. Runs one Spark job while it is called.
     """
     group = list(group)
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = hist.groupBy(*group).agg(
-        F.percentile_approx(value, [i / splits for i in range(1, splits)], 1000).alias("_cuts")
-    )
-    placed = hist.join(cuts, group).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
-    totals = placed.groupBy(*group, "_b").agg(F.sum("_c").alias("_t"))
+    checkpoint_dir(df.sparkSession)
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("copies")).checkpoint()
+    cuts = hist.groupBy(*group).agg(F.percentile_approx(value, [i / splits for i in range(1, splits)], 1000).alias("_cuts"))
+    placed = hist.join(cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = placed.groupBy(*group, "_b").agg(F.sum("copies").alias("_t"))
     over = Window.partitionBy(*group).orderBy("_b")
     totals = totals.select(
         *group,
@@ -190,29 +188,29 @@ def group_rank(df: DataFrame, group: Sequence[str], value: str, splits: int = 64
         F.sum("_t").over(Window.partitionBy(*group)).alias("group_n"),
     )
     inner = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = placed.withColumn("_in", F.coalesce(F.sum("_c").over(inner), F.lit(0))).join(
-        totals, [*group, "_b"]
-    ).select(
-        *group,
-        value,
-        (F.col("_off") + F.col("_in") + 1).alias("rank_min"),
-        (F.col("_off") + F.col("_in") + (F.col("_c") + 1) / F.lit(2.0)).alias("rank_avg"),
-        "group_n",
+    before = F.col("_off") + F.coalesce(F.sum("copies").over(inner), F.lit(0))
+    return placed.join(totals, [*group, "_b"]).withColumn("_before", before).select(
+        *group, value, "copies", (F.col("_before") + 1).alias("rank_min"), (F.col("_before") + (F.col("copies") + 1) / F.lit(2.0)).alias("rank_avg"), "group_n"
     )
-    return df.join(ranks, [*group, value], "left")
+
+
+def group_rank(df: DataFrame, group: Sequence[str], value: str, splits: int = 64) -> DataFrame:
+    """Average-tie rank and count of ``value`` within a group of any size (see ``value_ranks``).
+
+    Adds ``rank_avg``, ``rank_min`` and ``group_n`` (non-null values). The input is read twice: for the histogram and for
+    the join back, whose hot values AQE splits (a plain left join of rows with one row for each value).
+    """
+    return df.join(value_ranks(df, group, value, splits).drop("copies"), [*group, value], "left")
 
 
 def percentiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float], splits: int = 64) -> DataFrame:
     """Exact linear-interpolated percentiles per group of any size: ``out: p`` columns.
 
-    The built-in exact percentile holds every distinct value of a group in one task. Here the distinct
-    values carry their ranks from the split histogram, and each wanted position picks its two rows.
+    The built-in exact percentile holds every distinct value of a group in one task. Here the distinct values carry their
+    ranks (see ``value_ranks``; the input is read once), and each wanted position picks its two rows.
     """
     group = list(group)
-    values = df.filter(F.col(value).isNotNull()).select(*group, value)
-    ranked = group_rank(values, group, value, splits).select(
-        *group, value, "rank_min", (2 * F.col("rank_avg") - F.col("rank_min")).alias("_hi"), "group_n"
-    )
+    ranked = value_ranks(df, group, value, splits).withColumn("_hi", F.col("rank_min") + F.col("copies") - 1)
     aggs = []
     for out, p in probs.items():
         pos = F.lit(p) * (F.col("group_n") - 1) + 1
