@@ -94,14 +94,14 @@ query("eval_bar_returns_of_trades", "id ts ret:6", f"SELECT b.id, b.ts, CASE WHE
 query("eval_daily_trade_returns", "id day! pnl:3",
       "SELECT g.id, g.day, coalesce(sum(t.p), 0) AS pnl FROM (SELECT id, CAST(unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-03-31', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT id FROM trades)) g LEFT JOIN (SELECT id, CAST(exit_ts AS DATE) AS day, entry_price / 1000 AS p FROM trades) t USING (id, day) GROUP BY g.id, g.day", TRADES)(
     lambda s, p: E.daily_trade_returns(_trades(s, p).withColumn("pnl", F.col("entry_price") / 1000), ["id"], F.lit("1996-01-01").cast("date"), F.lit("1996-03-31").cast("date")))
-query("eval_bootstrap_sharpe", "id lo:5 median:5 hi:5 samples#", None)(lambda s, p: E.bootstrap_sharpe(_strat(s, p), ["id"], "strat_ret", samples=50))
-_MT = f"mt AS (SELECT id, {_sh('strat_ret', 252)} AS sharpe, min(drawdown) AS max_drawdown, avg(dp) AS turnover, avg(CAST(strat_ret > 0 AS DOUBLE)) AS psr, pow(exp(sum(ln(1 + strat_ret))), 252.0 / count(*)) - 1 AS ann_return, count(*) AS n_trades FROM dd GROUP BY id)"
+query("eval_bootstrap_sharpe", "id lo:5 median:5 hi:5 samples#", None)(lambda s, p: E.bootstrap_sharpe(_strat(s, p), ["id"], "strat_ret"))
+_MT = _MOM + f", mt AS (SELECT m0.*, psr FROM (SELECT id, {_sh('strat_ret', 252)} AS sharpe, min(drawdown) AS max_drawdown, avg(dp) AS turnover, pow(exp(sum(ln(1 + strat_ret))), 252.0 / count(*)) - 1 AS ann_return, count(*) AS n_trades FROM dd GROUP BY id) m0 JOIN (SELECT id, {phi('z')} AS psr FROM (SELECT id, sr / sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1)) AS z FROM mo)) USING (id))"
 
 
 def _mt(s, p):
     d = E.with_equity(_strat(s, p), FR, "strat_ret").withColumn("_dp", F.abs(FR.diff("position")))
     m = E.metrics(d, ["id"], "strat_ret", 252.0, F.avg("_dp").alias("turnover"))
-    return m.withColumn("psr", F.col("hit_rate")).withColumnRenamed("n_bars", "n_trades")
+    return m.join(E.psr(_strat(s, p), ["id"], "strat_ret").select("id", "psr"), "id").withColumnRenamed("n_bars", "n_trades")
 
 
 _un = lambda m: f"({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ())"
