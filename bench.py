@@ -39,6 +39,11 @@ HEADLINE = {
     "ic": "research_ic_table",
     "cpcv": "eval_cpcv",
     "quality": "quality_table_tests",
+    "tf_emas": "ema_timeframes_count",
+    "emas_suppliers": "ema_seeded_periods_suppliers",
+    "rsi_suppliers": "rsi_suppliers",
+    "volatility_suppliers": "range_volatility_suppliers",
+    "cycles_suppliers": "ath_cycle_suppliers",
     "tick_ema": "tick_ema_split_keys",
     "near_duplicates": "text_near_duplicates",
 }

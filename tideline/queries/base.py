@@ -103,6 +103,11 @@ bars0 AS (SELECT id, ts, arg_min(price, ord) AS open, max(price) AS high, min(pr
   arg_max(price, ord) AS close, sum(qty) AS volume, sum(price * qty) AS dollar FROM sticks GROUP BY id, ts),
 bars AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS rn FROM bars0)"""
 
+UB = f"""uticks AS (SELECT user_id AS id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts, value AS price,
+  struct_pack(a := ts, b := event_id) AS ord FROM events),
+bars0 AS (SELECT id, ts, {_OHLC} FROM uticks GROUP BY id, ts),
+bars AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS rn FROM bars0)"""
+
 W = "(PARTITION BY id ORDER BY ts)"
 
 

@@ -14,7 +14,7 @@ from tideline.operators import volatility as V
 from tideline.operators import returns as R
 from tideline.plans import segments as S
 from tideline.queries import bars as _bar_queries
-from tideline.queries.base import NB, W, ema_cte, lag, query, ro, span
+from tideline.queries.base import NB, SB, UB, W, ema_cte, lag, query, ro, span
 from tideline.sources import market as M
 
 
@@ -22,9 +22,21 @@ def _nb(s, p):
     return M.nation_bars(s, p).select("id", "ts", "open", "high", "low", "close", "volume")
 
 
+#: Features that are also registered on many keys: every supplier's and every user's daily bars.
+WIDE = {
+    "suppliers": ("ema_seeded_periods", "ema_span_first_seed", "rsi", "macd", "bollinger", "stochastic", "atr_simple", "adx", "range_volatility", "return_volatility", "ath_cycle"),
+    "users": ("ema_span_first_seed", "stochastic", "obv"),
+}
+SOURCES = {"suppliers": (SB, M.supplier_bars), "users": (UB, M.user_day_bars)}
+
+
 def feat(name, spec, op, sql, ctes=""):
-    """Register a bar feature: op(df, frame) on nation bars against SQL over ``bars``."""
+    """Register a bar feature: op(df, frame) on nation bars against SQL over ``bars``; on wide tables too if listed."""
     query(name, "id ts " + spec, sql, NB + (", " + ctes if ctes else ""))(lambda s, p: op(_nb(s, p), Frame()))
+    for kind, names in WIDE.items():
+        if name in names:
+            base, source = SOURCES[kind]
+            query(f"{name}_{kind}", "id ts " + spec, sql, base + (", " + ctes if ctes else ""))(lambda s, p, _s=source: op(_s(s, p).select("id", "ts", "open", "high", "low", "close", "volume"), Frame()))
 
 
 def seeded_cte(name, src, x, out, p, alpha=None, key="id"):
