@@ -18,6 +18,7 @@ from tideline.operators import ml as ML
 from tideline.operators import quality as Q
 from tideline.operators import regimes as Z
 from tideline.operators import research as RS
+from tideline.operators import returns as R
 from tideline.operators import signals as SG
 from tideline.operators import stats as S
 from tideline.operators import risk as K
@@ -54,6 +55,44 @@ query("source_json_entries", "event_id value# ts label",
     lambda s, p: V.json_entries(M.table(s, p, "events").select("event_id", F.to_json(F.array(F.struct(F.floor("value").cast("string").alias("value"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"), F.col("event_type").alias("label")))).alias("payload")), "payload").withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 query("source_keep_lowest_rank", "id venue_id price:2", "SELECT id, venue_id, arg_min(price, ord) AS price FROM ticks GROUP BY id, venue_id", TICKS)(lambda s, p: V.keep_lowest_rank(M.order_ticks(s, p), ["id", "venue_id"], "ord"))
 
+_folder = lambda s: f"{checkpoint_dir(s).rstrip('/')}/tideline-tables-{uuid.uuid4().hex}"
+
+
+def _parquet_round_trip(s, p):
+    """Write bars by partitions and read them back; then write other values for the even keys' partitions only."""
+    folder = _folder(s)
+    V.write_parquet(_nb(s, p).select("id", "ts", "close"), folder, ["id"])
+    changed = V.read_parquet(s, folder).filter("id % 2 = 0").withColumn("close", F.col("close") + 1)
+    other = _folder(s)
+    V.write_parquet(changed, other)
+    P.write_partitions(V.read_parquet(s, other), folder, ["id"])
+    return V.read_parquet(s, folder)
+
+
+query("source_parquet_partitions", "id# ts close:2", "SELECT id, ts, CASE WHEN id % 2 = 0 THEN close + 1 ELSE close END AS close FROM bars", NB)(_parquet_round_trip)
+
+
+def _resampled_file(s, p):
+    source, target = _folder(s), _folder(s)
+    V.write_parquet(_nb(s, p), source)
+    B.resample_file(s, source, target, "1D")
+    return V.read_parquet(s, target)
+
+
+query("source_resampled_file", "id open:2 high:2 low:2 close:2", "SELECT id, open, high, low, close FROM bars", NB)(_resampled_file)
+query("bars_to_timeframe", "id tf ts close:2 is_partial_end", "SELECT id, '5D' AS tf, ts, close, rn % 5 <> 0 AS is_partial_end FROM bars", NB)(lambda s, p: B.to_timeframe(_nb(s, p), 5, "D"))
+query("bars_union_variants", "id ts close:2 alignment_source", "SELECT id, ts, close, 'daily' AS alignment_source FROM bars UNION ALL SELECT id, ts, close, 'five_days' FROM bars WHERE rn % 5 = 0", NB)(
+    lambda s, p: R.union_variants({"daily": _nb(s, p).select("id", "ts", "close"), "five_days": B.canonical(B.to_timeframe(_nb(s, p), 5, "D")).select("id", "ts", "close")}))
+query("bars_conform", "id ts volume:2 venue", "SELECT id, ts, CASE WHEN volume > 1 THEN volume ELSE -1 END AS volume, 'all' AS venue FROM bars", NB)(
+    lambda s, p: B.conform(_nb(s, p).withColumn("volume", F.when(F.col("volume") > 1, F.col("volume"))), {"volume": F.lit(-1.0), "venue": F.lit("all")}))
+query("bars_split_valid", "id kind n#", "SELECT id, CASE WHEN rn % 10 = 0 THEN 'rejected' ELSE 'valid' END AS kind, count(*) AS n FROM bars GROUP BY ALL", NB)(
+    lambda s, p: (lambda v: v[0].withColumn("kind", F.lit("valid")).select("id", "kind").unionByName(v[1].withColumn("kind", F.lit("rejected")).select("id", "kind")).groupBy("id", "kind").agg(F.count("*").alias("n")))(
+        B.split_valid(_nb(s, p).withColumn("rn", FR.rn()).withColumn("high", F.when(F.col("rn") % 10 == 0, F.col("low") - 1).otherwise(F.col("high"))))))
+query("eval_cagr", "id cagr:6", "SELECT id, pow(arg_max(close, ts) / arg_min(close, ts), 252.0 / nullif(count(*) - 1, 0)) - 1 AS cagr FROM bars GROUP BY id", NB)(
+    lambda s, p: _nb(s, p).groupBy("id").agg(F.min_by("close", "ts").alias("a"), F.max_by("close", "ts").alias("b"), (F.count("*") - 1).alias("n")).withColumn("cagr", E.cagr("a", "b", "n")))
+query("signal_tf_alignment", "id ts tf_alignment:6", "SELECT id, ts, avg(CASE WHEN close > open THEN 1 ELSE 0 END) - 0.5 AS tf_alignment FROM (SELECT id, ts, open, close FROM bars UNION ALL SELECT id, ts, low, high FROM bars) GROUP BY id, ts", NB)(
+    lambda s, p: SG.tf_alignment(_nb(s, p).select("id", "ts", F.explode(F.array((F.col("close") > F.col("open")).cast("double"), (F.col("high") > F.col("low")).cast("double"))).alias("agreement")), ["id"]))
+
 
 def _csv_round_trip(s, p):
     """Write daily bars as semicolon text and read them back typed."""
