@@ -52,6 +52,43 @@ def fold_fills(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return d.groupBy(*keys).applyInPandas(run, schema)
 
 
+def fold_fills_in_slices(fills: DataFrame, keys: Sequence[str], order: Sequence[str], edges: Sequence[str], folder: str) -> DataFrame:
+    """``fold_fills`` for keys with any number of fills: time slices one after the other, with a state row for each key.
+
+    A task holds one key's fills of one slice. ``edges`` are the slices' first instants (``slice_edges``); output and state of every
+    slice are tables in ``folder``.
+    """
+    from tideline.plans.incremental import in_slices
+
+    d = fills.select(*keys, *order, F.col("qty").cast(MONEY).alias("qty"), F.col("price").cast(MONEY).alias("price"))
+    names = ["position", "avg_cost", "realized_pnl"]
+    schema = T.StructType([*d.schema.fields, *[T.StructField(n, MONEY) for n in names]])
+    blank = d.select(*keys).withColumns({n: F.lit(None).cast(MONEY) for n in names}).limit(0)
+    tick = Decimal(1).scaleb(-18)
+
+    def run(part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        import decimal
+
+        part = part.sort_values(list(order), kind="stable")
+        with decimal.localcontext() as ctx:
+            ctx.prec = 60
+            state = tuple(before.iloc[0][n] for n in names) if len(before) else (ZERO, ZERO, ZERO)
+            rows = []
+            for q, p in zip(part["qty"], part["price"]):
+                state = tuple(v.quantize(tick) for v in apply_fill(*state, q, p))
+                rows.append(state)
+        return part.assign(**{n: [r[i] for r in rows] for i, n in enumerate(names)})
+
+    def step(part: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        state = blank if state is None else state
+        out = part.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(run, schema)
+        last = out.groupBy(*keys).agg(*[F.max_by(n, F.struct(*order)).alias(n) for n in names])
+        idle = state.join(part.select(*keys).distinct(), list(keys), "left_anti")
+        return out, last.unionByName(idle)
+
+    return in_slices(d, Frame(tuple(keys), tuple(order)), edges, step, folder)
+
+
 def breaker_state(trades: DataFrame, f: Frame, pnl: str = "pnl", limit: int = 3) -> DataFrame:
     """Consecutive losses so far (a profit restarts the count) and whether the breaker trips."""
     df = trades.withColumn("_run", F.sum((F.col(pnl) > 0).cast("int")).over(f.cum))

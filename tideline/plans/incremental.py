@@ -7,6 +7,7 @@ the new state. Merges rewrite only the partitions that hold touched rows (dynami
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -149,6 +150,15 @@ def continue_ema(new_rows: DataFrame, last: DataFrame, frame: Frame, x: str, alp
     return ewm_mean(both, frame, x, {out: alpha}).filter(~F.col("_seed")).drop("_seed")
 
 
+def slice_edges(df: DataFrame, ts: str, days: int) -> list[str]:
+    """First instants of slices of ``days`` days over a table's time range (the first slice is open to the left)."""
+    low, high = df.agg(F.min(ts), F.max(ts)).first()
+    edges, at = [], low
+    while at is not None and (at := at + timedelta(days=days)) <= high:
+        edges.append(str(at))
+    return edges
+
+
 def in_slices(df: DataFrame, frame: Frame, edges: Sequence[str], step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]], folder: str) -> DataFrame:
     """Run any recursion over bounded time slices with a state table between them.
 

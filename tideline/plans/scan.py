@@ -3,7 +3,7 @@
 One ``applyInPandas`` call computes every recursive column of a key, so a table needs one shuffle.
 The caller must pass bar-level rows: one row per (key, day) bounds a group by the calendar (a century
 of days is 36,525 rows), whatever share of the raw ticks the key had. For keys without that bound use
-``plans.segments`` (sums, extremes, EMA) or ``plans.slices`` (any recursion, bounded time slices).
+``plans.segments`` (sums, extremes, EMA) or ``plans.incremental.in_slices`` (any recursion, bounded time slices).
 """
 
 from __future__ import annotations

@@ -157,6 +157,11 @@ _FOLD = """fl AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS n
  fo AS (WITH RECURSIVE r AS (SELECT id, n, ts, q AS pos, p AS cost, 0.0::DOUBLE AS pnl FROM fl WHERE n = 1 UNION ALL SELECT f.id, f.n, f.ts, r.pos + f.q, CASE WHEN r.pos = 0 THEN f.p WHEN r.pos * f.q > 0 THEN (r.pos * r.cost + f.q * f.p) / (r.pos + f.q) WHEN r.pos + f.q = 0 THEN 0 WHEN (r.pos + f.q) * r.pos < 0 THEN f.p ELSE r.cost END,
   r.pnl + CASE WHEN r.pos * f.q < 0 THEN sign(r.pos) * (f.p - r.cost) * least(abs(f.q), abs(r.pos)) ELSE 0 END FROM r JOIN fl f ON f.id = r.id AND f.n = r.n + 1) SELECT * FROM r)"""
 query("risk_position_fold", "id ts position:2 avg_cost:3 realized_pnl:2", "SELECT id, ts, pos AS position, cost AS avg_cost, pnl AS realized_pnl FROM fo", NB + ", " + _FOLD)(lambda s, p: K.fold_fills(_fill(s, p), ["id"], ["ts"]))
+_USER_FOLD = _FOLD[_FOLD.index(" fo AS"):]
+query("risk_user_fills_in_slices", "id ts position:2 avg_cost:3 realized_pnl:2", "SELECT id, ts, pos AS position, cost AS avg_cost, pnl AS realized_pnl FROM fo",
+      "fl AS (SELECT user_id AS id, ts, CAST(CASE WHEN event_type IN ('click', 'view') THEN 1 + event_id % 3 ELSE -2 END AS DOUBLE) AS q, 1 + round(value, 2) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), " + _USER_FOLD)(
+    lambda s, p: (lambda d: K.fold_fills_in_slices(d, ["id"], ["ts"], P.slice_edges(d, "ts", 7), _folder(s)))(
+        M.table(s, p, "events").select(F.col("user_id").alias("id"), "ts", F.when(F.col("event_type").isin("click", "view"), 1 + F.col("event_id") % 3).otherwise(-2).alias("qty"), (1 + F.round("value", 2)).alias("price"))))
 query("risk_circuit_breaker", "id ts loss_streak# tripped",
       f"SELECT id, ts, sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id, run ORDER BY ts) AS loss_streak, sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id, run ORDER BY ts) >= 3 AS tripped FROM (SELECT *, sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) OVER {W} AS run FROM (SELECT *, close - open AS pnl FROM bars))", NB)(
     lambda s, p: K.breaker_state(_nb(s, p).withColumn("pnl", F.col("close") - F.col("open")), FR))
