@@ -36,14 +36,20 @@ query("regime_liquidity_bucket", "id ts liq",
       f"""SELECT id, ts, CASE WHEN coalesce(sp < 0.8 * ms AND volume < 0.8 * mv, false) THEN 'Easy' WHEN coalesce(sp > 2 * ms, false) OR coalesce(volume > 2 * mv, false) THEN 'Stressed' ELSE 'Normal' END AS liq FROM (
        SELECT *, {ro('median', 'sp', 60, 20)} AS ms, {ro('median', 'volume', 60, 20)} AS mv FROM (SELECT *, high - low AS sp FROM bars))""", NB,
       )(lambda s, p: Z.with_liquidity_bucket(_nb(s, p).withColumn("sp", F.col("high") - F.col("low")), FR, "sp", "volume"))
-_LAYER = lambda name, spans, n: (  # noqa: E731  SQL of one percentile layer over bars: trend held two rows, volatility rank in n rows
-    ema_cte("le", "bars", "close", dict(zip("fms", map(span, spans))))
-    + f""", lt AS (SELECT id, ts, rn, CASE WHEN coalesce({ro('min', 'u', 2)} = 1, false) THEN 'Up' WHEN coalesce({ro('min', 'd', 2)} = 1, false) THEN 'Down' ELSE 'Sideways' END AS trend FROM (
-       SELECT bars.*, CAST(close > s AND f > m AS INTEGER) AS u, CAST(close < s AND f < m AS INTEGER) AS d FROM bars JOIN le USING (id, ts))),
-      lv AS (SELECT t.id, t.ts, t.rn, t.a, count(CASE WHEN s.a < t.a THEN 1 END) + (count(CASE WHEN s.a = t.a THEN 1 END) + 1) / 2.0 AS r, count(s.a) AS c FROM va t JOIN va s ON s.id = t.id AND s.rn BETWEEN t.rn - {n - 1} AND t.rn GROUP BY ALL),
-      {name} AS (SELECT id, ts, trend || '-' || coalesce(CASE WHEN a IS NULL THEN NULL WHEN max(rn) OVER (PARTITION BY id) < {n} THEN CASE WHEN a < 0.015 THEN 'Low' WHEN a > 0.04 THEN 'High' ELSE 'Normal' END
-        WHEN c < {max(20, n // 3)} THEN NULL WHEN 100 * r / least(rn, {n}) < 33 THEN 'Low' WHEN 100 * r / least(rn, {n}) < 67 THEN 'Normal' ELSE 'High' END, '') || '-Normal' AS k FROM lt JOIN lv USING (id, ts, rn))""")
-query("regime_layer_daily", "id ts L2", "SELECT id, ts, k AS L2 FROM l2", NB + ", " + _VB.split(",\n vr AS")[0] + ", " + _LAYER("l2", (20, 50, 100), 250))(lambda s, p: Z.layer_labels(_nb(s, p), FR, "L2"))
+def _layer_sql(name, src, spans, n):
+    """CTEs of one percentile layer over a bar table: trend held two rows, volatility rank in n rows; ``name`` has id, ts, rn, k."""
+    return (
+        ema_cte(f"{name}_e", src, "close", dict(zip("fms", map(span, spans))))
+        + f""", {name}_va AS (SELECT *, {ro('avg', 'mv', 14)} AS a FROM (SELECT *, abs(close / {lag('close')} - 1) AS mv FROM {src})),
+      {name}_t AS (SELECT id, ts, rn, CASE WHEN coalesce({ro('min', 'u', 2)} = 1, false) THEN 'Up' WHEN coalesce({ro('min', 'd', 2)} = 1, false) THEN 'Down' ELSE 'Sideways' END AS trend FROM (
+       SELECT {src}.*, CAST(close > s AND f > m AS INTEGER) AS u, CAST(close < s AND f < m AS INTEGER) AS d FROM {src} JOIN {name}_e USING (id, ts))),
+      {name}_v AS (SELECT t.id, t.ts, t.rn, t.a, count(CASE WHEN s.a < t.a THEN 1 END) + (count(CASE WHEN s.a = t.a THEN 1 END) + 1) / 2.0 AS r, count(s.a) AS c FROM {name}_va t JOIN {name}_va s ON s.id = t.id AND s.rn BETWEEN t.rn - {n - 1} AND t.rn GROUP BY ALL),
+      {name} AS (SELECT id, ts, rn, trend || '-' || coalesce(CASE WHEN a IS NULL THEN NULL WHEN max(rn) OVER (PARTITION BY id) < {n} THEN CASE WHEN a < 0.015 THEN 'Low' WHEN a > 0.04 THEN 'High' ELSE 'Normal' END
+        WHEN c < {max(20, n // 3)} THEN NULL WHEN 100 * r / least(rn, {n}) < 33 THEN 'Low' WHEN 100 * r / least(rn, {n}) < 67 THEN 'Normal' ELSE 'High' END, '') || '-Normal' AS k FROM {name}_t JOIN {name}_v USING (id, ts, rn))"""
+    )
+
+
+query("regime_layer_daily", "id ts L2", "SELECT id, ts, k AS L2 FROM l2", NB + ", " + _layer_sql("l2", "bars", (20, 50, 100), 250))(lambda s, p: Z.layer_labels(_nb(s, p), FR, "L2"))
 query("regime_layer_intraday", "id ts L3",
       f"""SELECT id, ts, concat_ws('-', CASE WHEN close > s AND f > m THEN 'Up' WHEN close < s AND f < m THEN 'Down' ELSE 'Sideways' END, coalesce(CASE WHEN a < 0.015 THEN 'Low' WHEN a > 0.04 THEN 'High' WHEN a IS NOT NULL THEN 'Normal' END, ''), 'Normal') AS L3 FROM va JOIN e USING (id, ts)""",
       NB + ", " + _VB.split(",\n vr AS")[0] + ", " + ema_cte("e", "bars", "close", {"f": span(34), "m": span(55), "s": span(89)}))(lambda s, p: Z.layer_labels(_nb(s, p), FR, "L3"))
@@ -105,7 +111,17 @@ def _weekly_monthly(s, p):
     return d, roll("week"), roll("month")
 
 
-query("regimes_for_assets", "id ts L2 L1 L0 L2_held size_mult:3 stop_mult:3 gross_cap:3", None)(lambda s, p: Z.regimes_for_assets(*_weekly_monthly(s, p)))
+_period = lambda name, unit: f"{name} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS rn FROM (SELECT id, CAST(date_trunc('{unit}', ts) AS TIMESTAMP) AS ts, arg_max(close, b.ts) AS close FROM bars b GROUP BY id, CAST(date_trunc('{unit}', ts) AS TIMESTAMP)))"
+query("regimes_for_assets", "id ts L2 L1 L0 L2_held size_mult:3 stop_mult:3 gross_cap:3",
+      f"""SELECT d.id, d.ts, d.k AS L2, w.k AS L1, m.k AS L0, h.cur AS L2_held, least({_size('h.cur')}, CASE WHEN w.k IS NULL THEN 1.0 ELSE {_size('w.k')} END, CASE WHEN m.k IS NULL THEN 1.0 ELSE {_size('m.k')} END) AS size_mult,
+       greatest({_stop('h.cur')}, CASE WHEN w.k IS NULL THEN 1.5 ELSE {_stop('w.k')} END, CASE WHEN m.k IS NULL THEN 1.5 ELSE {_stop('m.k')} END) AS stop_mult, 1.0 AS gross_cap
+       FROM l2 d JOIN hd h ON h.id = d.id AND h.rn = d.rn ASOF LEFT JOIN l1 w ON w.id = d.id AND d.ts >= w.ts ASOF LEFT JOIN l0 m ON m.id = d.id AND d.ts >= m.ts""",
+      NB + ", " + _period("wb", "week") + ", " + _period("mb", "month") + ", " + _layer_sql("l2", "bars", (20, 50, 100), 250) + ", " + _layer_sql("l1", "wb", (20, 50, 200), 100) + ", " + _layer_sql("l0", "mb", (12, 24, 48), 60)
+      + f""", ks AS MATERIALIZED (SELECT *, {_size('k')} AS sz, {_stop('k')} AS st FROM l2),
+      hd AS (WITH RECURSIVE w AS (SELECT id, rn, k AS cur, sz AS csz, st AS cst, CAST(NULL AS VARCHAR) AS pend, 0 AS seen FROM ks WHERE rn = 1 UNION ALL
+       SELECT id, rn, CASE WHEN acc THEN k ELSE cur END, CASE WHEN acc THEN sz ELSE csz END, CASE WHEN acc THEN st ELSE cst END, CASE WHEN acc OR same THEN NULL ELSE k END, CASE WHEN acc OR same THEN 0 ELSE s2 END FROM (
+        SELECT *, NOT same AND (tight OR s2 >= 3) AS acc FROM (SELECT ks.id, ks.rn, ks.k, ks.sz, ks.st, w.cur, w.csz, w.cst, ks.k = w.cur AS same, ks.sz < w.csz OR ks.st > w.cst AS tight, CASE WHEN w.pend = ks.k THEN w.seen + 1 ELSE 1 END AS s2
+         FROM w JOIN ks ON ks.id = w.id AND ks.rn = w.rn + 1))) SELECT * FROM w)""")(lambda s, p: Z.regimes_for_assets(*_weekly_monthly(s, p)))
 query("regime_sign_flips", "id ts idx# from_sign:0 to_sign:0 direction",
       f"SELECT id, ts, rn AS idx, ps AS from_sign, sg AS to_sign, CASE WHEN sg > ps THEN 'up' ELSE 'down' END AS direction FROM (SELECT *, {lag('sg')} AS ps FROM (SELECT *, sign(close - open) AS sg FROM bars)) WHERE sg <> ps", NB)(
     lambda s, p: Z.sign_flips(_nb(s, p).withColumn("sg", F.signum(F.col("close") - F.col("open"))), FR, "sg"))
