@@ -268,7 +268,13 @@ _ROC = lambda k: f"(close / {lag('close', k)} - 1) * 100"
 feat("kst", "kst:4 kst_signal:4", lambda d, f: I.kst(d, f),
      f"SELECT *, {ro('avg', 'kst', 9)} AS kst_signal FROM (SELECT *, {ro('avg', 'r1', 10)} + 2 * {ro('avg', 'r2', 13)} + 3 * {ro('avg', 'r3', 14)} + 4 * {ro('avg', 'r4', 9)} AS kst FROM (SELECT *, {_ROC(10)} AS r1, {_ROC(13)} AS r2, {_ROC(14)} AS r3, {_ROC(15)} AS r4 FROM bars))")
 feat("coppock", "coppock_10:4", lambda d, f: I.coppock(d, f), wma_sql("c", 10, f"SELECT *, {_ROC(14)} + {_ROC(11)} AS c FROM bars").replace("AS w10", "AS coppock_10"))
-feat("indicator_pack_zscore", "rsi_14:4 stoch_k_14:4 atr_14:3 adx_14:4 bb_width_20:5 rsi_14_zscore:4", lambda d, f: I.indicator_pack(d, f), None)
+feat("indicator_pack_zscore", "rsi_14:4 stoch_k_14:4 atr_14:3 adx_14:4 bb_width_20:5 rsi_14_zscore:4", lambda d, f: I.indicator_pack(d, f),
+     f"""SELECT b.id, b.ts, rsi_14, (rsi_14 - {ro('avg', 'rsi_14', 60, part='b.id', order='b.ts')}) / nullif({ro('stddev_samp', 'rsi_14', 60, part='b.id', order='b.ts')}, 0) AS rsi_14_zscore, k AS stoch_k_14, atr AS atr_14, adx AS adx_14, w AS bb_width_20
+      FROM bars b LEFT JOIN (SELECT bars.id, bars.ts, 100 - 100 / (1 + g14 / nullif(l14, 0)) AS rsi_14 FROM bars LEFT JOIN gg USING (id, ts) LEFT JOIN ll USING (id, ts)) r USING (id, ts)
+      LEFT JOIN (SELECT id, ts, 100 * (close - {ro('min', 'low', 14)}) / nullif({ro('max', 'high', 14)} - {ro('min', 'low', 14)}, 0) AS k, 4 * {ro('stddev_samp', 'close', 20)} / {ro('avg', 'close', 20)} AS w FROM bars) s USING (id, ts)
+      LEFT JOIN (SELECT id, ts, {ro('avg', 'tr', 14)} AS atr FROM tr) t USING (id, ts)
+      LEFT JOIN (SELECT id, ts, {ro('avg', 'dx', 14)} AS adx FROM (SELECT *, 100 * abs(p - m) / nullif(p + m, 0) AS dx FROM (SELECT *, 100 * {ro('sum', 'pdm', 14)} / {ro('avg', 'tr', 14)} AS p, 100 * {ro('sum', 'mdm', 14)} / {ro('avg', 'tr', 14)} AS m FROM dm))) x USING (id, ts)""",
+     _STEP + ", stn AS (SELECT id, ts, CASE WHEN d IS NOT NULL THEN g END AS g, CASE WHEN d IS NOT NULL THEN l END AS l FROM st), " + ema_cte("gg", "stn", "g", {"g14": 1 / 14}) + ", " + ema_cte("ll", "stn", "l", {"l14": 1 / 14}) + ", " + _TR + ", " + _DM)
 feat("core_feature_pack", "close_pct:6 close_log:6 ema_21:4 vol_20:5 acf_1_50:5 acf_5_50:5", lambda d, f: I.core_features(d, f),
      f"""SELECT *, {ro('stddev_pop', 'lr', 20)} * sqrt(252) AS vol_20, CASE WHEN count(l1) OVER q = 50 THEN covar_samp(lr, l1) OVER q / nullif(sqrt(var_samp(CASE WHEN l1 IS NOT NULL THEN lr END) OVER q * var_samp(l1) OVER q), 0) END AS acf_1_50,
       CASE WHEN count(l5) OVER q = 50 THEN covar_samp(lr, l5) OVER q / nullif(sqrt(var_samp(CASE WHEN l5 IS NOT NULL THEN lr END) OVER q * var_samp(l5) OVER q), 0) END AS acf_5_50, cp AS close_pct, lr AS close_log
@@ -317,7 +323,11 @@ _EWS = lambda n: f"""lx AS (SELECT id, ts, r, count(r) OVER {W} AS n FROM lr),
   SELECT t.id, t.ts, t.n, sum(pow({1 - span(n)!r}, t.n - s.n)) AS s0, sum(pow({1 - span(n)!r}, t.n - s.n) * s.r) AS s1, sum(pow({1 - span(n)!r}, t.n - s.n) * s.r * s.r) AS s2, sum(pow({1 - span(n)!r}, 2 * (t.n - s.n))) AS q0
   FROM lx t LEFT JOIN lx s ON s.id = t.id AND s.n <= t.n AND s.r IS NOT NULL GROUP BY ALL))"""
 feat("daily_vol_ewm", "daily_vol:6", lambda d, f: V.daily_vol(d, f), "SELECT id, ts, dv AS daily_vol FROM ew", _LR + ", " + _EWS(100))
-feat("volatility_table", "atr_wilder_14:3 vol_gk_20:5 vol_log_roll_20_z:4 vol_log_roll_20_is_outlier", lambda d, f: V.volatility_table(d, f, (20, 63), 120), None)
+feat("volatility_table", "atr_wilder_14:3 vol_gk_20:5 vol_log_roll_20_z:4 vol_log_roll_20_is_outlier", lambda d, f: V.volatility_table(d, f, (20, 63), 120),
+     f"""SELECT id, ts, atr_wilder_14, vol_gk_20, z AS vol_log_roll_20_z, coalesce(abs(z) > 4, false) AS vol_log_roll_20_is_outlier FROM (
+      SELECT *, (v - {ro('avg', 'v', 120, 30)}) / nullif({ro('stddev_samp', 'v', 120, 30)}, 0) AS z FROM (SELECT id, ts, {ro('stddev_pop', 'r', 20)} * sqrt(252) AS v FROM lr)) a
+      JOIN (SELECT id, ts, {_root('gk', 20)} AS vol_gk_20 FROM vt) g USING (id, ts) JOIN e USING (id, ts)""",
+     _LR + ", " + _VT + ", " + _TR + ", " + ema_cte("e", "tr", "tr", {"atr_wilder_14": 1 / 14}))
 
 _FC = f"""fc AS (SELECT id, ts, 'sma' AS estimator, {ro('stddev_pop', 'r', 20)} AS forecast, {lag('r', -1)} AS nx FROM lr UNION ALL
  SELECT id, ts, 'park', CASE WHEN {ro('avg', 'pk', 20)} >= 0 THEN sqrt({ro('avg', 'pk', 20)}) END, lead(ln(close / pc)) OVER {W} FROM (SELECT vt.*, lr.pc FROM vt JOIN lr USING (id, ts))),
