@@ -260,7 +260,17 @@ def _strategies(s, p):
     return out
 
 
-query("strategy_sweep", "strategy cost_bps:1 n# mean_sharpe:5", None)(
+_SK = "(PARTITION BY strategy, id ORDER BY ts)"
+query("strategy_sweep", "strategy cost_bps:1 n# mean_sharpe:5",
+      f"""SELECT strategy, cost_bps, count(*) AS n, avg(sharpe) AS mean_sharpe FROM (SELECT strategy, id, cost_bps, avg(h * r - c * cost_bps * 1e-4) * sqrt(252) / (stddev_samp(h * r - c * cost_bps * 1e-4) + 1e-12) AS sharpe FROM (
+       SELECT *, abs(coalesce(h - lag(h) OVER {_SK}, 0)) AS c FROM (SELECT *, coalesce(lag(pos) OVER {_SK}, 0) AS h, coalesce(close / lag(close) OVER {_SK} - 1, 0) AS r FROM (
+       SELECT strategy, id, ts, close, coalesce(last_value(CASE WHEN exit THEN 0 WHEN entry THEN 1 END IGNORE NULLS) OVER (PARTITION BY strategy, id ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS pos FROM sg JOIN bars USING (id, ts)))) CROSS JOIN (SELECT unnest([0.0, 5.0, 10.0, 15.0]) AS cost_bps) GROUP BY ALL) GROUP BY ALL""",
+      NB + f""", st AS (SELECT id, ts, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM (SELECT *, close - {lag('close')} AS d FROM bars)), stn AS (SELECT id, ts, CASE WHEN row_number() OVER {W} > 1 THEN g END AS g, CASE WHEN row_number() OVER {W} > 1 THEN l END AS l FROM st), """
+      + ema_cte("gg", "stn", "g", {"g": 1 / 14}) + ", " + ema_cte("ll", "stn", "l", {"l": 1 / 14}) + ", " + ema_cte("e", "bars", "close", {"f": span(12), "s": span(26)}) + ", mm AS (SELECT id, ts, f - s AS m FROM e), " + ema_cte("sl", "mm", "m", {"sg": span(9)})
+      + f""", rx AS (SELECT bars.id, bars.ts, 100 - 100 / (1 + g / nullif(l, 0)) AS x FROM bars LEFT JOIN gg USING (id, ts) LEFT JOIN ll USING (id, ts)),
+      sg AS (SELECT id, ts, 'rsi_mean_revert' AS strategy, NOT b AND coalesce({lag('b')}, false) AS entry, (a AND NOT coalesce({lag('a')}, false)) OR coalesce({lag('x')} > x, false) AS exit FROM (SELECT *, coalesce(x <= 45, false) AS b, coalesce(x >= 55, false) AS a FROM rx)
+       UNION ALL SELECT id, ts, 'breakout_atr', coalesce(close > {lag('hi')}, false), coalesce(close < {lag('lo')}, false) FROM (SELECT *, {ro('max', 'high', 10)} AS hi, {ro('min', 'low', 10)} AS lo FROM bars)
+       UNION ALL SELECT id, ts, 'macd_crossover', coalesce(m > sg AND {lag('m')} <= {lag('sg')}, false), coalesce(m < sg AND {lag('m')} >= {lag('sg')}, false) FROM mm JOIN sl USING (id, ts))""")(
     lambda s, p: E.sweep(_strategies(s, p), ["strategy", "id"], E.cost_scenarios(s, [0.0, 10.0], [0.0, 5.0])).groupBy("strategy", "cost_bps").agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean_sharpe")))
 _GRID = [(int(g["fast"][4:]), int(g["slow"][4:])) for g in SG.default_grid("ema_trend")]
 _SPANS = sorted({x for g in _GRID for x in g})
