@@ -188,7 +188,30 @@ feat("frama", "frama_16:4", lambda d, f: A.frama(d, f),
       WINDOW h1 AS (PARTITION BY id ORDER BY ts ROWS BETWEEN 15 PRECEDING AND 8 PRECEDING), h2 AS (PARTITION BY id ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW),
        h AS (PARTITION BY id ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))),
      fa AS (SELECT *, least(greatest(exp(-4.6 * (d - 1)), 0.01), 1.0) AS a FROM fr), """ + _RECUR.format(name="k", src="fa", start=16))
-query("ama_long_all_sets", "id ts indicator params_hash value:4 value_d1:4 value_d2:4", None)(
+def _ama_sql():
+    """All adaptive sets: KAMA by recursion over its own rates, double and triple EMAs as chained closed sums, Hull by window sums."""
+    ctes, rows = [], []
+    h = lambda kind, **p: A.params_hash(p)
+    for e, fa, sl in A.KAMA_SETS:
+        n = f"k{e}"
+        ctes.append(f"""{n}_a AS MATERIALIZED (SELECT *, pow(coalesce(abs(close - lag(close, {e - 1}) OVER {W}) / nullif(sum(st) OVER (PARTITION BY id ORDER BY ts ROWS {e - 2} PRECEDING), 0), 0) * ({span(fa)!r} - {span(sl)!r}) + {span(sl)!r}, 2) AS a
+          FROM (SELECT *, abs(close - {lag('close')}) AS st FROM bars))""")
+        ctes.append(_RECUR.format(name=n, src=f"{n}_a", start=e))
+        rows.append(f"SELECT bars.id, ts, 'KAMA' AS indicator, '{h('KAMA', er_period=e, fast_period=fa, slow_period=sl)}' AS params_hash, v AS value FROM bars LEFT JOIN {n} USING (id, rn)")
+    ctes.append(ema_cte("d1", "bars", "close", {f"a{n}": span(n) for n in A.LINEAR_PERIODS}))
+    ctes.append("f1 AS MATERIALIZED (SELECT * FROM bars JOIN d1 USING (id, ts))")
+    for n in A.LINEAR_PERIODS:
+        ctes += [ema_cte(f"d2_{n}", "f1", f"a{n}", {f"b{n}": span(n)}), f"f2_{n} AS MATERIALIZED (SELECT * FROM f1 JOIN d2_{n} USING (id, ts))", ema_cte(f"d3_{n}", f"f2_{n}", f"b{n}", {f"c{n}": span(n)})]
+        for kind, need, x in (("DEMA", 2 * n - 1, f"2 * a{n} - b{n}"), ("TEMA", 3 * n - 1, f"3 * a{n} - 3 * b{n} + c{n}")):
+            rows.append(f"SELECT id, ts, '{kind}', '{h(kind, period=n)}', CASE WHEN rn > {need} THEN {x} END FROM f2_{n} JOIN d3_{n} USING (id, ts)")
+        wma = lambda x, k: f"CASE WHEN count({x}) OVER (PARTITION BY id ORDER BY ts ROWS {k - 1} PRECEDING) = {k} THEN (sum({x} * rn) OVER (PARTITION BY id ORDER BY ts ROWS {k - 1} PRECEDING) - sum({x}) OVER (PARTITION BY id ORDER BY ts ROWS {k - 1} PRECEDING) * (rn - {k})) / {k * (k + 1) / 2} END"
+        rows.append(f"SELECT id, ts, 'HMA', '{h('HMA', period=n)}', {wma('h', max(2, int(n**0.5)))} FROM (SELECT *, 2 * {wma('close', max(1, n // 2))} - {wma('close', n)} AS h FROM bars)")
+    u = "(PARTITION BY id, indicator, params_hash ORDER BY ts)"
+    body = f"SELECT *, value_d1 - lag(value_d1) OVER {u} AS value_d2 FROM (SELECT *, value - lag(value) OVER {u} AS value_d1 FROM ({' UNION ALL '.join(rows)}))"
+    return body, NB + ", " + ", ".join(ctes)
+
+
+query("ama_long_all_sets", "id ts indicator params_hash value:3 value_d1:3 value_d2:3", *_ama_sql())(
     lambda s, p: A.adaptive_long(_nb(s, p), Frame()))
 
 # --- indicators ------------------------------------------------------------------------------------
