@@ -53,19 +53,18 @@ def _macro(s, p):
 
 
 MACRO = TICKS + """, mac AS (SELECT ts, 0 AS g, """ + ", ".join(f"sum(price) FILTER (venue_id = {i}) AS s{i}" for i in range(1, 6)) + " FROM ticks GROUP BY ts)"
-query("nulls_fill_by_frequency", "ts s1:2 s2:2 s3:2",
-      ", ".join(["SELECT ts"] + [f"last_value(s{i} IGNORE NULLS) OVER (ORDER BY ts ROWS {n} PRECEDING) AS s{i}" for i, n in ((1, 5), (2, 10), (3, 45))]) + " FROM mac", MACRO,
-      )(lambda s, p: N.fill_by_frequency(_macro(s, p), Frame(("g",)), {"s1": "daily", "s2": "weekly", "s3": "monthly"}))
+query("nulls_fill_by_frequency", "ts s1:2 s2:2 s3:2 s4:2 s5:2",
+      ", ".join(["SELECT ts"] + [f"last_value(s{i} IGNORE NULLS) OVER (ORDER BY ts ROWS {n} PRECEDING) AS s{i}" for i, n in ((1, 5), (2, 10), (3, 45), (4, 10), (5, 45))]) + " FROM mac", MACRO,
+      )(lambda s, p: N.fill_by_frequency(_macro(s, p), Frame(("g",)), {"s1": "daily", "s2": "weekly", "s3": "monthly", "s4": "weekly", "s5": "monthly"}))
 
 
 def _venue_day(s, p, v, name):
     return M.order_ticks(s, p).filter(F.col("venue_id") == v).groupBy("id", "ts").agg(F.sum("price").alias(name))
 
 
-query("nulls_combine_frames", "id ts a:2 b:2 has_a has_b",
-      """SELECT coalesce(x.id, y.id) AS id, coalesce(x.ts, y.ts) AS ts, x.v AS a, y.v AS b, x.id IS NOT NULL AS has_a, y.id IS NOT NULL AS has_b FROM
-       (SELECT id, ts, sum(price) AS v FROM ticks WHERE venue_id = 1 GROUP BY id, ts) x FULL JOIN (SELECT id, ts, sum(price) AS v FROM ticks WHERE venue_id = 5 GROUP BY id, ts) y ON x.id = y.id AND x.ts = y.ts""", TICKS,
-      )(lambda s, p: N.combine_frames({"a": _venue_day(s, p, 1, "a"), "b": _venue_day(s, p, 5, "b")}, ["id", "ts"]))
+query("nulls_combine_frames", "id ts a:2 b:2 c:2 d:2 e:2 has_a has_e",
+      "SELECT id, ts, " + ", ".join(f"sum(price) FILTER (venue_id = {i}) AS {c}" for i, c in enumerate("abcde", 1)) + ", count(*) FILTER (venue_id = 1) > 0 AS has_a, count(*) FILTER (venue_id = 5) > 0 AS has_e FROM ticks GROUP BY id, ts", TICKS,
+      )(lambda s, p: N.combine_frames({c: _venue_day(s, p, i, c) for i, c in enumerate("abcde", 1)}, ["id", "ts"]))
 query("nulls_mask_ranges", "id start_ts end_ts n_rows#",
       """SELECT id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_rows FROM (SELECT *, rn - row_number() OVER (PARTITION BY id ORDER BY ts) AS k FROM bars WHERE close > 250000) GROUP BY id, k""", NB,
       )(lambda s, p: N.mask_ranges(_nb(s, p), Frame(), F.col("close") > 250000))
@@ -186,9 +185,9 @@ query("feature_store_join", "id ts close ret:6 volume_is_outlier has_price_gap h
       f"""SELECT id, ts, close, close / {lag('close')} - 1 AS ret, o AS volume_is_outlier, coalesce(date_diff('day', {lag('ts')}, ts) > 1, false) AS has_price_gap, o AS has_outlier FROM (
        SELECT *, coalesce(abs(volume - avg(volume) OVER (PARTITION BY id)) / nullif(stddev_samp(volume) OVER (PARTITION BY id), 0) > 3, false) AS o FROM bars)""", NB)(_store)
 query("source_watermarks", "id dirty_from n_sources# slowest",
-      """SELECT id, min(w) AS dirty_from, count(*) AS n_sources, arg_min(s, struct_pack(a := w, b := s)) AS slowest FROM (SELECT id, max(ts) AS w, 'bars' AS s FROM bars GROUP BY id UNION ALL SELECT id, max(ts), 'venue1' FROM vbars WHERE venue_id = 1 GROUP BY id UNION ALL SELECT id, max(ts), 'venue5' FROM vbars WHERE venue_id = 5 GROUP BY id) GROUP BY id""",
+      """SELECT id, min(w) AS dirty_from, count(*) AS n_sources, arg_min(s, struct_pack(a := w, b := s)) AS slowest FROM (SELECT id, max(ts) AS w, 'bars' AS s FROM bars GROUP BY id UNION ALL SELECT id, max(ts), 'venue' || venue_id FROM vbars GROUP BY id, venue_id) GROUP BY id""",
       NB + ", vbars AS (SELECT id, venue_id, ts FROM ticks GROUP BY ALL)",
-      )(lambda s, p: J.source_watermarks({"bars": _nb(s, p), "venue1": _venue_ticks(s, p, 1), "venue5": _venue_ticks(s, p, 5)}))
+      )(lambda s, p: J.source_watermarks({"bars": _nb(s, p)} | {f"venue{v}": _venue_ticks(s, p, v) for v in range(1, 6)}))
 query("sentiment_mean", "ts sentiment:6 n_assets#", f"SELECT ts, CASE WHEN count(r) >= 3 THEN avg(r) END AS sentiment, count(r) AS n_assets FROM (SELECT ts, close / {lag('close')} - 1 AS r FROM bars) GROUP BY ts", NB)(
     lambda s, p: J.sentiment_mean(_nb(s, p).withColumn("r", Frame().pct("close")), "r"))
 query("relative_value", "id ts relative_value:5 n_assets#",
@@ -211,10 +210,10 @@ query("promote_features_by_ic", "id ts close:2 volume:1",
 query("update_columns", "id ts close:2 flag#", "SELECT id, ts, CASE WHEN rn % 10 = 0 THEN close + 1 ELSE close END AS close, CASE WHEN rn % 10 = 0 THEN 1 END AS flag FROM bars", NB)(
     lambda s, p: J.update_columns(_nb(s, p), _nb(s, p).withColumn("rn", Frame().rn()).filter("rn % 10 = 0").select("id", "ts", (F.col("close") + 1).alias("close"), F.lit(1).alias("flag")), ["id", "ts"], ["close", "flag"]))
 query("first_fresh_price", "id as_of! tier price:2",
-      """SELECT id, DATE '2001-08-05' AS as_of, CASE WHEN d1 <= 4 THEN 'v1' WHEN d5 <= 4 THEN 'v5' WHEN d3 <= 4 THEN 'v3' END AS tier, CASE WHEN d1 <= 4 THEN p1 WHEN d5 <= 4 THEN p5 WHEN d3 <= 4 THEN p3 END AS price FROM (SELECT id, """
-      + ", ".join(f"date_diff('day', max(ts) FILTER (venue_id = {v}), TIMESTAMP '2001-08-05') AS d{v}, arg_max(close, ts) FILTER (venue_id = {v}) AS p{v}" for v in (1, 5, 3)) + " FROM vbars GROUP BY id)", VB)(
+      """SELECT id, DATE '2001-08-05' AS as_of, CASE WHEN d1 <= 4 THEN 'v1' WHEN d5 <= 4 THEN 'v5' WHEN d3 <= 4 THEN 'v3' WHEN d2 <= 4 THEN 'v2' WHEN d4 <= 4 THEN 'v4' END AS tier, CASE WHEN d1 <= 4 THEN p1 WHEN d5 <= 4 THEN p5 WHEN d3 <= 4 THEN p3 WHEN d2 <= 4 THEN p2 WHEN d4 <= 4 THEN p4 END AS price FROM (SELECT id, """
+      + ", ".join(f"date_diff('day', max(ts) FILTER (venue_id = {v}), TIMESTAMP '2001-08-05') AS d{v}, arg_max(close, ts) FILTER (venue_id = {v}) AS p{v}" for v in (1, 5, 3, 2, 4)) + " FROM vbars GROUP BY id)", VB)(
     lambda s, p: J.first_fresh_price(_nb(s, p).select("id").distinct().withColumn("as_of", F.lit("2001-08-05").cast("date")),
-                                     [(f"v{v}", _venue_ticks(s, p, v)) for v in (1, 5, 3)], ["id"], "as_of", 4))
+                                     [(f"v{v}", _venue_ticks(s, p, v)) for v in (1, 5, 3, 2, 4)], ["id"], "as_of", 4))
 
 
 def _rates(s, p):
@@ -227,9 +226,9 @@ query("funding_with_fallback", "venue symbol# ts rate:7 source",
       """SELECT w.venue, w.symbol, w.ts, coalesce(x.rate, m.r) AS rate, CASE WHEN x.rate IS NOT NULL THEN 'exact' WHEN m.r IS NOT NULL THEN 'cross_venue' END AS source FROM (SELECT DISTINCT 'click' AS venue, symbol, ts FROM rates) w LEFT JOIN rates x USING (venue, symbol, ts)
        LEFT JOIN (SELECT w.symbol, w.ts, avg(r.rate) AS r FROM (SELECT DISTINCT symbol, ts FROM rates) w JOIN rates r ON r.symbol = w.symbol AND r.ts BETWEEN w.ts - INTERVAL 30 MINUTE AND w.ts + INTERVAL 30 MINUTE GROUP BY ALL) m ON m.symbol = w.symbol AND m.ts = w.ts""", RATES)(
     lambda s, p: J.funding_with_fallback(_rates(s, p).select(F.lit("click").alias("venue"), "symbol", "ts").distinct(), _rates(s, p)))
-query("funding_payments", "id ts payment:4",
-      "SELECT l.id, l.ts, -l.price * coalesce(r.rate, 0) * CASE WHEN l.id % 2 = 1 THEN -1 ELSE 1 END AS payment FROM l ASOF LEFT JOIN (SELECT id, ts, ref / 1e9 AS rate FROM r) r ON l.id = r.id AND l.ts >= r.ts", _V1)(
-    lambda s, p: J.funding_payments(_venue_ticks(s, p, 1), _venue_ticks(s, p, 2).withColumn("rate", F.col("price") / 1e9), ["id"], "price", F.col("id") % 2 == 1))
+query("funding_payments", "id venue_id# ts payment:4",
+      "SELECT l.id, l.venue_id, l.ts, -l.price * coalesce(r.rate, 0) * CASE WHEN l.id % 2 = 1 THEN -1 ELSE 1 END AS payment FROM l ASOF LEFT JOIN (SELECT id, venue_id, ts, ref / 1e9 AS rate FROM r) r ON l.id = r.id AND l.venue_id = r.venue_id AND l.ts >= r.ts", _V1)(
+    lambda s, p: J.funding_payments(_venue_ticks(s, p), _venue_ticks(s, p).withColumns({"venue_id": F.col("venue_id") % 5 + 1, "rate": F.col("price") / 1e9}), ["id", "venue_id"], "price", F.col("id") % 2 == 1))
 query("funding_daily_rollup", "venue symbol# day! rate_sum:6 n#", "SELECT venue, symbol, CAST(ts AS DATE) AS day, sum(rate) AS rate_sum, count(*) AS n FROM rates GROUP BY ALL", RATES)(
     lambda s, p: _rates(s, p).groupBy("venue", "symbol", F.col("ts").cast("date").alias("day")).agg(F.sum("rate").alias("rate_sum"), F.count("*").alias("n")))
 query("funding_cross_venue_daily", "symbol# date! avg_rate:7 n_venues# venues z_30:4",

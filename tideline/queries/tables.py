@@ -192,7 +192,8 @@ _BRK = f"""br AS (SELECT * REPLACE (CASE WHEN rn % 50 = 0 THEN low - 1 ELSE high
  bv AS (SELECT id, '1D' AS tf, ts, 'GAP' AS reason FROM (SELECT *, {lag('ts')} AS pt FROM br) WHERE date_diff('day', pt, ts) > 9 UNION ALL SELECT id, '1D', ts, 'BAR_SEQ_GAP' FROM (SELECT *, {lag('rn')} AS pr FROM br) WHERE rn > pr + 1 UNION ALL SELECT id, '1D', ts, 'OHLC_INVALID' FROM br WHERE high < greatest(open, close, low))"""
 query("quality_bar_violations", "id tf ts reason", "SELECT * FROM bv", NB + ", " + _BRK)(lambda s, p: Q.bar_violations(_broken(s, p), max_gap_days=9))
 query("quality_violation_summary", "reason n# examples", "SELECT reason, n, (SELECT string_agg(e, ';' ORDER BY e) FROM (SELECT id || '|' || tf || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS e FROM bv b WHERE b.reason = g.reason ORDER BY e LIMIT 3)) AS examples FROM (SELECT reason, count(*) AS n FROM bv GROUP BY reason) g", NB + ", " + _BRK)(lambda s, p: Q.violation_summary(Q.bar_violations(_broken(s, p), max_gap_days=9)))
-query("quality_unknown_timeframes", "tf", "SELECT '9X' AS tf FROM (SELECT count(*) FROM bars)", NB)(lambda s, p: Q.unknown_timeframes(_nb(s, p).select(F.explode(F.array(F.lit("9X"), F.lit("7D"))).alias("tf")), C.timeframes(s)))
+query("quality_unknown_timeframes", "tf", "SELECT DISTINCT CAST(volume * 30 AS BIGINT) || 'W' AS tf FROM bars WHERE volume * 30 > 52", NB)(
+    lambda s, p: Q.unknown_timeframes(_nb(s, p).select(F.concat((F.col("volume") * 30).cast("bigint").cast("string"), F.lit("W")).alias("tf")), C.timeframes(s)))
 query("quality_ema_bounds", "id ts e:3 violation",
       """WITH b AS (SELECT id, min(close) * 0.5 AS lo, max(close) * 1.2 AS hi FROM (SELECT *, max(ts) OVER (PARTITION BY id) AS m FROM bars) WHERE date_diff('day', ts, m) <= 90 GROUP BY id), st AS (SELECT id, avg(v) - 2 * stddev_samp(v) AS slo, avg(v) + 2 * stddev_samp(v) AS shi FROM e GROUP BY id)
        SELECT id, ts, v AS e, 'price_bounds' AS violation FROM e JOIN b USING (id) WHERE v < lo OR v > hi UNION ALL SELECT id, ts, v, 'statistical_bounds' FROM e JOIN st USING (id) WHERE v < slo OR v > shi""", NB + ", " + ema_cte("e", "bars", "close", {"v": span(4)}))(
