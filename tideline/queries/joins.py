@@ -38,7 +38,7 @@ query("zscore_columns", "id ts close_zscore:5 volume_zscore:5",
       f"SELECT id, ts, (close - {ro('avg', 'close', 20)}) / nullif({ro('stddev_samp', 'close', 20)}, 0) AS close_zscore, (volume - {ro('avg', 'volume', 20)}) / nullif({ro('stddev_samp', 'volume', 20)}, 0) AS volume_zscore FROM bars", NB,
       )(lambda s, p: N.add_zscores(_nb(s, p), Frame(), ["close", "volume"], 20))
 query("outliers_zscore_iqr", "id ts volume_z volume_iqr",
-      """SELECT id, ts, abs(volume - m) / nullif(sd, 0) > 2.5 AS volume_z, q3 > q1 AND (volume < q1 - 1.5 * (q3 - q1) OR volume > q3 + 1.5 * (q3 - q1)) AS volume_iqr FROM bars
+      """SELECT id, ts, coalesce(abs(volume - m) / nullif(sd, 0) > 2.5, false) AS volume_z, q3 > q1 AND (volume < q1 - 1.5 * (q3 - q1) OR volume > q3 + 1.5 * (q3 - q1)) AS volume_iqr FROM bars
        JOIN (SELECT id, avg(volume) AS m, stddev_samp(volume) AS sd, quantile_cont(volume, 0.25) AS q1, quantile_cont(volume, 0.75) AS q3 FROM bars GROUP BY id) USING (id)""", NB,
       )(lambda s, p: N.flag_outliers(N.flag_outliers(_nb(s, p), ["id"], "volume", 2.5).withColumnRenamed("volume_is_outlier", "volume_z"), ["id"], "volume", method="iqr").withColumnRenamed("volume_is_outlier", "volume_iqr"))
 query("nulls_min_points", "id n#", "SELECT id, count(*) AS n FROM g GROUP BY id HAVING count(x) >= 300", GAP)(
