@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import word_bytes
+from tideline.llm.common import smallest_hashes, word_bytes
 
 BITS = 20
 SAMPLE = 20_000
@@ -67,9 +67,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Coordinates and weights (coordinate 2^20: intercept). ``where``: which label rows may teach."""
     known = labels.where(where) if where is not None else labels
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    few = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    few = smallest_hashes(known, sample, known.count(), "id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
-    one = rows.select("text", "y", F.xxhash64("id").alias("h"), "id").repartition(1).sortWithinPartitions("h", "id", "text")
+    one = rows.select("text", "y", "h", "id").repartition(1).sortWithinPartitions("h", "id", "text")
     schema = pa.schema([("i", pa.int32()), ("w", pa.float64())])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
