@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import gru
-from tideline.llm.common import scratch, space_words
+from tideline.llm.common import scratch, smallest_hashes, space_words
 
 END = b" "  # no word holds a space
 VOCABULARY, BUCKETS = 4032, 64
@@ -148,7 +148,7 @@ def fit(texts: DataFrame, symbols: Symbols, *, windows: int = 2, warm: int = WAR
     """texts: one text column of all training rows."""
     text = texts.columns[0]
     start = gru.flat(gru.fresh(symbols.size, symbols.symbol_count))
-    few = texts.where(F.col(text).isNotNull()).select(text, F.xxhash64(text).alias("h")).orderBy("h", F.length(text)).limit(warm).repartition(1).sortWithinPartitions("h")
+    few = smallest_hashes(texts.where(F.col(text).isNotNull()), warm, symbols.count.get(END, 0), text).repartition(1).sortWithinPartitions("h")
     start = collected(train(few.select(text), symbols, start, windows=4 * windows, rate=rate), start)
     return collected(train(texts, symbols, start, windows=windows, rate=rate / 2), start)
 
