@@ -12,15 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, langid, pieces, simhash, toxicity
+from tideline.llm import copies, decontaminate, langid, pieces, toxicity
 from tideline.llm.common import id_remainder, prepare, scratch, table
 
 #: Least score of a language: 0 is a text that shares no n-gram with any learned profile.
 LANGUAGE_SCORE = 0.1
 TOXIC_SCORE = 0.5
-#: Near copies: five-word shingles, 256-bit fingerprints of the set. Bits differ in a share of arccos(c) / pi, where c is
-#: about 2s / (1 + s) at similarity s: 39 bits at s = 0.8, with a deviation of 6.
-SHINGLE, WORDS64, RADIUS, TABLES = 5, 4, 42, 40
+#: Near copies: similarity 0.8 or more (``copies.LEAST``) of the sets of five-word shingles.
+SHINGLE = 5
 
 
 def unused(name: str, df: DataFrame) -> str:
@@ -49,13 +48,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id (nulls last)."""
     prepare(spark)
-    row, fp = unused("row_number", docs), unused("fingerprint", docs)
-    print_of = simhash.fingerprint(F.col("text"), shingle=SHINGLE, words64=WORDS64, distinct=True)
-    tagged = scratch(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, print_of))
-    prints = tagged.select(F.col(row).alias("id"), F.col(fp).alias("fp"), F.col("doc_id").alias("doc"))
-    named = simhash.linked_prints(prints, RADIUS, WORDS64, tables=TABLES)
-    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("first")
-    kept = prints.join(named, "fp").groupBy("component").agg(first).select(F.col("first.id").alias(row))
+    row = unused("row_number", docs)
+    tagged = scratch(docs.withColumn(row, F.monotonically_increasing_id()))
+    named = copies.verified(tagged, id_col=row, text_col="text", size=SHINGLE)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("id"))).alias("first")
+    rows = tagged.select(F.col(row).alias("id"), "doc_id").join(named, "id")
+    kept = rows.groupBy("component").agg(first).select(F.col("first.id").alias(row))
     return tagged.join(kept, row, "left_semi").select(*docs.columns)
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tideline.llm import ann, chat, decontaminate, gru, langid, licenses, lm, pieces, simhash, token_counts
+from tideline.llm import ann, chat, copies, decontaminate, gru, langid, licenses, lm, pieces, simhash, token_counts
 from tideline.llm.common import space_words, word_bytes
 from tideline.llm.queries import ORACLES, QUERIES
 
@@ -383,6 +383,35 @@ def test_pipeline_against_plain_python(spark, sf, texts):
     assert got and all(p == sp.encode(plain[i]) for i, p in got.items())
 
 
+def test_near_copies_are_exact_at_the_limit(spark, sf, monkeypatch):
+    word = lambda rng: "".join(rng.choices("abcdefghij", k=7))
+    rng = random.Random(5)
+    rows, near, apart = [], [], []
+    for i in range(160):
+        words = [word(rng) for _ in range(104)]  # 100 shingles; cut to 80 or 79 of them: similarity 0.8 or 0.79
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 84 - i % 2]))]
+        (apart if i % 2 else near).append(2 * i + 1)
+    family = [word(rng) for _ in range(60)]
+    rows += [(1000 + i, " ".join(family + [word(rng)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (copies.BLOCK, 700):
+        monkeypatch.setattr(copies, "BLOCK", block)
+        staying = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, sf).collect()}
+        assert staying == {2 * i for i in range(160)} | set(apart) | {1000}
+
+
+def test_near_copies_equal_brute_force(spark, sf, texts):
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := space_words(t)) else set() for i, t in texts}
+    ids = sorted(sets)
+    label = np.arange(len(ids))
+    for a, b in itertools.combinations(range(len(ids)), 2):
+        x, y = sets[ids[a]], sets[ids[b]]
+        if 5 * len(x & y) >= 4 * len(x | y):
+            label = simhash.merge_labels(label, np.array([a]), np.array([b]))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf).collect()} == {ids[k] for k in set(label.tolist())}
+
+
 def test_pipeline_is_wired():
     import __spark_entry__ as entry
 
