@@ -361,6 +361,28 @@ def test_control_strings_are_reversible(spark):
         assert "<|" not in r.e + r.r and chat.unescape_text(r.e) == r.t and chat.unescape_role(r.r) == r.t
 
 
+def test_model_learns_from_whole_texts(monkeypatch):
+    symbols = lm.Symbols([(lm.END, 40)], [(1, 1)] * lm.BUCKETS, 0)
+    trainer = gru.Trainer(gru.fresh(symbols.size, symbols.symbol_count))
+    seen, states = [], []
+    kept = gru.Trainer.learn
+
+    def learn(self, x, state, **more):
+        seen.extend(x[1:][more["live"]].tolist())
+        states.append(float(np.abs(state).max()))
+        return kept(self, x, state, **more)
+
+    monkeypatch.setattr(gru.Trainer, "learn", learn)
+    rng = np.random.default_rng(3)
+    texts = [np.append(rng.integers(0, lm.BUCKETS, n), lm.BUCKETS) for n in [1000, 0, 1, 31, 32, 33, *rng.integers(0, 90, 200)]]
+    lanes = lm.Lanes(trainer)
+    for t in texts:
+        lanes.add(t)
+    lanes.close()
+    assert Counter(seen) == Counter(np.concatenate(texts).tolist()) and lanes.learned == len(seen)
+    assert states[0] == 0 and states[-1] > 0  # the longest text goes on from its state
+
+
 # --- pipeline
 def test_pipeline_against_plain_python(spark, sf, texts):
     docs = spark.read.parquet(f"{sf}/documents.parquet")

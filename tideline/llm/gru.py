@@ -117,24 +117,34 @@ class Trainer:
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
-    def learn(self, x: np.ndarray) -> float:
-        """x: (steps + 1, batch); each symbol is predicted from those before it. Mean loss."""
+    def learn(self, x: np.ndarray, state: np.ndarray | None = None, *, end: int = -1, live: np.ndarray | None = None, whole: int = 0) -> float:
+        """x: (steps + 1, batch); each symbol is predicted from those before it. Mean loss.
+
+        ``state``: where each lane goes on from; it is moved to the last step. An ``end`` that is read starts a new text from zero.
+        ``live``: (steps, batch) predictions that count. ``whole``: their number in a full minibatch, if it can be less.
+        """
         p, (steps, batch) = self.p, (x.shape[0] - 1, x.shape[1])
-        hs = [np.zeros((batch, HIDDEN), np.float32)]
-        kept = []
+        hs = [np.zeros((batch, HIDDEN), np.float32) if state is None else state.copy()]
+        kept, outs, on = [], [], (x != end)[:, :, None]
         for t in range(steps):
+            hs[-1] = hs[-1] * on[t]
             h, gates, new = step(p["emb"][x[t]] @ p["wx"] + p["b"], hs[-1], p["u"])
             hs.append(h)
+            outs.append(h)
             kept.append((gates, new))
-        states = np.stack(hs[1:]).reshape(-1, HIDDEN)
-        s = x[1:].ravel()
+        if state is not None:
+            state[:] = hs[-1]
+        counted = np.ones(steps * batch, bool) if live is None else live.ravel()
+        states = np.stack(outs).reshape(-1, HIDDEN)[counted]
+        s = x[1:].ravel()[counted]
         g = {k: np.zeros_like(v) for k, v in p.items()}
         n, k = len(s), s // WIDTH
+        size = whole or n
         lc = log_softmax(states @ p["wc"] + p["bc"])
         loss = -lc[np.arange(n), k].astype(np.float64)
         d = np.exp(lc)
         d[np.arange(n), k] -= 1
-        d /= n
+        d /= size
         g["wc"], g["bc"] = states.T @ d, d.sum(axis=0)
         ds = d @ p["wc"].T
         order = np.argsort(k, kind="stable")
@@ -144,10 +154,12 @@ class Trainer:
             loss[rows] -= lo[np.arange(len(rows)), s[rows] - c]
             d = np.exp(lo)
             d[np.arange(len(rows)), s[rows] - c] -= 1
-            d /= n
+            d /= size
             g["wo"][c : c + WIDTH], g["bo"][c : c + WIDTH] = d.T @ states[rows], d.sum(axis=0)
             ds[rows] += d @ p["wo"][c : c + WIDTH]
-        ds = ds.reshape(steps, batch, HIDDEN)
+        full = np.zeros((steps * batch, HIDDEN), ds.dtype)
+        full[counted] = ds
+        ds = full.reshape(steps, batch, HIDDEN)
         back = np.zeros((batch, HIDDEN), np.float32)
         u = p["u"]
         for t in range(steps - 1, -1, -1):
@@ -162,6 +174,7 @@ class Trainer:
             g["u"][:, : 2 * HIDDEN] += h.T @ da[:, : 2 * HIDDEN]
             g["u"][:, 2 * HIDDEN :] += (r * h).T @ dn
             back = dh * z + drh * r + da[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
+            back = back * on[t]
             g["b"] += da.sum(axis=0)
             e = p["emb"][x[t]]
             g["wx"] += e.T @ da

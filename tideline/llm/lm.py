@@ -4,8 +4,8 @@ Tokens: lower-cased (A-Z) words between white space, then one end. Counts are ta
 
 The model's symbols are the ``vocabulary`` most frequent tokens and ``BUCKETS`` groups of all others, by their last two bytes. The
 recurrent model (see ``gru``) predicts symbols; a token of a group then has the share (c + 1) / (N_g + V_g + 1) of the group's
-training tokens, so every text, with unseen words too, has a proper probability. Each training text gives ``windows`` windows at
-places drawn from its content's hash, so all texts teach and the work grows with the input: after a warm-up on a
+training tokens, so every text, with unseen words too, has a proper probability. Every training text is learned from whole,
+in consecutive windows with the state carried (truncated backpropagation), so the work grows with the input: after a warm-up on a
 bounded sample in one task, each task trains its own copy on its texts and the copies' weights are averaged by Spark.
 
 Scoring is one pass over whole texts. Tokens of at least 1 / 2^19 of all training tokens (so at most 2^19) are broadcast with their
@@ -102,16 +102,43 @@ def learn_symbols(counts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Symb
     return Symbols(frequent, [tuple(g) for g in groups], vocabulary), n, v
 
 
-def windows_of(text: str | None, symbols: Symbols, windows: int) -> list[np.ndarray]:
-    """Windows of STEPS + 1 symbols at places drawn from the text's hash; a shorter text is one window, filled with ends."""
-    tokens = [END, *space_words(text), END]
-    if len(tokens) <= STEPS + 1:
-        return [symbols.symbols(tokens + [END] * (STEPS + 1 - len(tokens)))]
-    rng = np.random.default_rng(crc32(b" ".join(tokens)))
-    return [symbols.symbols(tokens[a : a + STEPS + 1]) for a in rng.integers(0, len(tokens) - STEPS, min(windows, -(-len(tokens) // STEPS)))]
-
-
-def train(texts: DataFrame, symbols: Symbols, start: np.ndarray, *, windows: int, rate: float) -> DataFrame:
+class Lanes:
+    """Streams texts whole through a trainer: ``BATCH`` lanes side by side, each one text after the other in windows of STEPS symbols,
+    the state carried from window to window. ``learned`` counts the symbols that were predicted."""
+
+    def __init__(self, trainer: gru.Trainer):
+        self.trainer, self.learned = trainer, 0
+        self.left = [np.array([BUCKETS], np.int32) for _ in range(BATCH)]
+        self.state = np.zeros((BATCH, gru.HIDDEN), np.float32)
+        self.short = list(range(BATCH))
+
+    def add(self, symbols: np.ndarray) -> None:
+        """symbols: a text with its end."""
+        lane = self.short[-1]
+        self.left[lane] = np.concatenate((self.left[lane], symbols))
+        if len(self.left[lane]) > STEPS:
+            self.short.pop()
+        while not self.short:
+            self.learn(list(range(BATCH)))
+
+    def learn(self, lanes: list[int]) -> None:
+        sizes = np.array([min(STEPS, len(self.left[b]) - 1) for b in lanes])
+        x = np.full((STEPS + 1, len(lanes)), BUCKETS, np.int32)
+        for i, b in enumerate(lanes):
+            x[: sizes[i] + 1, i] = self.left[b][: STEPS + 1]
+            self.left[b] = self.left[b][sizes[i] :]
+        state = self.state[lanes]
+        self.trainer.learn(x, state, end=BUCKETS, live=np.arange(STEPS)[:, None] < sizes, whole=STEPS * BATCH)
+        self.state[lanes] = state
+        self.learned += int(sizes.sum())
+        self.short = [b for b in range(BATCH) if len(self.left[b]) <= STEPS]
+
+    def close(self) -> None:
+        while lanes := [b for b in range(BATCH) if len(self.left[b]) > 1]:
+            self.learn(lanes)
+
+
+def train(texts: DataFrame, symbols: Symbols, start: np.ndarray, *, rate: float) -> DataFrame:
     """i, w: weights averaged over the tasks, each weighed by its number of minibatches."""
     sent = texts.sparkSession.sparkContext.broadcast((symbols, start))
     schema = pa.schema([("i", pa.int32()), ("s", pa.float64()), ("n", pa.int64())])
@@ -119,15 +146,11 @@ def train(texts: DataFrame, symbols: Symbols, start: np.ndarray, *, windows: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, start = sent.value
         trainer = gru.Trainer(gru.unflat(start.copy(), symbols.size), rate)
-        held: list[np.ndarray] = []
+        lanes = Lanes(trainer)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                held += windows_of(t, symbols, windows)
-                while len(held) >= BATCH:
-                    trainer.learn(np.stack(held[:BATCH], axis=1))
-                    del held[:BATCH]
-        if held:
-            trainer.learn(np.stack(held, axis=1))
+                lanes.add(symbols.symbols([*space_words(t), END]))
+        lanes.close()
         if trainer.t:
             w = gru.flat(trainer.p).astype(np.float64) * trainer.t
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w), pa.array(np.full(len(w), trainer.t))], schema=schema)
@@ -144,13 +167,13 @@ def collected(weights: DataFrame, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: DataFrame, symbols: Symbols, *, windows: int = 2, warm: int = WARM, rate: float = 0.01) -> np.ndarray:
+def fit(texts: DataFrame, symbols: Symbols, *, warm: int = WARM, rate: float = 0.01) -> np.ndarray:
     """texts: one text column of all training rows."""
     text = texts.columns[0]
     start = gru.flat(gru.fresh(symbols.size, symbols.symbol_count))
     few = smallest_hashes(texts.where(F.col(text).isNotNull()), warm, symbols.count.get(END, 0), text).repartition(1).sortWithinPartitions("h")
-    start = collected(train(few.select(text), symbols, start, windows=4 * windows, rate=rate), start)
-    return collected(train(texts, symbols, start, windows=windows, rate=rate / 2), start)
+    start = collected(train(few.select(text), symbols, start, rate=rate), start)
+    return collected(train(texts, symbols, start, rate=rate / 2), start)
 
 
 SCORED = "id {id}, extra boolean, n_tokens bigint, n_known bigint, counted double, model double, rare array<binary>"
