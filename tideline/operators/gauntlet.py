@@ -145,12 +145,12 @@ def gauntlet(df: DataFrame, candidates: Sequence[str], folder: str, *, y: str =
     counts = train.groupBy("candidate").agg(F.count("*").alias("_n"))
     known = every.join(counts, "candidate", "left").select("candidate", F.coalesce("_n", F.lit(0)).alias("n_pairs"))
     known = stage(known.withColumn("enough", F.col("n_pairs") >= min_pairs), "candidates")
-    tested = permutation_test(left_in(train, known, "enough"), "candidate", "pos", perms)
+    tested = permutation_test(left_in(train, known, F.col("n_pairs") >= min_pairs), "candidate", "pos", perms)
     one = known.join(tested, "candidate", "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0)))
     one = stage(one.withColumn("permutation_passed", F.coalesce(F.abs("ic") >= F.col("null_95"), F.lit(False))), "permutation")
     two = stage(fdr(one, alpha=alpha).withColumn("fdr_passed", F.col("significant") & F.col("enough")).drop("significant"), "fdr")
-    three = stage(fold_paths(left_in(train, two, "fdr_passed"), splits, tests), "cpcv")
-    survivors = two.select("candidate", "ic").join(three.filter("cpcv_passed").select("candidate"), "candidate")
+    three = stage(fold_paths(left_in(train, two, F.col("enough") & (F.col("p_adj") <= alpha)), splits, tests), "cpcv")
+    survivors = two.select("candidate", "ic").join(three.filter(F.col("cpcv_passed") & (F.col("cpcv_positive") > 0.6)).select("candidate"), "candidate")
     four = stage(held_out_test(rest.join(survivors, "candidate"), floor), "held_out")
     d = two.join(three, "candidate", "left").join(four, "candidate", "left")
     d = d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("cpcv_passed",)})
@@ -165,6 +165,7 @@ def gauntlet(df: DataFrame, candidates: Sequence[str], folder: str, *, y: str =
     return d.withColumns({"left_at": left, "promoted": kept, "rule": rule}).drop("_strict", "_loose", "enough")
 
 
-def left_in(pairs: DataFrame, stage: DataFrame, passed: str) -> DataFrame:
-    """Pairs of the candidates that a stage table lets through (its filter prunes the partitions that are read)."""
+def left_in(pairs: DataFrame, stage: DataFrame, passed: Column) -> DataFrame:
+    """Pairs of the candidates that a stage table lets through. ``passed`` should compare a stored statistic: that is what the optimizer
+    takes for selective (a stored flag is not), and then it prunes the partitions of the pairs."""
     return pairs.join(stage.filter(passed).select("candidate"), "candidate")

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.frames import Col, Frame, col, div
+from tideline.operators.research import connected_features
+from tideline.operators.setjoin import similar_sets
 from tideline.plans.segments import number_rows
+from tideline.session import checkpoint_dir
 
 
 # --- duplicates ------------------------------------------------------------------------------------
@@ -48,66 +51,46 @@ def shingles(text: Col, k: int = 3) -> Column:
     return F.array_distinct(F.element_at(F.transform(F.array(F.split(col(text), " ")), grams), 1))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.70, min_chars: int = 20, bands: int = 32, rows: int = 4, k: int = 3) -> DataFrame:
-    """Near-duplicate links with similarity and tier.
+def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.70, length_ratio: float = 0.70, k: int = 3) -> DataFrame:
+    """All pairs of different texts at the threshold or above, with similarity and tier.
 
-    Identical normalised texts are first reduced to one representative, so a group of copies makes no
-    pairs (``duplicate_groups`` reports it). Representatives meet through banded MinHash; inside a bucket
-    each text links to one leader of the bucket (a star: links grow with the texts, not their square),
-    over many independent bands. A link is kept if the exact Jaccard similarity of the word shingles of
-    the whole texts and the length ratio pass.
+    Identical normalised texts are one representative, the smallest id (``duplicate_classes`` gives the members). Similarity is Jaccard
+    on the word shingles of whole texts of any length; a text shorter than ``k`` words is its own shingle. Pairs whose
+    lengths differ by more than ``length_ratio`` are left out. Null texts pair with nothing. Complete: see ``setjoin``. Runs a job when called.
     """
-    rep = representatives(df, text, id_col, min_chars, k)
-    links = star_links(rep, bands, rows)
-    a = rep.select(F.col("rep_id").alias("id_a"), F.col("sh").alias("sa"), F.col("chars").alias("ca"))
-    b = rep.select(F.col("rep_id").alias("id_b"), F.col("sh").alias("sb"), F.col("chars").alias("cb"))
-    j = links.join(a, "id_a").join(b, "id_b").filter(F.least("ca", "cb") >= 0.70 * F.greatest("ca", "cb"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    sim = inter / (F.size("sa") + F.size("sb") - inter)
-    return j.withColumn("similarity", sim).filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity", similarity_tier("similarity").alias("tier"))
-
-
-def representatives(df: DataFrame, text: str, id_col: str, min_chars: int, k: int = 3) -> DataFrame:
-    """(rep_id, copies, chars, sh): one row per distinct normalised text, shingles as 64-bit hashes."""
-    d = df.select(F.col(id_col).alias("_id"), normalized(text).alias("_t")).filter(F.length("_t") >= min_chars)
-    g = d.groupBy(F.sha2("_t", 256).alias("_h")).agg(F.min("_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.min_by("_t", "_id").alias("_t"))
-    return g.select("rep_id", "copies", F.length("_t").alias("chars"), F.transform(shingles("_t", k), lambda s: F.xxhash64(s)).alias("sh"))
-
-
-def band_buckets(sh: Col, bands: int, rows: int, seed: int = 17) -> Column:
-    """Bucket of each band: ``rows`` minima of seeded multiply-shift hashes of the shingle hashes, mixed."""
-    rng = np.random.default_rng(seed)
-    mult = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    mixer = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
+    return links_between(representatives(df, text, id_col, k), threshold, length_ratio)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def buckets(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            h = np.asarray(v, dtype=np.int64).view(np.uint64)
-            low = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-            for i in range(0, len(h), 4096):
-                x = h[i : i + 4096, None] * mult + add
-                x ^= x >> np.uint64(31)
-                low = np.minimum(low, (x * mult).min(axis=0))
-            out.append((low.reshape(bands, rows) * mixer).sum(axis=1, dtype=np.uint64).view(np.int64))
-        return pd.Series(out)
-
-    return buckets(col(sh))
-
-
-def star_links(rep: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Distinct candidate links (smaller id first): within a band bucket every text links to one leader.
-
-    The leader is the smallest seeded hash of the band, so it differs from band to band and the pairs of
-    a small bucket are all met over the bands, while a huge bucket still makes one link per text.
+
+def representatives(df: DataFrame, text: str, id_col: str, k: int = 3) -> DataFrame:
+    """(text_hash, id, copies, chars, tokens): one row per distinct normalised text, shingles as 64-bit hashes; checkpointed."""
+    checkpoint_dir(df.sparkSession)
+    d = df.select(F.col(id_col).alias("_id"), normalized(text).alias("_t")).filter("_t IS NOT NULL AND _id IS NOT NULL")
+    g = d.groupBy(F.sha2("_t", 256).alias("text_hash")).agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by("_t", "_id").alias("_t"))
+    return g.select("text_hash", "id", "copies", F.length("_t").alias("chars"), F.array_distinct(F.transform(shingles("_t", k), lambda s: F.xxhash64(s))).alias("tokens")).checkpoint()
+
+
+def links_between(rep: DataFrame, threshold: float, length_ratio: float) -> DataFrame:
+    j = similar_sets(rep.select("id", "tokens"), threshold)
+    a, b = (rep.select(F.col("id").alias(f"id_{s}"), F.col("chars").alias(f"_{s}")) for s in "ab")
+    j = j.join(a, "id_a").join(b, "id_b").filter(F.least("_a", "_b") >= length_ratio * F.greatest("_a", "_b"))
+    return j.select("id_a", "id_b", "similarity", similarity_tier("similarity").alias("tier"))
+
+
+def duplicate_classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.70, length_ratio: float = 0.70, k: int = 3) -> DataFrame:
+    """One row per text: its representative (smallest id of the same normalised text), copies, links to other texts, best tier and class.
+
+    A class is what links reach from each other, named by its smallest id. Null texts are their own. Rows of one id are one text.
     """
-    flat = rep.select("rep_id", F.posexplode(band_buckets("sh", bands, rows)).alias("band", "bucket"))
-    lead = F.min_by("rep_id", F.struct(F.xxhash64("rep_id", "band"), F.col("rep_id")))
-    low = flat.groupBy("band", "bucket").agg(lead.alias("_l"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    j = flat.join(low, ["band", "bucket"]).filter(F.col("rep_id") != F.col("_l"))
-    return j.select(F.least("rep_id", "_l").alias("id_a"), F.greatest("rep_id", "_l").alias("id_b")).distinct()
+    rep = representatives(df, text, id_col, k)
+    links = links_between(rep, threshold, length_ratio).checkpoint()
+    ends = links.select(F.col("id_a").alias("id"), "similarity").unionByName(links.select(F.col("id_b").alias("id"), "similarity"))
+    mine = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("_best"))
+    names = connected_features(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("similarity").alias("corr")), mine.select(F.col("id").alias("feature")), 0.0)
+    found = rep.select("text_hash", F.col("id").alias("rep_id"), "copies").join(mine, F.col("rep_id") == F.col("id"), "left").drop("id")
+    found = found.join(names.withColumnRenamed("feature", "rep_id"), "rep_id", "left")
+    d = df.select(F.col(id_col), F.sha2(normalized(text), 256).alias("text_hash")).join(found, "text_hash", "left")
+    own = F.coalesce("rep_id", id_col)
+    return d.select(id_col, own.alias("rep_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), similarity_tier("_best").alias("best_tier"), F.coalesce("cluster", own).alias("class_id"))
 
 
 def similarity_tier(s: Col) -> Column:
@@ -123,48 +106,43 @@ def cosine(a: Col, b: Col) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_matches(queries: DataFrame, base: DataFrame, k: int, min_similarity: float = 0.7, vec: str = "embedding", qid: str = "query_id", vid: str = "vec_id", where: Column | None = None, max_queries: int = 10_000) -> DataFrame:
-    """Top-k base vectors per query by cosine, at least ``min_similarity``, after a metadata filter.
+def top_matches(queries: DataFrame, base: DataFrame, k: int, min_similarity: float = 0.7, vec: str = "embedding", qid: str = "query_id", vid: str = "vec_id", where: Column | None = None, max_queries: int = 1024, max_vectors: int = 16_384) -> DataFrame:
+    """Top-k base vectors per query by cosine, at least ``min_similarity``, after a metadata filter; ties by the base id.
 
-    The query side is broadcast only after its size is checked (``max_queries`` vectors); a larger query
-    set is joined in hashed query blocks, so each task holds one block. Each base partition keeps its own
-    k best per query in numpy before the final ranking, so at most k rows per query leave a partition.
+    A block join of both sides: queries are dealt to blocks of about ``max_queries`` and base vectors to blocks of about ``max_vectors`` by
+    hashes of their ids, and every pair of blocks is a task. A task compares its blocks with one matrix product and keeps the k best of
+    each query, so at most k rows per query and block reach the final ranking. Both counts are one-row aggregates of the
+    plan: nothing is collected, the base is scanned once beside its count, and any number of queries works. Null vectors are skipped.
     """
-    b = base if where is None else base.filter(where)
-    blocks = max(1, -(-queries.count() // max_queries))
-    schema = T.StructType([queries.schema[qid], b.schema[vid], T.StructField("similarity", T.DoubleType())])
-    out: DataFrame | None = None
-    for i in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == i).select(qid, vec).toPandas()
-        ids = part[qid].to_numpy()
-        q = np.stack(part[vec].to_numpy()).astype(float) if len(part) else np.zeros((0, 1))
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = b.sparkSession.sparkContext.broadcast((ids, q))
-
-        def best(batches, shared=shared):
-            ids, q = shared.value
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                m = np.stack(pdf[vec].to_numpy()).astype(float)
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                s = q @ m.T
-                n = min(k, s.shape[1])
-                pick = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                rows, cols = np.repeat(np.arange(len(ids)), n), pick.ravel()
-                sims = s[rows, cols]
-                # rows tied with the k-th value stay in, so the final order decides ties
-                edge = np.partition(-s, n - 1, axis=1)[:, n - 1]
-                r2, c2 = np.nonzero(-s <= edge[:, None] + 1e-12)
-                rows, cols, sims = r2, c2, s[r2, c2]
-                ok = sims >= min_similarity - 1e-12
-                yield pd.DataFrame({qid: ids[rows[ok]], vid: pdf[vid].to_numpy()[cols[ok]], "similarity": sims[ok]})
-
-        found = b.select(vid, vec).mapInPandas(best, schema)
-        out = found if out is None else out.unionByName(found)
-    assert out is not None
+    b = (base if where is None else base.filter(where)).filter(F.col(vec).isNotNull()).select(vid, F.col(vec).alias("_v"))
+    q = queries.filter(F.col(vec).isNotNull()).select(qid, F.col(vec).alias("_v"))
+    blocks = q.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(max_queries)), F.lit(1)).cast("int").alias("_nq"))
+    blocks = blocks.crossJoin(b.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(max_vectors)), F.lit(1)).cast("int").alias("_nb")))  # one row each
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    q = q.crossJoin(F.broadcast(blocks)).select(qid, "_v", mine(qid, "_nq").alias("_q"), every("_nb").alias("_b"))
+    b = b.crossJoin(F.broadcast(blocks)).select(vid, "_v", mine(vid, "_nb").alias("_b"), every("_nq").alias("_q"))
+    schema = T.StructType([queries.schema[qid], base.schema[vid], T.StructField("similarity", T.DoubleType())])
+
+    def unit(v: pd.Series) -> np.ndarray:
+        m = np.stack(v.to_numpy()).astype(float)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def best(some: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(vectors):
+            return pd.DataFrame({f.name: [] for f in schema}).astype({"similarity": float})
+        vectors = vectors.sort_values(vid)
+        s = unit(some["_v"]) @ unit(vectors["_v"]).T
+        rounded = np.where(s >= min_similarity - 1e-12, np.round(s, 9), -2.0)
+        # a stable sort of rows in id order: ties go to the smaller id
+        pick = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
+        rows, cols = np.repeat(np.arange(len(some)), pick.shape[1]), pick.ravel()
+        ok = rounded[rows, cols] > -2.0
+        return pd.DataFrame({qid: some[qid].to_numpy()[rows[ok]], vid: vectors[vid].to_numpy()[cols[ok]], "similarity": s[rows[ok], cols[ok]]})
+
+    found = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(best, schema)
     w = Window.partitionBy(qid).orderBy(F.desc(F.round("similarity", 9)), vid)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def sign_buckets(df: DataFrame, vec: str, vid: str, dims: int, bits: int, tables: int, seed: int = 3) -> DataFrame:

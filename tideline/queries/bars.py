@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tideline.functions.frames import Frame
 from tideline.operators import bars as B
 from tideline.operators import calendar as C
+from tideline.operators import openbars as O
 from tideline.operators import returns as R
-from tideline.queries.base import NB, SB, TICKS, VB, lag, query, ro
+from tideline.plans.incremental import slice_edges
+from tideline.queries.base import NB, REGISTRY, SB, TICKS, VB, Query, lag, query, ro
+from tideline.session import checkpoint_dir
 from tideline.sources import market as M
 
 OHLC = "open high low close volume"
@@ -103,8 +108,9 @@ COUNT_SRC = f"""SELECT *, CASE WHEN pos = 1 THEN 0 ELSE greatest(date_diff('day'
   SELECT b.*, n AS tf_days, n || 'D' AS tf, (rn - 1) // n + 1 AS bar_seq, (rn - 1) % n + 1 AS pos
   FROM (SELECT *, {lag('ts')} AS pts FROM bars) b CROSS JOIN (SELECT unnest([2, 5, 7, 30]) AS n))"""
 SNAP_OUT = "time_open time_high time_low time_open_bar count_days# count_missing_days#"
+COUNT_OUT = f"id tf ts tf_days# bar_seq# pos_in_bar# is_partial_end count_days_remaining# {OHLC} {SNAP_OUT}"
 query(
-    "bars_count_snapshots", f"id tf ts tf_days# bar_seq# pos_in_bar# is_partial_end count_days_remaining# {OHLC} {SNAP_OUT}",
+    "bars_count_snapshots", COUNT_OUT,
     "SELECT id, tf, ts, tf_days, bar_seq, pos AS pos_in_bar, pos < tf_days AS is_partial_end, tf_days - pos AS count_days_remaining, o AS open, h AS high, l AS low, close, v AS volume, t_open AS time_open, time_high, time_low, time_open_bar, count_days, count_missing_days FROM ("
     + _SNAP.format(src=COUNT_SRC) + ")",
     NB,
@@ -402,3 +408,36 @@ query(
 )(lambda s, p: M.nation_bars(s, p).withColumns({
     "fwd_1": Frame().forward_return("close", 1), "fwd_5": Frame().forward_return("close", 5),
     "fwd_log_5": Frame().forward_return("close", 5, log=True)}).withColumn("up_5", R.binarize("fwd_5")))
+
+
+def _same_as(name: str, full: str):
+    """A query whose rows must be those of another one's SQL."""
+
+    def add(fn):
+        spec = {"bars_count": COUNT_OUT}.get("_".join(full.split("_")[:2]), CAL_OUT)
+        query(name, spec)(fn)
+        REGISTRY[name] = Query(REGISTRY[name].run, REGISTRY[full].sql)
+        return fn
+
+    return add
+
+
+# --- increments ------------------------------------------------------------------------------------
+def _increments(kind: str, specs, scheme: str = "iso", days: int = 700):
+    """All days in batches, each folded into the state that the batch before has left."""
+
+    def run(s, p):
+        daily, bars, folder = M.nation_bars(s, p), O.Bars(kind, specs, scheme), f"{checkpoint_dir(s).rstrip('/')}/tideline-tables-{uuid.uuid4().hex}"
+        cuts = [None, *slice_edges(daily, "ts", days), None]
+        for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            some = daily if low is None else daily.filter(F.col("ts") >= F.lit(low).cast("timestamp_ntz"))
+            O.append_days(some if high is None else some.filter(F.col("ts") < F.lit(high).cast("timestamp_ntz")), bars, folder, i)
+        return O.finished(s, bars, folder)
+
+    return run
+
+
+_same_as("bars_count_increments", "bars_count_snapshots")(_increments(O.COUNT, TF_DAYS))
+for _scheme in ("us", "iso"):
+    _same_as(f"bars_calendar_increments_{_scheme}", f"bars_calendar_{_scheme}")(_increments(O.CALENDAR, CAL_SPECS, _scheme))
+    _same_as(f"bars_anchored_increments_{_scheme}", f"bars_anchored_{_scheme}")(_increments(O.ANCHORED, CAL_SPECS, _scheme))

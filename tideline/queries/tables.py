@@ -292,7 +292,20 @@ query("experiment_expression_ic", "id ic:6 n_obs#", _ic_sql(f"(SELECT *, {ro('av
 query("text_duplicate_groups", "content_hash size# copies# first_id# wasted#", "SELECT sha256(text) AS content_hash, length(text) AS size, count(*) AS copies, min(doc_id) AS first_id, length(text) * (count(*) - 1) AS wasted FROM documents WHERE length(text) >= 10 GROUP BY 1, 2 HAVING count(*) > 1")(
     lambda s, p: X.duplicate_groups(M.table(s, p, "documents"), min_size=10))
 query("text_keep_one", "doc_id lang source n_chars", "SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")(lambda s, p: X.keep_one(M.table(s, p, "documents"), "text", ["doc_id"]))
-query("text_near_duplicates", "id_a id_b similarity:6 tier", None)(lambda s, p: X.near_duplicates(M.table(s, p, "documents")))
+_TIER = "CASE WHEN {x} >= 0.95 THEN 'exact' WHEN {x} >= 0.85 THEN 'very_similar' WHEN {x} >= 0.70 THEN 'related' END"
+_ND = r"""nt AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM documents),
+rp AS MATERIALIZED (SELECT t, min(doc_id) AS id, count(*) AS copies, length(t) AS chars, string_split(t, ' ') AS w FROM nt WHERE t IS NOT NULL GROUP BY t),
+sg AS MATERIALIZED (SELECT DISTINCT id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM rp)),
+sn AS (SELECT id, count(*) AS n FROM sg GROUP BY id),
+bo AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM sg a JOIN sg b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+ln AS MATERIALIZED (SELECT id_a, id_b, k / (x.n + y.n - k) AS similarity FROM bo JOIN sn x ON x.id = id_a JOIN sn y ON y.id = id_b JOIN rp p ON p.id = id_a JOIN rp q ON q.id = id_b
+  WHERE k / (x.n + y.n - k) >= 0.7 AND least(p.chars, q.chars) >= 0.7 * greatest(p.chars, q.chars))"""
+query("text_near_duplicates", "id_a id_b similarity:6 tier", f"SELECT *, {_TIER.format(x='similarity')} AS tier FROM ln", _ND)(lambda s, p: X.near_duplicates(M.table(s, p, "documents")))
+query("text_duplicate_classes", "doc_id rep_id copies# n_links# best_tier class_id",
+      f"""WITH RECURSIVE ed AS (SELECT id_a AS a, id_b AS b, similarity FROM ln UNION ALL SELECT id_b, id_a, similarity FROM ln), rc AS (SELECT a, a AS b FROM ed UNION SELECT rc.a, ed.b FROM rc JOIN ed ON ed.a = rc.b),
+       cl AS (SELECT a AS id, min(b) AS class_id FROM rc GROUP BY a), mi AS (SELECT a AS id, count(*) AS n_links, max(similarity) AS best FROM ed GROUP BY a)
+       SELECT doc_id, coalesce(rp.id, doc_id) AS rep_id, coalesce(copies, 1) AS copies, coalesce(n_links, 0) AS n_links, {_TIER.format(x='best')} AS best_tier, coalesce(class_id, rp.id, doc_id) AS class_id FROM nt LEFT JOIN rp ON rp.t = nt.t LEFT JOIN mi ON mi.id = rp.id LEFT JOIN cl ON cl.id = rp.id""", _ND)(
+    lambda s, p: X.duplicate_classes(M.table(s, p, "documents")))
 query("text_registry", "id content_hash n_chars# n_lines# first_line has_header", r"SELECT doc_id AS id, sha256(text) AS content_hash, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines, string_split(text, chr(10))[1] AS first_line, starts_with(text, '---' || chr(10)) AS has_header FROM documents")(
     lambda s, p: X.text_registry(M.table(s, p, "documents")))
 query("text_category_digest", "lang source n# samples",
