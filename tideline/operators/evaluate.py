@@ -215,10 +215,13 @@ def bar_returns_of_trades(bars: DataFrame, trades: DataFrame, by: Sequence[str]
     return b.join(hit.withColumn("_in", F.lit(1)), [*by, "ts"], "left").withColumn("ret", F.when(F.col("_in") == 1, F.coalesce("_r", F.lit(0.0))).otherwise(0.0)).drop("_r", "_in")
 
 
-def daily_trade_returns(trades: DataFrame, by: Sequence[str], start: Column, end: Column) -> DataFrame:
-    """Sum of trade pnl on the exit day over a full calendar, zero filled."""
-    d = trades.groupBy(*by, F.col("exit_ts").cast("date").alias("day")).agg(F.sum("pnl").alias("pnl"))
-    grid = trades.select(*by).distinct().withColumn("day", F.explode(F.sequence(start, end, F.expr("INTERVAL 1 DAY"))))
+def daily_trade_returns(trades: DataFrame, by: Sequence[str], start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Sum of trade pnl on the exit day over a full calendar, zero filled. The calendar is that of all exits unless it is given."""
+    day = F.col("exit_ts").cast("date")
+    d = trades.groupBy(*by, day.alias("day")).agg(F.sum("pnl").alias("pnl"))
+    span = trades.agg(F.min(day).alias("_a"), F.max(day).alias("_b"))  # one row
+    low, high = (F.col("_a") if start is None else start), (F.col("_b") if end is None else end)
+    grid = trades.select(*by).distinct().crossJoin(F.broadcast(span)).withColumn("day", F.explode(F.sequence(low, high, F.expr("INTERVAL 1 DAY")))).drop("_a", "_b")
     return grid.join(d, [*by, "day"], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
 
 
@@ -370,6 +373,15 @@ def paired_comparison(df: DataFrame, keys: Sequence[str], strategy: str, a: str,
     return g.filter(d.isNotNull()).agg(F.count_if(d > tol).alias("wins"), F.count_if(d < -tol).alias("losses"), F.count_if(F.abs(d) <= tol).alias("ties"), F.avg(d).alias("mean_delta"))
 
 
+def paired_comparisons(df: DataFrame, pairs: DataFrame, keys: Sequence[str], strategy: str, value: str = "sharpe", tol: float = 1e-9) -> DataFrame:
+    """Win/loss/tie counts of each listed pair (a, b) of strategies over their common keys: rows grow with the pairs that are asked for."""
+    x = df.select(*keys, F.col(strategy).alias("a"), F.col(value).alias("_x"))
+    y = df.select(*keys, F.col(strategy).alias("b"), F.col(value).alias("_y"))
+    d = F.col("_x") - F.col("_y")
+    j = pairs.filter("b IS NOT NULL").join(x, "a").join(y, ["b", *keys]).filter(d.isNotNull())
+    return j.groupBy("a", "b").agg(F.count_if(d > tol).alias("wins"), F.count_if(d < -tol).alias("losses"), F.count_if(F.abs(d) <= tol).alias("ties"), F.avg(d).alias("mean_delta"))
+
+
 def tail_score(baseline_worst5: Column) -> Column:
     improve = F.least(F.greatest(1 - F.try_divide(F.abs("worst_5"), F.abs(baseline_worst5)), F.lit(-1.0)), F.lit(1.0))
     return 0.4 * F.col("sharpe") + 0.3 * F.col("sortino") + 0.2 * (1 + F.col("calmar")) + 0.1 * F.coalesce(improve, F.lit(0.0))

@@ -221,11 +221,16 @@ def _rates(s, p):
     return M.event_ticks(s, p).select(F.col("kind").alias("venue"), F.pmod("id", F.lit(20)).alias("symbol"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), (F.col("price") / 1e4).alias("rate")).groupBy("venue", "symbol", "ts").agg(F.avg("rate").alias("rate"))
 
 
+def _every_venue(rates):
+    """Each (symbol, minute) asked for at every venue; the venues are the few kinds of event."""
+    return rates.select("symbol", "ts").distinct().join(F.broadcast(rates.select("venue").distinct()), F.lit(True))
+
+
 RATES = "rates AS (SELECT event_type AS venue, user_id % 20 AS symbol, date_trunc('minute', ts)::TIMESTAMP AS ts, avg(value / 1e4) AS rate FROM events GROUP BY ALL)"
 query("funding_with_fallback", "venue symbol# ts rate:7 source",
-      """SELECT w.venue, w.symbol, w.ts, coalesce(x.rate, m.r) AS rate, CASE WHEN x.rate IS NOT NULL THEN 'exact' WHEN m.r IS NOT NULL THEN 'cross_venue' END AS source FROM (SELECT DISTINCT 'click' AS venue, symbol, ts FROM rates) w LEFT JOIN rates x USING (venue, symbol, ts)
+      """SELECT w.venue, w.symbol, w.ts, coalesce(x.rate, m.r) AS rate, CASE WHEN x.rate IS NOT NULL THEN 'exact' WHEN m.r IS NOT NULL THEN 'cross_venue' END AS source FROM (SELECT venue, symbol, ts FROM (SELECT DISTINCT symbol, ts FROM rates), (SELECT DISTINCT venue FROM rates)) w LEFT JOIN rates x USING (venue, symbol, ts)
        LEFT JOIN (SELECT w.symbol, w.ts, avg(r.rate) AS r FROM (SELECT DISTINCT symbol, ts FROM rates) w JOIN rates r ON r.symbol = w.symbol AND r.ts BETWEEN w.ts - INTERVAL 30 MINUTE AND w.ts + INTERVAL 30 MINUTE GROUP BY ALL) m ON m.symbol = w.symbol AND m.ts = w.ts""", RATES)(
-    lambda s, p: J.funding_with_fallback(_rates(s, p).select(F.lit("click").alias("venue"), "symbol", "ts").distinct(), _rates(s, p)))
+    lambda s, p: J.funding_with_fallback(_every_venue(_rates(s, p)), _rates(s, p)))
 query("funding_payments", "id venue_id# ts payment:4",
       "SELECT l.id, l.venue_id, l.ts, -l.price * coalesce(r.rate, 0) * CASE WHEN l.id % 2 = 1 THEN -1 ELSE 1 END AS payment FROM l ASOF LEFT JOIN (SELECT id, venue_id, ts, ref / 1e9 AS rate FROM r) r ON l.id = r.id AND l.venue_id = r.venue_id AND l.ts >= r.ts", _V1)(
     lambda s, p: J.funding_payments(_venue_ticks(s, p), _venue_ticks(s, p).withColumns({"venue_id": F.col("venue_id") % 5 + 1, "rate": F.col("price") / 1e9}), ["id", "venue_id"], "price", F.col("id") % 2 == 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions.expressions import evaluate
@@ -92,8 +93,8 @@ query("eval_recovery_time", "id mean_recovery_bars:5 n_drawdowns#",
 query("eval_bar_returns_of_trades", "id ts ret:6", f"SELECT b.id, b.ts, CASE WHEN EXISTS (SELECT 1 FROM trades t WHERE t.id = b.id AND b.ts > t.entry_ts AND b.ts <= t.exit_ts) THEN coalesce(r, 0) ELSE 0 END AS ret FROM (SELECT *, close / {lag('close')} - 1 AS r FROM bars) b", TRADES)(
     lambda s, p: E.bar_returns_of_trades(_nb(s, p), _trades(s, p)))
 query("eval_daily_trade_returns", "id day! pnl:3",
-      "SELECT g.id, g.day, coalesce(sum(t.p), 0) AS pnl FROM (SELECT id, CAST(unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-03-31', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT id FROM trades)) g LEFT JOIN (SELECT id, CAST(exit_ts AS DATE) AS day, entry_price / 1000 AS p FROM trades) t USING (id, day) GROUP BY g.id, g.day", TRADES)(
-    lambda s, p: E.daily_trade_returns(_trades(s, p).withColumn("pnl", F.col("entry_price") / 1000), ["id"], F.lit("1996-01-01").cast("date"), F.lit("1996-03-31").cast("date")))
+      "SELECT g.id, g.day, coalesce(sum(t.p), 0) AS pnl FROM (SELECT id, CAST(unnest(generate_series((SELECT CAST(min(CAST(exit_ts AS DATE)) AS TIMESTAMP) FROM trades), (SELECT CAST(max(CAST(exit_ts AS DATE)) AS TIMESTAMP) FROM trades), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT id FROM trades)) g LEFT JOIN (SELECT id, CAST(exit_ts AS DATE) AS day, entry_price / 1000 AS p FROM trades) t USING (id, day) GROUP BY g.id, g.day", TRADES)(
+    lambda s, p: E.daily_trade_returns(_trades(s, p).withColumn("pnl", F.col("entry_price") / 1000), ["id"]))
 query("eval_bootstrap_sharpe", "id lo:5 median:5 hi:5 samples#", None)(lambda s, p: E.bootstrap_sharpe(_strat(s, p), ["id"], "strat_ret"))
 _MT = _MOM + f", mt AS (SELECT m0.*, psr FROM (SELECT id, {_sh('strat_ret', 252)} AS sharpe, min(drawdown) AS max_drawdown, avg(dp) AS turnover, pow(exp(sum(ln(1 + strat_ret))), 252.0 / count(*)) - 1 AS ann_return, count(*) AS n_trades FROM dd GROUP BY id) m0 JOIN (SELECT id, {phi('z')} AS psr FROM (SELECT id, sr / sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1)) AS z FROM mo)) USING (id))"
 
@@ -121,8 +122,9 @@ query("eval_sequential_gates", "gate step# survivors#",
 query("eval_scorecard", "gate measured:5 threshold:2 status",
       "SELECT 'best_sharpe' AS gate, max(sharpe) AS measured, 0.5 AS threshold, CASE WHEN max(sharpe) >= 0.5 THEN 'PASS' WHEN max(sharpe) >= 0.3 THEN 'CONDITIONAL' ELSE 'FAIL' END AS status FROM mt UNION ALL SELECT 'worst_drawdown', min(max_drawdown), -0.5, CASE WHEN min(max_drawdown) >= -0.5 THEN 'PASS' WHEN min(max_drawdown) >= -0.7 THEN 'CONDITIONAL' ELSE 'FAIL' END FROM mt", NB + ", " + _SR + ", " + _MT)(
     lambda s, p: E.scorecard([("best_sharpe", _mt(s, p).agg(F.max("sharpe").alias("v")), "v", 0.5, "above"), ("worst_drawdown", _mt(s, p).agg(F.min("max_drawdown").alias("v")), "v", -0.5, "above")], 0.2))
-query("eval_paired_comparison", "wins# losses# ties# mean_delta:5", "SELECT count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, avg(d) AS mean_delta FROM (SELECT a.ts, a.close - b.close AS d FROM bars a JOIN bars b ON a.ts = b.ts AND a.id = 3 AND b.id = 7)", NB)(
-    lambda s, p: E.paired_comparison(_nb(s, p), ["ts"], "id", 3, 7, "close"))
+query("eval_paired_comparison", "a# b# wins# losses# ties# mean_delta:5",
+      "SELECT pr.a, pr.b, count(*) FILTER (d > 1e-9) AS wins, count(*) FILTER (d < -1e-9) AS losses, count(*) FILTER (abs(d) <= 1e-9) AS ties, avg(d) AS mean_delta FROM (SELECT id AS a, lead(id) OVER (ORDER BY id) AS b FROM (SELECT DISTINCT id FROM bars)) pr JOIN (SELECT x.id AS a, y.id AS b, x.close - y.close AS d FROM bars x JOIN bars y ON x.ts = y.ts) USING (a, b) GROUP BY 1, 2", NB)(
+    lambda s, p: E.paired_comparisons(_nb(s, p), (lambda ids: ids.select(F.col("id").alias("a"), F.lead("id").over(Window.orderBy("id")).alias("b")))(_nb(s, p).select("id").distinct()), ["ts"], "id", "close"))
 query("eval_tail_score_caps", "id score:4", "SELECT x.id, 0.4 * sharpe + 0.3 * so + 0.2 * (1 + ann_return / (abs(max_drawdown) + 1e-12)) + 0.1 * least(greatest(1 - abs(w5) / 0.2, -1), 1) AS score FROM mt x JOIN (SELECT id, avg(strat_ret) * sqrt(252) / (stddev_samp(CASE WHEN strat_ret < 0 THEN strat_ret END) + 1e-12) AS so FROM st GROUP BY id) USING (id) JOIN (SELECT id, avg(strat_ret) AS w5 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY strat_ret) AS k FROM st) WHERE k <= 5 GROUP BY id) USING (id)", NB + ", " + _SR + ", " + _MT)(
     lambda s, p: _mt(s, p).join(E.worst_days(_strat(s, p), ["id"], "strat_ret", (5,)), "id").withColumn("score", E.tail_score(F.lit(-0.2))))
 query("eval_loss_caps", "grp# daily_loss_cap:6 drawdown_cap:6", "SELECT id % 2 AS grp, least(avg(abs(max_drawdown)) * 0.1 * 1.5, 0.2) AS daily_loss_cap, least(avg(abs(max_drawdown)) * 1.5, 0.4) AS drawdown_cap FROM mt GROUP BY 1", NB + ", " + _SR + ", " + _MT)(lambda s, p: E.loss_caps(_mt(s, p).withColumn("grp", F.col("id") % 2), ["grp"]))
@@ -245,8 +247,9 @@ query("research_coverage", "id expected# present# coverage:6", "SELECT id, count
 query("research_ndcg", "ts ndcg:6",
       "SELECT ts, sum(CASE WHEN r <= 3 THEN g / log2(r + 1) END) / nullif(sum(CASE WHEN i <= 3 THEN g / log2(i + 1) END), 0) AS ndcg FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY mom DESC, id) AS r, row_number() OVER (PARTITION BY ts ORDER BY g DESC, id) AS i FROM (SELECT *, y1 - min(y1) OVER (PARTITION BY ts) AS g FROM fx WHERE mom IS NOT NULL AND y1 IS NOT NULL)) GROUP BY ts", NB + ", " + _F)(
     lambda s, p: Q.ndcg(_fx(s, p), ["ts"], "mom", "y1", 3))
-query("research_compare_experiments", "metric 3:4 7:4", """SELECT 'close' AS metric, avg(close) FILTER (id = 3) AS "3", avg(close) FILTER (id = 7) AS "7" FROM bars UNION ALL SELECT 'volume', avg(volume) FILTER (id = 3), avg(volume) FILTER (id = 7) FROM bars""", NB)(
-    lambda s, p: Q.compare_experiments(_nb(s, p).groupBy("id").agg(F.avg("close").alias("close"), F.avg("volume").alias("volume")).select("id", F.explode(F.array(F.struct(F.lit("close").alias("metric"), F.col("close").alias("value")), F.struct(F.lit("volume").alias("metric"), F.col("volume").alias("value")))).alias("_i")).select("id", "_i.*"), "id", "metric", "value", [3, 7]))
+_RUNS = list(range(25))  # all nations
+query("research_compare_experiments", "metric " + " ".join(f"{i}:4" for i in _RUNS), " UNION ALL ".join(f"SELECT '{m}' AS metric, " + ", ".join(f'avg({m}) FILTER (id = {i}) AS "{i}"' for i in _RUNS) + " FROM bars" for m in ("close", "volume")), NB)(
+    lambda s, p: Q.compare_experiments(_nb(s, p).groupBy("id").agg(F.avg("close").alias("close"), F.avg("volume").alias("volume")).select("id", F.explode(F.array(F.struct(F.lit("close").alias("metric"), F.col("close").alias("value")), F.struct(F.lit("volume").alias("metric"), F.col("volume").alias("value")))).alias("_i")).select("id", "_i.*"), "id", "metric", "value", _RUNS))
 query("research_threshold_impact", "threshold:2 n_kept# hit_rate:6 mean_ret:6", " UNION ALL ".join(f"SELECT {t} AS threshold, count(*) AS n_kept, avg(CAST(y1 > 0 AS DOUBLE)) AS hit_rate, avg(y1) AS mean_ret FROM fx WHERE close / 500000 >= {t}" for t in (0.2, 0.5)), NB + ", " + _F)(
     lambda s, p: Q.threshold_impact(_fx(s, p).withColumn("pr", F.col("close") / 500000), "pr", "y1", (0.2, 0.5)))
 

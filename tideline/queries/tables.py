@@ -37,9 +37,10 @@ FR = Frame()
 query("source_filtered_bars", "id ts close:2", "SELECT id, ts, close FROM bars WHERE id IN (3, 7, 11) AND ts BETWEEN '1996-01-01' AND '1998-06-30'", NB)(
     lambda s, p: V.filtered_bars(_nb(s, p), [3, 7, 11], "1996-01-01", "1998-06-30"))
 query("source_close_panel", "ts 3:2 7:2", 'SELECT ts, max(close) FILTER (id = 3) AS "3", max(close) FILTER (id = 7) AS "7" FROM bars GROUP BY ts', NB)(lambda s, p: V.close_panel(_nb(s, p), [3, 7]))
-query("source_daily_grid", "date! a:2 b:2",
-      "SELECT CAST(d AS DATE) AS date, a, b FROM (SELECT unnest(generate_series((SELECT min(ts) FROM ticks WHERE venue_id < 3), (SELECT max(ts) FROM ticks WHERE venue_id < 3), INTERVAL 1 DAY)) AS d) LEFT JOIN (SELECT ts, sum(price) FILTER (venue_id = 1) AS a, sum(price) FILTER (venue_id = 2) AS b FROM ticks WHERE venue_id < 3 GROUP BY ts) ON ts = d", TICKS)(
-    lambda s, p: V.daily_grid(M.order_ticks(s, p).filter("venue_id < 3").groupBy(F.when(F.col("venue_id") == 1, "a").otherwise("b").alias("series"), F.col("ts").cast("date").alias("date")).agg(F.sum("price").alias("value")), ["a", "b"]))
+_SERIES = "abcde"  # one for each of the five venues
+query("source_daily_grid", "date! " + " ".join(f"{c}:2" for c in _SERIES),
+      f"SELECT CAST(g.day AS DATE) AS date, {', '.join(_SERIES)} FROM (SELECT unnest(generate_series((SELECT min(ts) FROM ticks), (SELECT max(ts) FROM ticks), INTERVAL 1 DAY)) AS day) g LEFT JOIN (SELECT ts, {', '.join(f'sum(price) FILTER (venue_id = {i}) AS {c}' for i, c in enumerate(_SERIES, 1))} FROM ticks GROUP BY ts) v ON v.ts = g.day", TICKS)(
+    lambda s, p: V.daily_grid(M.order_ticks(s, p).groupBy(F.substring(F.lit(_SERIES), F.col("venue_id").cast("int"), F.lit(1)).alias("series"), F.col("ts").cast("date").alias("date")).agg(F.sum("price").alias("value")), list(_SERIES)))
 query("source_parse_numbers", "l_orderkey l_linenumber l_partkey a:2 b:4",
       "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / 1000, 1) * 1000 AS a, l_discount * 100 AS b FROM lineitem")(
     lambda s, p: M.table(s, p, "lineitem").withColumns({"t": F.concat(F.lit("$"), F.format_string("%.1f", F.round(F.col("l_extendedprice") / 1000, 1)), F.lit(" K")), "u": F.concat(F.format_string("%.2f", F.col("l_discount") * 100), F.lit("%"))}).withColumns({"a": V.parse_number("t"), "b": V.parse_percent("u")}))
