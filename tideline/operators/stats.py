@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from tideline.functions.frames import Col, Frame, col, div
 from tideline.functions.numeric import norm_cdf
 from tideline.operators.asof import best_lag, lagged_corr, safe_corr
-from tideline.plans.segments import percentiles
+from tideline.plans.incremental import in_slices
+from tideline.plans.segments import SEGMENT_ROWS, number_rows, percentiles, running
 
 
 
@@ -291,30 +292,26 @@ def top_k(df: DataFrame, by: Sequence[str], score: str, k: int, tie: str = "id")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k).drop("_sl", "_r")
 
 
-def topk_dropout(scores: DataFrame, portfolio: Sequence[str], ts: str, k: int, n_drop: int) -> DataFrame:
-    """Holdings over rebalance dates: at most ``n_drop`` replacements, worst first, best replacements.
+def topk_dropout(scores: DataFrame, portfolio: Sequence[str], ts: str, k: int, n_drop: int, edges: Sequence[str] = (), folder: str | None = None) -> DataFrame:
+    """Holdings over rebalance dates: at most ``n_drop`` replacements, worst first (unscored ones last, by id), best replacements.
 
-    A held id was once in the top k, so only ids that reach the top k on some date can matter; the list
-    of a date holds those (at most k x dates), not the cross-section.
+    A fold over dates for many portfolios at once. With ``edges`` it runs over the time slices between them; the ids held at the end of a
+    slice are a state table in the shared ``folder`` (see ``in_slices``), so a task holds one slice of one portfolio, and a lost
+    executor repeats a slice and no more. Only ids that are held before the slice or reach the top k in it can matter: the list
+    of a date holds those, not the cross-section. Ties in score go to the smaller id.
     """
     keys = list(portfolio)
-    ever = top_k(scores, [*keys, ts], "score", k).select(*keys, "id").distinct()
-    candidates = scores.join(ever, [*keys, "id"], "left_semi").filter(F.col("score").isNotNull())
-    per_day = candidates.groupBy(*keys, ts).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("id").alias("id")))).alias("ranked")
-    )
-    fields = [per_day.schema[c] for c in (*keys, ts)] + [T.StructField("id", T.LongType()), T.StructField("action", T.StringType())]
+    fields = [scores.schema[c] for c in (*keys, ts)] + [T.StructField("id", scores.schema["id"].dataType), T.StructField("action", T.StringType())]
     schema = T.StructType(fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: set[int] = set()
-        out = []
-        for row in pdf.sort_values(ts).itertuples(index=False):
-            ranked = [r["id"] if isinstance(r, dict) else r[1] for r in getattr(row, "ranked")]
+    def run(days: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        held, out = set(start["id"].tolist()), []
+        for row in days.sort_values(ts).itertuples(index=False):
+            ranked = [r["id"] if isinstance(r, dict) else r[1] for r in row.ranked]
             place = {a: i for i, a in enumerate(ranked)}
             top = ranked[:k]
             if held:
-                below = sorted((a for a in held if a not in set(top)), key=lambda a: (a not in place, -place.get(a, 0)))
+                below = sorted((a for a in held if a not in set(top)), key=lambda a: (a not in place, -place.get(a, 0), a))
                 sell = below[:n_drop]
                 buy = [a for a in top if a not in held][: len(sell)]
             else:
@@ -322,10 +319,23 @@ def topk_dropout(scores: DataFrame, portfolio: Sequence[str], ts: str, k: int, n
             held = (held - set(sell)) | set(buy)
             base = [getattr(row, c) for c in keys] + [getattr(row, ts)]
             acts = {**{a: "hold" for a in held}, **{a: "buy" for a in buy}, **{a: "sell" for a in sell}}
-            out += [(*base, int(a), v) for a, v in sorted(acts.items())]
-        return pd.DataFrame(out, columns=[s.name for s in fields])
+            out += [(*base, a, v) for a, v in sorted(acts.items())]
+        return pd.DataFrame(out, columns=[f.name for f in fields])
 
-    return per_day.groupBy(*keys).applyInPandas(run, schema)
+    def step(part: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        ever = top_k(part, [*keys, ts], "score", k).select(*keys, "id")
+        before = part.sparkSession.createDataFrame([], T.StructType([part.schema[c] for c in (*keys, "id")])) if state is None else state
+        matter = part.filter(F.col("score").isNotNull()).join(ever.unionByName(before).distinct(), [*keys, "id"], "left_semi")
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("id").alias("id"))))
+        days = matter.groupBy(*keys, ts).agg(ranked.alias("ranked"))
+        out = days.groupBy(*keys).cogroup(before.groupBy(*keys)).applyInPandas(run, schema)
+        last = out.groupBy(*keys).agg(F.max(ts).alias(ts))
+        now = out.join(last, [*keys, ts]).filter("action <> 'sell'").select(*keys, "id")
+        return out, now if state is None else state.join(last.select(*keys), keys, "left_anti").unionByName(now)
+
+    if folder is None:
+        return step(scores, None)[0]
+    return in_slices(scores, Frame(keys, (ts,)), edges, step, folder)
 
 
 def bet_size(prob: Col, side: Col, w: float = 2.0) -> Column:
@@ -372,32 +382,54 @@ def status_counts(tables: Sequence[DataFrame], ts: str, start: Column, end: Colu
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def round_trips(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """FIFO pairing of buys and sells into closed lots with their return (one scan per key)."""
-    fields = [fills.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in ("qty", "entry_price", "exit_price", "ret")] + [T.StructField("seq", T.LongType())]
-    schema = T.StructType(fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        lots: list[list[float]] = []
-        head, out = 0, []
-        for q, p in zip(pdf["qty"].tolist(), pdf["price"].tolist()):
-            while q and head < len(lots) and lots[head][0] * q < 0:
-                lot = lots[head]
-                m = min(abs(q), abs(lot[0]))
-                side = 1.0 if lot[0] > 0 else -1.0
-                out.append((m, lot[1], p, side * (p / lot[1] - 1.0), len(out) + 1))
-                lot[0] -= side * m
-                q += side * m
-                if abs(lot[0]) < 1e-12:
-                    head += 1
-            if abs(q) > 1e-12:
-                lots.append([q, p])
-        res = pd.DataFrame(out, columns=["qty", "entry_price", "exit_price", "ret", "seq"])
-        for k in keys:
-            res[k] = pdf[k].iloc[0]
-        return res[[f.name for f in fields]]
-
-    return fills.groupBy(*keys).applyInPandas(run, schema)
-
+def round_trips(fills: DataFrame, keys: Sequence[str], order: Sequence[str], span: Column | None = None, rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Closed lots of signed fills (qty, price), first in, first out: keys, entry_n, exit_n, entry/exit of ``order[0]``, qty, prices, ret.
 
+    The u-th unit bought and the u-th unit sold make a lot, whatever position is open between: long if the purchase came first, else
+    short. With running totals of both sides a fill is an interval of units, and lots are the overlaps of buy and sell intervals.
+    Totals run over segments of a key, and intervals meet in cells of about 16 mean fills, which a fill joins as often as it
+    reaches into: n fills make some 2n cell rows, so neither a recursion nor a task for a whole key is needed. ``entry_n``
+    and ``exit_n`` are the fills' numbers in their key. ``span``: a column that never falls in the order of a key (as its hour), by which
+    a key of any size is numbered.
+    """
+    keys, when = list(keys), order[0]
+    d = fills.filter(F.col("qty") != 0).select(*keys, *order, F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    d = number_rows(d, Frame(keys, order), F.lit(0) if span is None else span, "n")
+    size = d.groupBy(*keys).agg((F.avg(F.abs("qty")) * 16).alias("_w"))
+    side = lambda sign: F.when(F.signum("qty") == sign, F.abs("qty")).otherwise(0.0)
+    d = running(d, Frame(keys, ("n",)), {"_b": ("sum", side(1)), "_s": ("sum", side(-1))}, "n", rows).join(size, keys)
+
+    def intervals(sign: int, total: str, name: str) -> DataFrame:
+        low = F.col(total) - F.abs("qty")
+        cells = F.sequence(F.floor(low / F.col("_w")), F.floor(F.col(total) / F.col("_w")))
+        x = d.filter(F.signum("qty") == sign)
+        return x.select(*keys, F.col("n").alias(f"_n{name}"), F.col(when).alias(f"_t{name}"), F.col("price").alias(f"_p{name}"), low.alias(f"_l{name}"), F.col(total).alias(f"_h{name}"), "_w", F.explode(cells).alias("_cell"))
+
+    j = intervals(1, "_b", "b").join(intervals(-1, "_s", "s").drop("_w"), [*keys, "_cell"])
+    low, high = F.greatest("_lb", "_ls"), F.least("_hb", "_hs")
+    j = j.filter((high - low > 1e-12) & (F.floor(low / F.col("_w")) == F.col("_cell")))  # once: in the cell where the overlap begins
+    long = F.col("_nb") < F.col("_ns")
+    first, last = (lambda c: F.when(long, F.col(f"_{c}b")).otherwise(F.col(f"_{c}s"))), (lambda c: F.when(long, F.col(f"_{c}s")).otherwise(F.col(f"_{c}b")))
+    out = j.select(*keys, first("n").alias("entry_n"), last("n").alias("exit_n"), first("t").alias(f"entry_{when}"), last("t").alias(f"exit_{when}"), (high - low).alias("qty"),
+                   first("p").alias("entry_price"), last("p").alias("exit_price"), F.when(long, 1.0).otherwise(-1.0).alias("side"))
+    return out.withColumn("ret", F.col("side") * (F.try_divide(F.col("exit_price"), F.col("entry_price")) - 1))
+
+
+def fill_to_fill_sharpe(fills: DataFrame, group: Sequence[str], asset: str, order: Sequence[str], span: Column | None = None) -> DataFrame:
+    """Per group: fills, pairs, mean return and days held, annualised Sharpe of the k-th purchase of an asset with its k-th sale.
+
+    Pairs ignore quantities. The number of a fill among its side's is a running count over segments of the key, and pairs are an equi join on it.
+    """
+    keys, when = [*group, asset], order[0]
+    d = number_rows(fills.filter(F.col("qty") != 0), Frame(keys, order), F.lit(0) if span is None else span, "n")
+    buy = F.col("qty") > 0
+    d = running(d, Frame(keys, ("n",)), {"_b": ("sum", F.when(buy, 1).otherwise(0)), "_s": ("sum", F.when(buy, 0).otherwise(1))}, "n")
+    b = d.filter(buy).select(*keys, F.col("_b").alias("_k"), F.col("price").alias("_pb"), F.col(when).alias("_tb"))
+    s = d.filter(~buy).select(*keys, F.col("_s").alias("_k"), F.col("price").alias("_ps"), F.col(when).alias("_ts"))
+    pairs = b.join(s, [*keys, "_k"]).filter("_pb > 0")
+    held = F.greatest(F.timestamp_diff("SECOND", F.col("_tb"), F.col("_ts")) / 86400.0, F.lit(1.0 / 24))
+    pairs = pairs.withColumns({"_r": (F.col("_ps") - F.col("_pb")) / F.col("_pb"), "_d": held})
+    g = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("_r").alias("mean_ret"), F.stddev_samp("_r").alias("_sd"), F.avg("_d").alias("mean_days"))
+    sharpe = F.when((F.col("n_pairs") >= 2) & (F.col("_sd") > 1e-12), F.col("mean_ret") / F.col("_sd") * F.sqrt(252.0 / F.col("mean_days")))
+    n = fills.filter(F.col("qty") != 0).groupBy(*group).agg(F.count(F.lit(1)).alias("n_fills"))
+    return n.join(g, list(group), "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0))).withColumn("sharpe", sharpe).drop("_sd")

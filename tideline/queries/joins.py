@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tideline.functions.frames import Frame
@@ -11,8 +13,10 @@ from tideline.operators import averages as A
 from tideline.operators import bars as B
 from tideline.operators import nulls as N
 from tideline.operators import stats as S
+from tideline.plans.incremental import slice_edges
 from tideline.queries.base import NB, TICKS, VB, W, ema_cte, lag, phi, query, ro, span
 from tideline.queries.features import _nb
+from tideline.session import checkpoint_dir
 from tideline.sources import market as M
 
 
@@ -306,8 +310,31 @@ def _fills(s, p):
 query("mark_to_market", "id ts pos:1 pnl:2",
       f"SELECT id, ts, pos, coalesce((pos - dq) * (close - {lag('close')}), 0) + CASE WHEN rn = 1 THEN 0 ELSE 0 END AS pnl FROM (SELECT *, sum(dq) OVER {W} AS pos FROM (SELECT *, rn % 5 - 2 AS dq FROM bars))", NB)(
     lambda s, p: S.mark_to_market(_fills(s, p), _nb(s, p)))
-query("fill_round_trips", "id n# mean_ret:6 qty:1", None)(
-    lambda s, p: S.round_trips(_fills(s, p).filter("qty <> 0"), ["id"], ["ts"]).groupBy("id").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.sum("qty").alias("qty")))
+def _trips_sql(src: str, key: str, order: str) -> str:
+    """Brute force: all overlaps of buy and sell intervals of running quantities."""
+    run = f"SELECT *, row_number() OVER w AS n, sum(greatest(qty, 0)) OVER w AS b, sum(greatest(-qty, 0)) OVER w AS s FROM {src} WHERE qty <> 0 WINDOW w AS (PARTITION BY {key} ORDER BY {order})"
+    return f"""ru AS MATERIALIZED ({run}), tr AS (SELECT x.{key}, least(x.n, y.n) AS entry_n, greatest(x.n, y.n) AS exit_n, least(x.b, y.s) - greatest(x.b - x.qty, y.s + y.qty) AS qty,
+      CASE WHEN x.n < y.n THEN x.price ELSE y.price END AS entry_price, CASE WHEN x.n < y.n THEN y.price ELSE x.price END AS exit_price, CASE WHEN x.n < y.n THEN 1 ELSE -1 END AS side
+      FROM ru x JOIN ru y ON x.{key} = y.{key} AND x.qty > 0 AND y.qty < 0 AND least(x.b, y.s) - greatest(x.b - x.qty, y.s + y.qty) > 1e-12)"""
+
+
+def _event_fills(s, p):
+    """Clicks and views buy one to three units, all other events sell two."""
+    e = M.table(s, p, "events")
+    return e.select(F.col("user_id").alias("id"), "ts", "event_id", F.when(F.col("event_type").isin("click", "view"), 1 + F.col("event_id") % 3).otherwise(-2).cast("double").alias("qty"), (1 + F.round("value", 2)).alias("price"))
+
+
+_EFILL = "ef AS (SELECT user_id AS id, ts, event_id, CASE WHEN event_type IN ('click', 'view') THEN 1.0 + event_id % 3 ELSE -2.0 END AS qty, 1 + round(value, 2) AS price FROM events)"
+query("fill_round_trips", "id n# mean_ret:6 qty:1", "SELECT id, count(*) AS n, avg(side * (exit_price / entry_price - 1)) AS mean_ret, sum(qty) AS qty FROM tr GROUP BY id",
+      NB + ", fl AS (SELECT id, ts, CAST(rn % 5 - 2 AS DOUBLE) AS qty, close AS price FROM bars), " + _trips_sql("fl", "id", "ts"))(
+    lambda s, p: S.round_trips(_fills(s, p), ["id"], ["ts"]).groupBy("id").agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.sum("qty").alias("qty")))
+query("fill_round_trips_events", "id entry_n# exit_n# qty:4 entry_price:4 exit_price:4 side# ret:6", "SELECT *, side * (exit_price / entry_price - 1) AS ret FROM tr", _EFILL + ", " + _trips_sql("ef", "id", "ts, event_id"))(
+    lambda s, p: S.round_trips(_event_fills(s, p), ["id"], ["ts", "event_id"], F.date_trunc("day", "ts"), 4096))
+query("fill_to_fill_sharpe", "grp# n_fills# n_pairs# mean_ret:6 mean_days:6 sharpe:6",
+      """SELECT grp, n_fills, coalesce(n_pairs, 0) AS n_pairs, mean_ret, mean_days, CASE WHEN n_pairs >= 2 AND sd > 1e-12 THEN mean_ret / sd * sqrt(252.0 / mean_days) END AS sharpe FROM (SELECT id % 7 AS grp, count(*) AS n_fills FROM ef GROUP BY 1)
+       LEFT JOIN (SELECT grp, count(*) AS n_pairs, avg(r) AS mean_ret, stddev_samp(r) AS sd, avg(d) AS mean_days FROM (SELECT b.id % 7 AS grp, (s.price - b.price) / b.price AS r, greatest(trunc(epoch(s.ts - b.ts)) / 86400.0, 1.0 / 24) AS d
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS k FROM ef WHERE qty > 0) b JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS k FROM ef WHERE qty < 0) s USING (id, k) WHERE b.price > 0) GROUP BY 1) USING (grp)""", _EFILL)(
+    lambda s, p: S.fill_to_fill_sharpe(_event_fills(s, p).withColumn("grp", F.col("id") % 7), ["grp"], "id", ["ts", "event_id"], F.date_trunc("day", "ts")))
 query("column_profile", "column_name n_rows# n_null# n_distinct# min_value max_value",
       " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM events" for c in ("event_id", "user_id", "event_type", "value", "props")))(
     lambda s, p: S.column_profile(M.table(s, p, "events"), ["event_id", "user_id", "event_type", "value", "props"]))
@@ -334,8 +361,28 @@ query("turnover_cost", "ts turnover:4 buys:4 sells:4 n_trades# cost:6",
       "SELECT ts, sum(abs(d)) AS turnover, sum(greatest(d, 0)) AS buys, sum(greatest(-d, 0)) AS sells, count(*) FILTER (d <> 0) AS n_trades, sum(abs(d)) * 10 / 1e4 AS cost FROM (SELECT ts, id, CASE WHEN rn % 4 <> 1 THEN rn % 5 / 10.0 ELSE 0 END - CASE WHEN rn % 4 <> 0 THEN rn % 5 / 10.0 ELSE 0 END AS d FROM bars) GROUP BY ts", NB)(
     lambda s, p: S.turnover_cost(_weights(s, p, 0), _weights(s, p, 1), ["ts"]))
 query("top_k_per_date", "ts id close rank#", "SELECT ts, id, close, rank FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY close DESC, id) AS rank FROM bars) WHERE rank <= 3", NB)(lambda s, p: S.top_k(_nb(s, p), ["ts"], "close", 3))
-query("topk_dropout_holdings", "portfolio# ts id action", None)(
-    lambda s, p: S.topk_dropout(_nb(s, p).select(F.lit(1).alias("portfolio"), "ts", "id", F.col("close").alias("score")), ["portfolio"], "ts", 5, 2))
+_TOPK = """sc AS (SELECT unnest([1, 2, 3]) AS portfolio, ts, id, unnest([close, -close, volume]) AS score FROM bars),
+dn AS MATERIALIZED (SELECT portfolio, ts, row_number() OVER (PARTITION BY portfolio ORDER BY ts) AS d, list(id ORDER BY score DESC, id) AS ranked FROM sc GROUP BY portfolio, ts),
+wk AS (SELECT portfolio, ts, d, ranked[1:5] AS held, CAST([] AS BIGINT[]) AS sells, ranked[1:5] AS buys FROM dn WHERE d = 1
+  UNION ALL SELECT portfolio, ts, d, list_concat(list_filter(held, lambda h: NOT list_contains(sells, h)), buys), sells, buys FROM (
+    SELECT *, CASE WHEN len(held) = 0 THEN ranked[1:5] ELSE list_filter(ranked[1:5], lambda t: NOT list_contains(held, t))[1:len(sells)] END AS buys FROM (
+      SELECT dn.portfolio, dn.ts, dn.d, ranked, held, list_concat(list_reverse(list_filter(ranked[6:], lambda r: list_contains(held, r))), list_sort(list_filter(held, lambda h: NOT list_contains(ranked, h))))[1:2] AS sells
+      FROM wk JOIN dn ON dn.portfolio = wk.portfolio AND dn.d = wk.d + 1)))"""
+
+
+def _portfolios(s, p):
+    """The same bars scored three ways: one portfolio each."""
+    ways = F.array(*[F.struct(F.lit(i).cast("bigint").alias("portfolio"), x.alias("score")) for i, x in ((1, F.col("close")), (2, -F.col("close")), (3, F.col("volume")))])
+    return _nb(s, p).select("ts", "id", F.explode(ways).alias("_i")).select("ts", "id", "_i.*")
+
+
+def _dropout(s, p):
+    scores = _portfolios(s, p)
+    return S.topk_dropout(scores, ["portfolio"], "ts", 5, 2, slice_edges(scores, "ts", 800), f"{checkpoint_dir(s).rstrip('/')}/tideline-tables-{uuid.uuid4().hex}")
+
+
+query("topk_dropout_holdings", "portfolio# ts id action",
+      "WITH RECURSIVE " + NB + ", " + _TOPK + " SELECT portfolio, ts, id, action FROM (SELECT portfolio, ts, unnest(sells) AS id, 'sell' AS action FROM wk UNION ALL SELECT portfolio, ts, unnest(buys), 'buy' FROM wk UNION ALL SELECT portfolio, ts, unnest(list_filter(held, lambda h: NOT list_contains(buys, h))), 'hold' FROM wk)")(_dropout)
 _BS = f"""bs AS (SELECT ts, id, rn % 5 / 10.0 AS w, ({phi('z')}) AS ph, sd FROM (SELECT *, ((rn * 37 + id) % 97 / 97.0 - 0.5) * 2 AS z, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS sd FROM bars)),
  bz AS (SELECT *, CASE WHEN abs(sd * (2 * ph - 1)) >= 0.2 THEN w * sd * (2 * ph - 1) ELSE 0 END AS scaled FROM bs)"""
 query("bet_sizing_weights", "ts id scaled:6 final_weight:6",
