@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import repair, similar, whiten
+from tideline.llm import ann, repair, similar, whiten
 from tideline.llm.common import space_words
 from tideline.llm.queries import QUERIES
 from tests.llm.test_edge_cases import N, by_id, empty, odd, rows  # noqa: F401
@@ -241,3 +241,19 @@ def test_spectra_of_many_partitions(spark):
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(40)
     found = whiten.whiten(df).groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("whitened") ** 2).alias("s")).collect()
     assert len(found) == 4 and all(r.n == 500 and abs(r.s - 500) < 1e-6 for r in found)
+
+
+def test_every_query_gets_all_it_can(spark):
+    """Two lengths and lone vectors: min(k, candidates) neighbours for every query, the rare length exact."""
+    rng = np.random.default_rng(11)
+    close = rng.normal(size=(4000, 32)) * 0.02 + rng.normal(size=(40, 32)).repeat(100, axis=0)
+    vectors = [v.tolist() for v in close] + [(-5 * close[:100].mean(axis=0)).tolist()] + [v.tolist() for v in rng.normal(size=(12, 16))] + [[1.0, 2.0, 3.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    found = ann.nearest(df, (F.col("id") % 50 == 0) | (F.col("id") >= 4000)).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(got[q]) == 5 for q in [*range(0, 4000, 50), *range(4000, 4013)]) and 4013 not in got
+    for q in range(4001, 4013):
+        u = {i: np.array(vectors[i]) / np.linalg.norm(vectors[i]) for i in range(4001, 4013)}
+        assert got[q] == sorted((i for i in u if i != q), key=lambda i: (-float(u[i] @ u[q]), i))[:5]

@@ -5,8 +5,11 @@ the bucket of its nearest signed axis. ``tables`` such hashes are kept; a query
 vectors of these buckets are candidates and are ranked by their exact cosine in double precision. With ``last`` > 0 a
 second turn's nearest signed axis among the first ``last`` coordinates divides every bucket further, for larger tables.
 
-``calibrate`` fits probes and ``last`` on a bounded sample: ``sample`` queries are answered exactly by one scan of all
-vectors, and the cheapest setting that finds ``recall`` of these true neighbours is taken. All vectors are indexed.
+``calibrate`` fits probes and ``last`` for each vector length on a bounded sample: ``sample`` queries are answered exactly by one scan of all
+vectors of their length, and the cheapest setting that finds ``recall`` of these true neighbours is taken. Lengths with fewer than
+``ENOUGH`` queries in the sample are searched in all buckets. All vectors are indexed. A query that found fewer than k, though there are
+more candidates of its length, is searched again in all buckets of one table, which hold every vector once: each query gets
+min(k, candidates) rows.
 
 Equal vectors are one index entry with their k + 1 smallest ids (no other id of them can be among k nearest). A bucket
 is dealt to tasks in blocks of about ``BLOCK`` vectors which queries pass as a stream, so neither side of a hot bucket has to fit in
@@ -32,6 +35,9 @@ from tideline.llm.common import scratch
 TABLES, SEED = 8, 7
 BLOCK = 4096
 SECOND = (0, 1, 4, 16)
+#: Sampled queries of a length that are enough to fit its setting, and the setting (all buckets, one turn) of a length with fewer.
+ENOUGH, ALL = 16, (1 << 30, 0)
+Settings = dict[int, tuple[int, int]]
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -145,18 +151,22 @@ def exact(entries: DataFrame, asked: list[tuple[int, bytes]], dim: int, kind: st
     return top_pairs(entries.where(F.col("dim") == dim).select("key", "vec").mapInArrow(scan, PAIR), k)
 
 
-def calibrate(entries: DataFrame, asked: DataFrame, kind: str, n: int, *, k: int, tables: int = TABLES, recall: float = 0.97, sample: int = 96) -> tuple[int, int, float]:
-    """(probes, last, recall on the sample) of the cheapest setting; all probes when nothing can be sampled."""
+def calibrate(entries: DataFrame, asked: DataFrame, kind: str, *, k: int, tables: int = TABLES, recall: float = 0.97, sample: int = 96) -> Settings:
+    """(probes, last) of the cheapest setting for each length with enough sampled queries."""
     rows = asked.orderBy(F.xxhash64("key"), "key").limit(sample).select("key", "dim", "vec").collect()
-    if not rows:
-        return 1, 0, 1.0
-    dim = max({r.dim for r in rows}, key=[r.dim for r in rows].count)
-    few = [(r.key, bytes(r.vec)) for r in rows if r.dim == dim]
-    true = exact(entries, few, dim, kind, k + 1).where("q <> c")
-    pairs = true.join(entries.select(F.col("key").alias("c"), F.col("vec").alias("v")), "c").select("q", "v").collect()
-    if not pairs:
-        return 1, 0, 1.0
-    own = dict(few)
+    found: Settings = {}
+    for dim in sorted({r.dim for r in rows}):
+        few = [(r.key, bytes(r.vec)) for r in rows if r.dim == dim]
+        if len(few) < min(ENOUGH, len(rows)):
+            continue
+        true = exact(entries, few, dim, kind, k + 1).where("q <> c")
+        pairs = true.join(entries.select(F.col("key").alias("c"), F.col("vec").alias("v")), "c").select("q", "v").collect()
+        if pairs:
+            found[dim] = cheapest(dict(few), pairs, kind, dim, entries.where(F.col("dim") == dim).count(), tables, recall)
+    return found
+
+
+def cheapest(own: dict[int, bytes], pairs: list, kind: str, dim: int, n: int, tables: int, recall: float) -> tuple[int, int]:
     q, c = units(unpack([own[p.q] for p in pairs], kind)), units(unpack([bytes(p.v) for p in pairs], kind))
     best = None
     for last in SECOND:
@@ -171,12 +181,13 @@ def calibrate(entries: DataFrame, asked: DataFrame, kind: str, n: int, *, k: int
         total = score.shape[1]
         cost = tables * probes * (n / total + 64)  # compared vectors, and what a probe costs beside them
         if best is None or cost < best[0]:
-            best = cost, probes, last, float((need < probes).mean())
+            best = cost, probes, last
     return best[1:]
 
 
-def coded(rows: DataFrame, key: str, kind: str, tables: int, last: int, probes: int | None) -> DataFrame:
-    """t, b, key, vec: each vector in the bucket (or the ``probes`` nearest buckets) of every table."""
+def coded(rows: DataFrame, key: str, kind: str, tables: int, settings: Settings, probe: bool) -> DataFrame:
+    """t, b, key, vec: each vector in the bucket (``probe``: the nearest buckets that its length's setting names) of every table. A length
+    without a setting has one table, of which all buckets are probed."""
     schema = pa.schema([("dim", pa.int32()), ("t", pa.int32()), ("b", pa.int32()), ("key", pa.int64()), ("vec", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +197,9 @@ def coded(rows: DataFrame, key: str, kind: str, tables: int, last: int, probes:
                 for dim in set(part.column(1).to_pylist()):
                     some = part.filter(pa.compute.equal(part.column(1), dim))
                     unit = units(unpack(some.column(2).to_pylist(), kind))
-                    for t in range(tables):
-                        if probes is None:
+                    probes, last = settings.get(dim, ALL)
+                    for t in range(tables if dim in settings else 1):
+                        if not probe:
                             b = buckets(unit, t, last)[:, None]
                         else:
                             score = bucket_scores(unit, t, last)
@@ -255,10 +267,18 @@ def nearest(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
         entries = scratch(entries.withColumn("key", F.xxhash64("key", "vec")))
     queries = scratch(rows.where(is_query).select(F.col("id").alias("query_id"), "dim", "vec").join(entries.select("dim", "vec", "key"), ["dim", "vec"]).select("query_id", "key"))
     asked = scratch(entries.join(queries.select("key").distinct(), "key", "left_semi").select("key", "dim", "vec"))
-    n = entries.count()
-    probes, last, _ = calibrate(entries, asked, kind, n, k=k, tables=tables, recall=recall)
-    pairs = search_buckets(coded(entries, "key", kind, tables, last, None), coded(asked, "key", kind, tables, last, probes), kind, k + 1)
-    best = top_pairs(pairs.groupBy("q", "c").agg(F.max("score").alias("score")), k + 1)
+    settings = calibrate(entries, asked, kind, k=k, tables=tables, recall=recall)
+    pairs = search_buckets(coded(entries, "key", kind, tables, settings, False), coded(asked, "key", kind, tables, settings, True), kind, k + 1)
+    best = scratch(top_pairs(pairs.groupBy("q", "c").agg(F.max("score").alias("score")), k + 1))
+    # copies count as often as they have ids; a query's own id is among those found and among those of its length
+    copies = entries.select(F.col("key").alias("c"), F.size("ids").alias("ids"))
+    reached = best.join(copies, "c").groupBy(F.col("q").alias("key")).agg(F.sum("ids").alias("reached"))
+    whole = entries.groupBy("dim").agg(F.least(F.sum(F.size("ids")), F.lit(k + 1)).alias("wanted"))
+    short = asked.join(reached, "key", "left").join(whole, "dim").where(F.coalesce("reached", F.lit(0)) < F.col("wanted")).select("key", "dim", "vec")
+    short = scratch(short)
+    if short.limit(1).count():
+        again = search_buckets(coded(entries.join(short.select("dim").distinct(), "dim", "left_semi"), "key", kind, 1, {}, False), coded(short, "key", kind, 1, {}, True), kind, k + 1)
+        best = top_pairs(best.union(again).groupBy("q", "c").agg(F.max("score").alias("score")), k + 1)
     named = best.join(entries.select(F.col("key").alias("c"), "ids"), "c").select("q", F.explode("ids").alias("c"), "score")
     named = top_pairs(named, k + 1)
     final = queries.join(named, queries.key == named.q).where("query_id <> c")
