@@ -3,13 +3,16 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import bars as B
 from tideline.operators import gauntlet as G
 from tideline.operators import openbars as O
+from tideline.operators import resample as RS
 from tideline.operators import setjoin as J
+from tideline.operators import stats as S
 from tideline.operators import text as X
 
 SPECS = [(1, "W"), (2, "W"), (1, "M"), (3, "M"), (1, "Y")]
@@ -73,14 +76,14 @@ def test_candidates_leave_at_the_stage_that_fits(spark, folder):
 
 def test_shifted_products_are_permutations(spark, monkeypatch):
     x, y, key = np.arange(1.0, 8), np.arange(1.0, 8) ** 2, np.array([9, 4, 7, 1, 8, 3, 6])
-    got = G.shifted_products(x, y, key, 150)
-    order = sorted(range(7), key=lambda i: (key[i] * G.multipliers(150)[0] % G.PRIME, i))
+    got = RS.shifted_products(x, y, key, 150)
+    order = sorted(range(7), key=lambda i: (key[i] * RS.multipliers(150)[0] % RS.PRIME, i))
     assert got[3] == sum(x[k] * y[order[(k + 1 + 3 * 7 // 100) % 7]] for k in range(7)) and len(set(got)) > 1
     df, _ = candidates(spark, n=60, ids=2)
     pairs = df.select(F.lit("strong").alias("c"), F.monotonically_increasing_id().alias("row"), F.col("strong").alias("x"), "y")
-    plain = G.permutation_test(pairs, "c", "row", 300).first()
-    monkeypatch.setattr(G, "BLOCK", 25)
-    split = G.permutation_test(pairs, "c", "row", 300).first()
+    plain = RS.permutation_test(pairs, ["c"], "row", 300).first()
+    monkeypatch.setattr(RS, "BLOCK", 25)
+    split = RS.permutation_test(pairs, ["c"], "row", 300).first()
     assert plain.ic == split.ic and plain.n_obs == split.n_obs == 120 and plain.p_value == split.p_value == 0.0
     assert abs(plain.null_95 - split.null_95) < 0.06 and abs(plain.null_95 - 1.96 / 119**0.5) < 0.05
 
@@ -126,3 +129,46 @@ def test_block_search_equals_brute_force(spark):
     plan = X.top_matches(q, df, 6)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
     assert X.top_matches(q.limit(0), df, 6).count() == 0 == X.top_matches(q, df.filter("false"), 6).count()
+
+
+def test_bootstrap_equals_plain_resampling():
+    rng = np.random.default_rng(1)
+    x, y = np.round(rng.normal(size=60), 1), np.round(rng.normal(size=60), 1)
+    got = RS.bootstrap_correlations(x, y, 25, 7.0, 3, cells=200)
+    picks = RS.stationary_picks(60, np.arange(25), 7.0, 3)
+    want = [pd.Series(x[p]).rank().corr(pd.Series(y[p]).rank()) for p in picks]
+    assert np.allclose(got, want) and len(set(got)) == 25
+    runs = (np.diff(RS.stationary_picks(4000, np.arange(5), 10.0, 3), axis=1) % 4000 != 1).mean()
+    assert 0.08 < runs < 0.12  # runs of ten rows on average
+
+
+def test_closed_lots_of_a_plain_queue(spark):
+    rng = random.Random(9)
+    fills = [(k, i, rng.choice([-5, -2, -1, 1, 2, 40]), float(rng.randrange(5, 20))) for k in range(3) for i in range(120)]
+    want = []
+    for k in range(3):
+        lots = []
+        for n, (_, _, q, p) in enumerate((f for f in fills if f[0] == k), 1):
+            while q and lots and lots[0][0] * q < 0:
+                m = min(abs(q), abs(lots[0][0]))
+                side = 1 if lots[0][0] > 0 else -1
+                want.append((k, lots[0][2], n, float(m), round(side * (p / lots[0][1] - 1), 9)))
+                lots[0][0] -= side * m
+                q += side * m
+                if not lots[0][0]:
+                    lots.pop(0)
+            if q:
+                lots.append([q, p, n])
+    df = spark.createDataFrame(fills, "id int, ts int, qty int, price double")
+    for rows in (65_536, 7):
+        got = S.round_trips(df, ["id"], ["ts"], F.floor(F.col("ts") / 10), rows).collect()
+        assert sorted((r.id, r.entry_n, r.exit_n, r.qty, round(r.ret, 9)) for r in got) == sorted(want)
+
+
+def test_dropout_in_slices_equals_one_fold(spark, folder):
+    rng = random.Random(2)
+    rows = [(p, d, i, None if rng.random() < 0.1 else rng.random()) for p in (1, 2, 3) for d in range(40) for i in range(12) if not (p == 2 and 10 < d < 30) and rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "portfolio int, d int, id int, score double").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(d)")).drop("d")
+    whole = {tuple(r) for r in S.topk_dropout(df, ["portfolio"], "ts", 4, 1).collect()}
+    cut = {tuple(r) for r in S.topk_dropout(df, ["portfolio"], "ts", 4, 1, ["2024-01-05", "2024-01-15", "2024-01-25"], folder).select("portfolio", "ts", "id", "action").collect()}
+    assert whole == cut and len(whole) > 300

@@ -10,8 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,66 +17,9 @@ from tideline.functions.frames import Frame
 from tideline.operators.asof import safe_corr
 from tideline.operators.evaluate import fold_of
 from tideline.operators.research import fdr
+from tideline.operators.resample import permutation_test
 from tideline.plans.segments import group_rank, number_rows
 
-#: Rows that one task permutes, and shifts of one arrangement.
-BLOCK, SHIFTS = 65_536, 100
-PRIME, ROOT = 2_147_483_647, 48_271
-
-
-def multipliers(perms: int) -> list[int]:
-    """One factor for each arrangement of a permutation test."""
-    return [pow(ROOT, r + 1, PRIME) for r in range(-(-perms // SHIFTS))]
-
-
-def shifted_products(x: np.ndarray, y: np.ndarray, key: np.ndarray, perms: int) -> np.ndarray:
-    """Sum of x times a permuted y for each replicate. ``key``: one hash for each row, by which both are in order.
-
-    Replicate b takes arrangement b div 100 (rows ordered by key * factor mod a prime) and shifts it cyclically; a prefix doubled in memory
-    makes each shift a slice, so a replicate is one product of vectors.
-    """
-    n, out = len(x), np.zeros(perms)
-    for r, factor in enumerate(multipliers(perms)):
-        arranged = y[np.lexsort((np.arange(n), key % PRIME * factor % PRIME))]
-        twice = np.concatenate((arranged, arranged))
-        for s in range(min(SHIFTS, perms - r * SHIFTS)):
-            shift = (1 + s * n // SHIFTS) % n
-            out[r * SHIFTS + s] = x @ twice[shift : shift + n]
-    return out
-
-
-def correlation_of(product: Column, n: Column, mean: Column, sx: Column, sy: Column) -> Column:
-    """Correlation of two rankings of the same n rows from the sum of their products."""
-    return F.try_divide(product / n - mean * mean, sx * sy)
-
-
-def permutation_test(pairs: DataFrame, by: str, row: str, perms: int = 1000, seed: int = 42) -> DataFrame:
-    """by, ic, n_obs, p_value, null_95 of the rank correlation of x and y. ``row``: a number of each row in its group.
-
-    Both columns are ranked over the whole group once. Rows are then dealt to blocks by a hash of their number; a block is permuted in
-    one task and sends one sum for each replicate. Permutations inside random blocks are permutations of the group, and no task
-    sees more than a block: nothing is exploded by the number of replicates.
-    """
-    d = group_rank(group_rank(pairs.select(by, row, "x", "y"), [by], "x").withColumnRenamed("rank_avg", "rx").drop("rank_min", "group_n"), [by], "y")
-    d = d.withColumnRenamed("rank_avg", "ry").drop("rank_min")
-    digest = F.md5(F.concat_ws("/", F.col(by), F.col(row).cast("string"), F.lit(str(seed))).cast("binary"))
-    d = d.withColumn("_h", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"))
-    d = d.withColumn("_block", F.col("_h") % F.ceil(F.col("group_n") / F.lit(BLOCK)))
-
-    def permute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", row])
-        products = shifted_products(pdf["rx"].to_numpy(), pdf["ry"].to_numpy(), pdf["_h"].to_numpy(), perms)
-        return pd.DataFrame({by: pdf[by].iloc[0], "rep": np.arange(perms), "product": products})
-
-    sums = d.groupBy(by, "_block").applyInPandas(permute, f"{by} string, rep int, product double").groupBy(by, "rep").agg(F.sum("product").alias("product"))
-    whole = d.groupBy(by).agg(F.count("*").alias("n_obs"), F.sum(F.col("rx") * F.col("ry")).alias("_p"), F.stddev_pop("rx").alias("_sx"), F.stddev_pop("ry").alias("_sy"))
-    ic = lambda p: correlation_of(F.col(p), F.col("n_obs"), (F.col("n_obs") + 1) / 2.0, F.col("_sx"), F.col("_sy"))
-    whole = whole.withColumn("ic", ic("_p"))
-    null = sums.join(whole, by).withColumn("_c", F.abs(ic("product")))
-    g = null.groupBy(by, "ic", "n_obs").agg(F.avg((F.col("_c") >= F.abs("ic")).cast("double")).alias("p_value"), F.percentile("_c", F.lit(0.95)).alias("null_95"))
-    return whole.select(by, "ic", "n_obs").join(g.select(by, "p_value", "null_95"), by)
-
-
 def pool(df: DataFrame, candidates: Sequence[str], y: str = "y", held_out: float = 0.2) -> DataFrame:
     """candidate, part, id, ts, pos, n, x, y: usable pairs of each candidate over all ids that have it in half of their training rows.
 
@@ -145,7 +86,7 @@ def gauntlet(df: DataFrame, candidates: Sequence[str], folder: str, *, y: str =
     counts = train.groupBy("candidate").agg(F.count("*").alias("_n"))
     known = every.join(counts, "candidate", "left").select("candidate", F.coalesce("_n", F.lit(0)).alias("n_pairs"))
     known = stage(known.withColumn("enough", F.col("n_pairs") >= min_pairs), "candidates")
-    tested = permutation_test(left_in(train, known, F.col("n_pairs") >= min_pairs), "candidate", "pos", perms)
+    tested = permutation_test(left_in(train, known, F.col("n_pairs") >= min_pairs), ["candidate"], "pos", perms)
     one = known.join(tested, "candidate", "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0)))
     one = stage(one.withColumn("permutation_passed", F.coalesce(F.abs("ic") >= F.col("null_95"), F.lit(False))), "permutation")
     two = stage(fdr(one, alpha=alpha).withColumn("fdr_passed", F.col("significant") & F.col("enough")).drop("significant"), "fdr")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tideline.functions.frames import Col, Frame, col, div
 from tideline.functions.numeric import norm_ppf, norm_sf2
 from tideline.operators.asof import safe_corr
+from tideline.operators.resample import bootstrap_correlations, permutation_test
 from tideline.plans.segments import group_rank
 from tideline.session import checkpoint_dir
 
@@ -191,49 +192,32 @@ def haircut_sharpe(sr: Col, n_trials: Col, n_obs: Col, periods: float = 252.0) -
     return F.when(p >= 1, F.lit(0.0)).otherwise(F.signum(col(sr)) * F.least(back, F.abs(t)) / F.sqrt(col(n_obs)) * math.sqrt(periods))
 
 
-def permutation_ic(df: DataFrame, by: Sequence[str], x: str, y: str, order: Sequence[str] = ("ts",), perms: int = 100, seed: int = 11) -> DataFrame:
-    """p-value of |IC| against pairings shuffled by seeded hashes.
+def permutation_ic(df: DataFrame, by: Sequence[str], x: str, y: str, order: Sequence[str] = ("ts",), perms: int = 10_000, seed: int = 11) -> DataFrame:
+    """ic, n_obs, n_perms and the p-value of |IC| among permuted pairings ((hits + 1) / (perms + 1)).
 
-    A permutation pairs the row holding the k-th rank of a hash with the row at position k: two bounded
-    rankings per (group, permutation) and an equi join on the position.
+    Rows are numbered in their group and never multiplied by the replicates: see ``resample.permutation_test``.
     """
     by = list(by)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, *order, x, y)
-    d = d.withColumns({"_rx": average_rank(x, by), "_ry": average_rank(y, by), "_pos": F.row_number().over(Window.partitionBy(*by).orderBy(*order))})
-    obs = d.groupBy(*by).agg(safe_corr("_rx", "_ry").alias("ic"), F.count(F.lit(1)).alias("n_obs"))
-    reps = d.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    h = F.xxhash64("perm", F.lit(seed), "_pos", *by)
-    shuffled = reps.select(*by, "perm", "_ry", F.row_number().over(Window.partitionBy(*by, "perm").orderBy(h, "_pos")).alias("_pos"))
-    stat = reps.select(*by, "perm", "_pos", "_rx").join(shuffled, [*by, "perm", "_pos"]).groupBy(*by, "perm").agg(safe_corr("_rx", "_ry").alias("_c"))
-    g = stat.join(obs, by).groupBy(*by, "ic", "n_obs").agg(F.count_if(F.abs("_c") >= F.abs("ic")).alias("_hits"), F.count(F.lit(1)).alias("n_perms"))
-    return g.withColumn("perm_p", (F.col("_hits") + 1) / (F.col("n_perms") + 1)).drop("_hits")
-
-
-def block_bootstrap_ic(df: DataFrame, by: Sequence[str], x: str, y: str, order: Sequence[str] = ("ts",), boots: int = 100, block: float = 10.0, seed: int = 5) -> DataFrame:
-    """Confidence band of the IC from a stationary block bootstrap; one task per (group, replicate)."""
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, *order, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    d = d.withColumn("_pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    g = permutation_test(d, by, "_pos", perms, seed)
+    return g.select(*by, "ic", "n_obs", F.lit(perms).alias("n_perms"), ((F.round(F.col("p_value") * perms) + 1) / F.lit(perms + 1)).alias("perm_p"))
+
+
+def block_bootstrap_ic(df: DataFrame, by: Sequence[str], x: str, y: str, order: Sequence[str] = ("ts",), boots: int = 1000, block: float = 10.0, seed: int = 5, level: float = 0.95) -> DataFrame:
+    """Confidence band of the IC from a stationary block bootstrap: all replicates of a group (a bar history) in one pass."""
     by = list(by)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, *order, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    reps = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(boots))))
-    schema = T.StructType([d.schema[c] for c in by] + [T.StructField("rep", T.IntegerType()), T.StructField("c", T.DoubleType())])
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, *order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    schema = T.StructType([d.schema[c] for c in by] + [T.StructField("ic_lo", T.DoubleType()), T.StructField("ic_hi", T.DoubleType()), T.StructField("n_boot", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order))
-        n = len(pdf)
-        rng = np.random.default_rng(seed * 1_000_003 + int(pdf["rep"].iloc[0]))
-        fresh = rng.random(n) < 1.0 / block
-        fresh[0] = True
-        starts = rng.integers(0, n, n)
-        run_no = np.cumsum(fresh) - 1
-        first = np.flatnonzero(fresh)
-        pick = (starts[first][run_no] + np.arange(n) - first[run_no]) % n
-        a = pd.Series(pdf["_x"].to_numpy()[pick]).rank()
-        b = pd.Series(pdf["_y"].to_numpy()[pick]).rank()
-        c = a.corr(b)
-        out = {k: [pdf[k].iloc[0]] for k in by} | {"rep": [int(pdf["rep"].iloc[0])], "c": [None if c != c else float(c)]}
-        return pd.DataFrame(out)
-
-    stats = reps.groupBy(*by, "rep").applyInPandas(run, schema)
-    return stats.groupBy(*by).agg(F.percentile("c", 0.025).alias("ic_lo"), F.percentile("c", 0.975).alias("ic_hi"), F.count("c").alias("n_boot"))
+        c = bootstrap_correlations(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), boots, block, seed)
+        c = c[np.isfinite(c)]
+        band = np.quantile(c, [(1 - level) / 2, (1 + level) / 2]).tolist() if len(c) else [None, None]
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in by} | {"ic_lo": [band[0]], "ic_hi": [band[1]], "n_boot": [len(c)]})
+
+    return d.groupBy(*by).applyInPandas(run, schema)
 
 
 def stability(df: DataFrame, f: Frame, x: str, y: str, windows: int = 5, max_flips: int = 1, max_cv: float = 2.0, min_obs: int = 20) -> DataFrame:

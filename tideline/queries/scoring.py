@@ -11,6 +11,7 @@ from tideline.operators import evaluate as E
 from tideline.operators import labels as L
 from tideline.operators import micro as K
 from tideline.operators import research as Q
+from tideline.operators import resample as RS
 from tideline.operators import stats as S
 from tideline.queries.base import NB, W, ema_cte, lag, lead, phi, query, ro, span
 from tideline.queries.features import _nb
@@ -211,7 +212,16 @@ query("research_fdr", "id feature horizon# p_adj:6 significant", "SELECT *, p_ad
 query("research_bh_gate", "feature pass_rate:6 n_tests# promoted", "SELECT feature, avg(CAST(pa <= 0.2 AS DOUBLE)) AS pass_rate, count(*) AS n_tests, avg(CAST(pa <= 0.2 AS DOUBLE)) >= 0.05 AS promoted FROM (SELECT *, min(p_value * m / k) OVER (PARTITION BY feature ORDER BY p_value DESC) AS pa FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY p_value) AS k, count(*) OVER (PARTITION BY feature) AS m FROM pv WHERE p_value IS NOT NULL)) GROUP BY feature", NB + ", " + _F + ", " + _PV)(
     lambda s, p: Q.bh_gate(_pv(s, p), ["feature"], 0.2, 0.05))
 query("research_haircut_sharpe", "id haircut:6", None)(lambda s, p: _mt(s, p).withColumn("haircut", Q.haircut_sharpe("sharpe", F.lit(25), "n_trades")))
-query("research_permutation_ic", "id ic:6 n_obs# n_perms# perm_p:6", None)(lambda s, p: Q.permutation_ic(_fx(s, p), ["id"], "mom", "y1"))
+_PRK = lambda c: f"rank() OVER (PARTITION BY id ORDER BY {c}) + (count(*) OVER (PARTITION BY id, {c}) - 1) / 2.0"
+_PERM = f"""pk AS MATERIALIZED (SELECT *, ('0x' || substr(md5(id || '/' || pos || '/11'), 1, 8))::BIGINT AS h FROM (SELECT id, {_PRK('mom')} AS rx, {_PRK('y1')} AS ry, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY ts) AS pos FROM fx WHERE mom IS NOT NULL AND y1 IS NOT NULL)),
+ pb AS (SELECT *, h % CAST(ceil(n / 65536.0) AS BIGINT) AS blk FROM pk),
+ ps AS MATERIALIZED (SELECT id, blk, rx, s, (k + (1 + s * m // 100) % m) % m AS j FROM (SELECT id, blk, rx, row_number() OVER (PARTITION BY id, blk ORDER BY h, pos) - 1 AS k, count(*) OVER (PARTITION BY id, blk) AS m FROM pb), range(0, 100) t(s)),
+ pj AS MATERIALIZED (SELECT id, blk, ry, g, row_number() OVER (PARTITION BY id, blk, g ORDER BY (h % 2147483647) * f % 2147483647, h, pos) - 1 AS j FROM pb, (SELECT unnest([{', '.join(map(str, RS.multipliers(10_000)))}]) AS f, unnest(range(0, 100)) AS g)),
+ pp AS (SELECT id, g * 100 + s AS b, sum(rx * ry) AS product FROM ps JOIN pj USING (id, blk, j) GROUP BY 1, 2),
+ pw AS (SELECT id, count(*) AS n_obs, sum(rx * ry) AS p, stddev_pop(rx) AS sx, stddev_pop(ry) AS sy FROM pb GROUP BY 1),
+ pc AS (SELECT id, n_obs, (p / n_obs - ((n_obs + 1) / 2.0) * ((n_obs + 1) / 2.0)) / nullif(sx * sy, 0) AS ic, (product / n_obs - ((n_obs + 1) / 2.0) * ((n_obs + 1) / 2.0)) / nullif(sx * sy, 0) AS c FROM pp JOIN pw USING (id))"""
+query("research_permutation_ic", "id ic:6 n_obs# n_perms# perm_p:6", "SELECT id, ic, n_obs, 10000 AS n_perms, (count(*) FILTER (abs(c) >= abs(ic)) + 1) / 10001.0 AS perm_p FROM pc GROUP BY id, ic, n_obs", NB + ", " + _F + ", " + _PERM)(
+    lambda s, p: Q.permutation_ic(_fx(s, p), ["id"], "mom", "y1"))
 query("research_block_bootstrap_ic", "id ic_lo:6 ic_hi:6 n_boot#", None)(lambda s, p: Q.block_bootstrap_ic(_fx(s, p), ["id"], "mom", "y1"))
 query("research_stability", "id sign_flips# ic_mean:6 ic_cv:5 n_windows# stable", None)(lambda s, p: Q.stability(_fx(s, p), FR, "mom", "y1"))
 _SWI = " UNION ALL ".join(_ic_sql(f"(SELECT *, {n} AS length, close / {ro('avg', 'close', n)} AS x FROM fx)", "id, length", "x", "y1") for n in (5, 10, 20))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.frames import Frame, div
 from tideline.operators import gauntlet as G
+from tideline.operators import resample as RS
 from tideline.queries.base import NB, W, lag, lead, query, ro
 from tideline.session import checkpoint_dir
 from tideline.sources import market as M
@@ -33,7 +34,7 @@ def candidate_features(bars):
 
 
 _CHOICES = list(combinations(range(6), 2))
-_FACTORS = ", ".join(map(str, G.multipliers(1000)))
+_FACTORS = ", ".join(map(str, RS.multipliers(1000)))
 
 
 def _ranks(part: str) -> str:
