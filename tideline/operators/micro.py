@@ -217,26 +217,57 @@ def mutual_information(df: DataFrame, by: Sequence[str], a: str, b: str) -> Data
     return g.withColumn("vi", F.col("h_a") + F.col("h_b") - 2 * F.col("mi")).select(*by, "mi", "vi", "h_a", "h_b", F.col("_t").alias("n"))
 
 
+def smaller_before(y: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each place i: sum of ``values`` (fields, n) over the places j < i with y_j below y_i (equal ones may count either way).
+
+    Places are cut in halves down to single ones. In y order inside a block, what the left half has summed so far is what a place of the
+    right half needs; the order of the halves follows from that of the block by counting, so every level costs O(n).
+    """
+    n, out = len(y), np.zeros_like(values)
+    order = np.argsort(y, kind="stable")
+    at = np.arange(n)
+    for level in range(max(0, (n - 1).bit_length() - 1), -1, -1):
+        start = at >> (level + 1) << (level + 1)
+        left = order >> level & 1 == 0
+        sums = np.concatenate((np.zeros((len(values), 1)), np.cumsum(np.where(left, values[:, order], 0.0), axis=1)), axis=1)
+        counts = np.concatenate(([0], np.cumsum(left)))
+        right = ~left
+        out[:, order[right]] += sums[:, :-1][:, right] - sums[:, start[right]]
+        lefts = counts[:-1] - counts[start]
+        lengths = np.minimum(1 << level, n - start)  # of the block's left half
+        moved = np.empty(n, np.int64)
+        moved[np.where(left, start + lefts, start + lengths + (at - start) - lefts)] = order
+        order = moved
+    return out
+
+
 def distance_corr(x: np.ndarray, y: np.ndarray) -> float:
-    """Szekely distance correlation in row blocks: memory O(n), time O(n^2)."""
+    """Szekely distance correlation in O(n log n) time and O(n) memory.
+
+    The product sum of the centred distances is that of the distances, plus a product of means, less one of row sums. In x order a product
+    of two distances is (x_i - x_j)(y_i - y_j) with the sign of its second factor, so sums over smaller y suffice (``smaller_before``).
+    """
+    order = np.argsort(x, kind="stable")
+    x, y = x[order] - x.mean(), y[order] - y.mean()
     n = len(x)
 
-    def means(v: np.ndarray) -> np.ndarray:
+    def row_sums(v: np.ndarray) -> np.ndarray:
         s = np.sort(v)
         cs = np.concatenate([[0.0], np.cumsum(s)])
         k = np.searchsorted(s, v)
-        return (v * k - cs[k] + (cs[-1] - cs[k]) - v * (n - k)) / n
-
-    mx, my = means(x), means(y)
-    gx, gy = mx.mean(), my.mean()
-    xy = xx = yy = 0.0
-    for i in range(0, n, 256):
-        a = np.abs(x[i : i + 256, None] - x[None, :]) - mx[i : i + 256, None] - mx[None, :] + gx
-        b = np.abs(y[i : i + 256, None] - y[None, :]) - my[i : i + 256, None] - my[None, :] + gy
-        xy += (a * b).sum()
-        xx += (a * a).sum()
-        yy += (b * b).sum()
-    den = np.sqrt(xx * yy)
+        return v * k - cs[k] + (cs[-1] - cs[k]) - v * (n - k)
+
+    def squares(v: np.ndarray) -> float:
+        return 2.0 * n * float(v @ v) - 2.0 * float(v.sum()) ** 2
+
+    fields = np.stack((np.ones(n), x, y, x * y))
+    before = np.cumsum(fields, axis=1) - fields
+    c, sx, sy, sxy = 2 * smaller_before(y, fields) - before
+    product = 2.0 * float((c * x * y - x * sy - y * sx + sxy).sum())
+    rx, ry = row_sums(x), row_sums(y)
+    covariance = lambda d, a, b: d / n**2 + a.sum() * b.sum() / n**4 - 2.0 * float(a @ b) / n**3
+    xy, xx, yy = covariance(product, rx, ry), covariance(squares(x), rx, rx), covariance(squares(y), ry, ry)
+    den = np.sqrt(max(xx, 0.0) * max(yy, 0.0))
     return float(np.sqrt(max(xy, 0.0) / den)) if den > 0 else 0.0
 
 

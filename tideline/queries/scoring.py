@@ -279,7 +279,16 @@ _MI = f"jc AS (SELECT id, close_bin AS a, volume_bin AS b, count(*) AS n FROM {_
 query("micro_mutual_information", "id mi:6 vi:6 h_a:6 h_b:6 n#", "SELECT id, ha.h + hb.h - hab AS mi, 2 * hab - ha.h - hb.h AS vi, ha.h AS h_a, hb.h AS h_b, t AS n FROM mi JOIN ha USING (id) JOIN hb USING (id)", NB + ", " + _MI)(
     lambda s, p: K.mutual_information(K.quantile_bins(K.quantile_bins(_nb(s, p), ["id"], "close", 5), ["id"], "volume", 5), ["id"], "close_bin", "volume_bin"))
 query("micro_shannon_entropy", "id entropy:6 n#", "SELECT id, ha.h AS entropy, t AS n FROM mi JOIN ha USING (id)", NB + ", " + _MI)(lambda s, p: K.entropy_of(K.quantile_bins(_nb(s, p), ["id"], "close", 5), ["id"], "close_bin"))
-query("micro_codependence", "id_a id_b pearson:6 dcor:6 mi:6 vi:6 n#", None)(lambda s, p: K.codependence(S.paired(_nb(s, p).withColumn("r", FR.log_return("close")), "r"), 5))
+_CBIN = lambda c: f"greatest(least(len(list_filter(e{c}[2:], lambda v: v < {c})), len(e{c}) - 2), 0)"
+_COD = f"""rr AS (SELECT id, ts, ln(close / {lag('close')}) AS r FROM bars), pr AS MATERIALIZED (SELECT x.id AS id_a, y.id AS id_b, ts, x.r AS a, y.r AS b FROM rr x JOIN rr y USING (ts) WHERE x.id < y.id AND x.r IS NOT NULL AND y.r IS NOT NULL),
+ ds AS (SELECT p.id_a, p.id_b, p.ts, count(*) AS n, sum(abs(p.a - q.a)) AS ra, sum(abs(p.b - q.b)) AS rb, sum(abs(p.a - q.a) * abs(p.b - q.b)) AS ab, sum((p.a - q.a) ** 2) AS aa, sum((p.b - q.b) ** 2) AS bb FROM pr p JOIN pr q ON p.id_a = q.id_a AND p.id_b = q.id_b GROUP BY 1, 2, 3),
+ dv AS (SELECT id_a, id_b, sum(ab) / n ** 2 + sum(ra) * sum(rb) / n ** 4 - 2 * sum(ra * rb) / n ** 3 AS xy, sum(aa) / n ** 2 + sum(ra) ** 2 / n ** 4 - 2 * sum(ra * ra) / n ** 3 AS xx, sum(bb) / n ** 2 + sum(rb) ** 2 / n ** 4 - 2 * sum(rb * rb) / n ** 3 AS yy FROM ds GROUP BY id_a, id_b, n),
+ ed AS (SELECT id_a, id_b, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS pearson, list_sort(list_distinct(quantile_cont(a, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS ea, list_sort(list_distinct(quantile_cont(b, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS eb FROM pr GROUP BY 1, 2),
+ jc AS (SELECT id_a, id_b, {_CBIN('a')} AS a, {_CBIN('b')} AS b, count(*) AS n FROM pr JOIN ed USING (id_a, id_b) GROUP BY ALL),
+ h0 AS (SELECT id_a, id_b, sum(n) AS n, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hab FROM jc GROUP BY 1, 2),
+ h1 AS (SELECT id_a, id_b, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS ha FROM (SELECT id_a, id_b, a, sum(n) AS n FROM jc GROUP BY ALL) GROUP BY 1, 2), h2 AS (SELECT id_a, id_b, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hb FROM (SELECT id_a, id_b, b, sum(n) AS n FROM jc GROUP BY ALL) GROUP BY 1, 2)"""
+query("micro_codependence", "id_a id_b pearson:6 dcor:6 mi:6 vi:6 n#",
+      "SELECT id_a, id_b, pearson, coalesce(sqrt(greatest(xy, 0) / nullif(sqrt(greatest(xx, 0) * greatest(yy, 0)), 0)), 0) AS dcor, ha + hb - hab AS mi, 2 * hab - ha - hb AS vi, n FROM ed JOIN dv USING (id_a, id_b) JOIN h0 USING (id_a, id_b) JOIN h1 USING (id_a, id_b) JOIN h2 USING (id_a, id_b)", NB + ", " + _COD)(lambda s, p: K.codependence(S.paired(_nb(s, p).withColumn("r", FR.log_return("close")), "r"), 5))
 query("micro_table", "id ts ffd_close:5 amihud:12 kyle:2 rolling_adf:4 entropy:5", None)(lambda s, p: K.micro_table(_nb(s, p), FR))
 
 # --- expressions -----------------------------------------------------------------------------------
