@@ -14,6 +14,7 @@ from tideline.operators import resample as RS
 from tideline.operators import setjoin as J
 from tideline.operators import stats as S
 from tideline.operators import text as X
+from tideline.sources import folders as FO
 
 SPECS = [(1, "W"), (2, "W"), (1, "M"), (3, "M"), (1, "Y")]
 
@@ -172,3 +173,30 @@ def test_dropout_in_slices_equals_one_fold(spark, folder):
     whole = {tuple(r) for r in S.topk_dropout(df, ["portfolio"], "ts", 4, 1).collect()}
     cut = {tuple(r) for r in S.topk_dropout(df, ["portfolio"], "ts", 4, 1, ["2024-01-05", "2024-01-15", "2024-01-25"], folder).select("portfolio", "ts", "id", "action").collect()}
     assert whole == cut and len(whole) > 300
+
+
+def test_folder_loads_are_repeatable(spark, folder):
+    source, target = f"{folder}/in", f"{folder}/out"
+
+    def deliver(rows):
+        spark.createDataFrame(rows, "name string, ts int, v double").coalesce(1).write.mode("append").option("header", True).csv(source)
+
+    def read(paths):
+        d = spark.read.schema("name string, ts int, v double").option("header", True).csv(paths)
+        return d.select(F.when(F.col("name") != "?", F.col("name")).alias("k"), "ts", "v", F.col("_metadata.file_path").alias("source_file"))
+
+    def load(**kw):
+        return sorted((r.rows, r.rows_loaded, r.resolved) for r in FO.load_folder(spark, source, target, read, "k", "ts", ["v"], **kw).collect())
+
+    table = lambda: {(r.k, r.ts): r.v for r in spark.read.parquet(f"{target}/data").collect()}
+    deliver([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 5.0)])
+    assert load() == [(3, 3, True)] and load() == []
+    deliver([("a", 2, 9.0), ("a", 3, 3.0)])
+    deliver([("?", 1, 0.0)])
+    assert load() == [(1, 0, False), (2, 1, True)]
+    assert table() == {("a", 1): 1.0, ("a", 2): 2.0, ("a", 3): 3.0, ("b", 1): 5.0}
+    assert load() == [(1, 0, False)]  # only the file that can't be resolved is asked for again
+    spark.createDataFrame([], FO.FILE).write.mode("overwrite").parquet(f"{target}/manifest")  # as after a load that was cut off
+    assert load() == [(1, 0, False), (2, 0, True), (3, 0, True)] and table()["a", 2] == 2.0
+    spark.createDataFrame([], FO.FILE).write.mode("overwrite").parquet(f"{target}/manifest")
+    assert load(full=True) == [(1, 0, False), (2, 2, True), (3, 3, True)] and table() == {("a", 1): 1.0, ("a", 2): 9.0, ("a", 3): 3.0, ("b", 1): 5.0}

@@ -29,6 +29,7 @@ from tideline.queries.features import _nb
 from tideline.queries.scoring import _F, _fx, _ic_sql
 from tideline.session import checkpoint_dir
 from tideline.sources import market as M
+from tideline.sources import folders as FO
 from tideline.sources import vendor as V
 
 FR = Frame()
@@ -371,3 +372,36 @@ query("ml_regime_router", "model n# mean_prob:4", None)(lambda s, p: ML.by_regim
 query("ml_rank_cross_validate", "fold# ic_mean:5 ic_ir:5 ndcg:5", None)(lambda s, p: ML.rank_cross_validate(_folded(s, p).filter("y1 IS NOT NULL"), _FEATS, "y1"))
 query("ml_double_ensemble", "id n# score:5", None)(lambda s, p: ML.double_ensemble(_labelled(s, p).filter("y1 IS NOT NULL"), _FEATS, "y1", FR).groupBy("id").agg(F.count("*").alias("n"), F.avg("score").alias("score")))
 
+
+# --- folder loads ----------------------------------------------------------------------------------
+def _history_reader(s, p):
+    """Semicolon files named by nation; nations of region 4 are not in the listing."""
+    listing = M.table(s, p, "nation").filter("n_regionkey <> 4").select(F.col("n_nationkey").cast("bigint").alias("id"))
+
+    def read(paths):
+        rows = s.read.schema("day string, close double, volume double").option("sep", ";").option("header", True).csv(paths)
+        rows = rows.withColumns({"source_file": F.col("_metadata.file_path"), "named": F.regexp_extract("_metadata.file_path", r"nation=(\d+)", 1).cast("bigint")})
+        return rows.join(F.broadcast(listing), F.col("named") == F.col("id"), "left").select("id", F.col("day").try_cast("timestamp_ntz").alias("ts"), "close", "volume", "source_file")
+
+    return read
+
+
+def _exported(bars, folder):
+    rows = bars.select(F.col("id").alias("nation"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("day"), "close", "volume")
+    rows.repartition("nation").write.mode("append").partitionBy("nation").option("sep", ";").option("header", True).csv(folder)
+
+
+def _loaded_folder(s, p):
+    """Two deliveries: the second repeats half a year with other closes. Every load after a delivery, and one more without."""
+    folder, target, read = _folder(s), _folder(s), _history_reader(s, p)
+    cut, again = (F.lit(t).cast("timestamp_ntz") for t in ("1996-01-01", "1995-06-01"))
+    _exported(_nb(s, p).filter(F.col("ts") < cut), folder)
+    FO.load_folder(s, folder, target, read, "id", "ts", ["close", "volume"])
+    _exported(_nb(s, p).filter(F.col("ts") >= again).withColumn("close", F.col("close") + 1), folder)
+    for _ in range(2):
+        FO.load_folder(s, folder, target, read, "id", "ts", ["close", "volume"])
+    return s.read.parquet(f"{target}/data")
+
+
+query("source_folder_loads", "id# ts close:2 volume:2",
+      "SELECT id, ts, CASE WHEN ts > coalesce(m, TIMESTAMP '1900-01-01') THEN close + 1 ELSE close END AS close, volume FROM bars JOIN nation ON n_nationkey = id LEFT JOIN (SELECT id, max(ts) AS m FROM bars WHERE ts < TIMESTAMP '1996-01-01' GROUP BY id) USING (id) WHERE n_regionkey <> 4", NB)(_loaded_folder)
