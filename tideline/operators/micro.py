@@ -94,7 +94,7 @@ def stationarity(df: DataFrame, keys: Sequence[str], x: str, order: Sequence[str
 
 
 def minimal_order(df: DataFrame, keys: Sequence[str], x: str, order: Sequence[str] = ("ts",), steps: int = 20, limit: float = -2.9) -> DataFrame:
-    """Smallest differencing order on the grid 0.1..1.0 whose ADF t passes; one group per (key, order)."""
+    """Smallest differencing order on the grid 0.1..1.0 whose ADF t passes; one group per (key, order). None passes: null, ``passed`` is false."""
     grid = [0.1 + 0.9 * i / (steps - 1) for i in range(steps)]
     f = Frame(keys, order)
     logs = df.withColumn("_y", F.log(F.greatest(F.col(x), F.lit(1e-12))))
@@ -103,7 +103,7 @@ def minimal_order(df: DataFrame, keys: Sequence[str], x: str, order: Sequence[st
     tall = logs.select(*keys, *order, F.explode(items).alias("_i")).select(*keys, *order, "_i.*").filter("v IS NOT NULL")
     st = stationarity(tall, [*keys, "d"], "v", order)
     g = st.groupBy(*keys).agg(F.min(F.when(F.col("adf_t") < limit, F.col("d"))).alias("m"))
-    return g.select(*keys, F.coalesce("m", F.lit(grid[-1])).alias("min_d"))
+    return g.select(*keys, F.col("m").alias("min_d"), F.col("m").isNotNull().alias("passed"))
 
 
 def _window_lists(df: DataFrame, f: Frame, x: str, n: int, name: str) -> DataFrame:

@@ -273,7 +273,7 @@ query("micro_impact_slopes", "id ts kyle:2 hasbrouck:4", f"SELECT id, ts, {_IMP.
 query("micro_rolling_adf", "id ts rolling_adf:5", None)(lambda s, p: K.rolling_adf(_nb(s, p), FR))
 query("micro_rolling_entropy", "id ts entropy:6 complexity:6", None)(lambda s, p: K.rolling_entropy(_nb(s, p).withColumn("r", FR.log_return("close")), FR, "r"))
 query("micro_stationarity", "id adf_t:5 kpss:5 n# verdict", None)(lambda s, p: K.stationarity(_nb(s, p).withColumn("lc", F.log("close")), ["id"], "lc"))
-query("micro_minimal_order", "id min_d:4", None)(lambda s, p: K.minimal_order(_nb(s, p), ["id"], "close"))
+query("micro_minimal_order", "id min_d:4 passed", None)(lambda s, p: K.minimal_order(_nb(s, p), ["id"], "close"))
 _QB = lambda c: f"(SELECT id, ts, least(len(list_filter(ed[2:], lambda e: e < {c})), len(ed) - 2) AS {c}_bin FROM bars JOIN (SELECT id, list_sort(list_distinct(quantile_cont({c}, [" + ", ".join(str(i / 5) for i in range(6)) + "]))) AS ed FROM bars GROUP BY id) USING (id))"
 _MI = f"jc AS (SELECT id, close_bin AS a, volume_bin AS b, count(*) AS n FROM {_QB('close')} JOIN {_QB('volume')} USING (id, ts) GROUP BY ALL), mi AS (SELECT id, sum(n) AS t, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS hab FROM jc GROUP BY id), ha AS (SELECT id, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT id, a, sum(n) AS n FROM jc GROUP BY ALL) GROUP BY id), hb AS (SELECT id, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT id, b, sum(n) AS n FROM jc GROUP BY ALL) GROUP BY id)"
 query("micro_mutual_information", "id mi:6 vi:6 h_a:6 h_b:6 n#", "SELECT id, ha.h + hb.h - hab AS mi, 2 * hab - ha.h - hb.h AS vi, ha.h AS h_a, hb.h AS h_b, t AS n FROM mi JOIN ha USING (id) JOIN hb USING (id)", NB + ", " + _MI)(
