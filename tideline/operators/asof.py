@@ -291,22 +291,6 @@ def sentiment_pca(long: DataFrame, x: str, assets: Sequence[int] | None = None,
     return model.transform(vec).select(by, (vector_to_array("_pc")[0] * flip).alias("pc1"))
 
 
-def leader_scores(long: DataFrame, x: str, lags: Sequence[int] = (1, 2, 3), by: str = "ts", min_obs: int = 30) -> DataFrame:
-    """Mean over followers of the best |corr(leader lagged k, follower)|, per leader.
-
-    Pairs meet only on equal timestamps, so the work is (assets per timestamp) squared; a registered
-    universe of leaders bounds that square.
-    """
-    f = Frame(("id",), (by,))
-    led = long.select("id", by, x, *[f.lag(x, k).alias(f"_l{k}") for k in lags])
-    lead = led.select(F.col("id").alias("leader"), by, *[f"_l{k}" for k in lags])
-    foll = led.select(F.col("id").alias("follower"), by, x)
-    pairs = lead.join(foll, by).filter(F.col("leader") != F.col("follower"))
-    c = pairs.groupBy("leader", "follower").agg(*[F.when(F.count(f"_l{k}") >= min_obs, safe_corr(f"_l{k}", x)).alias(f"c{k}") for k in lags])
-    best = F.greatest(*[F.abs(f"c{k}") for k in lags], F.lit(0.0))
-    return c.withColumn("_b", best).groupBy("leader").agg(F.avg("_b").alias("leader_score"), F.count(F.lit(1)).alias("n_followers"))
-
-
 def promote_features(ctf_long: DataFrame, ic: DataFrame, min_abs_ic: float, keys: Sequence[str], names: Sequence[str], value: str = "value", ts: str = "ts") -> DataFrame:
     """Keep features whose median |IC| passes, then pivot them into columns."""
     good = ic.groupBy("feature").agg(F.percentile(F.abs("ic"), 0.5).alias("m")).filter(F.col("m") >= min_abs_ic).select("feature")

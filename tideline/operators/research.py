@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tideline.functions.frames import Col, Frame, col, div
 from tideline.functions.numeric import norm_ppf, norm_sf2
+from tideline.operators import gram
 from tideline.operators.asof import safe_corr
 from tideline.operators.resample import bootstrap_correlations, permutation_test
 from tideline.plans.segments import group_rank
@@ -327,13 +328,15 @@ def concordance(a: DataFrame, b: DataFrame, key: str, x: str, y: str) -> DataFra
     return spearman_windows(j, ["g"], "_x", "_y", 3).select("ic", "n_obs").withColumnRenamed("ic", "concordance")
 
 
-def lead_lag_ic(df: DataFrame, f: Frame, x: str, horizons: Sequence[int], ts: str = "ts", min_obs: int = 20) -> DataFrame:
-    """IC of leader feature against follower forward return for every ordered pair and horizon, with FDR."""
-    d = df.withColumns({f"_y{h}": f.forward_return("close", h) for h in horizons})
-    lead = d.select(F.col("id").alias("leader"), ts, F.col(x).alias("x"))
-    foll = d.select(F.col("id").alias("follower"), ts, F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_y{h}").alias("y")) for h in horizons])).alias("_i")).select("follower", ts, "_i.*")
-    j = lead.join(foll, ts).filter(F.col("leader") != F.col("follower"))
-    return fdr(spearman_windows(j, ["leader", "follower", "horizon"], "x", "y", min_obs))
+def lead_lag_ic(df: DataFrame, f: Frame, x: str, horizons: Sequence[int], ts: str = "ts", min_obs: int = 20, per_block: int = 32) -> DataFrame:
+    """IC of leader feature against follower forward return for every ordered pair and horizon, with FDR.
+
+    Pairs of blocks of ids are ranked in a task (``gram.rank_ic``); rows of all ids never meet on a timestamp.
+    """
+    ys = [f"_y{h}" for h in horizons]
+    d = df.select("id", ts, x, *[f.forward_return("close", h).alias(y) for h, y in zip(horizons, ys)])
+    ic = gram.rank_ic(d, d, x, ys, horizons, ts, per_block)
+    return fdr(ic_tests(ic.withColumn("ic", F.when(F.col("n_obs") >= min_obs, F.col("ic")))))
 
 
 def coverage(expected: DataFrame, present: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:

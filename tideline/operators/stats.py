@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from tideline.functions.frames import Col, Frame, col, div
 from tideline.functions.numeric import norm_cdf
-from tideline.operators.asof import best_lag, lagged_corr, safe_corr
+from tideline.operators import gram
+from tideline.operators.asof import best_lag, lagged_corr
 from tideline.plans.incremental import in_slices
 from tideline.plans.segments import SEGMENT_ROWS, number_rows, percentiles, running
 
@@ -259,9 +260,9 @@ def degraded(df: DataFrame, by: Sequence[str], x: str, ts: str, split: Column, f
 
 
 # --- weights ---------------------------------------------------------------------------------------
-def shrunk_covariance(pairs: DataFrame, cutoff: float = 0.7, shrink: float = 0.5) -> DataFrame:
-    """Covariance per pair; when the average correlation passes the cutoff, off-diagonals are shrunk."""
-    c = pairs.groupBy("id_a", "id_b").agg(F.covar_samp("a", "b").alias("cov"), safe_corr("a", "b").alias("corr"))
+def shrunk_covariance(df: DataFrame, x: str, cutoff: float = 0.7, shrink: float = 0.5, ts: str = "ts") -> DataFrame:
+    """Covariance per pair of ids; when the average correlation passes the cutoff, off-diagonals are shrunk."""
+    c = gram.pair_covariance(df, x, ts)
     avg = c.agg(F.avg("corr").alias("avg_corr"))
     return c.crossJoin(F.broadcast(avg)).withColumn("cov_used", F.when(F.col("avg_corr") > cutoff, F.col("cov") * (1 - shrink)).otherwise(F.col("cov")))
 

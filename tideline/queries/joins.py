@@ -11,10 +11,11 @@ from tideline.functions.smoothing import ewm_span
 from tideline.operators import asof as J
 from tideline.operators import averages as A
 from tideline.operators import bars as B
+from tideline.operators import gram as GM
 from tideline.operators import nulls as N
 from tideline.operators import stats as S
 from tideline.plans.incremental import slice_edges
-from tideline.queries.base import NB, TICKS, VB, W, ema_cte, lag, phi, query, ro, span
+from tideline.queries.base import NB, SB, TICKS, VB, W, ema_cte, lag, phi, query, ro, span
 from tideline.queries.features import _nb
 from tideline.session import checkpoint_dir
 from tideline.sources import market as M
@@ -198,11 +199,12 @@ query("relative_value", "id ts relative_value:5 n_assets#",
       f"SELECT id, ts, CASE WHEN n >= 3 THEN (r - m) / nullif(sd, 0) END AS relative_value, n AS n_assets FROM (SELECT id, ts, r, count(r) OVER t AS n, avg(r) OVER t AS m, stddev_pop(r) OVER t AS sd FROM (SELECT id, ts, close / {lag('close')} - 1 AS r FROM bars) WINDOW t AS (PARTITION BY ts))", NB)(
     lambda s, p: J.relative_value(_nb(s, p).withColumn("r", Frame().pct("close")), "r"))
 query("sentiment_pca", "ts pc1:5", None)(lambda s, p: J.sentiment_pca(_nb(s, p).withColumn("r", Frame().log_return("close")), "r"))
-query("leader_scores", "leader leader_score:6 n_followers#",
-      f"""SELECT leader, avg(b) AS leader_score, count(*) AS n_followers FROM (SELECT leader, follower, greatest(coalesce(abs(CASE WHEN count(l1) >= 30 THEN corr(l1, r) END), 0), coalesce(abs(CASE WHEN count(l2) >= 30 THEN corr(l2, r) END), 0)) AS b FROM (
-       SELECT a.id AS leader, b.id AS follower, a.l1, a.l2, b.r FROM x a JOIN x b ON a.ts = b.ts AND a.id <> b.id) GROUP BY ALL) GROUP BY leader""",
-      NB + f", rr AS (SELECT id, ts, close / {lag('close')} - 1 AS r FROM bars), x AS (SELECT *, lag(r) OVER {W} AS l1, lag(r, 2) OVER {W} AS l2 FROM rr)")(
-    lambda s, p: J.leader_scores(_nb(s, p).withColumn("r", Frame().pct("close")), "r", (1, 2)))
+_LEAD = f"""SELECT leader, avg(b) AS leader_score, count(*) AS n_followers FROM (SELECT leader, follower, greatest(coalesce(abs(CASE WHEN count(l1) >= 30 THEN corr(l1, r) END), 0), coalesce(abs(CASE WHEN count(l2) >= 30 THEN corr(l2, r) END), 0)) AS b FROM (
+       SELECT a.id AS leader, b.id AS follower, a.l1, a.l2, b.r FROM x a JOIN x b ON a.ts = b.ts AND a.id <> b.id) GROUP BY ALL) GROUP BY leader"""
+_LAGS = f", rr AS (SELECT id, ts, close / {lag('close')} - 1 AS r FROM bars), x AS (SELECT *, lag(r) OVER {W} AS l1, lag(r, 2) OVER {W} AS l2 FROM rr)"
+for _name, _bars, _read in (("leader_scores", NB, _nb), ("leader_scores_suppliers", SB, M.supplier_bars)):
+    query(_name, "leader leader_score:6 n_followers#", _LEAD, _bars + _LAGS)(
+        lambda s, p, read=_read: GM.leader_scores(read(s, p).withColumn("r", Frame().pct("close")), "r", (1, 2)))
 query("promote_features_by_ic", "id ts close:2 volume:1",
       f"""SELECT id, ts, CASE WHEN (SELECT median(abs(corr)) FROM pi WHERE f = 'close') >= 0.02 THEN close END AS close, CASE WHEN (SELECT median(abs(corr)) FROM pi WHERE f = 'volume') >= 0.02 THEN volume END AS volume FROM bars""",
       NB + f", pr AS (SELECT id, close, volume, lead(close) OVER {W} / close - 1 AS y FROM bars), pi AS (SELECT id, 'close' AS f, corr(close, y) AS corr FROM pr GROUP BY id UNION ALL SELECT id, 'volume', corr(volume, y) FROM pr GROUP BY id)")(
@@ -273,6 +275,23 @@ query("pairwise_rolling_spearman", "id_a id_b ts spearman:5", "SELECT pr.id_a, p
     lambda s, p: S.rolling_pair_corr(S.paired(_ret(s, p), "ret_arith"), 60))
 query("market_correlation", "ts avg_corr:5 n_pairs# is_high_corr", f"SELECT ts, avg(c) AS avg_corr, count(c) AS n_pairs, coalesce(avg(c) > 0.05, false) AS is_high_corr FROM (SELECT ts, {_PC} AS c FROM pr) GROUP BY ts", NB + ", " + _PR)(
     lambda s, p: S.market_corr(_ret(s, p), "ret_arith", 60, 0.05))
+_MONTHS = f"""months AS (SELECT id, date_trunc('month', ts)::TIMESTAMP AS ts, avg(close) AS x FROM bars GROUP BY ALL),
+ mr AS (SELECT id, ts, x / {lag('x')} - 1 AS r FROM months), mg AS (SELECT *, dense_rank() OVER (ORDER BY ts) AS k FROM mr WHERE r IS NOT NULL),
+ mw AS (SELECT *, count(*) OVER w = 12 AND k - min(k) OVER w = 11 AND coalesce(stddev_samp(r) OVER w, 0) > 0 AS f FROM mg WINDOW w AS (PARTITION BY id ORDER BY k ROWS 11 PRECEDING)),
+ mp AS (SELECT a.ts, a.f AND b.f AS f, covar_samp(a.r, b.r) OVER v / nullif(stddev_samp(a.r) OVER v * stddev_samp(b.r) OVER v, 0) AS c FROM mw a JOIN mw b ON a.k = b.k AND a.id < b.id WINDOW v AS (PARTITION BY a.id, b.id ORDER BY a.k ROWS 11 PRECEDING))"""
+
+
+def _monthly(s, p):
+    m = M.supplier_bars(s, p).groupBy("id", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("close").alias("x"))
+    return m.withColumn("r", Frame().pct("x"))
+
+
+query("market_correlation_by_month", "ts avg_corr:6 n_assets# is_high_corr",
+      "SELECT ts, c AS avg_corr, n AS n_assets, coalesce(c > 0.01, false) AS is_high_corr FROM (SELECT ts, count_if(f) AS n FROM mw GROUP BY ts) LEFT JOIN (SELECT ts, avg(c) AS c FROM mp WHERE f GROUP BY ts) USING (ts)", SB + ", " + _MONTHS)(
+    lambda s, p: GM.market_corr_by_date(_monthly(s, p), "r", 12, 0.01))
+query("pair_covariance_suppliers", "id_a id_b n_obs# cov:5 corr:5",
+      "SELECT a.id AS id_a, b.id AS id_b, count(*) AS n_obs, CASE WHEN count(*) > 1 THEN covar_samp(a.r, b.r) END AS cov, CASE WHEN count(*) > 1 THEN corr(a.r, b.r) END AS corr FROM mr a JOIN mr b ON a.ts = b.ts AND a.id < b.id WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL", SB + ", " + _MONTHS)(
+    lambda s, p: GM.pair_covariance(_monthly(s, p), "r"))
 query("unordered_pairs", "id_a id_b", "SELECT a.id AS id_a, b.id AS id_b FROM (SELECT DISTINCT id FROM ticks) a JOIN (SELECT DISTINCT id FROM ticks) b ON a.id < b.id", TICKS)(lambda s, p: S.unordered_pairs(M.order_ticks(s, p)))
 _RC = f"CASE WHEN count(CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN 1 END) OVER q >= 48 THEN covar_samp(r, m) OVER q / nullif(stddev_samp(CASE WHEN m IS NOT NULL THEN r END) OVER q * stddev_samp(CASE WHEN r IS NOT NULL THEN m END) OVER q, 0) END"
 query("asset_macro_corr", "id ts corr:5 sign_flip corr_regime",
@@ -350,7 +369,7 @@ query("percentile_recent", "kind value:4 n#", "SELECT event_type AS kind, quanti
 query("performance_degradation", "kind baseline:4 current:4 degraded", "SELECT event_type AS kind, median(value) FILTER (ts < TIMESTAMP '2024-01-20') AS baseline, avg(value) FILTER (ts >= TIMESTAMP '2024-01-20') AS current, avg(value) FILTER (ts >= TIMESTAMP '2024-01-20') > 1.4 * median(value) FILTER (ts < TIMESTAMP '2024-01-20') AS degraded FROM events GROUP BY 1")(
     lambda s, p: S.degraded(M.event_ticks(s, p), ["kind"], "price", "ts", F.lit("2024-01-20").cast("timestamp_ntz"), 1.4))
 query("shrunk_covariance", "id_a id_b cov:5 corr:6 cov_used:5", "SELECT *, CASE WHEN avg(corr) OVER () > -1 THEN cov / 2 ELSE cov END AS cov_used FROM (SELECT id_a, id_b, covar_samp(a, b) AS cov, corr(a, b) AS corr FROM pr GROUP BY ALL)", NB + ", " + _PR)(
-    lambda s, p: S.shrunk_covariance(S.paired(_ret(s, p), "ret_arith"), -1.0, 0.5))
+    lambda s, p: S.shrunk_covariance(_ret(s, p), "ret_arith", -1.0, 0.5))
 
 
 def _weights(s, p, shift):
