@@ -244,6 +244,51 @@ def adaptive_long(df: DataFrame, frame: Frame, x: str = "close", linear: Sequenc
     return add_differences(long, Frame((*frame.keys, "indicator", "params_hash"), frame.order), ["value"])
 
 
+def adaptive_timeframes(df: DataFrame, frame: Frame, x: str = "close", roll: str | None = None, linear: Sequence[int] = LINEAR_PERIODS) -> DataFrame:
+    """Every parameter set per (key, timeframe) in long form with its differences and returns, behind one exchange.
+
+    ``frame`` has the timeframe among its keys. ``d1`` and ``d2`` step between rows of the same ``roll`` flag (finished
+    bars, or open ones), ``d1_roll`` and ``d2_roll`` between neighbouring rows of any flag; without a flag they are equal.
+    ``ret_arith`` and ``ret_log`` step like ``d1``. Window averages and their differences come first, the scan for KAMA
+    last, with its differences inside, and rows are multiplied after that; a null flag counts as finished.
+    """
+    flag = F.lit(False) if roll is None else F.coalesce(F.col(roll), F.lit(False))
+    df = df.select(*frame.keys, *frame.order, F.col(x).alias("_base"), flag.alias("roll"))
+    same = Frame((*frame.keys, "roll"), frame.order)
+    df = hma(dema_tema(df, frame, "_base", linear), frame, "_base", linear)
+    names = [f"{kind}_{n}" for kind in ("dema", "tema", "hma") for n in linear]
+    df = df.withColumns({f"{c}_d1_roll": frame.diff(c) for c in names})
+    df = df.withColumns({f"{c}_d2_roll": frame.diff(f"{c}_d1_roll") for c in names})
+    df = df.withColumns({f"{c}_d1": same.diff(c) for c in names} | {f"{c}_prev": same.lag(c) for c in names})
+    df = df.withColumns({f"{c}_d2": same.diff(f"{c}_d1") for c in names})
+    df = df.withColumn("_step", F.abs(frame.diff("_base")))
+    df = df.withColumns({f"_er_{n}": efficiency_ratio(frame, "_base", n, "_step") for n in {s[0] for s in KAMA_SETS}})
+    rates = {}
+    for er, fast, slow in KAMA_SETS:
+        rates[f"kama_{er}_{fast}_{slow}"] = F.pow(F.col(f"_er_{er}") * (span(fast) - span(slow)) + span(slow), F.lit(2.0))
+    df = df.withColumns({f"_a_{n}": a for n, a in rates.items()})
+    kamas = list(rates)
+    steps = ("d1_roll", "d2_roll", "d1", "d2", "prev")
+
+    def kernel(pdf: pd.DataFrame) -> dict[str, object]:
+        xs, flags, out = pdf["_base"].to_numpy(dtype=float), pdf["roll"], {}
+        for n in kamas:
+            v = pd.Series(adaptive_mean(xs, pdf[f"_a_{n}"].to_numpy(dtype=float)), index=pdf.index)
+            d1 = v.groupby(flags).diff()
+            values = (v.diff(), v.diff().diff(), d1, d1.groupby(flags).diff(), v.groupby(flags).shift())
+            out |= {n: v.to_numpy()} | {f"{n}_{k}": s.to_numpy() for k, s in zip(steps, values)}
+        return out
+
+    df = scan(df, frame, kernel, [(c, T.DoubleType()) for n in kamas for c in (n, *[f"{n}_{k}" for k in steps])])
+    labels = []
+    for kind, params in param_sets():
+        if kind == "KAMA" or params["period"] in linear:
+            name = f"{kind.lower()}_" + "_".join(str(v) for v in params.values())
+            labels.append(F.struct(F.lit(kind).alias("indicator"), F.lit(params_hash(params)).alias("params_hash"), F.col(name).alias("value"), *[F.col(f"{name}_{k}").alias(k) for k in steps]))
+    long = df.select(*frame.keys, *frame.order, "roll", F.explode(F.array(*labels)).alias("_v")).select(*frame.keys, *frame.order, "roll", "_v.*")
+    return long.withColumns({"ret_arith": F.try_divide("value", "prev") - 1, "ret_log": F.when((F.col("value") > 0) & (F.col("prev") > 0), F.log(F.col("value") / F.col("prev")))}).drop("prev")
+
+
 def vidya(df: DataFrame, frame: Frame, x: str = "close", cmo: int = 9, period: int = 9, out: str | None = None) -> DataFrame:
     """Average whose rate is |Chande momentum| of the last ``cmo`` steps times 2/(period+1)."""
     step = frame.diff(x)

@@ -14,7 +14,7 @@ from tideline.operators import volatility as V
 from tideline.operators import returns as R
 from tideline.plans import segments as S
 from tideline.queries import bars as _bar_queries
-from tideline.queries.base import NB, SB, UB, W, ema_cte, lag, query, ro, span
+from tideline.queries.base import NB, SB, TICKS, UB, W, ema_cte, lag, query, ro, span
 from tideline.sources import market as M
 
 
@@ -211,6 +211,18 @@ def _ama_sql():
     return body, NB + ", " + ", ".join(ctes)
 
 
+def _ama_tf_sql():
+    """The same sets over finished bars of each timeframe; a key of the recursion is id * 100 + days."""
+    body, ctes = _ama_sql()
+    own = TICKS + """, daily AS (SELECT id, ts, arg_max(price, ord) AS close, row_number() OVER (PARTITION BY id ORDER BY ts) AS n FROM ticks GROUP BY id, ts),
+ bars AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS rn FROM (SELECT id * 100 + tf AS id, ts, close FROM daily, (SELECT unnest([2, 5, 7]) AS tf) WHERE n % tf = 0))"""
+    u = "(PARTITION BY id, indicator, params_hash ORDER BY ts)"
+    return (f"""SELECT id // 100 AS id, (id % 100) || 'D' AS tf, ts, indicator, params_hash, value, value_d1 AS d1, value_d2 AS d2, value_d1 AS d1_roll, value_d2 AS d2_roll,
+     value / lag(value) OVER {u} - 1 AS ret_arith, CASE WHEN value > 0 AND lag(value) OVER {u} > 0 THEN ln(value / lag(value) OVER {u}) END AS ret_log FROM ({body})""", own + ctes[len(NB):])
+
+
+query("ama_by_timeframe", "id tf ts indicator params_hash value:3 d1:3 d2:3 d1_roll:3 d2_roll:3 ret_arith:6 ret_log:6", *_ama_tf_sql())(
+    lambda s, p: A.adaptive_timeframes(B.canonical(B.count_snapshots(_nb(s, p), [2, 5, 7])), Frame(("id", "tf")), roll="is_partial_end"))
 query("ama_long_all_sets", "id ts indicator params_hash value:3 value_d1:3 value_d2:3", *_ama_sql())(
     lambda s, p: A.adaptive_long(_nb(s, p), Frame()))
 
