@@ -24,11 +24,15 @@ def position_returns(df: DataFrame, f: Frame, position: str = "position", close:
     return df.withColumn(out, F.col("_held") * F.col("_r") - cost).drop("_held", "_r")
 
 
+def log_growth(ret: Col) -> Column:
+    """ln(1 + r) as IEEE numbers: -inf for a loss of everything, NaN for a greater one, NULL for no return."""
+    r = col(ret).cast("double")
+    return F.when(r > -1, F.log1p(r)).when(r == -1, F.lit(float("-inf"))).when(r < -1, F.lit(float("nan")))
+
+
 def equity(f: Frame, ret: Col, start: float = 1.0) -> Column:
-    """start x running product of (1 + r); a loss of everything stays at zero."""
-    r = F.coalesce(col(ret), F.lit(0.0))
-    ruined = F.max((r <= -1).cast("int")).over(f.cum) == 1
-    return F.when(ruined, F.lit(0.0)).otherwise(F.exp(F.sum(F.log1p(F.when(r > -1, r))).over(f.cum)) * start)
+    """start x running product of (1 + r) by logs: zero after a loss of everything, NaN after a greater one."""
+    return F.exp(F.sum(log_growth(F.coalesce(col(ret), F.lit(0.0)))).over(f.cum)) * start
 
 
 def with_equity(df: DataFrame, f: Frame, ret: str) -> DataFrame:
@@ -39,9 +43,8 @@ def with_equity(df: DataFrame, f: Frame, ret: str) -> DataFrame:
 
 
 def growth(ret: Col) -> Column:
-    """Product of (1 + r) over a group."""
-    r = col(ret)
-    return F.when(F.min(r) <= -1, F.lit(0.0)).otherwise(F.exp(F.sum(F.log1p(F.when(r > -1, r)))))
+    """Product of (1 + r) over a group by logs: zero with a loss of everything, NaN with a greater one."""
+    return F.exp(F.sum(log_growth(ret)))
 
 
 def annual_return(ret: Col, periods: float = 252.0) -> Column:
