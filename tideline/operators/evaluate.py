@@ -331,8 +331,9 @@ def rank_sensitivity(df: DataFrame, schemes: Mapping[str, Mapping[str, float]],
     return out.groupBy(*id_cols).agg(F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"), F.count_if(F.col("rank") <= top).alias("n_top"), F.count(F.lit(1)).alias("n_schemes"))
 
 
-def leaderboard(df: DataFrame, by: Sequence[str], n: int | None = None, tie: str = "strategy") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("mar"), F.desc_nulls_last("sharpe"), F.desc_nulls_last("ann_return"), tie)
+def leaderboard(df: DataFrame, by: Sequence[str], n: int | None = None, tie: str = "strategy", then: Sequence[str] = ("sharpe", "ann_return")) -> DataFrame:
+    """Places by ``mar``, equal ones by the columns of ``then``, the last ties by ``tie``. NaN ranks above all numbers."""
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("mar"), *[F.desc_nulls_last(c) for c in then], tie)
     out = df.withColumn("place", F.row_number().over(w))
     return out if n is None else out.filter(F.col("place") <= n)
 

@@ -114,7 +114,7 @@ query("eval_rank_sensitivity", "id best_rank# worst_rank# n_top# n_schemes#",
       f"SELECT id, min(r) AS best_rank, max(r) AS worst_rank, count(*) FILTER (r <= 5) AS n_top, count(*) AS n_schemes FROM (SELECT id, rank() OVER (ORDER BY x DESC) AS r FROM (SELECT id, {_un('sharpe')} AS x FROM mt) UNION ALL SELECT id, rank() OVER (ORDER BY x DESC) FROM (SELECT id, 0.5 * {_un('max_drawdown')} + 0.5 * (1 - {_un('turnover')}) AS x FROM mt)) GROUP BY id", NB + ", " + _SR + ", " + _MT)(
     lambda s, p: E.rank_sensitivity(_mt(s, p), {"sharpe": {"sharpe": 1.0}, "safe": {"max_drawdown": 0.5, "turnover": 0.5}}, ["id"], 5))
 query("eval_leaderboard", "grp# id place#", "SELECT id % 3 AS grp, id, row_number() OVER (PARTITION BY id % 3 ORDER BY ann_return / abs(max_drawdown) DESC, id) AS place FROM mt", NB + ", " + _SR + ", " + _MT)(
-    lambda s, p: E.leaderboard(_mt(s, p).withColumns({"grp": F.col("id") % 3, "strategy": F.col("id")}), ["grp"]))
+    lambda s, p: E.leaderboard(_mt(s, p).withColumns({"grp": F.col("id") % 3, "strategy": F.col("id")}), ["grp"], then=()))
 query("eval_select_distinct", "id pick#", "SELECT id, pick FROM (SELECT *, row_number() OVER (ORDER BY composite_score DESC, fam) AS pick FROM (SELECT *, id % 4 AS fam, row_number() OVER (PARTITION BY id % 4 ORDER BY composite_score DESC) AS k FROM cs) WHERE k = 1) WHERE pick <= 2", NB + ", " + _SR + ", " + _MT + ", " + _CS)(
     lambda s, p: E.select_distinct(E.composite_score(_mt(s, p)).withColumns({"g": F.lit(1), "fam": F.col("id") % 4}), ["g"], "fam", "composite_score"))
 query("eval_sequential_gates", "gate step# survivors#",
