@@ -123,3 +123,24 @@ def test_empty_panels_give_empty_results(spark):
 def test_a_text_id_and_one_series(spark):
     one = spark.createDataFrame([("a", dt.datetime(2024, 1, d), float(d)) for d in range(1, 9)], "id string, ts timestamp_ntz, x double")
     assert GM.leader_scores(one, "x").count() == 0 and GM.pair_covariance(one, "x").count() == 0
+
+
+@pytest.mark.parametrize("per_block", [1, 4])
+def test_series_are_not_copied_for_each_pair_of_blocks(spark, per_block):
+    """Pairs of blocks read cells that were written once: nothing behind them is shuffled, and cells hold each row once."""
+    df = panel(spark, 7, ids=9, days=40).filter("id <> 1 AND ts IS NOT NULL")
+    plan = GM.pair_covariance(df, "x", per_block=per_block)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    rows = GM.packed(df, ["x"], "id", "ts")
+    days = np.array(sorted({d for r in rows.collect() for d in r["_d"]}))
+    blocks = [GM.Block(r["_cell"]) for r in GM.cells(rows, 5, days).collect()]
+    assert sum(len(b.day) for b in blocks) == df.count() and sorted(i for b in blocks for i in b.ids) == [0, *range(2, 9)]
+
+
+def test_a_month_costs_one_day(spark):
+    """Days that no series has take no part in the products."""
+    df = panel(spark, 8, ids=4, days=20).filter("ts IS NOT NULL").withColumn("ts", F.trunc("ts", "month")).dropDuplicates(["id", "ts"])
+    rows = GM.packed(df, ["x"], "id", "ts")
+    days = np.array(sorted({d for r in rows.collect() for d in r["_d"]}))
+    assert len(days) <= 2
+    assert {d for r in GM.cells(rows, 2, days).collect() for d in GM.Block(r["_cell"]).day} == set(range(len(days)))
