@@ -24,32 +24,32 @@ def block_rows(decays: list[float]) -> int:
     return max(8, int(_LOG_RANGE / max(-math.log(d) for d in decays)))
 
 
-def decayed_sums(
-    df: DataFrame,
-    frame: Frame,
-    observed: Col,
-    specs: Mapping[str, tuple[Col, float]],
-    position: str | None = None,
-) -> DataFrame:
-    """Add ``out = sum_i d**(n_t-n_i) * value_i`` for each ``out: (value, d)``.
+def in_blocks(df: DataFrame, position: str, decays: list[float]) -> tuple[DataFrame, int]:
+    """Add ``_blk`` and ``_k``, the block of a row and its place there, and give the rows of a block.
 
-    ``n`` counts the rows where ``observed`` is non-null; other rows repeat the previous result.
-    ``position`` names an existing column that already holds ``n`` (used by the split-key variant).
+    Passes that share these columns share one sort.
     """
-    rows = block_rows([d for _, d in specs.values()])
-    n = position or "_n"
-    if position is None:
-        df = df.withColumn("_n", F.count(col(observed)).over(frame.cum))
-    df = df.withColumns(
+    rows = block_rows(decays)
+    return df.withColumns(
         {
-            "_blk": F.floor((F.col(n) - 1) / F.lit(rows)).cast("bigint"),
-            "_k": F.pmod(F.col(n) - 1, F.lit(rows)).cast("double"),
+            "_blk": F.floor((F.col(position) - 1) / F.lit(rows)).cast("bigint"),
+            "_k": F.pmod(F.col(position) - 1, F.lit(rows)).cast("double"),
         }
-    )
+    ), rows
+
+
+def block_sums(
+    df: DataFrame,
+    frame: Frame,
+    seen: Column,
+    position: str,
+    rows: int,
+    specs: Mapping[str, tuple[Col, float]],
+) -> DataFrame:
+    """``out = sum_i d**(n_t-n_i) * value_i`` over the rows ``seen``, which ``position`` counts, in the blocks of ``in_blocks``."""
     block = Window.partitionBy(*frame.keys, "_blk").orderBy(*frame.order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    seen = col(observed).isNotNull()
     local: dict[str, Column] = {}
     for i, (value, d) in enumerate(specs.values()):
         term = F.when(seen, col(value).cast("double") * F.pow(F.lit(d), -F.col("_k")))
@@ -64,10 +64,29 @@ def decayed_sums(
             earlier = F.max(closing).over(by_block.rangeBetween(-j, -j))
             carry = carry + F.coalesce(earlier, F.lit(0.0)) * (d ** (rows * (j - 1)))
         final[out] = F.when(
-            F.col(n) > 0, F.col(f"_loc{i}") + F.pow(F.lit(d), F.col("_k") + 1) * carry
+            F.col(position) > 0, F.col(f"_loc{i}") + F.pow(F.lit(d), F.col("_k") + 1) * carry
         )
-    df = df.withColumns(final)
-    return df.drop("_blk", "_k", *local, *([] if position else ["_n"]))
+    return df.withColumns(final).drop(*local)
+
+
+def decayed_sums(
+    df: DataFrame,
+    frame: Frame,
+    observed: Col,
+    specs: Mapping[str, tuple[Col, float]],
+    position: str | None = None,
+) -> DataFrame:
+    """Add ``out = sum_i d**(n_t-n_i) * value_i`` for each ``out: (value, d)``.
+
+    ``n`` counts the rows where ``observed`` is non-null; other rows repeat the previous result.
+    ``position`` names an existing column that already holds ``n`` (used by the split-key variant).
+    """
+    n = position or "_n"
+    if position is None:
+        df = df.withColumn("_n", F.count(col(observed)).over(frame.cum))
+    df, rows = in_blocks(df, n, [d for _, d in specs.values()])
+    df = block_sums(df, frame, col(observed).isNotNull(), n, rows, specs)
+    return df.drop("_blk", "_k", *([] if position else ["_n"]))
 
 
 def decayed_by_key(df: DataFrame, frame: Frame, position: str, value: Col, decay: Col, out: str, fastest: float) -> DataFrame:
@@ -132,20 +151,25 @@ def ema_seeded(
 
     A NULL input repeats the previous value; rows before the seed are NULL.
     """
-    w = frame.last_rows(min_periods)
-    df = df.withColumn("_x0", col(x).cast("double"))
-    df = df.withColumns(
-        {
-            "_full": F.count("_x0").over(w) >= min_periods,
-            "_sma": F.avg("_x0").over(w),
-        }
-    )
-    df = df.withColumn("_nfull", F.sum(F.col("_full").cast("int")).over(frame.cum))
-    seeded = F.when(F.col("_full") & (F.col("_nfull") == 1), F.col("_sma")).when(
-        F.col("_nfull") > 0, F.col("_x0")
-    )
-    df = ewm_mean(df, frame, seeded, {out: alpha})
-    return df.drop("_x0", "_full", "_sma", "_nfull")
+    return emas_seeded(df, frame, x, {out: (alpha, min_periods)})
+
+
+def emas_seeded(df: DataFrame, frame: Frame, x: Col, outs: Mapping[str, tuple[float, int]]) -> DataFrame:
+    """``ema_seeded`` of one input for each ``out: (alpha, min_periods)``, all in the same two sorts.
+
+    Rows count by the input's non-null values for all of them; a row before its seed weighs nothing.
+    """
+    df = df.withColumns({"_x0": col(x).cast("double"), "_nx": F.count(col(x)).over(frame.cum)})
+    full = {o: F.count("_x0").over(frame.last_rows(m)) >= m for o, (_, m) in outs.items()}
+    df = df.withColumns({f"_f{i}": full[o] for i, o in enumerate(outs)} | {f"_a{i}": F.avg("_x0").over(frame.last_rows(m)) for i, (_, m) in enumerate(outs.values())})
+    df = df.withColumns({f"_s{i}": F.sum(F.col(f"_f{i}").cast("int")).over(frame.cum) for i in range(len(outs))})
+    specs = {
+        o: (F.when(F.col(f"_f{i}") & (F.col(f"_s{i}") == 1), F.col(f"_a{i}")).when(F.col(f"_s{i}") > 0, F.col("_x0") * a), 1.0 - a)
+        for i, (o, (a, _)) in enumerate(outs.items())
+    }
+    df = decayed_sums(df, frame, "_x0", specs, position="_nx")
+    df = df.withColumns({o: F.when(F.col(f"_s{i}") > 0, F.col(o)) for i, o in enumerate(outs)})
+    return df.drop("_x0", "_nx", *[f"_{c}{i}" for c in "fas" for i in range(len(outs))])
 
 
 def ewm_std(df: DataFrame, frame: Frame, x: Col, out: str, n: int) -> DataFrame:

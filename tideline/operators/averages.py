@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.frames import Col, Frame, col, div
-from tideline.functions.smoothing import decayed_by_key, ema_seeded, ewm_columns, ewm_mean, ewm_span, span
+from tideline.functions.smoothing import decayed_by_key, ema_seeded, emas_seeded, ewm_columns, ewm_mean, ewm_span, span
 from tideline.plans.scan import scan
 
 EMA_PERIODS = (9, 10, 21, 50, 100, 200)
@@ -24,8 +24,7 @@ def add_emas(
 ) -> DataFrame:
     """``{col}_ema_{period}`` seeded with the mean of the first full window."""
     for c in cols:
-        for p in periods:
-            df = ema_seeded(df, frame, c, f"{c}_ema_{p}", span(p), min_periods or p)
+        df = emas_seeded(df, frame, c, {f"{c}_ema_{p}": (span(p), min_periods or p) for p in periods})
     return df
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.frames import Frame, col, div, sign
-from tideline.functions.smoothing import ewm_columns, ewm_mean, ewm_span
+from tideline.functions.smoothing import block_sums, ewm_columns, ewm_mean, ewm_span, in_blocks
 from tideline.plans.scan import scan
 
 
@@ -43,9 +43,15 @@ def macd(df: DataFrame, f: Frame, fast: int = 12, slow: int = 26, signal: int =
 def macd_many(df: DataFrame, f: Frame, sets: Sequence[tuple[int, int, int]], x: str = "close") -> DataFrame:
     """MACD lines of several (fast, slow, signal) sets in two smoothing passes."""
     spans = {f"_m{k}": k for s in sets for k in s[:2]}
-    df = ewm_span(df, f, x, spans)
+    decay = lambda k: 1.0 - 2.0 / (k + 1)
+    seeded = lambda c, k: (F.when(F.col("_nx") == 1, F.col(c)).otherwise(F.col(c) * (1.0 - decay(k))), decay(k))
+    df = df.withColumns({"_x": F.col(x).cast("double"), "_nx": F.count(x).over(f.cum)})
+    df, rows = in_blocks(df, "_nx", [decay(k) for s in sets for k in s])
+    seen = F.col("_x").isNotNull()
+    df = block_sums(df, f, seen, "_nx", rows, {m: seeded("_x", k) for m, k in spans.items()})
     df = df.withColumns({f"macd_{a}_{b}": F.col(f"_m{a}") - F.col(f"_m{b}") for a, b, _ in sets})
-    df = ewm_columns(df, f, x, {f"macd_signal_{a}_{b}_{c}": (f"macd_{a}_{b}", 2.0 / (c + 1)) for a, b, c in sets})
+    df = block_sums(df, f, seen, "_nx", rows, {f"macd_signal_{a}_{b}_{c}": seeded(f"macd_{a}_{b}", c) for a, b, c in sets})
+    df = df.drop("_x", "_nx", "_blk", "_k")
     return df.withColumns(
         {f"macd_hist_{a}_{b}_{c}": F.col(f"macd_{a}_{b}") - F.col(f"macd_signal_{a}_{b}_{c}") for a, b, c in sets}
     ).drop(*spans)

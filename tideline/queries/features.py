@@ -229,7 +229,7 @@ query("ama_long_all_sets", "id ts indicator params_hash value:3 value_d1:3 value
 # --- indicators ------------------------------------------------------------------------------------
 _STEP = f"st AS (SELECT *, close - {lag('close')} AS d, greatest(close - {lag('close')}, 0) AS g, greatest({lag('close')} - close, 0) AS l FROM bars)"
 _TR = f"tr AS (SELECT *, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr FROM bars)"
-feat("rsi", "rsi_14:5 rsi_7:5", lambda d, f: I.rsi(I.rsi(d, f, 14), f, 7),
+feat("rsi", "rsi_14:5 rsi_7:5", lambda d, f: I.rsi(d, f, (14, 7)),
      """SELECT bars.id, bars.ts, 100 - 100 / (1 + g14 / nullif(l14, 0)) AS rsi_14, 100 - 100 / (1 + g7 / nullif(l7, 0)) AS rsi_7
       FROM bars LEFT JOIN gg USING (id, ts) LEFT JOIN ll USING (id, ts)""",
      "stn AS (SELECT id, ts, CASE WHEN d IS NOT NULL THEN g END AS g, CASE WHEN d IS NOT NULL THEN l END AS l FROM st), ".join([_STEP + ", ", ""])
