@@ -104,3 +104,50 @@ def test_stream_stale_keys(spark, folder):
     df = spark.createDataFrame(rows, "id long, t string, price double").select("id", F.col("t").cast("timestamp_ntz").alias("ts"), "price")
     live.run_to_table(live.stale_keys(stream_of(spark, df, folder, 1), "id", 3_600_000, "0 seconds"), "stale_live", folder + "/c")
     assert 1 in {r.key for r in spark.table("stale_live").collect()}
+
+
+def _fills(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i % 7 if i % 50 else 9, start + dt.timedelta(hours=i), rng.choice([-2, -1, 1, 3]), rng.uniform(1, 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, qty long, price double")
+    return df, [str(start + dt.timedelta(days=d)) for d in (5, 10, 20)]
+
+
+def test_fills_in_slices_equal_one_fold(spark, folder):
+    """Some keys have no fills in a slice; a task streams all its keys."""
+    from tideline.operators import risk as K
+
+    df, edges = _fills(spark)
+    plain = K.fold_fills(df, ["id"], ["ts"]).collect()
+    assert sorted(map(tuple, K.fold_fills_in_slices(df, ["id"], ["ts"], edges, folder).collect())) == sorted(map(tuple, plain))
+
+
+def test_fills_have_no_python_group_per_key(spark, monkeypatch):
+    from tideline.operators import risk as K
+
+    df, edges = _fills(spark)
+    monkeypatch.setattr(P, "in_slices", lambda d, f, e, step, folder: step(d, None)[0])
+    plan = K.fold_fills_in_slices(df, ["id"], ["ts"], edges, "")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "CoGroups" not in plan
+
+
+def test_a_slice_is_computed_once(spark, folder):
+    """Its state comes from the output that was written, not from a second run."""
+    df, edges = _fills(spark)
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    def step(part, state):
+        out = part.mapInArrow(count, part.schema)
+        return out, out.groupBy("id").agg(F.max("qty").alias("qty"))
+
+    assert P.in_slices(df, FR, edges, step, folder).count() == 600
+    assert runs.value == 600

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tideline.functions.frames import Col, Frame, bool0, col, div
 
@@ -55,7 +57,7 @@ def fold_fills(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 def fold_fills_in_slices(fills: DataFrame, keys: Sequence[str], order: Sequence[str], edges: Sequence[str], folder: str) -> DataFrame:
     """``fold_fills`` for keys with any number of fills: time slices one after the other, with a state row for each key.
 
-    A task holds one key's fills of one slice. ``edges`` are the slices' first instants (``slice_edges``); output and state of every
+    A task streams the fills of one slice in order of key and time and holds one state. ``edges`` are the slices' first instants (``slice_edges``); output and state of every
     slice are tables in ``folder``.
     """
     from tideline.plans.incremental import in_slices
@@ -63,28 +65,37 @@ def fold_fills_in_slices(fills: DataFrame, keys: Sequence[str], order: Sequence[
     d = fills.select(*keys, *order, F.col("qty").cast(MONEY).alias("qty"), F.col("price").cast(MONEY).alias("price"))
     names = ["position", "avg_cost", "realized_pnl"]
     schema = T.StructType([*d.schema.fields, *[T.StructField(n, MONEY) for n in names]])
-    blank = d.select(*keys).withColumns({n: F.lit(None).cast(MONEY) for n in names}).limit(0)
+    arrow = to_arrow_schema(schema)
     tick = Decimal(1).scaleb(-18)
 
-    def run(part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fills in order of (key, time); a key's row without ``_fill`` comes first and holds its state."""
         import decimal
 
-        part = part.sort_values(list(order), kind="stable")
+        now, state = None, (ZERO, ZERO, ZERO)
         with decimal.localcontext() as ctx:
             ctx.prec = 60
-            state = tuple(before.iloc[0][n] for n in names) if len(before) else (ZERO, ZERO, ZERO)
-            rows = []
-            for q, p in zip(part["qty"], part["price"]):
-                state = tuple(v.quantize(tick) for v in apply_fill(*state, q, p))
-                rows.append(state)
-        return part.assign(**{n: [r[i] for r in rows] for i, n in enumerate(names)})
+            for batch in batches:
+                ids = zip(*[batch.column(k).to_pylist() for k in keys])
+                rows = []
+                for key, fill, q, p, old in zip(ids, *[batch.column(c).to_pylist() for c in ("_fill", "qty", "price")], zip(*[batch.column(n).to_pylist() for n in names])):
+                    if key != now:
+                        now, state = key, (ZERO, ZERO, ZERO)
+                    state = tuple(v.quantize(tick) for v in apply_fill(*state, q, p)) if fill else old
+                    rows.append(state)
+                if rows:
+                    some = batch.select([*keys, *order, "qty", "price"]).columns + [pa.array(v, pa.decimal128(38, 18)) for v in zip(*rows)]
+                    kept = batch.column("_fill")
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type).filter(kept) for c, f in zip(some, arrow)], schema=arrow)
 
     def step(part: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        state = blank if state is None else state
-        out = part.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(run, schema)
+        both = part.withColumns({"_fill": F.lit(True)} | {n: F.lit(None).cast(MONEY) for n in names})
+        if state is not None:
+            both = both.unionByName(state.withColumn("_fill", F.lit(False)), allowMissingColumns=True)
+        out = both.repartition(*keys).sortWithinPartitions(*keys, "_fill", *order).mapInArrow(run, schema)
         last = out.groupBy(*keys).agg(*[F.max_by(n, F.struct(*order)).alias(n) for n in names])
-        idle = state.join(part.select(*keys).distinct(), list(keys), "left_anti")
-        return out, last.unionByName(idle)
+        idle = last if state is None else last.unionByName(state.join(part.select(*keys).distinct(), list(keys), "left_anti"))
+        return out, idle
 
     return in_slices(d, Frame(tuple(keys), tuple(order)), edges, step, folder)
 

@@ -177,7 +177,9 @@ def in_slices(df: DataFrame, frame: Frame, edges: Sequence[str], step: Callable[
         if hi is not None:
             part = part.filter(F.col(ts) < F.lit(hi).cast("timestamp_ntz"))
         out, new_state = step(part, state)
+        out.persist()  # the new state comes from the output: it is computed once
         out.write.mode("overwrite").parquet(f"{folder}/out/slice={i}")
         new_state.write.mode("overwrite").parquet(f"{folder}/state/slice={i}")
+        out.unpersist()
         state = spark.read.parquet(f"{folder}/state/slice={i}")
     return spark.read.parquet(f"{folder}/out").drop("slice")
