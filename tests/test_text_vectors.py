@@ -80,3 +80,19 @@ def test_expression_whitelist(spark):
     with pytest.raises(ValueError):
         evaluate("Mean($secret, 3)", df, Frame())
     assert evaluate("(Mean(($close + 1) * 2, 3))", df, Frame()).first().factor == 6.0
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_conflicts_are_all_pairs(spark, block):
+    """Low similarities too, which share no hyperplane bucket for sure; null, zero and shorter vectors; nothing shuffled for each pair."""
+    rng = np.random.default_rng(12)
+    m = rng.standard_normal((60, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(m)] + [(60, None), (61, [0.0] * 8), (62, [1.0, 2.0]), (63, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = X.conflicts(df, 0.1, block=block)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = {(r.id_a, r.id_b): r.similarity for r in out.collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, j): u[i] @ u[j] for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.1} | {(62, 63): 1.0}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)

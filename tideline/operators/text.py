@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,45 +147,57 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, min_similarity: flo
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def sign_buckets(df: DataFrame, vec: str, vid: str, dims: int, bits: int, tables: int, seed: int = 3) -> DataFrame:
-    """Random-hyperplane bucket of each vector per hash table (hyperplanes are constants of the plan)."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
+def conflicts(df: DataFrame, threshold: float = 0.85, vec: str = "embedding", vid: str = "vec_id", dims: int | None = None, block: int = 4096) -> DataFrame:
+    """All vector pairs at or above the threshold, exactly.
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def bucket(v: pd.Series) -> pd.Series:
-        m = np.stack(v.to_numpy()).astype(float)
-        codes = [((m @ planes[t].T > 0) @ (1 << np.arange(bits))) for t in range(tables)]
-        return pd.Series(list(np.stack(codes, axis=1)))
-
-    return df.select(vid, vec, F.posexplode(bucket(vec)).alias("table_no", "bucket"))
-
-
-def conflicts(df: DataFrame, threshold: float = 0.85, vec: str = "embedding", vid: str = "vec_id", dims: int = 64, bits: int = 6, tables: int = 32, block: int = 512) -> DataFrame:
-    """Vector pairs at or above the threshold among those that share a hyperplane bucket.
-
-    A bucket is cut into blocks of about ``block`` vectors by an id hash; block pairs (i <= j) are the
-    unit of work, so a bucket that holds a third of the vectors is spread over many tasks, and each task
-    compares two small blocks in numpy and emits only the pairs that pass.
+    Vectors are dealt to blocks of about ``block`` by an id hash. A block is one binary cell, written once to the checkpoint folder,
+    and every pair of blocks (each once) is the unit of work: a task reads two cells, takes their products a slice at a time and emits the
+    pairs that pass. Shuffle and disk grow with the vectors, the products with the pairs. Null vectors are skipped, and so
+    are those not of length ``dims`` if it is given; vectors of different lengths don't meet. Runs jobs when called.
     """
-    b = sign_buckets(df, vec, vid, dims, bits, tables)
-    size = b.groupBy("table_no", "bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    b = b.join(size, ["table_no", "bucket"]).withColumn("_nb", F.ceil(F.col("_n") / block).cast("int"))
-    b = b.withColumn("_i", F.pmod(F.xxhash64(vid), F.col("_nb")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("_nb") - 1), lambda j: F.struct(F.least(F.col("_i"), j).alias("lo"), F.greatest(F.col("_i"), j).alias("hi")))
-    spread = b.withColumn("_c", F.explode(cells)).select("table_no", "bucket", F.col("_c.lo").alias("lo"), F.col("_c.hi").alias("hi"), vid, vec)
-    schema = T.StructType([T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType()), T.StructField("similarity", T.DoubleType())])
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf[vid].to_numpy()
-        m = np.stack(pdf[vec].to_numpy()).astype(float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        s = m @ m.T
-        r, c = np.nonzero(s >= threshold)
-        ok = ids[r] < ids[c]
-        return pd.DataFrame({"id_a": ids[r[ok]], "id_b": ids[c[ok]], "similarity": s[r[ok], c[ok]]})
-
-    pairs = spread.groupBy("table_no", "bucket", "lo", "hi").applyInPandas(compare, schema)
-    return pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+    checkpoint_dir(df.sparkSession)
+    rows = df.filter(F.col(vec).isNotNull() & F.col(vid).isNotNull()).select(F.col(vid).cast("long").alias("_id"), F.size(vec).alias("_dim"), F.col(vec).cast("array<double>").alias("_v"))
+    rows = rows if dims is None else rows.filter(F.col("_dim") == dims)
+    blocks = max(-(-rows.count() // block), 1)
+    cell = pa.schema([("_block", pa.int32()), ("_dim", pa.int32()), ("_ids", pa.binary()), ("_cell", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict = {}
+        for b in batches:
+            dims, ids, v = (b.column(c) for c in ("_dim", "_id", "_v"))
+            for d in set(dims.to_pylist()) - {0}:
+                own = pc.equal(dims, d)
+                m = v.filter(own).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(float)
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                parts.setdefault((b.column("_block")[0].as_py(), d), []).append((ids.filter(own).to_numpy(), m))
+        for (k, d), some in parts.items():
+            cols = (np.concatenate([i for i, _ in some]).tobytes(), np.concatenate([m for _, m in some]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([d], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], schema=cell)
+
+    schema = "id_a long, id_b long, similarity double"
+    placed = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")).repartitionById(blocks, "_block")
+    cells = placed.mapInArrow(pack, "_block int, _dim int, _ids binary, _cell binary").checkpoint()
+    other = cells.select(*[F.col(c).alias(f"{c}2") for c in cells.columns])
+    pairs = cells.hint("shuffle_replicate_nl").crossJoin(other).filter("_block <= _block2 AND _dim = _dim2")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                raw = {c: b.column(c)[r] for c in b.schema.names}
+                ids, ids2 = (np.frombuffer(raw[c].as_buffer(), dtype=np.int64) for c in ("_ids", "_ids2"))
+                m, m2 = (np.frombuffer(raw[c].as_buffer()).reshape(-1, raw["_dim"].as_py()) for c in ("_cell", "_cell2"))
+                alike = raw["_block"].as_py() == raw["_block2"].as_py()
+                for lo in range(0, len(ids), 256):
+                    s = m[lo:lo + 256] @ m2.T
+                    i, j = np.nonzero(s >= threshold)
+                    p, q = ids[lo + i], ids2[j]
+                    ok = p < q if alike else p != q
+                    first, second = np.minimum(p, q)[ok], np.maximum(p, q)[ok]
+                    for k in range(0, len(first), 65536):
+                        at = slice(k, k + 65536)
+                        yield pa.RecordBatch.from_pydict({"id_a": first[at], "id_b": second[at], "similarity": s[i, j][ok][at]})
+
+    return pairs.mapInArrow(compare, schema)
 
 
 # --- ages, links -----------------------------------------------------------------------------------

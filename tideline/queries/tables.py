@@ -327,7 +327,7 @@ query("vector_top_matches", "query_id vec_id similarity:6 rank#",
     lambda s, p: X.top_matches(_centroids(s, p), M.table(s, p, "embeddings"), 5, 0.1))
 query("vector_conflicts", "id_a id_b similarity:5",
       "SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45")(
-    lambda s, p: X.conflicts(M.table(s, p, "embeddings"), 0.45, bits=4, tables=64))
+    lambda s, p: X.conflicts(M.table(s, p, "embeddings"), 0.45))
 query("text_age_buckets", "kind bucket n# n_stale# share:6", "SELECT *, n / sum(n) OVER (PARTITION BY kind) AS share FROM (SELECT event_type AS kind, CASE WHEN a < 30 THEN '0-30' WHEN a < 60 THEN '30-60' WHEN a < 90 THEN '60-90' ELSE '90+' END AS bucket, count(*) AS n, count(*) FILTER (a >= 45) AS n_stale FROM (SELECT event_type, date_diff('day', ts, TIMESTAMP '2024-03-05') AS a FROM events) GROUP BY 1, 2)")(
     lambda s, p: X.age_buckets(M.event_ticks(s, p), "ts", F.lit("2024-03-05").cast("date"), 45, ["kind"]))
 _edges = lambda s, p: M.table(s, p, "lineitem").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 120 + 10).alias("target")).distinct()
