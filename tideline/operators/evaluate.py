@@ -297,13 +297,14 @@ def bootstrap_sharpe(df: DataFrame, keys: Sequence[str], ret: str, order: Sequen
 SCORE_WEIGHTS = {"sharpe": 0.35, "max_drawdown": 0.25, "psr": 0.25, "turnover": 0.15}
 
 
-def composite_score(df: DataFrame, weights: Mapping[str, float] = SCORE_WEIGHTS, lower_better: Sequence[str] = ("turnover",), by: Sequence[str] = ()) -> DataFrame:
-    """Min-max normalise each metric (a less negative drawdown scores higher) and weight them."""
+def composite_score(df: DataFrame, weights: Mapping[str, float] = SCORE_WEIGHTS, lower_better: Sequence[str] = ("turnover",), by: Sequence[str] = (), flat: float = 1.0, missing: float | None = 0.0) -> DataFrame:
+    """Min-max normalise each metric (a less negative drawdown scores higher) and weight them. ``flat``: what a metric that is
+    the same in all rows counts (NaN: 0 / 0, as in SQL). ``missing``: what a null counts (None: the score is null)."""
     ends = df.groupBy(*by).agg(*[F.min(m).alias(f"_lo_{m}") for m in weights], *[F.max(m).alias(f"_hi_{m}") for m in weights])
     d = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))  # one row of extremes
     parts = {}
     for m in weights:
-        unit = F.coalesce(div(F.col(m) - F.col(f"_lo_{m}"), F.col(f"_hi_{m}") - F.col(f"_lo_{m}")), F.when(F.col(m).isNotNull(), 1.0).otherwise(0.0))
+        unit = F.when(F.col(m).isNull(), F.lit(missing).cast("double")).otherwise(F.coalesce(div(F.col(m) - F.col(f"_lo_{m}"), F.col(f"_hi_{m}") - F.col(f"_lo_{m}")), F.lit(flat)))
         parts[m] = 1 - unit if m in lower_better else unit
     d = d.withColumn("composite_score", sum((parts[m] * v for m, v in weights.items()), F.lit(0.0)))
     return d.drop(*[f"_lo_{m}" for m in weights], *[f"_hi_{m}" for m in weights])
@@ -321,11 +322,11 @@ def gates_v1(df: DataFrame, min_sharpe: float = 1.0, max_dd: float = 0.15) -> Da
     return df.withColumn("gate_failures", F.array_join(fails, ",")).withColumn("passes", F.col("gate_failures") == "")
 
 
-def rank_sensitivity(df: DataFrame, schemes: Mapping[str, Mapping[str, float]], id_cols: Sequence[str], top: int = 2) -> DataFrame:
-    """Ranks under each weighting and in how many of them a row is in the top."""
+def rank_sensitivity(df: DataFrame, schemes: Mapping[str, Mapping[str, float]], id_cols: Sequence[str], top: int = 2, **score) -> DataFrame:
+    """Ranks under each weighting and in how many of them a row is in the top. ``score``: see ``composite_score``."""
     out: DataFrame | None = None
     for name, w in schemes.items():
-        part = rank_strategies(composite_score(df, w, [m for m in w if m == "turnover"])).select(*id_cols, F.lit(name).alias("scheme"), "rank")
+        part = rank_strategies(composite_score(df, w, [m for m in w if m == "turnover"], **score)).select(*id_cols, F.lit(name).alias("scheme"), "rank")
         out = part if out is None else out.unionByName(part)
     assert out is not None
     return out.groupBy(*id_cols).agg(F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"), F.count_if(F.col("rank") <= top).alias("n_top"), F.count(F.lit(1)).alias("n_schemes"))
@@ -338,9 +339,9 @@ def leaderboard(df: DataFrame, by: Sequence[str], n: int | None = None, tie: str
     return out if n is None else out.filter(F.col("place") <= n)
 
 
-def select_distinct(df: DataFrame, by: Sequence[str], strategy: str, score: str, n: int = 2) -> DataFrame:
-    """Best row of each strategy, then the top n strategies."""
-    one = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, strategy).orderBy(F.desc(score)))).filter("_r = 1").drop("_r")
+def select_distinct(df: DataFrame, by: Sequence[str], strategy: str, score: str, n: int = 2, tie: Sequence[str] = ()) -> DataFrame:
+    """Best row of each strategy (equal ones by ``tie``), then the top n strategies."""
+    one = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, strategy).orderBy(F.desc(score), *tie))).filter("_r = 1").drop("_r")
     return one.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), strategy))).filter(F.col("pick") <= n)
 
 

@@ -103,20 +103,22 @@ _MT = _MOM + f", mt AS (SELECT m0.*, psr FROM (SELECT id, {_sh('strat_ret', 252)
 def _mt(s, p):
     d = E.with_equity(_strat(s, p), FR, "strat_ret").withColumn("_dp", F.abs(FR.diff("position")))
     m = E.metrics(d, ["id"], "strat_ret", 252.0, F.avg("_dp").alias("turnover"))
-    return m.join(E.psr(_strat(s, p), ["id"], "strat_ret").select("id", "psr"), "id").withColumnRenamed("n_bars", "n_trades")
+    psr = F.when(F.col("psr") < 6.22096e-16, 0.0).otherwise(F.col("psr"))  # phi() is 0 below -8; normalising would blow up what is left
+    return m.join(E.psr(_strat(s, p), ["id"], "strat_ret").select("id", psr.alias("psr")), "id").withColumnRenamed("n_bars", "n_trades")
 
 
+_IEEE = {"flat": float("nan"), "missing": None}  # as the division of _un: 0 / 0, and null stays null
 _un = lambda m: f"({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ())"
 _CS = f"cs AS (SELECT *, 0.35 * {_un('sharpe')} + 0.25 * {_un('max_drawdown')} + 0.25 * {_un('psr')} + 0.15 * (1 - {_un('turnover')}) AS composite_score FROM mt)"
-query("eval_composite_rank", "id composite_score:5 rank#", "SELECT id, composite_score, rank() OVER (ORDER BY composite_score DESC) AS rank FROM cs", NB + ", " + _SR + ", " + _MT + ", " + _CS)(lambda s, p: E.rank_strategies(E.composite_score(_mt(s, p))))
+query("eval_composite_rank", "id composite_score:5 rank#", "SELECT id, composite_score, rank() OVER (ORDER BY composite_score DESC) AS rank FROM cs", NB + ", " + _SR + ", " + _MT + ", " + _CS)(lambda s, p: E.rank_strategies(E.composite_score(_mt(s, p), **_IEEE)))
 query("eval_gates_v1", "id gate_failures passes", "SELECT id, concat_ws(',', CASE WHEN sharpe < -0.3 THEN 'sharpe' END, CASE WHEN abs(max_drawdown) > 0.9 THEN 'max_drawdown' END) AS gate_failures, sharpe >= -0.3 AND abs(max_drawdown) <= 0.9 AS passes FROM mt", NB + ", " + _SR + ", " + _MT)(lambda s, p: E.gates_v1(_mt(s, p), -0.3, 0.9))
 query("eval_rank_sensitivity", "id best_rank# worst_rank# n_top# n_schemes#",
       f"SELECT id, min(r) AS best_rank, max(r) AS worst_rank, count(*) FILTER (r <= 5) AS n_top, count(*) AS n_schemes FROM (SELECT id, rank() OVER (ORDER BY x DESC) AS r FROM (SELECT id, {_un('sharpe')} AS x FROM mt) UNION ALL SELECT id, rank() OVER (ORDER BY x DESC) FROM (SELECT id, 0.5 * {_un('max_drawdown')} + 0.5 * (1 - {_un('turnover')}) AS x FROM mt)) GROUP BY id", NB + ", " + _SR + ", " + _MT)(
-    lambda s, p: E.rank_sensitivity(_mt(s, p), {"sharpe": {"sharpe": 1.0}, "safe": {"max_drawdown": 0.5, "turnover": 0.5}}, ["id"], 5))
+    lambda s, p: E.rank_sensitivity(_mt(s, p), {"sharpe": {"sharpe": 1.0}, "safe": {"max_drawdown": 0.5, "turnover": 0.5}}, ["id"], 5, **_IEEE))
 query("eval_leaderboard", "grp# id place#", "SELECT id % 3 AS grp, id, row_number() OVER (PARTITION BY id % 3 ORDER BY ann_return / abs(max_drawdown) DESC, id) AS place FROM mt", NB + ", " + _SR + ", " + _MT)(
     lambda s, p: E.leaderboard(_mt(s, p).withColumns({"grp": F.col("id") % 3, "strategy": F.col("id")}), ["grp"], then=()))
 query("eval_select_distinct", "id pick#", "SELECT id, pick FROM (SELECT *, row_number() OVER (ORDER BY composite_score DESC, fam) AS pick FROM (SELECT *, id % 4 AS fam, row_number() OVER (PARTITION BY id % 4 ORDER BY composite_score DESC) AS k FROM cs) WHERE k = 1) WHERE pick <= 2", NB + ", " + _SR + ", " + _MT + ", " + _CS)(
-    lambda s, p: E.select_distinct(E.composite_score(_mt(s, p)).withColumns({"g": F.lit(1), "fam": F.col("id") % 4}), ["g"], "fam", "composite_score"))
+    lambda s, p: E.select_distinct(E.composite_score(_mt(s, p), **_IEEE).withColumns({"g": F.lit(1), "fam": F.col("id") % 4}), ["g"], "fam", "composite_score", tie=("id",)))
 query("eval_sequential_gates", "gate step# survivors#",
       "SELECT unnest(['all', 'dsr', 'pbo', 'drawdown', 'trades']) AS gate, unnest([0, 1, 2, 3, 4]) AS step, unnest([count(*), count(*) FILTER (a), count(*) FILTER (a AND b), count(*) FILTER (a AND b AND c), count(*) FILTER (a AND b AND c AND d)]) AS survivors FROM (SELECT psr >= 0.4 AND id % 6 <> 0 AS a, turnover <= 1.2 OR id % 5 = 0 AS b, abs(max_drawdown) <= 0.95 AS c, n_trades >= 500 AS d FROM mt)", NB + ", " + _SR + ", " + _MT)(
     lambda s, p: E.sequential_gates(_mt(s, p).withColumns({"dsr": F.when(F.col("id") % 6 != 0, F.col("psr")), "pbo": F.when(F.col("id") % 5 != 0, F.col("turnover"))}), 0.4, 1.2, 0.95, 500))
