@@ -1,34 +1,97 @@
-"""Exact similarity join of token sets in plain DataFrame operations: prefix, length and position filters.
+"""Exact similarity join of token sets: prefix, length and position filters.
 
 Tokens are ordered from rare to frequent. Two sets at Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 of each,
-so only these prefixes meet. Tokens of one set alone can't meet any and are never sorted or joined, but keep their places: they
-come first, and a set whose prefix holds nothing else leaves at once. A pair that met is dropped if its sizes differ too much, or if the
-tokens behind the last one met in both prefixes can't make up the overlap that t asks for. What is left is compared in full.
+so only these prefixes meet. Any one order of all tokens is right; how rare they are only decides how many pairs meet. It is taken from
+``counts``, two arrays of fixed size that all tokens of all sets are counted in (a token's smaller count is never below its own), so each
+set finds its prefix by itself: no other token is shuffled. Tokens of one prefix alone can't meet any and leave at once. A pair that met is
+dropped if its sizes differ too much, or if the tokens behind the last one met in both prefixes can't make up the overlap that t asks
+for. What is left is compared in full.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import checkpoint_dir
+
 #: Sets that share one prefix token in a task of the join.
 BLOCK = 4096
+#: Each of the two arrays has 2^BITS counts; they are added up in cells of 2^CELL.
+BITS, CELL = 20, 13
+#: Sets whose prefixes are taken at once.
+ROWS = 256
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def slots(tokens: np.ndarray) -> list[np.ndarray]:
+    """Where a token is counted in each of the two arrays."""
+    return [((tokens.view(np.uint64) * np.uint64(f)) >> np.uint64(64 - BITS)).astype(np.int64) for f in FACTORS]
+
+
+def lists(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """ids, sizes and tokens of ``ROWS`` sets at a time."""
+    for lo in range(0, batch.num_rows, ROWS):
+        some = batch.slice(lo, ROWS)
+        tokens = some.column("tokens")
+        yield some.column("id"), pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64), tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def counts(sets: DataFrame) -> list[np.ndarray]:
+    """The two arrays over all tokens of all sets: 16 MB, whatever the sets are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(2 << BITS, np.int64)
+        for batch in batches:
+            for _, _, tokens in lists(batch):
+                for k, at in enumerate(slots(tokens)):
+                    np.add.at(own, at + (k << BITS), 1)
+        if own.any():
+            cells = own.reshape(-1, 1 << CELL).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array([c.tobytes() for c in cells], pa.binary())], names=["cell", "own"])
+
+    def add(some: pd.DataFrame) -> pd.DataFrame:
+        total = sum((np.frombuffer(c, np.int32).astype(np.int64) for c in some["own"]), np.zeros(1 << CELL, np.int64))
+        return pd.DataFrame({"cell": some["cell"].iloc[:1], "total": [total.tobytes()]})
+
+    cells = sets.select("id", "tokens").mapInArrow(run, "cell int, own binary").groupBy("cell").applyInPandas(add, "cell int, total binary").collect()
+    out = np.zeros(2 << BITS, np.int64)
+    for c in cells:
+        out[c.cell << CELL : (c.cell + 1) << CELL] = np.frombuffer(c.total, np.int64)
+    return list(out.reshape(2, -1))
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """token, times, id, n, pos: the prefix tokens that other sets hold too. ``sets``: id, tokens (distinct longs)."""
-    flat = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    shared = flat.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
-    known = flat.join(shared, "token")
-    mine = Window.partitionBy("id")
-    alone = F.col("n") - F.count("*").over(mine)
-    placed = known.withColumn("pos", alone + F.row_number().over(mine.orderBy("times", "token")))
-    return placed.filter(F.col("pos") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    """token, id, n, pos, times: the prefix tokens that are in other prefixes too. ``sets``: id, tokens (distinct longs). Runs a job when called."""
+    sent = sets.sparkSession.sparkContext.broadcast(counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = sent.value
+        for batch in batches:
+            for ids, n, tokens in lists(batch):
+                owner = np.repeat(np.arange(len(n)), n)
+                at = slots(tokens)
+                order = np.lexsort((tokens, np.minimum(first[at[0]], second[at[1]]), owner))
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n) + 1
+                mine = np.flatnonzero(pos <= (n - np.ceil(threshold * n - 1e-9) + 1)[owner])
+                cols = [pa.array(tokens[order[mine]]), ids.take(pa.array(owner[mine])), pa.array(n[owner[mine]].astype(np.int32)), pa.array(pos[mine].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["token", "id", "n", "pos"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    flat = sets.select("id", "tokens").mapInArrow(run, f"token bigint, id {kind}, n int, pos int")
+    return flat.withColumn("times", F.count("*").over(Window.partitionBy("token"))).filter("times > 1")
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """id_a < id_b of every pair that may reach the threshold. A token of many sets is met in blocks of ``BLOCK``."""
-    p = prefixes(sets, threshold).withColumn("_parts", F.ceil(F.col("times") / F.lit(BLOCK)).cast("int"))
+    """id_a < id_b of every pair that may reach the threshold. A token of many sets is met in blocks of ``BLOCK``. Runs jobs when called."""
+    checkpoint_dir(sets.sparkSession)
+    p = prefixes(sets, threshold).checkpoint().withColumn("_parts", F.ceil(F.col("times") / F.lit(BLOCK)).cast("int"))
     a = p.select("token", F.col("id").alias("id_a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("part"))
     b = p.select("token", F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
     met = a.join(b, ["token", "part"]).filter((F.col("id_a") < F.col("id_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
