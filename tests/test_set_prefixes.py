@@ -23,3 +23,12 @@ def test_prefixes_need_no_shuffle_of_other_tokens(spark):
     rows = found.collect()
     assert all(r.token in sets[r.id] and r.n == len(sets[r.id]) and 1 <= r.pos <= r.n - np.ceil(0.7 * r.n - 1e-9) + 1 and r.times > 1 for r in rows)
     assert max(Counter((r.id, r.pos) for r in rows).values()) == 1
+
+
+def test_sets_of_copies_meet_in_one_cell(spark):
+    names = list(range(0, 300, 3))
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a < b] + [(1, 2), (2, 4)], "id_a long, id_b long")
+    rows = J.cells(pairs).collect()
+    assert len(rows) == len(names) * (len(names) - 1) / 2 + 2
+    used = {(r._c, r._qa, r._qb, i) for r in rows for i in (r.id_a, r.id_b)}
+    assert len(used) <= len(names) + 4  # each set goes once to a cell, not once for each of its pairs

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.session import checkpoint_dir
 
@@ -27,6 +28,8 @@ BLOCK = 4096
 BITS, CELL = 20, 13
 #: Sets whose prefixes are taken at once.
 ROWS = 256
+#: Pairs of a cell, and sets of either side that one smallest partner brings to it.
+PAIRS, PART = 1024, 512
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -100,10 +103,35 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     return met.filter(F.col("_met") + F.least(F.col("na") - F.col("_pa"), F.col("nb") - F.col("_pb")) >= needed).select("id_a", "id_b")
 
 
+def cells(pairs: DataFrame) -> DataFrame:
+    """id_a, id_b and the cell (``_c``, ``_qa``, ``_qb``) in which a pair is compared. Pairs whose second set has the same smallest partner go
+    together, so copies of one text need each set once and not once per pair; one partner's sets are cut to parts of about ``PART``."""
+    some = max(-(-pairs.count() // PAIRS), 1)
+    led = pairs.join(pairs.groupBy("id_b").agg(F.min("id_a").alias("_lead")), "id_b")
+    parts = lambda c: F.ceil(F.count_distinct(c) / F.lit(PART)).cast("int")
+    led = led.join(led.groupBy("_lead").agg(parts("id_a").alias("_na"), parts("id_b").alias("_nb")), "_lead")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    return led.select("id_a", "id_b", F.pmod(F.xxhash64("_lead"), F.lit(some)).cast("int").alias("_c"), part("id_a", "_na").alias("_qa"), part("id_b", "_nb").alias("_qb"))
+
+
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """id_a, id_b, similarity of all pairs of sets at the threshold or above, each once. ``sets``: id (unique), tokens (distinct longs)."""
-    a, b = (sets.select(F.col("id").alias(f"id_{s}"), F.col("tokens").alias(f"_{s}")) for s in "ab")
-    met = candidates(sets, threshold).join(a, "id_a").join(b, "id_b")
-    both = F.size(F.array_intersect("_a", "_b"))
-    met = met.withColumn("similarity", both / (F.size("_a") + F.size("_b") - both))
-    return met.filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity")
+    """id_a, id_b, similarity of all pairs of sets at the threshold or above, each once. ``sets``: id (unique), tokens (distinct longs). Runs jobs
+    when called."""
+    placed = cells(candidates(sets, threshold).checkpoint()).checkpoint()
+    key = ["_c", "_qa", "_qb"]
+    wanted = placed.select(*key, F.col("id_a").alias("id")).union(placed.select(*key, F.col("id_b").alias("id"))).distinct()
+    schema = T.StructType([*placed.select("id_a", "id_b").schema, T.StructField("similarity", T.DoubleType())])
+
+    def compare(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        tokens = dict(zip(held["id"], map(np.sort, held["tokens"])))
+        out = []
+        for a, b in zip(some["id_a"], some["id_b"]):
+            x, y = tokens[a], tokens[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both))
+        found = some[["id_a", "id_b"]].assign(similarity=np.array(out, float))
+        return found[found["similarity"] >= threshold]
+
+    own = [f"{k}2" for k in key]
+    needed = wanted.join(sets.select("id", "tokens"), "id").select(*[F.col(k).alias(o) for k, o in zip(key, own)], "id", "tokens")
+    return placed.groupBy(*key).cogroup(needed.groupBy(*own)).applyInPandas(compare, schema)
