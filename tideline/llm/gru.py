@@ -1,20 +1,29 @@
 """Gated recurrent language model in numpy: class-factored output and truncated backpropagation through time.
 
-Symbols are 0 .. n-1; class k holds the ``WIDTH`` symbols k*WIDTH .. . P(symbol) = P(class | state) P(symbol | class, state).
+Symbols are 0 .. n-1; class k holds the ``WIDTH`` symbols k*WIDTH .. . P(symbol) = P(class | state) P(symbol | class, state), and
+the classes from ``HEAD`` on share one place of the first softmax: P(class) = P(later | state) P(class | later, state) for them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-HIDDEN, WIDTH = 16, 64
-#: Steps that are kept for one bulk softmax, and rows of it at once.
-WINDOW, ROWS = 64, 16_384
+HIDDEN, WIDTH, HEAD = 16, 64, 8
+#: Steps that are kept for one bulk softmax, rows of it at once, and texts that are scored side by side.
+WINDOW, ROWS, TEXTS = 64, 512, 512
 
 
-def shapes(n: int) -> dict[str, tuple[int, ...]]:
+def first_outputs(n: int) -> tuple[int, int, int]:
+    """Classes of n symbols, and places of the first softmax and of that of the later classes."""
     k = -(-n // WIDTH)
-    return {"emb": (n, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, k), "bc": (k,), "wo": (k * WIDTH, HIDDEN), "bo": (k * WIDTH,)}
+    return (k, HEAD + 1, k - HEAD) if k > HEAD else (k, k, 0)
+
+
+def shapes(n: int) -> dict[str, tuple[int, ...]]:
+    k, first, later = first_outputs(n)
+    return {"emb": (n, HIDDEN), "wx": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, first + later), "bc": (first + later,), "wo": (k * WIDTH, HIDDEN), "bo": (k * WIDTH,)}
 
 
 def fresh(n: int, counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
@@ -23,8 +32,10 @@ def fresh(n: int, counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     p = {name: (rng.standard_normal(s) * (0 if name[0] == "b" else 0.1)).astype(np.float32) for name, s in shapes(n).items()}
     share = np.full(len(p["bo"]), -30.0)
     share[:n] = np.log((counts + 0.5) / (counts + 0.5).sum())
-    classes = share.reshape(-1, WIDTH)
-    p["bc"][:] = np.log(np.exp(classes).sum(axis=1) + 1e-30)
+    classes = np.exp(share.reshape(-1, WIDTH)).sum(axis=1)
+    if first_outputs(n)[2]:
+        classes = np.concatenate((classes[:HEAD], [classes[HEAD:].sum()], classes[HEAD:]))
+    p["bc"][:] = np.log(classes + 1e-30)
     p["bo"][:] = share
     return p
 
@@ -42,35 +53,73 @@ def unflat(v: np.ndarray, n: int) -> dict[str, np.ndarray]:
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def halves(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Recurrent weights of the two gates (halved, for ``step``) and of the new state, transposed."""
+    return 0.5 * u[:, : 2 * HIDDEN].T, np.ascontiguousarray(u[:, 2 * HIDDEN :].T)
 
 
-def step(a: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gates = sigmoid(a[:, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])
-    new = np.tanh(a[:, 2 * HIDDEN :] + (gates[:, HIDDEN:] * h) @ u[:, 2 * HIDDEN :])
-    return new + gates[:, :HIDDEN] * (h - new), gates, new
+def step(a: np.ndarray, h: np.ndarray, ug: np.ndarray, un: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One step of all lanes; arrays are (features, lanes). a: input part, that of the gates halved: sigmoid(x) = (tanh(x / 2) + 1) / 2."""
+    gates = ug @ h
+    gates += a[: 2 * HIDDEN]
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    new = un @ (gates[HIDDEN:] * h)
+    new += a[2 * HIDDEN :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= gates[:HIDDEN]
+    out += new
+    return out, gates, new
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+class Outputs:
+    """The softmax steps of rows (state, symbol), which are sorted by class: each step takes a run of at most ``ROWS`` sorted rows."""
+
+    def __init__(self, p: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray):
+        classes, self.first, self.later = first_outputs(len(p["emb"]))
+        k = (symbols // WIDTH).astype(np.uint16)
+        self.order = np.argsort(k, kind="stable")
+        self.k, self.within = k[self.order].astype(np.int64), (symbols % WIDTH)[self.order]
+        self.h = np.ones((len(states), HIDDEN + 1), states.dtype)  # the last column meets the biases
+        np.take(states, self.order, axis=0, out=self.h[:, :HIDDEN])
+        self.wc, self.wo = np.vstack((p["wc"], p["bc"])), np.hstack((p["wo"], p["bo"][:, None]))
+        largest = max(1.0, float(np.abs(states).max(initial=0.0))) * max(float(np.abs(self.wc).sum(axis=0).max()), float(np.abs(self.wo).sum(axis=1).max()))
+        self.small = largest < 80  # so exp neither overflows nor vanishes
+        self.logits = np.empty(ROWS * max(WIDTH, self.first, self.later), np.result_type(states, self.wc))
+
+    def steps(self) -> Iterator[tuple[str, slice, slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Name of the weights, their places, rows, weights (HIDDEN + 1, places), place of each row's symbol, and logits (only until the next step)."""
+        starts = np.searchsorted(self.k, np.arange(len(self.wo) // WIDTH + 1)).tolist()
+        runs = [("wc", 0, self.first, 0, len(self.k), np.minimum(self.k, self.first - 1))]
+        if self.later:
+            runs.append(("wc", self.first, self.first + self.later, starts[HEAD], len(self.k), self.k - HEAD))
+        runs += [("wo", c * WIDTH, (c + 1) * WIDTH, a, b, self.within) for c, (a, b) in enumerate(zip(starts, starts[1:]))]
+        for name, low, high, begin, end, at in runs:
+            w = self.wc[:, low:high] if name == "wc" else self.wo[low:high].T
+            for a in range(begin, end, ROWS):
+                rows = slice(a, min(a + ROWS, end))
+                x = self.logits[: (rows.stop - a) * (high - low)].reshape(-1, high - low)
+                yield name, slice(low, high), rows, w, at[rows], np.matmul(self.h[rows], w, out=x)
+
+    def log_share(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log softmax of each row at one place. x becomes its exp but for a factor of the row; the row sums are returned too."""
+        if not self.small:
+            x -= x.max(axis=1, keepdims=True)
+        own = x[np.arange(len(x)), at]
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], x.dtype)
+        return own - np.log(total), total
 
 
 def log_probs(p: dict[str, np.ndarray], states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """log P(symbol | state) of each row."""
-    out = np.empty(len(symbols), np.float64)
-    for a in range(0, len(symbols), ROWS):
-        h, s = states[a : a + ROWS], symbols[a : a + ROWS]
-        k = s // WIDTH
-        part = log_softmax(h @ p["wc"] + p["bc"])[np.arange(len(s)), k].astype(np.float64)
-        order = np.argsort(k, kind="stable")
-        cuts = np.flatnonzero(np.diff(k[order], prepend=-1))
-        for rows in np.split(order, cuts[1:]):
-            c = int(k[rows[0]]) * WIDTH
-            inside = log_softmax(h[rows] @ p["wo"][c : c + WIDTH].T + p["bo"][c : c + WIDTH])
-            part[rows] += inside[np.arange(len(rows)), s[rows] - c]
-        out[a : a + ROWS] = part
+    outputs = Outputs(p, states, symbols)
+    part, out = np.zeros(len(symbols)), np.empty(len(symbols))
+    for _, _, rows, _, at, x in outputs.steps():
+        part[rows] += outputs.log_share(x, at)[0]
+    out[outputs.order] = part
     return out
 
 
@@ -80,30 +129,38 @@ def score_texts(p: dict[str, np.ndarray], texts: list[np.ndarray], start: int) -
     Texts go side by side, longest first; the ones that have ended drop out.
     """
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    if len(order) > TEXTS:
+        out = np.empty(len(order))
+        for a in range(0, len(order), TEXTS):
+            out[order[a : a + TEXTS]] = score_texts(p, [texts[i] for i in order[a : a + TEXTS]], start)
+        return out
     sizes = np.array([len(texts[i]) for i in order], np.int64)
     total = np.zeros(len(order))
-    xw = p["emb"] @ p["wx"] + p["b"]
-    h = np.zeros((len(order), HIDDEN), np.float32)
+    xw = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T)
+    xw[: 2 * HIDDEN] *= 0.5
+    ug, un = halves(p["u"])
+    h = np.zeros((HIDDEN, len(order)), np.float32)
     last = np.full(len(order), start, np.int64)
     for begin in range(0, int(sizes[0]) if len(order) else 0, WINDOW):
         live = int(np.searchsorted(-sizes, -begin, "left"))
         width = min(WINDOW, int(sizes[0]) - begin)
-        x = np.full((width + 1, live), start, np.int64)
-        x[0] = last[:live]
+        x = np.full((live, width + 1), start, np.int64)
+        x[:, 0] = last[:live]
         for b in range(live):
             part = texts[order[b]][begin : begin + width]
-            x[1 : len(part) + 1, b] = part
+            x[b, 1 : len(part) + 1] = part
+        x = np.ascontiguousarray(x.T)
         left = np.minimum(sizes[:live] - begin, width)
         hs = np.empty((width, live, HIDDEN), np.float32)
-        state = h[:live]
+        state = np.ascontiguousarray(h[:, :live])
         for t in range(width):
             on = int(np.searchsorted(-left, -t, "left"))
-            state = step(xw[x[t, :on]], state[:on], p["u"])[0]
-            hs[t, :on] = state
+            state = step(np.take(xw, x[t, :on], axis=1), state[:, :on], ug, un)[0]
+            hs[t, :on] = state.T
         inside = np.arange(width)[:, None] < left
         owner = np.broadcast_to(np.arange(live), (width, live))[inside]
         total[:live] += np.bincount(owner, log_probs(p, hs[inside], x[1:][inside]), live)
-        h, last = hs[-1], x[width]
+        h, last = state, x[width]
     out = np.empty(len(order))
     out[order] = total
     return out
@@ -124,65 +181,77 @@ class Trainer:
         ``live``: (steps, batch) predictions that count. ``whole``: their number in a full minibatch, if it can be less.
         """
         p, (steps, batch) = self.p, (x.shape[0] - 1, x.shape[1])
-        hs = [np.zeros((batch, HIDDEN), np.float32) if state is None else state.copy()]
-        kept, outs, on = [], [], (x != end)[:, :, None]
+        read, on = x[:-1], (x != end)[:, None, :]
+        e = p["emb"][read].transpose(0, 2, 1)  # these arrays are (steps, features, lanes)
+        a = np.matmul(p["wx"].T, e)
+        a += p["b"][:, None]
+        a[:, : 2 * HIDDEN] *= 0.5
+        ug, un = halves(p["u"])
+        hs, outs, new = (np.empty((steps, HIDDEN, batch), a.dtype) for _ in range(3))
+        gates = np.empty((steps, 2 * HIDDEN, batch), a.dtype)
+        h = np.zeros((HIDDEN, batch), a.dtype) if state is None else state.T
         for t in range(steps):
-            hs[-1] = hs[-1] * on[t]
-            h, gates, new = step(p["emb"][x[t]] @ p["wx"] + p["b"], hs[-1], p["u"])
-            hs.append(h)
-            outs.append(h)
-            kept.append((gates, new))
+            np.multiply(h, on[t], out=hs[t])
+            h, gates[t], new[t] = step(a[t], hs[t], ug, un)
+            outs[t] = h
         if state is not None:
-            state[:] = hs[-1]
+            state[:] = h.T
         counted = np.ones(steps * batch, bool) if live is None else live.ravel()
-        states = np.stack(outs).reshape(-1, HIDDEN)[counted]
-        s = x[1:].ravel()[counted]
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        n, k = len(s), s // WIDTH
-        size = whole or n
-        lc = log_softmax(states @ p["wc"] + p["bc"])
-        loss = -lc[np.arange(n), k].astype(np.float64)
-        d = np.exp(lc)
-        d[np.arange(n), k] -= 1
-        d /= size
-        g["wc"], g["bc"] = states.T @ d, d.sum(axis=0)
-        ds = d @ p["wc"].T
-        order = np.argsort(k, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(k[order], prepend=-1))[1:]):
-            c = int(k[rows[0]]) * WIDTH
-            lo = log_softmax(states[rows] @ p["wo"][c : c + WIDTH].T + p["bo"][c : c + WIDTH])
-            loss[rows] -= lo[np.arange(len(rows)), s[rows] - c]
-            d = np.exp(lo)
-            d[np.arange(len(rows)), s[rows] - c] -= 1
-            d /= size
-            g["wo"][c : c + WIDTH], g["bo"][c : c + WIDTH] = d.T @ states[rows], d.sum(axis=0)
-            ds[rows] += d @ p["wo"][c : c + WIDTH]
-        full = np.zeros((steps * batch, HIDDEN), ds.dtype)
+        loss, ds = self.outputs(outs.transpose(0, 2, 1).reshape(-1, HIDDEN)[counted], x[1:].ravel()[counted], whole, g)
+        full = np.zeros((steps * batch, HIDDEN), a.dtype)
         full[counted] = ds
-        ds = full.reshape(steps, batch, HIDDEN)
-        back = np.zeros((batch, HIDDEN), np.float32)
-        u = p["u"]
+        ds = np.ascontiguousarray(full.reshape(steps, batch, HIDDEN).transpose(0, 2, 1))
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (hs - new) * z * (1 - z), hs * r * (1 - r)
+        da = np.empty((steps, 3 * HIDDEN, batch), a.dtype)
+        back = np.zeros((HIDDEN, batch), a.dtype)
+        u_gates, u_new = np.ascontiguousarray(p["u"][:, : 2 * HIDDEN]), np.ascontiguousarray(p["u"][:, 2 * HIDDEN :])
         for t in range(steps - 1, -1, -1):
-            (gates, new), h = kept[t], hs[t]
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            dh = ds[t] + back
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h - new) * z * (1 - z)
-            drh = dn @ u[:, 2 * HIDDEN :].T
-            dr = drh * h * r * (1 - r)
-            da = np.concatenate((dz, dr, dn), axis=1)
-            g["u"][:, : 2 * HIDDEN] += h.T @ da[:, : 2 * HIDDEN]
-            g["u"][:, 2 * HIDDEN :] += (r * h).T @ dn
-            back = dh * z + drh * r + da[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
-            back = back * on[t]
-            g["b"] += da.sum(axis=0)
-            e = p["emb"][x[t]]
-            g["wx"] += e.T @ da
-            np.add.at(g["emb"], x[t], da @ p["wx"].T)
+            dh = ds[t]
+            dh += back
+            np.multiply(dh, by_new[t], out=da[t, 2 * HIDDEN :])
+            np.multiply(dh, by_z[t], out=da[t, :HIDDEN])
+            drh = u_new @ da[t, 2 * HIDDEN :]
+            np.multiply(drh, by_r[t], out=da[t, HIDDEN : 2 * HIDDEN])
+            back = u_gates @ da[t, : 2 * HIDDEN]
+            back += dh * z[t]
+            back += drh * r[t]
+            back *= on[t]
+        over = da.transpose(0, 2, 1)
+        g["u"][:, : 2 * HIDDEN] = np.matmul(hs, over[:, :, : 2 * HIDDEN]).sum(axis=0)
+        g["u"][:, 2 * HIDDEN :] = np.matmul(r * hs, over[:, :, 2 * HIDDEN :]).sum(axis=0)
+        g["b"][:] = da.sum(axis=(0, 2))
+        g["wx"][:] = np.matmul(e, over).sum(axis=0)
+        de, places = np.matmul(p["wx"], da), read.ravel()
+        for i in range(HIDDEN):
+            g["emb"][:, i] = np.bincount(places, de[:, i].ravel(), len(g["emb"]))
         self.t += 1
         for name, q in p.items():
             d = g[name]
             self.m[name] += 0.1 * (d - self.m[name])
             self.v[name] += 0.01 * (d * d - self.v[name])
             q -= self.rate * (self.m[name] / (1 - 0.9**self.t)) / (np.sqrt(self.v[name] / (1 - 0.99**self.t)) + 1e-7)
-        return float(loss.mean())
+        return float(loss)
+
+    def outputs(self, states: np.ndarray, symbols: np.ndarray, whole: int, g: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
+        """Mean loss of the rows and its slopes by the states; those by the output weights go to ``g``."""
+        outputs, size, loss = Outputs(self.p, states, symbols), whole or len(symbols), 0.0
+        ds, out = np.zeros_like(states), np.empty_like(states)
+        for name, places, rows, w, at, d in outputs.steps():
+            h = outputs.h[rows]
+            share, total = outputs.log_share(d, at)
+            loss -= float(share.sum())
+            d *= (1 / (size * total))[:, None]
+            d[np.arange(len(d)), at] -= 1 / size
+            ds[rows] += d @ w[:HIDDEN].T
+            if name == "wc":
+                by = h.T @ d
+                g["wc"][:, places] += by[:HIDDEN]
+                g["bc"][places] += by[HIDDEN]
+            else:
+                by = d.T @ h
+                g["wo"][places] += by[:, :HIDDEN]
+                g["bo"][places] += by[:, HIDDEN]
+        out[outputs.order] = ds
+        return loss / max(1, len(symbols)), out

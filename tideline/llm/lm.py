@@ -8,8 +8,8 @@ training tokens, so every text, with unseen words too, has a proper probability.
 in consecutive windows with the state carried (truncated backpropagation), so the work grows with the input: after a warm-up on a
 bounded sample in one task, each task trains its own copy on its texts and the copies' weights are averaged by Spark.
 
-Scoring is one pass over whole texts. Tokens of at least 1 / 2^19 of all training tokens (so at most 2^19) are broadcast with their
-counts; the others meet their counts in a join.
+Texts are cut to tokens and coded as symbols once; training and scoring read the symbols. Tokens of at least 1 / 2^19 of all training
+tokens (so at most 2^19) are broadcast with their counts; the others meet their counts in a join.
 
 Null text counts as empty: its only token is the end. Repeated rows and null ids stay rows of their own. With nothing to learn
 from, N = V = 0 and the model is its random start over the end symbol and the groups.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -32,7 +33,7 @@ from tideline.llm.common import scratch, smallest_hashes, space_words
 END = b" "  # no word holds a space
 VOCABULARY, BUCKETS = 4032, 64
 SHARE = 1 << 19
-STEPS, BATCH = 32, 64
+STEPS, BATCH = 32, 256
 WARM = 4_000
 HELD = 400_000
 BUFFER = 2_000_000
@@ -74,19 +75,32 @@ class Symbols:
     """Frequent tokens with their counts, and the symbol of any token."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], groups: list[tuple[int, int]], vocabulary: int):
-        self.count = dict(frequent)
-        ranked = sorted(((t, c) for t, c in frequent if t != END), key=lambda x: (-x[1], x[0]))[:vocabulary]
-        self.symbol = {END: BUCKETS} | {t: BUCKETS + 1 + i for i, (t, _) in enumerate(ranked)}
-        self.size = BUCKETS + 1 + len(ranked)
-        self.symbol_count = np.array([n for n, _ in groups] + [self.count.get(END, 0)] + [c for _, c in ranked], np.float64)
+        ranked = sorted(((t, c) for t, c in frequent if t != END), key=lambda x: (-x[1], x[0]))
+        words, ends = ranked[:vocabulary], [c for t, c in frequent if t == END]
+        self.texts = sum(ends)
+        self.size = BUCKETS + 1 + len(words)
+        self.type = np.dtype(np.uint16 if self.size <= 1 << 16 else np.int32)
+        self.symbol_count = np.array([n for n, _ in groups] + [self.texts] + [c for _, c in words], np.float64)
         self.group_size = np.log10([n + v + 1 for n, v in groups])
-
-    def symbols(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.symbol.get
-        found = np.fromiter((get(t, -1) for t in tokens), np.int32, len(tokens))
-        for i in np.flatnonzero(found < 0).tolist():
-            found[i] = bucket(tokens[i])
-        return found
+        known = [*ranked, *[(END, c) for c in ends]]
+        self.at = {t: i for i, (t, _) in enumerate(known)}
+        of_known = [*range(BUCKETS + 1, self.size), *(bucket(t) for t, _ in ranked[vocabulary:]), *[BUCKETS] * len(ends)]
+        self.symbol = np.array([*of_known, 0], self.type)  # the last place is that of all other tokens
+        self.log_count = np.append(np.log10(np.array([c for _, c in known], np.float64) + 1), 0.0)
+        in_group = self.symbol[:-1] < BUCKETS
+        self.log_share = np.zeros(len(self.symbol))  # log10 of a frequent token's share of its group
+        self.log_share[:-1][in_group] = self.log_count[:-1][in_group] - self.group_size[self.symbol[:-1][in_group]]
+
+    def coded(self, tokens: list[bytes]) -> tuple[np.ndarray, float, float, list[bytes]]:
+        """Symbols, sum of log10(c + 1) of the frequent tokens, sum of all tokens' log10 shares of their groups but for the counts of the
+        tokens that aren't frequent, and these."""
+        at = np.fromiter(map(self.at.get, tokens, repeat(-1)), np.int32, len(tokens))
+        symbols, other = self.symbol[at], np.flatnonzero(at < 0)
+        rare = [tokens[k] for k in other.tolist()]
+        groups = [BUCKETS if t == END else bucket(t) for t in rare]
+        symbols[other] = groups
+        shares = self.log_share[at].sum() - sum(self.group_size[g] for g in groups if g < BUCKETS)
+        return symbols, float(self.log_count[at].sum()), float(shares), rare
 
 
 def learn_symbols(counts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Symbols, int, int]:
@@ -121,35 +135,63 @@ class Lanes:
         while not self.short:
             self.learn(list(range(BATCH)))
 
-    def learn(self, lanes: list[int]) -> None:
-        sizes = np.array([min(STEPS, len(self.left[b]) - 1) for b in lanes])
-        x = np.full((STEPS + 1, len(lanes)), BUCKETS, np.int32)
+    def learn(self, lanes: list[int], steps: int = STEPS) -> None:
+        sizes = np.array([min(steps, len(self.left[b]) - 1) for b in lanes])
+        x = np.full((steps + 1, len(lanes)), BUCKETS, np.int32)
         for i, b in enumerate(lanes):
-            x[: sizes[i] + 1, i] = self.left[b][: STEPS + 1]
+            x[: sizes[i] + 1, i] = self.left[b][: steps + 1]
             self.left[b] = self.left[b][sizes[i] :]
         state = self.state[lanes]
-        self.trainer.learn(x, state, end=BUCKETS, live=np.arange(STEPS)[:, None] < sizes, whole=STEPS * BATCH)
+        self.trainer.learn(x, state, end=BUCKETS, live=np.arange(steps)[:, None] < sizes, whole=STEPS * BATCH)
         self.state[lanes] = state
         self.learned += int(sizes.sum())
         self.short = [b for b in range(BATCH) if len(self.left[b]) <= STEPS]
 
     def close(self) -> None:
+        """The fewer lanes are left, the longer are their windows: no more than a full minibatch at once."""
         while lanes := [b for b in range(BATCH) if len(self.left[b]) > 1]:
-            self.learn(lanes)
+            longest = max(len(self.left[b]) for b in lanes) - 1
+            self.learn(lanes, max(STEPS, min(longest, 8 * STEPS, STEPS * BATCH // len(lanes))))
+
+
+CODED = "id {id}, extra boolean, n_tokens bigint, n_known bigint, counted double, shares double, symbols binary, rare array<binary>"
+
+
+def code_texts(docs: DataFrame, symbols: Symbols) -> DataFrame:
+    """docs: id, text, extra -> each text's symbols, sums over its frequent tokens, and the tokens whose counts are to be joined. Every
+    text is cut to tokens once; training and scoring read its symbols."""
+    sent = docs.sparkSession.sparkContext.broadcast(symbols)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = sent.value
+        for batch in batches:
+            rows = []
+            for t in batch.column(1).to_pylist():
+                tokens = [*space_words(t), END]
+                s, counted, shares, rare = symbols.coded(tokens)
+                rows.append((len(tokens), len(tokens) - len(rare), counted, shares, s.tobytes(), rare))
+            cols = list(zip(*rows)) or [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), *map(pa.array, cols, types)], names=["id", "extra", "n_tokens", "n_known", "counted", "shares", "symbols", "rare"]
+            )
+
+    return docs.select("id", "text", "extra").mapInArrow(run, CODED.format(id=kind))
 
 
 def train(texts: DataFrame, symbols: Symbols, start: np.ndarray, *, rate: float) -> DataFrame:
-    """i, w: weights averaged over the tasks, each weighed by its number of minibatches."""
-    sent = texts.sparkSession.sparkContext.broadcast((symbols, start))
+    """i, w: weights averaged over the tasks, each weighed by its number of minibatches. texts: one column of coded texts."""
+    size, kind = symbols.size, symbols.type
+    sent = texts.sparkSession.sparkContext.broadcast(start)
     schema = pa.schema([("i", pa.int32()), ("s", pa.float64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, start = sent.value
-        trainer = gru.Trainer(gru.unflat(start.copy(), symbols.size), rate)
+        trainer = gru.Trainer(gru.unflat(sent.value.copy(), size), rate)
         lanes = Lanes(trainer)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                lanes.add(symbols.symbols([*space_words(t), END]))
+            for t in batch.column(0):
+                lanes.add(np.frombuffer(t.as_buffer(), kind))
         lanes.close()
         if trainer.t:
             w = gru.flat(trainer.p).astype(np.float64) * trainer.t
@@ -168,73 +210,60 @@ def collected(weights: DataFrame, start: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: DataFrame, symbols: Symbols, *, warm: int = WARM, rate: float = 0.01) -> np.ndarray:
-    """texts: one text column of all training rows."""
+    """texts: one column, the coded texts of all training rows."""
     text = texts.columns[0]
     start = gru.flat(gru.fresh(symbols.size, symbols.symbol_count))
-    few = smallest_hashes(texts.where(F.col(text).isNotNull()), warm, symbols.count.get(END, 0), text).repartition(1).sortWithinPartitions("h")
+    few = smallest_hashes(texts, warm, symbols.texts, text).repartition(1).sortWithinPartitions("h")
     start = collected(train(few.select(text), symbols, start, rate=rate), start)
     return collected(train(texts, symbols, start, rate=rate / 2), start)
 
 
-SCORED = "id {id}, extra boolean, n_tokens bigint, n_known bigint, counted double, model double, rare array<binary>"
-
-
-def score_pass(docs: DataFrame, symbols: Symbols, weights: np.ndarray) -> DataFrame:
-    """docs: id, text, extra -> sums over frequent tokens, the model's part, and the tokens whose counts are to be joined."""
-    sent = docs.sparkSession.sparkContext.broadcast((symbols, weights))
-    kind = docs.schema["id"].dataType.simpleString()
+def score_pass(coded: DataFrame, symbols: Symbols, weights: np.ndarray) -> DataFrame:
+    """Every column but ``symbols``, which comes last, and model: log10 probability of the symbols."""
+    size, kind, kept = symbols.size, symbols.type, coded.columns[:-1]
+    sent = coded.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, weights = sent.value
-        p = gru.unflat(weights, symbols.size)
-        get = symbols.count.get
-        ids, extra, held, rows, size = [], [], [], [], 0
-
-        def close() -> pa.RecordBatch:
-            model = gru.score_texts(p, held, BUCKETS) / np.log(10)
-            cols = list(zip(*rows))
-            model += np.array(cols[3])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(extra, pa.bool_()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(model), pa.array(cols[4], pa.list_(pa.binary()))],
-                names=["id", "extra", "n_tokens", "n_known", "counted", "model", "rare"],
-            )
+        p = gru.unflat(sent.value, size)
+        rows: list[pa.RecordBatch] = []
+        texts: list[np.ndarray] = []
+        tokens = 0
+
+        def close() -> list[pa.RecordBatch]:
+            model = gru.score_texts(p, texts, BUCKETS) / np.log(10)
+            return pa.Table.from_batches(rows).select(kept).append_column("model", pa.array(model)).combine_chunks().to_batches()
 
         for batch in batches:
-            for i, t, x in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                tokens = [*space_words(t), END]
-                s = symbols.symbols(tokens)
-                c = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
-                logs = np.log10(np.maximum(c, 0) + 1.0)
-                others = s < BUCKETS
-                shares = np.where(others & (c >= 0), logs, 0.0).sum() - symbols.group_size[s[others]].sum()
-                rows.append((len(tokens), int((c >= 0).sum()), float(logs.sum()), float(shares), [tokens[k] for k in np.flatnonzero(c < 0).tolist()]))
-                ids.append(i)
-                extra.append(x)
-                held.append(s)
-                size += len(tokens)
-                if size >= BUFFER:
-                    yield close()
-                    ids, extra, held, rows, size = [], [], [], [], 0
-        if ids:
-            yield close()
-
-    return docs.select("id", "text", "extra").mapInArrow(run, SCORED.format(id=kind))
+            begin = 0
+            for i, t in enumerate(batch.column(len(kept))):
+                texts.append(np.frombuffer(t.as_buffer(), kind))
+                tokens += len(texts[-1])
+                if tokens >= BUFFER:
+                    rows.append(batch.slice(begin, i + 1 - begin))
+                    yield from close()
+                    rows, texts, tokens, begin = [], [], 0, i + 1
+            if begin < len(batch):
+                rows.append(batch.slice(begin))
+        if texts:
+            yield from close()
+
+    return coded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields[:-1]) + ", model double")
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None, vocabulary: int = VOCABULARY, **training) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. ``held_out``: a condition on the
     rows that are not learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False)).alias("extra"))
-    taught = rows.where("not extra").select("text")
-    counts = scratch(count_tokens(taught))
+    counts = scratch(count_tokens(rows.where("not extra").select("text")))
     symbols, n, v = learn_symbols(counts, vocabulary)
-    weights = fit(taught, symbols, **training)
-    scored = scratch(score_pass(rows, symbols, weights).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("token"))
+    coded = scratch(code_texts(rows, symbols).withColumn("row", F.monotonically_increasing_id()))
+    weights = fit(coded.where("not extra").select("symbols"), symbols, **training)
+    scored = scratch(score_pass(coded.select(*[c for c in coded.columns if c not in ("rare", "symbols")], "symbols"), symbols, weights))
+    rare = coded.select("row", F.explode("rare").alias("token"))
     met = rare.join(counts.where(F.col("c") * SHARE < n), "token").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("logs"), F.count("*").alias("known"))
-    all_rows = scored.drop("rare").join(met, "row", "left").fillna({"logs": 0.0, "known": 0})
+    all_rows = scored.join(met, "row", "left").fillna({"logs": 0.0, "known": 0})
     size = float(np.log10(n + (v + 1)))
     return all_rows.select(
         F.col("id").alias("doc_id"), F.col("extra").alias("held_out"), "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("counted") + F.col("logs") - F.col("n_tokens") * F.lit(size)).alias("base_score"), (F.col("model") + F.col("logs")).alias("score"),
+        (F.col("counted") + F.col("logs") - F.col("n_tokens") * F.lit(size)).alias("base_score"), (F.col("model") + F.col("shares") + F.col("logs")).alias("score"),
     )
