@@ -30,6 +30,13 @@ def log_growth(ret: Col) -> Column:
     return F.when(r > -1, F.log1p(r)).when(r == -1, F.lit(float("-inf"))).when(r < -1, F.lit(float("nan")))
 
 
+def ratio(a: Col, b: Col) -> Column:
+    """a / b as IEEE numbers for b of zero or more: 0 / 0 is NaN, other numbers over zero are infinite."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    over_zero = F.when(a.isNull(), F.lit(None)).when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when(b == 0, over_zero).otherwise(div(a, b))
+
+
 def equity(f: Frame, ret: Col, start: float = 1.0) -> Column:
     """start x running product of (1 + r) by logs: zero after a loss of everything, NaN after a greater one."""
     return F.exp(F.sum(log_growth(F.coalesce(col(ret), F.lit(0.0)))).over(f.cum)) * start

@@ -44,7 +44,7 @@ _sh = lambda x, n: f"avg({x}) * sqrt({n}) / (stddev_samp({x}) + 1e-12)"  # noqa:
 query("eval_metrics", "id ann_return:5 sharpe:5 sortino:5 max_drawdown:5 calmar:4 mar:4 hit_rate:6 n_bars# turnover:6",
       f"""SELECT *, ann_return / (abs(max_drawdown) + 1e-12) AS calmar, ann_return / abs(max_drawdown) AS mar FROM (SELECT id, pow(exp(sum(ln(1 + strat_ret))), 252.0 / count(*)) - 1 AS ann_return, {_sh('strat_ret', 252)} AS sharpe, avg(strat_ret) * sqrt(252) / (stddev_samp(CASE WHEN strat_ret < 0 THEN strat_ret END) + 1e-12) AS sortino,
        min(drawdown) AS max_drawdown, avg(CAST(strat_ret > 0 AS DOUBLE)) AS hit_rate, count(*) AS n_bars, avg(dp) AS turnover FROM dd GROUP BY id)""", NB + ", " + _SR)(
-    lambda s, p: E.metrics(E.with_equity(_strat(s, p), FR, "strat_ret").withColumn("_dp", F.abs(FR.diff("position"))), ["id"], "strat_ret", 252.0, F.avg("_dp").alias("turnover")))
+    lambda s, p: E.metrics(E.with_equity(_strat(s, p), FR, "strat_ret").withColumn("_dp", F.abs(FR.diff("position"))), ["id"], "strat_ret", 252.0, F.avg("_dp").alias("turnover")).withColumn("mar", E.ratio("ann_return", F.abs("max_drawdown"))))
 query("eval_by_regime", "id busy sharpe:5 mean_ret:6 hit_rate:6 n_bars#", f"SELECT id, busy, {_sh('r', 252)} AS sharpe, avg(r) AS mean_ret, avg(CAST(r > 0 AS DOUBLE)) AS hit_rate, count(*) AS n_bars FROM (SELECT *, volume > 1 AS busy, g * 100 AS r FROM sr) GROUP BY id, busy", NB + ", " + _SR)(
     lambda s, p: E.by_regime(_pos(s, p).withColumn("busy", F.col("volume") > 1), FR, "busy"))
 query("eval_funding_adjusted_equity", "id ts cum_funding:6 adj_equity:5", f"SELECT id, ts, c AS cum_funding, equity + c AS adj_equity FROM (SELECT *, sum(-h * 0.001) OVER {W} AS c FROM eq)", NB + ", " + _SR)(
