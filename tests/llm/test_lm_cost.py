@@ -1,6 +1,8 @@
 """op3: few minibatches for whole texts, texts cut to tokens once, exact probabilities of the two-step class output."""
 
 import math
+import subprocess
+import sys
 
 import numpy as np
 
@@ -26,6 +28,47 @@ def test_minibatches_of_many_texts():
     assert trained([255] * 1024) <= 1.1 * 1024 * 256 / (lm.STEPS * lm.BATCH)
 
 
+def test_a_late_long_text_does_not_end_alone(monkeypatch):
+    class Counted:
+        steps = 0
+
+        def learn(self, x, *a, **k):
+            self.steps += len(x) - 1
+
+    monkeypatch.setattr(lm, "BATCH", 8)
+    sizes = [255] * 200 + [5000]
+    lanes = lm.Lanes(Counted())
+    for n in sizes:
+        lanes.add(np.append(np.zeros(n, np.int32), lm.BUCKETS))
+    lanes.close()
+    assert lanes.learned == sum(sizes) + len(sizes)
+    assert lanes.trainer.steps <= 1.1 * lanes.learned / 8  # 11,400 when texts went in order
+
+
+def test_minibatches_reuse_their_memory():
+    code = """
+import resource
+import numpy as np
+from tideline.llm import gru, lm
+gru.keep_freed()
+trainer = gru.Trainer(gru.fresh(200, np.ones(200)))
+x = np.random.default_rng(0).integers(0, 200, (lm.STEPS + 1, 256))
+faults = []
+for _ in range(12):
+    trainer.learn(x)
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print(faults[-1] - faults[1])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True).stdout
+    assert int(out) < 5_000  # some 2,000 pages for each minibatch before
+
+
+def test_steps_with_large_inputs_saturate():
+    p = {k: v * np.float32(2000) if k != "wo" else v for k, v in gru.fresh(70, np.ones(70)).items()}
+    found = gru.score_texts(p, [np.arange(64), np.arange(5)], 64)
+    assert np.isfinite(found).all() and (found < 0).all()
+
+
 def test_texts_are_cut_to_tokens_once_for_training_and_scoring(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     read = []

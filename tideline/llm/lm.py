@@ -17,7 +17,7 @@ from, N = V = 0 and the model is its random start over the end symbol and the gr
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import repeat
 from zlib import crc32
@@ -33,14 +33,25 @@ from tideline.llm.common import scratch, smallest_hashes, space_words
 END = b" "  # no word holds a space
 VOCABULARY, BUCKETS = 4032, 64
 SHARE = 1 << 19
-STEPS, BATCH = 32, 256
+STEPS, BATCH = 16, 512
 WARM = 4_000
 HELD = 400_000
-BUFFER = 2_000_000
+BUFFER, LONG = 2_000_000, 1_024
+
+
+class Buckets(dict):
+    """Group of a token by its last two bytes, each pair of bytes hashed once."""
+
+    def __missing__(self, last: bytes) -> int:
+        self[last] = found = crc32(last) % BUCKETS
+        return found
+
+
+BUCKET_OF = Buckets()  # at most 2^16 + 2^8 + 1 entries
 
 
 def bucket(token: bytes) -> int:
-    return crc32(token[-2:]) % BUCKETS
+    return BUCKET_OF[token[-2:]]
 
 
 def bucket_column(token) -> F.Column:
@@ -97,9 +108,11 @@ class Symbols:
         at = np.fromiter(map(self.at.get, tokens, repeat(-1)), np.int32, len(tokens))
         symbols, other = self.symbol[at], np.flatnonzero(at < 0)
         rare = [tokens[k] for k in other.tolist()]
-        groups = [BUCKETS if t == END else bucket(t) for t in rare]
-        symbols[other] = groups
-        shares = self.log_share[at].sum() - sum(self.group_size[g] for g in groups if g < BUCKETS)
+        shares = self.log_share[at].sum()
+        if rare:
+            groups = np.array([BUCKETS if t == END else BUCKET_OF[t[-2:]] for t in rare])
+            symbols[other] = groups
+            shares -= self.group_size[groups[groups < BUCKETS]].sum()
         return symbols, float(self.log_count[at].sum()), float(shares), rare
 
 
@@ -118,16 +131,29 @@ def learn_symbols(counts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Symb
 
 class Lanes:
     """Streams texts whole through a trainer: ``BATCH`` lanes side by side, each one text after the other in windows of STEPS symbols,
-    the state carried from window to window. ``learned`` counts the symbols that were predicted."""
+    the state carried from window to window. ``learned`` counts the symbols that were predicted.
+
+    Up to ``BUFFER`` symbols wait for a lane; those of a text of over ``LONG`` go first, so that at the end many lanes are still
+    busy with short texts while the last long ones end."""
 
     def __init__(self, trainer: gru.Trainer):
         self.trainer, self.learned = trainer, 0
         self.left = [np.array([BUCKETS], np.int32) for _ in range(BATCH)]
         self.state = np.zeros((BATCH, gru.HIDDEN), np.float32)
         self.short = list(range(BATCH))
+        self.waiting: tuple[deque, deque] = (deque(), deque())
+        self.waits = 0
 
     def add(self, symbols: np.ndarray) -> None:
         """symbols: a text with its end."""
+        self.waiting[len(symbols) <= LONG].append(symbols)
+        self.waits += len(symbols) + STEPS  # so that empty texts count, too
+        while self.waits > BUFFER:
+            self.feed()
+
+    def feed(self) -> None:
+        symbols = (self.waiting[0] or self.waiting[1]).popleft()
+        self.waits -= len(symbols) + STEPS
         lane = self.short[-1]
         self.left[lane] = np.concatenate((self.left[lane], symbols))
         if len(self.left[lane]) > STEPS:
@@ -149,6 +175,8 @@ class Lanes:
 
     def close(self) -> None:
         """The fewer lanes are left, the longer are their windows: no more than a full minibatch at once."""
+        while self.waits:
+            self.feed()
         while lanes := [b for b in range(BATCH) if len(self.left[b]) > 1]:
             longest = max(len(self.left[b]) for b in lanes) - 1
             self.learn(lanes, max(STEPS, min(longest, 8 * STEPS, STEPS * BATCH // len(lanes))))
@@ -187,6 +215,7 @@ def train(texts: DataFrame, symbols: Symbols, start: np.ndarray, *, rate: float)
     schema = pa.schema([("i", pa.int32()), ("s", pa.float64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gru.keep_freed()
         trainer = gru.Trainer(gru.unflat(sent.value.copy(), size), rate)
         lanes = Lanes(trainer)
         for batch in batches:
@@ -224,6 +253,7 @@ def score_pass(coded: DataFrame, symbols: Symbols, weights: np.ndarray) -> DataF
     sent = coded.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gru.keep_freed()
         p = gru.unflat(sent.value, size)
         rows: list[pa.RecordBatch] = []
         texts: list[np.ndarray] = []
