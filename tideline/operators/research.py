@@ -151,12 +151,17 @@ def cumulative_quintiles(p: DataFrame, ts: str = "ts") -> DataFrame:
     return out.withColumn("long_short", F.col("cum_q5") - F.col("cum_q1"))
 
 
-def monotonicity(cum: DataFrame, ts: str = "ts") -> DataFrame:
-    """Spearman of the quintile number and its final cumulative return."""
-    last = cum.agg(F.max_by(F.array(*[F.col(f"cum_q{i}") for i in range(1, 6)]), ts).alias("v"))
-    rows = last.select(F.posexplode("v").alias("pos", "x")).withColumn("g", F.lit(1))
-    rows = rows.withColumn("_r", average_rank("x", ["g"]))
-    return rows.agg(safe_corr("pos", "_r").alias("monotonicity"))
+def monotonicity(cum: DataFrame) -> DataFrame:
+    """Correlation of the quintile number and the rank of its growth; equal growths share their smallest rank, as ``rank()`` in SQL.
+
+    Growths are compared by their logarithms: over many dates the compounded returns themselves leave the double range and would tie
+    at infinity or zero. No date, or equal growth in all quintiles, gives NaN.
+    """
+    q = lambda i: F.col(f"q{i}")
+    log = lambda i: F.when(q(i) > -1, F.log(1 + q(i))).otherwise(F.when(q(i) == -1, -math.inf).otherwise(math.nan))
+    sums = cum.agg(F.array(*[F.sum(log(i)) for i in range(1, 6)]).alias("v"))
+    rows = sums.select(F.posexplode("v").alias("pos", "x")).withColumn("_r", F.rank().over(Window.partitionBy(F.lit(1)).orderBy(F.col("x").asc_nulls_last())))
+    return rows.agg(F.coalesce(safe_corr("pos", "_r"), F.lit(math.nan)).alias("monotonicity"))
 
 
 # --- tests -----------------------------------------------------------------------------------------
