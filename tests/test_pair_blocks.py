@@ -144,3 +144,30 @@ def test_a_month_costs_one_day(spark):
     days = np.array(sorted({d for r in rows.collect() for d in r["_d"]}))
     assert len(days) <= 2
     assert {d for r in GM.cells(rows, 2, days).collect() for d in GM.Block(r["_cell"]).day} == set(range(len(days)))
+
+
+def test_lags_share_the_sums_of_days_without_gaps():
+    rng = np.random.default_rng(3)
+    px, py = rng.random((5, 60)) < 0.6, rng.random((7, 60)) < 0.6
+    x, y = np.where(px[:, :, None], rng.normal(size=(5, 60, 3)), np.nan), np.where(py, rng.normal(size=(7, 60)), np.nan)
+    x[:, :4, 1], x[:, :9, 2], y[2, 30] = np.nan, np.nan, np.nan
+    want = [GM.Sums(5, 7) for _ in range(3)]
+    for k, one in enumerate(want):
+        one.add(x[:, :, k], y)
+    got, sizes = [GM.Sums(5, 7) for _ in range(3)], []
+
+    class Seen(np.ndarray):
+        def astype(self, *a, **b):
+            sizes.append(self.shape[1])
+            return np.asarray(self).astype(*a, **b)
+
+    columns = lambda days: [np.ascontiguousarray(x[:, days, k]) for k in range(3)]
+    both = GM.lagged(got, columns(slice(None)), px.view(Seen), y, py)
+    assert (both == px.astype(int) @ py.T.astype(int)).all() and max(sizes) == 60 - 9 - 1
+    for a, b in zip(got, want):
+        np.testing.assert_allclose(a.s, b.s, atol=1e-12)
+    some = [GM.Sums(5, 7) for _ in range(3)]
+    for days in (slice(0, 9), slice(9, 20), slice(20, 60)):  # every day is odd, none is, one is
+        GM.lagged(some, columns(days), px[:, days], y[:, days], py[:, days])
+    for a, b in zip(some, want):
+        np.testing.assert_allclose(a.s, b.s, atol=1e-12)
