@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tideline.operators import setjoin as J
+from tideline.operators import text as X
 
 
 def jaccard(a, b):
@@ -67,3 +68,19 @@ def test_sets_nobody_asks_for_stay(spark, family):
     pairs = spark.createDataFrame([(1, 2), (2, 9)], "id_a long, id_b long")
     left = sorted(r.id for r in J.asked(df, pairs).collect())
     assert set(left) >= {1, 2, 9} and len(left) < 6
+
+
+def test_texts_with_a_common_passage_are_not_compared_whole(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, notice = [[word() for _ in range(120)] for _ in range(8)], [f"n{i}" for i in range(20)]
+    texts = [*base, *[[w if i % 60 else word() for i, w in enumerate(b)] for b in base], *[[*notice, *[word() for _ in range(80)]] for _ in range(40)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen, cells = [], J.cells
+    monkeypatch.setattr(J, "cells", lambda pairs: (seen.append(pairs.count()), cells(pairs))[1])
+    # tokens ordered by hash alone, so that the frequent ones of the passage stand in prefixes
+    monkeypatch.setattr(J, "counts", lambda sets: [np.zeros(1 << J.BITS, np.int64)] * 2)
+    links = {(r.id_a, r.id_b) for r in X.near_duplicates(docs).collect()}
+    grams = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    assert links == {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if jaccard(grams[a], grams[b]) >= 0.7} and len(links) == 8
+    assert len(seen) == 2 and seen[0] > 16 and seen[1] == 8
