@@ -32,3 +32,13 @@ def test_sets_of_copies_meet_in_one_cell(spark):
     assert len(rows) == len(names) * (len(names) - 1) / 2 + 2
     used = {(r._c, r._qa, r._qb, i) for r in rows for i in (r.id_a, r.id_b)}
     assert len(used) <= len(names) + 4  # each set goes once to a cell, not once for each of its pairs
+
+
+def test_small_and_large_counts_add_up(spark):
+    """A token of 70,000 sets and one of 300, next to single ones, over several tasks."""
+    df = spark.range(0, 70_000, 1, 5).selectExpr("id", "IF(id < 300, array(7, 11, id + 100), array(7, id + 100)) AS tokens")
+    first, second = J.counts(df)
+    assert first.sum() == second.sum() == 140_300
+    at = J.slots(np.array([7, 11], np.int64))
+    for a, total in zip(at, (first, second)):
+        assert total[a[0]] >= 70_000 and 300 <= total[a[1]] < 2_000

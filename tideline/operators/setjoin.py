@@ -60,14 +60,15 @@ def counts(sets: DataFrame) -> list[np.ndarray]:
                 for k, at in enumerate(slots(tokens)):
                     np.add.at(own, at + (k << BITS), 1)
         if own.any():
-            cells = own.reshape(-1, 1 << CELL).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array([c.tobytes() for c in cells], pa.binary())], names=["cell", "own"])
+            cells = [c.astype(np.min_scalar_type(c.max())) for c in own.reshape(-1, 1 << CELL)]  # a task's counts are small: mostly a byte each
+            width, own = pa.array([c.itemsize for c in cells], pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), width, own], names=["cell", "width", "own"])
 
     def add(some: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(c, np.int32).astype(np.int64) for c in some["own"]), np.zeros(1 << CELL, np.int64))
+        total = sum((np.frombuffer(c, f"u{w}").astype(np.int64) for w, c in zip(some["width"], some["own"])), np.zeros(1 << CELL, np.int64))
         return pd.DataFrame({"cell": some["cell"].iloc[:1], "total": [total.tobytes()]})
 
-    cells = sets.select("id", "tokens").mapInArrow(run, "cell int, own binary").groupBy("cell").applyInPandas(add, "cell int, total binary").collect()
+    cells = sets.select("id", "tokens").mapInArrow(run, "cell int, width int, own binary").groupBy("cell").applyInPandas(add, "cell int, total binary").collect()
     out = np.zeros(2 << BITS, np.int64)
     for c in cells:
         out[c.cell << CELL : (c.cell + 1) << CELL] = np.frombuffer(c.total, np.int64)
